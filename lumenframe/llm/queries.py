@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import substring_dedup, suffix_dedup
+from lumenframe.llm import decontaminate, quality_rules, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
