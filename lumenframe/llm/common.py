@@ -1,7 +1,7 @@
 """Shared pieces: a shared scratch folder, Arrow text buffers, and vectorised word and byte hashing.
 
 Texts reach Python as Arrow batches.  The helpers work on the batch's own byte
-buffer, in slices of a few MB, so memory doesn't grow with the batch.
+buffer, in slices that fit a core's cache, so memory doesn't grow with the batch.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 17  # arrays of eight bytes for each of these fit a core's cache
 U = np.uint64
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -55,7 +55,7 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets from 0) of runs of rows with about `limit` bytes; null is empty."""
+    """(first row, row after the last, bytes, offsets from 0) of runs of rows with about `limit` bytes, or one longer row; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if col.type != pa.large_string():
         col = col.cast(pa.large_string())
@@ -118,6 +118,18 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0xE7037ED1A0B428DB))
 
 
+def all_runs(sums: np.ndarray, k: int, powers: Powers) -> np.ndarray:
+    """Fingerprints of every run of k symbols, comparable with each other only."""
+    if len(sums) <= k:
+        return np.zeros(0, U)
+    out = sums[k:] - sums[:-k]
+    out *= powers.get(len(sums))[1][: len(out)]
+    out *= U(0xBF58476D1CE4E5B9)
+    out ^= out >> U(32)
+    out *= U(0x94D049BB133111EB)
+    return out
+
+
 def byte_set(chars: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(chars)] = True
@@ -148,12 +160,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return spans(prefix_sums(data, BYTES), starts, ends, BYTES)
 
 
-def windows(values: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """Starts of the runs of n values that lie within one row; bounds: values before each row."""
-    if len(values) < n:
+def windows(size: int, bounds: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the runs of n of `size` values that lie within one row; bounds: values before each row."""
+    if size < n:
         return np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
+    start = np.ones(size + 1, bool)
+    for end in bounds[1:]:
+        start[max(0, end - n + 1) : end] = False
+    return np.flatnonzero(start[:size])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -1,240 +1,293 @@
-"""Exact search for runs of n symbols that also start earlier, behind a sketch, in three ranks.
+"""Exact search for runs of n symbols that also start earlier, in three ranks, each behind a merged sketch.
 
 A window is n consecutive symbols (words or bytes) of a document.  Its seed is
-the smallest fingerprint among its runs of k symbols, so equal windows have
-equal seeds.  A segment is a maximal run of neighbouring windows with one
-seed; there are several times fewer of them than windows.
-
-rank 1  seeds: a segment whose seed (or, for op3, whose windows) the sketch
-        has seen only once can't repeat and is dropped.
-rank 2  whole segments: sorted by (seed, segment, place); a segment that also
-        stands earlier is covered in one row.
-rank 3  windows: only where one seed has several different segments, the
-        first of each is opened into its windows, and these are sorted by
-        (seed, window, place).
-
-Each task first settles what it can among its own rows (a copy that comes
-later than another in the same task is covered at once and isn't sent), so a
-very frequent segment leaves each task at most once.  Names of segments and
-windows are 64-bit fingerprints beside a 64-bit seed: 128 bits decide
-equality.  Rows of a seed arrive sorted and are read as a stream, so no group
-is held in memory.
+the least fingerprint among its runs of k symbols, so equal windows have equal
+seeds.  A segment is a maximal run of neighbouring windows with one seed;
+there are several times fewer of them than windows.
+
+rank 1  seeds: a segment whose seed stands nowhere else can't repeat.
+rank 2  whole segments, sorted by (seed, segment, place): one that also stands
+        earlier is covered in one row.
+rank 3  windows, sorted by (seed, window, place): only of the first of each
+        segment, and only where its seed has several different segments.
+
+A sketch (sketch.py) of each rank drops what is unique before it is sorted; it
+may keep too much, never too little.  Each task first settles what it can
+among its own rows: a copy that comes later than another in the same task is
+covered at once, so a very frequent segment leaves a task at most once.  Names
+are 64-bit fingerprints beside a 64-bit seed: 128 bits decide equality.
+Sorted rows are read as a stream, so no group is held in memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U, longs, sliding_min, windows
+from lumenframe.llm.common import U, longs, mix, save, sliding_min, text_slices, windows
+from lumenframe.llm.sketch import BITS, repeated
 
-FOUND = "kind int, seed long, name long, doc long, start int, n int, names binary"
-_FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("names", pa.binary())])
-COVERED, SEGMENT, WINDOW = 0, 1, 2
-_HOLD = 400_000
+FOUND = "kind int, seed long, name long, doc long, start int, n int"
+_FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+COVERED, TO_RANK, FIRST = 0, 1, 2
+_HOLD = 1_000_000
 
 
 @dataclass
 class Sequence:
-    """The symbols of a slice of rows; fingerprint(start, end) names runs of them."""
+    """The symbols of a slice of rows."""
 
     bounds: np.ndarray  # symbols before each row
-    symbols: np.ndarray
-    fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def segments(seq: Sequence, n: int, k: int, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, first window, windows) of the segments of a slice; keep: which windows, by start, count at all."""
-    starts = windows(seq.symbols, seq.bounds, n)
-    if not len(starts):
-        return np.zeros(0, U), starts, starts
-    at = np.arange(len(seq.symbols) - k + 1)
-    least = sliding_min(seq.fingerprint(at, at + k), n - k + 1)[starts]
-    if keep is not None:
-        mask = keep(starts)
-        starts, least = starts[mask], least[mask]
-        if not len(starts):
-            return np.zeros(0, U), starts, starts
-    row = np.searchsorted(seq.bounds, starts, "right")
-    new = np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])])
-    first = np.flatnonzero(new)
-    return least[first], starts[first], np.diff(np.append(first, len(starts)))
+    size: int
+    runs: Callable[[int], np.ndarray]  # fingerprints of every run of k symbols
+    name: Callable[[np.ndarray, np.ndarray], np.ndarray]  # fingerprints of [start, end)
 
 
-def each_window(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The windows of all segments, one segment after the other."""
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+@dataclass
+class Rows:
+    """Segments or windows: seed, name, document, first window (in the slice, and in the document) and number of windows."""
 
+    seed: np.ndarray
+    name: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
 
-def split_inner_repeats(seq: Sequence, n: int, seed: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments that hold one window twice become segments of one window each."""
-    every = each_window(start, count)
-    owner = np.repeat(np.arange(len(start)), count)
-    names = seq.fingerprint(every, every + n) + owner.astype(U) * U(0x9E3779B97F4A7C15)
-    order = np.argsort(names)
-    same = names[order][1:] == names[order][:-1]
-    if not same.any():
-        return seed, start, count
-    split = np.zeros(len(start), bool)
-    split[owner[order[1:][same]]] = True
-    parts = np.where(split, count, 1)
-    first = np.repeat(start, parts) + np.where(np.repeat(split, parts), each_window(np.zeros(len(parts), np.int64), parts), 0)
-    return np.repeat(seed, parts), first, np.where(np.repeat(split, parts), 1, np.repeat(count, parts))
+    def take(self, which: np.ndarray) -> Rows:
+        return Rows(self.seed[which], self.name[which], self.doc[which], self.at[which], self.start[which], self.n[which])
 
+    def place(self) -> np.ndarray:
+        """Names of these segments at just these places."""
+        return mix(self.name.view(U) ^ mix(self.seed.view(U) + mix(self.doc.astype(U) + U(0x9E3779B97F4A7C15)) + self.start.astype(U)))
 
-def rows_of(seq: Sequence, docs: np.ndarray, n: int, seed: np.ndarray, start: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
-    row = np.searchsorted(seq.bounds, start, "right") - 1
-    return {"seed": seed, "name": seq.fingerprint(start, start + count + n - 1), "doc": docs[row], "start": start - seq.bounds[row], "n": count, "at": start}
 
+def each_window(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The windows of all segments, one segment after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
-def batch_of(kind, seed, name, doc, start, n, names=None) -> pa.RecordBatch:
-    size = len(doc)
-    arrays = [
-        pa.array(np.broadcast_to(np.int32(kind), size)), pa.array(seed.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc.astype(np.int64)),
-        pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), names if names is not None else pa.nulls(size, pa.binary()),
-    ]
-    return pa.record_batch(arrays, schema=_FOUND)
 
+def batch_of(kind: int, seed, name, doc, start, n) -> pa.RecordBatch:
+    arrays = [np.full(len(doc), kind, np.int32), seed.view(np.int64), name.view(np.int64), doc.astype(np.int64), start.astype(np.int32), n.astype(np.int32)]
+    return pa.record_batch([pa.array(a) for a in arrays], schema=_FOUND)
 
-def _names_array(all_names: np.ndarray, ends: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(all_names.tobytes())])
+
+def covered_batch(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Covered windows, runs that touch made one."""
+    order = np.lexsort((start, doc))
+    doc, start, n = doc[order], start[order], n[order]
+    end = start + n
+    new = np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (start[1:] != end[:-1])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    nothing = np.zeros(len(first), np.int64)
+    return batch_of(COVERED, nothing, nothing, doc[first], start[first], (end[last] - start[first]) if len(first) else n)
 
 
+@dataclass
 class Local:
     """What one task has found, settled among its own rows before it is sent on."""
 
-    def __init__(self, same_doc: bool):
-        self.same_doc, self.held, self.size = same_doc, [], 0
+    same_doc: bool
+    held: list[Rows] = field(default_factory=list)
+    size: int = 0
 
-    def add(self, rows: dict[str, np.ndarray], names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """names: fingerprints of the windows of all segments, one after the other."""
-        self.held.append((rows, names))
-        self.size += len(rows["doc"])
+    def add(self, rows: Rows) -> Iterator[pa.RecordBatch]:
+        self.held.append(rows)
+        self.size += len(rows.doc)
         if self.size >= _HOLD:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        seed, name, doc, start, n = (np.concatenate([r[c] for r, _ in self.held]) for c in ("seed", "name", "doc", "start", "n"))
-        names = np.concatenate([x for _, x in self.held])
+        seed, name, doc, start, n = (np.concatenate([getattr(r, c) for r in self.held]) for c in ("seed", "name", "doc", "start", "n"))
         self.held, self.size = [], 0
         order = np.lexsort((start, doc, name, seed))
-        new = np.concatenate([[True], (np.diff(seed[order]) != 0) | (np.diff(name[order]) != 0)])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        later = doc[order] > doc[order][head] if not self.same_doc else ~new
-        covered, rest = order[later], order[~later]
-        yield batch_of(COVERED, seed[covered], name[covered], doc[covered], start[covered], n[covered])
-        ends = np.cumsum(n)
-        lengths = n[rest]
-        first = np.repeat(ends[rest] - lengths - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        own = names[first + np.arange(int(lengths.sum()))]
-        yield batch_of(SEGMENT, seed[rest], name[rest], doc[rest], start[rest], lengths, _names_array(own, np.cumsum(lengths)))
-
-
-def _table(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        seed, name, doc, start, n = seed[order], name[order], doc[order], start[order], n[order]
+        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (name[1:] != name[:-1])])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        later = ~new if self.same_doc else doc > doc[head]
+        yield covered_batch(doc[later], start[later], n[later])
+        yield batch_of(TO_RANK, seed[~later], name[~later], doc[~later], start[~later], n[~later])
+
+
+def _groups(t: dict[str, np.ndarray], before: tuple | None, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """For sorted rows that go on from `before` (seed, name, first doc): where seeds and names begin, and what comes later than the first."""
+    seed, name, doc = t["seed"], t["name"], t["doc"]
+    old_seed = before is not None and seed[0] == before[0]
+    new_seed = np.concatenate([[not old_seed], seed[1:] != seed[:-1]])
+    new = new_seed | np.concatenate([[not (old_seed and name[0] == before[1])], name[1:] != name[:-1]])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(seed)), -1))
+    first_doc = np.where(head >= 0, doc[head], before[2] if before else 0)
+    return new_seed, new, head, (~new if same_doc else doc > first_doc), (seed[-1], name[-1], first_doc[-1])
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {c: longs(batch, c) for c in ("kind", "seed", "name", "doc", "start", "n")}
 
 
-class _Open:
-    """Segments of the seed that is being read: the first of each name, kept until the seed proves to have several."""
-
-    def __init__(self):
-        self.seed = self.name = self.doc = self.start = None
-        self.several, self.held = False, []
-
-
 def settle_segments(same_doc: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows sorted by (seed, name, doc, start): covered segments, and the windows of what is left to decide."""
-
-    def opened(seed: np.ndarray, doc: np.ndarray, start: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
-        size = np.array([len(x) // 8 for x in names], np.int64)
-        flat = np.frombuffer(b"".join(names), U)
-        inner = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        return batch_of(WINDOW, np.repeat(seed, size), flat, np.repeat(doc, size), np.repeat(start, size) + inner, np.ones(len(flat), np.int32))
+    """For segments sorted by (seed, name, doc, start): those covered, and the FIRST of each where a seed has several."""
 
     def run(batches):
-        o = _Open()
+        before, several, held = None, False, []  # held: firsts of a seed that has shown one name so far
         for batch in batches:
-            t = _table(batch)
-            names = batch.column(batch.schema.get_field_index("names"))
+            t = _columns(batch)
             ready = t["kind"] == COVERED
             if ready.any():
-                yield batch_of(COVERED, t["seed"][ready], t["name"][ready], t["doc"][ready], t["start"][ready], t["n"][ready])
-            at = np.flatnonzero(~ready)
-            if not len(at):
+                yield covered_batch(t["doc"][ready], t["start"][ready], t["n"][ready])
+            t = {c: v[~ready] for c, v in t.items()}
+            if not len(t["seed"]):
                 continue
-            seed, name, doc, start, n = (t[c][at] for c in ("seed", "name", "doc", "start", "n"))
-            goes_on_seed = o.seed is not None and seed[0] == o.seed
-            goes_on = goes_on_seed and name[0] == o.name
-            new_seed = np.concatenate([[not goes_on_seed], seed[1:] != seed[:-1]])
-            new = new_seed | np.concatenate([[not goes_on], name[1:] != name[:-1]])
-            index = np.arange(len(at))
-            head = np.maximum.accumulate(np.where(new, index, -1))
-            first_doc = np.where(head >= 0, doc[head], o.doc if o.doc is not None else 0)
-            later = doc > first_doc if not same_doc else ~new
+            new_seed, new, _, later, before = _groups(t, before, same_doc)
             if later.any():
-                yield batch_of(COVERED, seed[later], name[later], doc[later], start[later], n[later])
-            # a seed has several segments if a name begins without a seed beginning
-            group = np.cumsum(new_seed)
-            several = np.zeros(group[-1] + 1, bool)
-            several[group[new & ~new_seed]] = True
-            several[0] |= o.several and goes_on_seed
-            keep = ~later
-            if goes_on_seed and several[0] and o.held:
-                yield opened(*(np.array([h[i] for h in o.held], np.int64) for i in range(3)), [h[3] for h in o.held])
-                o.held = []
-            if not goes_on_seed:
-                o.held = []
-            last = group == group[-1]
-            now = keep & several[group]
+                yield covered_batch(t["doc"][later], t["start"][later], t["n"][later])
+            group = np.cumsum(new_seed)  # 0: the seed of the rows before
+            many = np.zeros(group[-1] + 1, bool)
+            many[group[new & ~new_seed]] = True
+            many[0] |= several
+            if many[0] and held:
+                yield from held
+            if many[0] or group[-1]:
+                held = []
+            now, waits = ~later & many[group], ~later & ~many[group] & (group == group[-1])
+            pick = lambda w: batch_of(FIRST, *(t[c][w] for c in ("seed", "name", "doc", "start", "n")))  # noqa: B023, E731
             if now.any():
-                yield opened(seed[now], doc[now], start[now], names.take(pa.array(at[now])).to_pylist())
-            waits = keep & last & ~several[group]
-            if group[-1] != 0:
-                o.held = []
-            o.held += list(zip(seed[waits], doc[waits], start[waits], names.take(pa.array(at[waits])).to_pylist(), strict=True))
-            o.seed, o.name, o.doc, o.several = seed[-1], name[-1], first_doc[-1], bool(several[group[-1]])
+                yield pick(now)
+            if waits.any():
+                held.append(pick(waits))
+            several = bool(many[group[-1]])
 
     return run
 
 
 def settle_windows(same_doc: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For single windows sorted by (seed, name, doc, start): those that also stand earlier."""
+    """For windows sorted by (seed, name, doc, start): those that also stand earlier."""
 
     def run(batches):
         before = None
         for batch in batches:
-            t = _table(batch)
-            seed, name, doc = t["seed"], t["name"], t["doc"]
-            if not len(seed):
-                continue
-            goes_on = before is not None and (seed[0], name[0]) == before[:2]
-            new = np.concatenate([[not goes_on], (seed[1:] != seed[:-1]) | (name[1:] != name[:-1])])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(seed)), -1))
-            first_doc = np.where(head >= 0, doc[head], before[2] if before else 0)
-            later = doc > first_doc if not same_doc else ~new
-            before = (seed[-1], name[-1], first_doc[-1])
-            if later.any():
-                yield batch_of(COVERED, seed[later], name[later], doc[later], t["start"][later], t["n"][later])
+            t = _columns(batch)
+            ready = t["kind"] == COVERED
+            if ready.any():
+                yield covered_batch(t["doc"][ready], t["start"][ready], t["n"][ready])
+            t = {c: v[~ready] for c, v in t.items()}
+            if len(t["seed"]):
+                _, _, _, later, before = _groups(t, before, same_doc)
+                if later.any():
+                    yield covered_batch(t["doc"][later], t["start"][later], t["n"][later])
 
     return run
 
 
-def covered_runs(found: DataFrame, same_doc: bool, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(doc, start, n): windows start .. start+n-1 of doc also start earlier."""
-    place = ["seed", "name", "doc", "start"]
-    ranked = found.repartition("seed").sortWithinPartitions(*place).mapInArrow(settle_segments(same_doc), FOUND)
-    ranked = save(ranked.drop("names"), "ranks")
-    open_windows = ranked.where(F.col("kind") == WINDOW)
-    again = open_windows.repartition("seed", "name").sortWithinPartitions(*place).mapInArrow(settle_windows(same_doc), FOUND)
-    return ranked.where(F.col("kind") == COVERED).select("doc", "start", "n").unionAll(again.select("doc", "start", "n"))
+@dataclass
+class Search:
+    """Windows of n symbols, seeds of k; same_doc: earlier places in the same document count too."""
+
+    sequence: Callable[[np.ndarray, np.ndarray], Sequence]
+    n: int
+    k: int
+    same_doc: bool
+    bits: int = BITS
+
+    def segments(self, seq: Sequence, docs: np.ndarray) -> Rows:
+        starts = windows(seq.size, seq.bounds, self.n)
+        if not len(starts):
+            return Rows(np.zeros(0, U), np.zeros(0, U), docs[:0], starts, starts, starts)
+        least = sliding_min(seq.runs(self.k), self.n - self.k + 1)[starts]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)])
+        first = np.flatnonzero(new)
+        seed, at, count = least[first], starts[first], np.diff(np.append(first, len(starts)))
+        if self.same_doc:
+            seed, at, count = self.split_inner_repeats(seq, seed, at, count)
+        row = np.searchsorted(seq.bounds, at, "right") - 1
+        return Rows(seed, seq.name(at, at + count + self.n - 1), docs[row], at, at - seq.bounds[row], count)
+
+    def split_inner_repeats(self, seq: Sequence, seed: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments that hold one window twice become segments of one window each."""
+        every = each_window(start, count)
+        names = seq.name(every, every + self.n) + np.repeat(np.arange(len(start)), count).astype(U) * U(0x9E3779B97F4A7C15)
+        order = np.argsort(names)
+        same = names[order][1:] == names[order][:-1]
+        if not same.any():
+            return seed, start, count
+        split = np.zeros(len(start), bool)
+        split[np.repeat(np.arange(len(start)), count)[order[1:][same]]] = True
+        parts = np.where(split, count, 1)
+        inner = each_window(np.zeros(len(parts), np.int64), parts)
+        return np.repeat(seed, parts), np.repeat(start, parts) + inner, np.where(np.repeat(split, parts), 1, np.repeat(count, parts))
+
+    def open(self, seq: Sequence, r: Rows) -> Rows:
+        at = each_window(r.at, r.n)
+        start = each_window(r.start, r.n)
+        return Rows(np.repeat(r.seed, r.n), seq.name(at, at + self.n), np.repeat(r.doc, r.n), at, start, np.ones(len(at), np.int64))
+
+    def scan(self, batch: pa.RecordBatch) -> Iterator[tuple[Sequence, Rows]]:
+        docs = longs(batch, "doc_id")
+        for i, j, data, offsets in text_slices(batch):
+            seq = self.sequence(data, offsets)
+            rows = self.segments(seq, docs[i:j])
+            if len(rows.doc):
+                yield seq, rows
+
+    def found(self, docs: DataFrame, pick: Callable[[Sequence, Rows], Rows]) -> DataFrame:
+        same_doc, scan = self.same_doc, self.scan
+
+        def run(batches):
+            local = Local(same_doc)
+            for batch in batches:
+                for seq, rows in scan(batch):
+                    picked = pick(seq, rows)
+                    if len(picked.doc):
+                        yield from local.add(picked)
+            yield from local.flush()
+
+        return docs.mapInArrow(run, FOUND)
+
+    def ranked(self, found: DataFrame, settle: Callable, *key: str) -> DataFrame:
+        # what is covered already goes anywhere: only what is still to be compared meets by its key
+        dealt = F.when(F.col("kind") == COVERED, F.xxhash64("doc")).otherwise(F.xxhash64(*key))
+        return found.repartition(dealt).sortWithinPartitions("seed", "name", "doc", "start").mapInArrow(settle(self.same_doc), FOUND)
+
+    def covered(self, docs: DataFrame) -> DataFrame:
+        """(doc, start, n): windows start .. start+n-1 of doc also start earlier. docs: doc_id (not null) and text."""
+        seeds = repeated(docs, lambda batch: (rows.seed for _, rows in self.scan(batch)), self.bits)
+
+        def candidates(seq: Sequence, rows: Rows) -> Rows:
+            return rows.take(seeds(rows.seed))
+
+        ranks = save(self.ranked(self.found(docs, candidates), settle_segments, "seed"), "ranks")
+
+        def places(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            t = _columns(batch)
+            place = Rows(t["seed"], t["name"], t["doc"], t["start"], t["start"], t["n"]).place()
+            yield np.concatenate([place, place])  # to be in the sketch is to be seen twice
+
+        firsts = repeated(ranks.where(F.col("kind") == FIRST), places, self.bits)
+
+        def opened(seq: Sequence, rows: Rows) -> Rows:
+            rows = rows.take(seeds(rows.seed))
+            return self.open(seq, rows.take(firsts(rows.place())))
+
+        def window_names(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for seq, rows in self.scan(batch):
+                w = opened(seq, rows)
+                yield w.name ^ mix(w.seed)
+
+        names = repeated(docs, window_names, self.bits)
+
+        def repeated_windows(seq: Sequence, rows: Rows) -> Rows:
+            w = opened(seq, rows)
+            return w.take(names(w.name ^ mix(w.seed)))
+
+        again = self.ranked(self.found(docs, repeated_windows), settle_windows, "seed", "name")
+        return ranks.where(F.col("kind") == COVERED).select("doc", "start", "n").unionAll(again.select("doc", "start", "n"))
 
 
 def covered_mask(size: int, n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

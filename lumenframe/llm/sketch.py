@@ -5,16 +5,18 @@ cell range its own, gap-coded; a shard adds up what all tasks have sent.  A
 merged sketch never underestimates: a fingerprint that occurs twice is always
 reported.  One bit a cell is kept (estimate of two or more), so the driver and
 each Python worker hold depth * 2**bits / 8 bytes whatever the input's size
-(64 MB with the defaults); on far more input more fingerprints pass the
+(64 MB with the defaults, less on the way); on far more input more fingerprints pass the
 filter, and the exact pass behind it has more to do but finds the same.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from lumenframe.llm.common import U, mix
@@ -58,18 +60,28 @@ def _emit(hashes: list[np.ndarray], bits: int, depth: int) -> Iterator[pa.Record
         yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], schema=_SCHEMA)
 
 
+_TABLES: dict[str, np.ndarray] = {}  # of this Python worker: the sketches last used
+
+
 class Repeated:
     """A merged sketch, for use within tasks; calling it tells which fingerprints may occur twice."""
 
     def __init__(self, broadcast, bits: int, depth: int):
-        self.broadcast, self.bits, self.depth = broadcast, bits, depth
+        self.broadcast, self.bits, self.depth, self.key = broadcast, bits, depth, uuid.uuid4().hex
+
+    def table(self) -> np.ndarray:
+        if self.key not in _TABLES:
+            while len(_TABLES) > 2:
+                _TABLES.pop(next(iter(_TABLES)))
+            raw = zstandard.ZstdDecompressor().decompress(self.broadcast.value)
+            _TABLES[self.key] = np.frombuffer(raw, np.uint8).reshape(self.depth, -1)
+        return _TABLES[self.key]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        table = np.frombuffer(self.broadcast.value, np.uint8).reshape(self.depth, -1)
         seen = np.ones(len(hashes), bool)
-        for row in range(self.depth):
+        for row, table in enumerate(self.table()):
             c = cells(hashes, row, self.bits)
-            seen &= (table[row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
+            seen &= (table[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0
         return seen
 
 
@@ -107,4 +119,5 @@ def repeated(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.nd
     part = max(1, step // 8)
     for r in merged.collect():  # at most depth * 2**bits / 8 bytes in all
         table[r["shard"] * part : (r["shard"] + 1) * part] = r["cells"]
-    return Repeated(df.sparkSession.sparkContext.broadcast(bytes(table)), bits, depth)
+    packed = zstandard.ZstdCompressor(level=1).compress(bytes(table))
+    return Repeated(df.sparkSession.sparkContext.broadcast(packed), bits, depth)

@@ -1,11 +1,15 @@
 """Substring de-duplication over words, behind a count-min prefilter.
 
-Pass 1 sketches every window of n consecutive words in every task and merges
-the sketches; they overestimate counts, so no repeated window is missed.  Pass
-2 groups exactly, and only, the windows whose estimate is two or more (see
-repeats.py for how their runs are grouped), and marks each that also starts
-earlier: in a smaller doc_id, or earlier in the same document.  Every word in
-a marked window goes; windows are judged on the input.
+Pass 1 sketches the windows of n consecutive words in every task and merges
+the sketches.  A window is counted under its seed, the least fingerprint of
+its runs of 8 words, once for each run of neighbouring windows that share the
+seed, and once for each window where such a run holds a window twice: so the
+count of a seed is never below that of any of its windows, the sketch
+overestimates both, and no repeated window is missed, with a seventh of the
+entries.  Pass 2 groups exactly, and only, the windows whose estimate is two
+or more (see repeats.py), and marks each that also starts earlier: in a
+smaller doc_id, or earlier in the same document.  Every word in a marked
+window goes; windows are judged on the input.
 
 Null or empty text: no words.  Texts shorter than a window: kept.  Null
 doc_ids can't be ordered and are an error of the input: such rows are
@@ -16,60 +20,34 @@ as one document's.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import repeats
-from lumenframe.llm.common import BYTES, SPACE, WORDS, longs, own_columns, prefix_sums, save, spans, text_slices, windows, word_bounds, word_hashes
-from lumenframe.llm.sketch import BITS, repeated
+from lumenframe.llm.common import SPACE, WORDS, all_runs, own_columns, prefix_sums, spans, word_bounds, word_hashes
+from lumenframe.llm.sketch import BITS
 
 WINDOW, SEED = 20, 8
 
 
 def word_sequence(data: np.ndarray, offsets: np.ndarray) -> repeats.Sequence:
     starts, ends, bounds = word_bounds(data, offsets, SPACE)
-    values = word_hashes(data, starts, ends)
-    sums = prefix_sums(values, WORDS)
-    return repeats.Sequence(bounds, values, lambda s, e: spans(sums, s, e, WORDS))
+    sums = prefix_sums(word_hashes(data, starts, ends), WORDS)
+    return repeats.Sequence(bounds, len(starts), lambda k: all_runs(sums, k, WORDS), lambda s, e: spans(sums, s, e, WORDS))
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bits: int = BITS) -> DataFrame:
     """(doc, start, n): runs of windows, by word, that also start earlier."""
-
-    def all_windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_slices(batch):
-            seq = word_sequence(data, offsets)
-            at = windows(seq.symbols, seq.bounds, window)
-            yield seq.fingerprint(at, at + window)
-
-    estimate = repeated(docs.select("text"), all_windows, bits)
-
-    def candidates(batches):
-        local = repeats.Local(same_doc=True)
-        for batch in batches:
-            ids = longs(batch, "doc_id")
-            for i, j, data, offsets in text_slices(batch):
-                seq = word_sequence(data, offsets)
-                seeds, start, count = repeats.segments(seq, window, seed, lambda at, s=seq: estimate(s.fingerprint(at, at + window)))
-                if len(seeds):
-                    seeds, start, count = repeats.split_inner_repeats(seq, window, seeds, start, count)
-                    rows = repeats.rows_of(seq, ids[i:j], window, seeds, start, count)
-                    each = repeats.each_window(start, count)
-                    yield from local.add(rows, seq.fingerprint(each, each + window))
-        yield from local.flush()
-
-    return repeats.covered_runs(docs.mapInArrow(candidates, repeats.FOUND), True, save)
+    return repeats.Search(word_sequence, window, min(seed, window), True, bits).covered(docs)
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the words left, joined by one space."""
     docs = own_columns(docs, "doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull())
-    joined = repeats.with_runs(docs, find_repeats(known, window, min(SEED, window), bits))
+    joined = repeats.with_runs(docs, find_repeats(known, window, bits=bits))
 
     def strip(batches):
         for batch in batches:

@@ -23,57 +23,33 @@ keep all their bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import repeats
-from lumenframe.llm.common import BYTES, longs, own_columns, prefix_sums, save, spans, text_slices
-from lumenframe.llm.sketch import BITS, repeated
+from lumenframe.llm.common import BYTES, all_runs, own_columns, prefix_sums, spans
+from lumenframe.llm.sketch import BITS
 
 LENGTH, FIRST = 50, 24
 
 
 def byte_sequence(data: np.ndarray, offsets: np.ndarray) -> repeats.Sequence:
     sums = prefix_sums(data, BYTES)
-    return repeats.Sequence(offsets, data, lambda s, e: spans(sums, s, e, BYTES))
+    return repeats.Sequence(offsets, len(data), lambda k: all_runs(sums, k, BYTES), lambda s, e: spans(sums, s, e, BYTES))
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST, bits: int = BITS) -> DataFrame:
     """(doc, start, n): runs of strings, by byte, that also start in a smaller doc."""
-
-    def seeds_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_slices(batch):
-            yield repeats.segments(byte_sequence(data, offsets), length, first)[0]
-
-    estimate = repeated(docs.select("text"), seeds_of, bits)
-
-    def candidates(batches):
-        local = repeats.Local(same_doc=False)
-        for batch in batches:
-            ids = longs(batch, "doc_id")
-            for i, j, data, offsets in text_slices(batch):
-                seq = byte_sequence(data, offsets)
-                seeds, start, count = repeats.segments(seq, length, first)
-                keep = estimate(seeds)
-                seeds, start, count = seeds[keep], start[keep], count[keep]
-                if len(seeds):
-                    rows = repeats.rows_of(seq, ids[i:j], length, seeds, start, count)
-                    each = repeats.each_window(start, count)
-                    yield from local.add(rows, seq.fingerprint(each, each + length))
-        yield from local.flush()
-
-    return repeats.covered_runs(docs.mapInArrow(candidates, repeats.FOUND), False, save)
+    return repeats.Search(byte_sequence, length, min(first, length), False, bits).covered(docs)
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True, bits: int = BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the remaining bytes."""
     docs = own_columns(docs, "doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull())
-    joined = repeats.with_runs(docs, find_repeats(known, length, min(FIRST, length), bits))
+    joined = repeats.with_runs(docs, find_repeats(known, length, bits=bits))
 
     def strip(batches):
         for batch in batches:
