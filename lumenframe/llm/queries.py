@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import decontaminate, quality_rules, substring_dedup, suffix_dedup
+from lumenframe.llm import decontaminate, ngram_join, quality_rules, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,

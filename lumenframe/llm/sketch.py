@@ -45,12 +45,12 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(a[at].astype(np.int64) + 255 * (np.diff(at, prepend=-1) - 1))
 
 
-def _emit(hashes: list[np.ndarray], bits: int, depth: int) -> Iterator[pa.RecordBatch]:
+def _emit(hashes: list[np.ndarray], bits: int, depth: int, cap: int) -> Iterator[pa.RecordBatch]:
     every = np.concatenate(hashes) if hashes else np.zeros(0, U)
     shards, step = 1 << max(0, bits - SHARD_BITS), 1 << min(bits, SHARD_BITS)
     for row in range(depth):
         c = np.sort(cells(every, row, bits))
-        c = c[np.concatenate([np.ones(min(2, len(c)), bool), c[2:] != c[:-2]])]  # two of a cell say enough
+        c = c[np.concatenate([np.ones(min(cap, len(c)), bool), c[cap:] != c[:-cap]])]  # so many of a cell say enough
         cut = np.searchsorted(c, np.arange(shards + 1, dtype=np.int64) * step)
         ids, blobs = [], []
         for s in range(shards):
@@ -85,8 +85,9 @@ class Repeated:
         return seen
 
 
-def repeated(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS, depth: int = DEPTH) -> Repeated:
-    """Sketch of all fingerprints that hashes_of draws from the batches of df."""
+def counted(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], levels: tuple[int, ...], bits: int = BITS, depth: int = DEPTH) -> list[Repeated]:
+    """For each level up to 255, which fingerprints that hashes_of draws from the batches of df may occur so often."""
+    cap = max(levels)
 
     def local(batches):
         held, n = [], 0
@@ -95,29 +96,46 @@ def repeated(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.nd
                 held.append(h)
                 n += len(h)
                 if n >= _FLUSH:
-                    yield from _emit(held, bits, depth)
+                    yield from _emit(held, bits, depth, cap)
                     held, n = [], 0
         if n:
-            yield from _emit(held, bits, depth)
+            yield from _emit(held, bits, depth, cap)
 
     step = 1 << min(bits, SHARD_BITS)
 
     def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(step, np.uint8)
+        count = np.zeros(step, np.uint16)
         for part in parts:
             for blob in part.column(part.schema.get_field_index("cells")).to_pylist():
                 c = unpack(blob)
-                first = np.concatenate([[True], c[1:] != c[:-1]])
-                count[c[first]] = np.minimum(count[c[first]] + 1, 2)
-                count[c[~first]] = 2
-        bits_of = np.packbits(count >= 2, bitorder="little").tobytes()
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([bits_of], pa.binary())], schema=_SCHEMA)
-
-    merged = df.mapInArrow(local, "shard int, cells binary").groupBy("shard").applyInArrow(merge, "shard int, cells binary")
-    width = (1 << bits) // 8
-    table = bytearray(depth * width)
-    part = max(1, step // 8)
-    for r in merged.collect():  # at most depth * 2**bits / 8 bytes in all
-        table[r["shard"] * part : (r["shard"] + 1) * part] = r["cells"]
-    packed = zstandard.ZstdCompressor(level=1).compress(bytes(table))
-    return Repeated(df.sparkSession.sparkContext.broadcast(packed), bits, depth)
+                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                count[c[first]] = np.minimum(count[c[first]] + np.diff(np.append(first, len(c))).astype(np.uint16), cap)
+        tables = [np.packbits(count >= level, bitorder="little").tobytes() for level in levels]
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), *[pa.array([t], pa.binary()) for t in tables]], names=["shard", *names])
+
+    names = [f"level{i}" for i in range(len(levels))]
+    schema = "shard int, " + ", ".join(f"{n} binary" for n in names)
+    rows = df.mapInArrow(local, "shard int, cells binary").groupBy("shard").applyInArrow(merge, schema).collect()  # depth * 2**bits / 8 bytes a level at most
+    part, out = step // 8, []
+    for name in names:
+        table = bytearray(depth * (1 << bits) // 8)
+        for r in rows:
+            table[r["shard"] * part : (r["shard"] + 1) * part] = r[name]
+        packed = zstandard.ZstdCompressor(level=1).compress(bytes(table))
+        out.append(Repeated(df.sparkSession.sparkContext.broadcast(packed), bits, depth))
+    return out
+
+
+def repeated(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS, depth: int = DEPTH) -> Repeated:
+    """Which fingerprints that hashes_of draws from the batches of df may occur twice."""
+    return counted(df, hashes_of, (2,), bits, depth)[0]
+
+
+def members(df: DataFrame, column: str, bits: int = BITS, depth: int = DEPTH) -> Repeated:
+    """Which fingerprints, mix()ed, may be in a column of longs."""
+
+    def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        h = mix(batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False).astype(np.int64).view(U))
+        yield np.concatenate([h, h])
+
+    return repeated(df.select(column), twice, bits, depth)
