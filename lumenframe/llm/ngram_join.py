@@ -250,7 +250,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int)
     pairs = low.join(high, "component").where(f"low <= high AND {percent} * high_least <= 100 * low_most").select("component", "low", "high")
     stored = pairs.select("component", "low", "high", F.col("low").alias("block"), F.lit(0).alias("side"))
     walking = pairs.where("low < high").select("component", "low", "high", F.col("high").alias("block"), F.lit(1).alias("side"))
-    wanted = members(inside, "doc", bits)
+    wanted = members(inside, "doc", bits - 2)
 
     def run(batches):
         for batch in batches:

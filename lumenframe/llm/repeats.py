@@ -269,7 +269,7 @@ class Search:
             place = Rows(t["seed"], t["name"], t["doc"], t["start"], t["start"], t["n"]).place()
             yield np.concatenate([place, place])  # to be in the sketch is to be seen twice
 
-        firsts = repeated(ranks.where(F.col("kind") == FIRST), places, self.bits)
+        firsts = repeated(ranks.where(F.col("kind") == FIRST), places, self.bits - 2)
 
         def opened(seq: Sequence, rows: Rows) -> Rows:
             rows = rows.take(seeds(rows.seed))
@@ -280,7 +280,7 @@ class Search:
                 w = opened(seq, rows)
                 yield w.name ^ mix(w.seed)
 
-        names = repeated(docs, window_names, self.bits)
+        names = repeated(docs, window_names, self.bits - 1)
 
         def repeated_windows(seq: Sequence, rows: Rows) -> Rows:
             w = opened(seq, rows)

@@ -3,9 +3,9 @@
 Each task sorts the cells of its fingerprints and sends every shard of the
 cell range its own, gap-coded; a shard adds up what all tasks have sent.  A
 merged sketch never underestimates: a fingerprint that occurs twice is always
-reported.  One bit a cell is kept (estimate of two or more), so the driver and
-each Python worker hold depth * 2**bits / 8 bytes whatever the input's size
-(64 MB with the defaults, less on the way); on far more input more fingerprints pass the
+reported.  One bit a cell is kept (estimate of two or more), so each
+Python worker holds depth * 2**bits / 8 bytes whatever the input's size (64 MB
+with the defaults), and the driver less, as shards are compressed; on far more input more fingerprints pass the
 filter, and the exact pass behind it has more to do but finds the same.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from lumenframe.llm.common import U, mix
 
 BITS, DEPTH, SHARD_BITS = 28, 2, 21
-_FLUSH = 6_000_000
+_FLUSH = 3_000_000
 _SCHEMA = pa.schema([("shard", pa.int32()), ("cells", pa.binary())])
 
 
@@ -73,8 +73,11 @@ class Repeated:
         if self.key not in _TABLES:
             while len(_TABLES) > 2:
                 _TABLES.pop(next(iter(_TABLES)))
-            raw = zstandard.ZstdDecompressor().decompress(self.broadcast.value)
-            _TABLES[self.key] = np.frombuffer(raw, np.uint8).reshape(self.depth, -1)
+            table = np.zeros(self.depth * (1 << self.bits) // 8, np.uint8)
+            for shard, packed in self.broadcast.value.items():
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+                table[shard * len(part) : (shard + 1) * len(part)] = part
+            _TABLES[self.key] = table.reshape(self.depth, -1)
         return _TABLES[self.key]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
@@ -110,20 +113,16 @@ def counted(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.nda
                 c = unpack(blob)
                 first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
                 count[c[first]] = np.minimum(count[c[first]] + np.diff(np.append(first, len(c))).astype(np.uint16), cap)
-        tables = [np.packbits(count >= level, bitorder="little").tobytes() for level in levels]
+        pack_bits = zstandard.ZstdCompressor(level=1).compress
+        tables = [pack_bits(np.packbits(count >= level, bitorder="little").tobytes()) for level in levels]
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), *[pa.array([t], pa.binary()) for t in tables]], names=["shard", *names])
 
     names = [f"level{i}" for i in range(len(levels))]
     schema = "shard int, " + ", ".join(f"{n} binary" for n in names)
-    rows = df.mapInArrow(local, "shard int, cells binary").groupBy("shard").applyInArrow(merge, schema).collect()  # depth * 2**bits / 8 bytes a level at most
-    part, out = step // 8, []
-    for name in names:
-        table = bytearray(depth * (1 << bits) // 8)
-        for r in rows:
-            table[r["shard"] * part : (r["shard"] + 1) * part] = r[name]
-        packed = zstandard.ZstdCompressor(level=1).compress(bytes(table))
-        out.append(Repeated(df.sparkSession.sparkContext.broadcast(packed), bits, depth))
-    return out
+    # what is collected is compressed, and below depth * 2**bits / 8 bytes a level
+    rows = df.mapInArrow(local, "shard int, cells binary").groupBy("shard").applyInArrow(merge, schema).collect()
+    share = df.sparkSession.sparkContext.broadcast
+    return [Repeated(share({r["shard"]: bytes(r[name]) for r in rows}), bits, depth) for name in names]
 
 
 def repeated(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BITS, depth: int = DEPTH) -> Repeated:
