@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import decontaminate, ngram_join, quality_rules, substring_dedup, suffix_dedup
+from lumenframe.llm import decontaminate, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
