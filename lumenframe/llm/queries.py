@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import decontaminate, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from lumenframe.llm import decontaminate, language_id, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_language_id": language_id.op7_language_id,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
