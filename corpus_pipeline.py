@@ -1,8 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, packed training sequences out, in five stages.
 
-STAGES = []
+Every stage but the last returns documents with their own columns.  Each
+stage's result is written to the shared folder and read again, so a lost
+executor costs no more than the stage it was in.  Rows without doc_id can't be
+named by others' findings and stay, unless the quality classifier rejects them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm.common import own_columns, save
+from lumenframe.llm.decontaminate import contamination
+from lumenframe.llm.ngram_join import near_duplicates
+from lumenframe.llm.packing import pack_documents
+from lumenframe.llm.quality_classifier import keep_good
+from lumenframe.llm.substring_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near duplicates: five words, similarity of 0.8 or more."""
+    others = near_duplicates(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 20 words or more that start earlier; n_chars follows the text."""
+    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = contamination(own_columns(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of at most 1024 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("substring dedup", without_repeats),
+    ("benchmark decontamination", without_leaks),
+    ("best-fit packing", packed),
+]
+
+#: The classifier and the tokenizer are beyond SQL; tests/llm/test_pipeline.py checks the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

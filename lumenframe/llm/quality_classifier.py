@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import SPACE, own_columns, word_bounds, word_hashes
 from lumenframe.llm.training import byte_ngrams, first_by_doc, held_out, hinge_fit, labelled_sample, out_of_fold, platt, score_texts, sigmoid
 
-ORDERS, BITS, PER_CLASS, THRESHOLD = (1, 2, 3), 15, 2000, 0.7
+ORDERS, BITS, PER_CLASS, THRESHOLD, REJECT_BELOW = (1, 2, 3), 15, 2000, 0.7, 0.5
 FOLDS, HELD = 4, 2
 _STEPS = 16
 
@@ -90,17 +90,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     return fit([r["text"] for r in rows], [r["label"] for r in rows], prior)
 
 
+def _scorer(model):
+    def scorer():
+        m, squares = model.value
+        return lambda data: (m.score(data, squares),)
+
+    return scorer
+
+
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score (1: good) and predicted."""
     docs = own_columns(docs, "doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+    scored = score_texts(docs.withColumn("held_out", held_out(FOLDS, HELD)), "score double", _scorer(model))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    def scorer():
-        m, squares = model.value
-        return lambda data: (m.score(data, squares),)
 
-    scored = score_texts(docs.withColumn("held_out", held_out(FOLDS, HELD)), "score double", scorer)
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = REJECT_BELOW) -> DataFrame:
+    """docs, with all their columns, without those that are likelier bad than good."""
+    model = docs.sparkSession.sparkContext.broadcast(train(own_columns(docs, "doc_id", "text"), labels))
+    scored = score_texts(docs, "_quality_score double", _scorer(model), keep_text=True)
+    return scored.where(F.col("_quality_score") >= least).select(*docs.columns)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

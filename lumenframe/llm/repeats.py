@@ -298,8 +298,11 @@ def covered_mask(size: int, n: int, starts: np.ndarray, counts: np.ndarray) -> n
     return np.cumsum(step[:-1]) > 0
 
 
+RUN_STARTS, RUN_COUNTS = "_covered_starts", "_covered_counts"
+
+
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) and, for each, a list of its covered runs."""
-    lists = runs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    """docs and, for each, lists of where its covered runs start and how many windows they have."""
+    lists = runs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n")).alias("_covered"))
     joined = docs.join(lists, "doc_id", "left")
-    return joined.select("doc_id", "text", F.col("runs.start").alias("run_starts"), F.col("runs.n").alias("run_counts"))
+    return joined.select(*docs.columns, F.col("_covered.start").alias(RUN_STARTS), F.col("_covered.n").alias(RUN_COUNTS))

@@ -43,6 +43,30 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bits:
     return repeats.Search(word_sequence, window, min(seed, window), True, bits).covered(docs)
 
 
+def words_left(words: list[bytes], starts: list[int] | None, counts: list[int] | None, window: int) -> list[bytes]:
+    if not starts or not words:
+        return words
+    gone = repeats.covered_mask(len(words), window, np.array(starts), np.array(counts))
+    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, bits: int = BITS) -> DataFrame:
+    """docs with all their columns; where words go, the text is what is left, joined by one space, else it stays as it is."""
+    known = own_columns(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
+    joined = repeats.with_runs(docs, find_repeats(known, window, bits=bits))
+    names = docs.columns
+
+    def strip(batches):
+        for batch in batches:
+            at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+            texts = []
+            for text, s, c in zip(at["text"].to_pylist(), at[repeats.RUN_STARTS].to_pylist(), at[repeats.RUN_COUNTS].to_pylist(), strict=True):
+                texts.append(b" ".join(words_left(text.encode().split(), s, c, window)).decode() if s and text else text)
+            yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else at[n] for n in names], names=names)
+
+    return joined.mapInArrow(strip, docs.schema)
+
+
 def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the words left, joined by one space."""
     docs = own_columns(docs, "doc_id", "text")
@@ -52,15 +76,11 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, b
     def strip(batches):
         for batch in batches:
             at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            starts, counts, texts = at["run_starts"].to_pylist(), at["run_counts"].to_pylist(), at["text"].to_pylist()
+            starts, counts, texts = at[repeats.RUN_STARTS].to_pylist(), at[repeats.RUN_COUNTS].to_pylist(), at["text"].to_pylist()
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for text, s, c in zip(texts, starts, counts, strict=True):
                 words = (text or "").encode().split()
-                if s and words:
-                    gone = repeats.covered_mask(len(words), window, np.array(s), np.array(c))
-                    left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    left = words
+                left = words_left(words, s, c, window)
                 kept = b" ".join(left)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))

@@ -54,7 +54,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True,
     def strip(batches):
         for batch in batches:
             at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            starts, counts, texts = at["run_starts"].to_pylist(), at["run_counts"].to_pylist(), at["text"].to_pylist()
+            starts, counts, texts = at[repeats.RUN_STARTS].to_pylist(), at[repeats.RUN_COUNTS].to_pylist(), at["text"].to_pylist()
             n_bytes, n_removed, n_spans, digests, left = [], [], [], [], []
             for text, s, c in zip(texts, starts, counts, strict=True):
                 raw = (text or "").encode()

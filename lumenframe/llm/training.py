@@ -50,9 +50,9 @@ def byte_ngrams(data: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndar
     return np.concatenate([(all_runs(sums, n, BYTES) >> U(64 - bits)).astype(np.int64) + (i << bits) for i, n in enumerate(orders)])
 
 
-def score_texts(docs: DataFrame, columns: str, scorer: Callable[[], Callable[[np.ndarray], tuple]]) -> DataFrame:
-    """docs with text replaced by what the scorer says of each text's bytes; columns: their DDL."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+def score_texts(docs: DataFrame, columns: str, scorer: Callable[[], Callable[[np.ndarray], tuple]], keep_text: bool = False) -> DataFrame:
+    """docs, without text unless asked for, and what the scorer says of each text's bytes; columns: their DDL."""
+    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     names = [f.name for f in kept] + [c.split()[0] for c in columns.split(", ")]
 
     def run(batches):
