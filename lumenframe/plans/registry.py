@@ -1,6 +1,383 @@
-"""All queries outside the corpus subpackage."""
+"""All queries outside the corpus subpackage, each beside the SQL it must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenframe.functions import text as T
+from lumenframe.operators import labels as L
+from lumenframe.operators import manifest as M
+from lumenframe.operators import metrics as E
+from lumenframe.operators import responses as P
+from lumenframe.operators import resume as R
+from lumenframe.operators import sampling as S
+from lumenframe.operators import vectors as V
+from lumenframe.sources import tables as B
+from lumenframe.streaming import ingest as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {B.SQL} {sql}"
+        return f
+
+    return add
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.superclass_grid(B.manifest(spark, sf_dir))
+
+
+@query("SELECT superclass, count(*) AS n, count(*) FILTER (label) AS n_yes, round(avg(CASE WHEN label THEN 1.0 ELSE 0.0 END), 6) AS rate FROM grid GROUP BY superclass")
+def superclass_rates(spark, d):
+    return L.rates(_grid(spark, d), "superclass")
+
+
+@query("""SELECT CASE WHEN strat_fold <= 8 THEN 'train' WHEN strat_fold = 9 THEN 'val' ELSE 'test' END AS split, superclass, count(*) AS n, count(*) FILTER (label) AS n_yes,
+    round(avg(CASE WHEN label THEN 1.0 ELSE 0.0 END), 6) AS rate FROM grid GROUP BY ALL""")
+def split_counts(spark, d):
+    return L.rates(_grid(spark, d).withColumn("split", L.split_of(F.col("strat_fold"))), "split", "superclass")
+
+
+@query("""SELECT superclass, count(*) FILTER (label) AS n_yes, count(*) FILTER (NOT label) AS n_no, round(count(*) FILTER (NOT label)::DOUBLE / count(*) FILTER (label), 6) AS pos_weight
+    FROM grid WHERE strat_fold <= 8 GROUP BY superclass""")
+def positive_weights(spark, d):
+    return L.positive_weights(_grid(spark, d))
+
+
+_STATUS = """blocks AS (SELECT *, CASE WHEN ecg_id % 97 = 0 THEN 'missing' WHEN (ecg_id + ascii(superclass)) % 89 = 0 THEN 'parse_failed'
+    WHEN (ecg_id * ascii(superclass)) % 83 = 0 THEN 'empty_reasoning' WHEN ecg_id % 79 = 0 AND label THEN 'label_mismatch' ELSE 'kept' END AS status FROM grid)"""
+
+
+@query(f", {_STATUS} SELECT status, count(*) AS blocks, count(DISTINCT ecg_id) AS records FROM blocks GROUP BY status")
+def exclusion_accounting(spark, d):
+    return L.exclusion_accounting(_grid(spark, d))
+
+
+@query(f", {_STATUS} SELECT ecg_id, superclass, label FROM blocks WHERE status = 'kept'")
+def usable_examples(spark, d):
+    return L.block_status(_grid(spark, d)).where("status = 'kept'").select("ecg_id", "superclass", "label")
+
+
+_FLAGS = """f AS (SELECT r.ecg_id, r.strat_fold, r.validated, count(s.code) AS n, coalesce(bool_and(s.likelihood = 0), false) AS all_zero,
+    coalesce(count(DISTINCT s.class) = 1 AND bool_and(s.class = 'NORM'), false) AS only_norm,
+    coalesce(count(DISTINCT s.class) FILTER (s.diagnostic) = 1 AND bool_and(s.class = 'NORM') FILTER (s.diagnostic), false) AS diagnostic_norm,
+    coalesce(count(DISTINCT s.class) FILTER (s.diagnostic AND s.likelihood > 0) = 1 AND bool_and(s.class = 'NORM') FILTER (s.diagnostic AND s.likelihood > 0), false) AS likely_norm,
+    coalesce(bool_or(s.rhythm AND s.form), false) AS rhythm_and_form, coalesce(bool_or(s.diagnostic AND s.likelihood > 0 AND s.likelihood <= 50), false) AS low_likelihood
+    FROM records r LEFT JOIN statements s USING (ecg_id) GROUP BY ALL)"""
+
+
+@query(f""", {_FLAGS} SELECT count(*) AS n, median(n) AS median_statements, max(n) AS max_statements, count(*) FILTER (all_zero) AS all_zero, count(*) FILTER (only_norm) AS only_norm,
+    count(*) FILTER (diagnostic_norm) AS diagnostic_norm, count(*) FILTER (likely_norm) AS likely_norm, count(*) FILTER (rhythm_and_form) AS rhythm_and_form, count(*) FILTER (low_likelihood) AS low_likelihood FROM f""")
+def manifest_summary(spark, d):
+    return M.summary(B.manifest(spark, d))
+
+
+@query(f", {_FLAGS} SELECT ecg_id, CAST(n AS INTEGER) AS n_statements FROM f WHERE all_zero")
+def all_zero_records(spark, d):
+    return M.flags(B.manifest(spark, d)).where("all_zero").select("ecg_id", "n_statements")
+
+
+@query("SELECT ecg_id, strat_fold FROM records ANTI JOIN statements USING (ecg_id)")
+def records_without_statements(spark, d):
+    lines = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ecg_id"))
+    return R.skip_existing(B.records(spark, d), lines, "ecg_id").select("ecg_id", "strat_fold")
+
+
+@query("""SELECT f AS strat_fold, count(*) FILTER (validated) AS validated, count(*) FILTER (NOT validated) AS unvalidated
+    FROM (SELECT unnest(range(1, 11)) AS f) LEFT JOIN records ON f = strat_fold GROUP BY f""")
+def validation_crosstab(spark, d):
+    return M.validation_crosstab(B.records(spark, d))
+
+
+@query("SELECT code, count(*) AS n FROM statements GROUP BY code ORDER BY n DESC, code LIMIT 10")
+def top_codes(spark, d):
+    return M.top_codes(B.statements(spark, d))
+
+
+@query("""SELECT codes, count(*) AS n FROM (SELECT r.ecg_id, coalesce(string_agg(s.code::VARCHAR, '+' ORDER BY s.code) FILTER (s.rhythm OR s.form), '') AS codes
+    FROM records r LEFT JOIN statements s USING (ecg_id) GROUP BY r.ecg_id) GROUP BY codes ORDER BY n DESC, codes LIMIT 10""")
+def accompanying_code_sets(spark, d):
+    return M.accompanying_sets(B.manifest(spark, d))
+
+
+@query("SELECT ecg_id, CAST((row_number() OVER (ORDER BY ecg_id) - 1) // 2000 AS BIGINT) AS shard, CAST((row_number() OVER (ORDER BY ecg_id) - 1) % 2000 AS BIGINT) AS row FROM records")
+def shard_layout(spark, d):
+    return M.shard_layout(B.records(spark, d))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE lang END AS lang, CASE WHEN doc_id % 7 = 0 THEN 'regen' ELSE source END AS source FROM documents")
+def regenerated_overlay(spark, d):
+    full = B.table(spark, d, "documents").select("doc_id", "lang", "source")
+    new = full.where("doc_id % 7 = 0").select("doc_id", F.upper("lang").alias("lang"), F.lit("regen").alias("source"))
+    return R.overlay(full, new.unionAll(spark.createDataFrame([(-1, "XX", "regen")], new.schema)), "doc_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0")
+def skip_existing(spark, d):
+    e = B.table(spark, d, "events").select("event_id", "user_id")
+    return R.skip_existing(e, e.where("event_id % 3 = 0"), "event_id")
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def last_write_wins(spark, d):
+    return R.last_write_wins(B.table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id").drop("ts")
+
+
+@query("SELECT text, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY text")
+def first_seen_turns(spark, d):
+    c = B.table(spark, d, "conversations").select("text", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+    return R.first_seen(c, "text", "ord")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'right' ELSE 'left' END AS only FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def id_set_difference(spark, d):
+    return R.set_difference(B.table(spark, d, "documents").select("doc_id"), B.table(spark, d, "labels").select("doc_id"), "doc_id")
+
+
+@query("""SELECT coalesce(sum(greatest(x, 0)), 0)::BIGINT AS only_left, coalesce(sum(greatest(-x, 0)), 0)::BIGINT AS only_right, coalesce(bool_and(x = 0), true) AS equal
+    FROM (SELECT event_type, user_id, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) AS x FROM events GROUP BY event_type, user_id)""")
+def multiset_equality(spark, d):
+    e = B.table(spark, d, "events")
+    half = lambda r: e.where(F.col("event_id") % 2 == r).select("event_type", "user_id")
+    return R.multiset_equality(half(0), half(1))
+
+
+@query("""SELECT count(*) AS shared, count(*) FILTER (texts = 1) AS identical FROM (SELECT conv_id, count(DISTINCT role) AS seen, count(DISTINCT text) AS texts FROM conversations GROUP BY conv_id)
+    WHERE seen = (SELECT count(DISTINCT role) FROM conversations)""")
+def identical_across_conditions(spark, d):
+    return R.identical_across(B.table(spark, d, "conversations").select("conv_id", "role", "text"), "conv_id", "role", "text")
+
+
+@query("""SELECT ecg_id, superclass, label FROM (SELECT *, row_number() OVER (PARTITION BY superclass, label ORDER BY md5(ecg_id::VARCHAR || '_42'), ecg_id) AS rank,
+    count(*) FILTER (label) OVER (PARTITION BY superclass) AS yes, count(*) FILTER (NOT label) OVER (PARTITION BY superclass) AS no FROM grid)
+    WHERE rank <= CASE WHEN label THEN 10 + greatest(10 - no, 0) ELSE 10 + greatest(10 - yes, 0) END""")
+def stratified_draw(spark, d):
+    return S.stratified_draw(_grid(spark, d), 20)
+
+
+@query("""SELECT g.superclass, round(avg(CASE WHEN label THEN 1.0 ELSE 0.0 END), 6) AS population_rate, count(*) FILTER (rank <= 10) AS drawn FROM
+    (SELECT *, row_number() OVER (PARTITION BY superclass, label ORDER BY md5(ecg_id::VARCHAR || '_42'), ecg_id) AS rank FROM grid) g GROUP BY g.superclass""")
+def sample_vs_population(spark, d):
+    g = _grid(spark, d)
+    drawn = S.stratified_draw(g, 20).groupBy("superclass").agg(F.count("*").alias("drawn"))
+    return L.rates(g, "superclass").join(drawn, "superclass").select("superclass", F.col("rate").alias("population_rate"), "drawn")
+
+
+_CYCLE = """c AS (SELECT o_orderkey AS ecg_id, o_custkey % 50 AS g, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey % 50) AS n FROM orders
+    WINDOW w AS (PARTITION BY o_custkey % 50 ORDER BY md5(o_orderkey::VARCHAR || '_7'), o_orderkey)),
+    donors AS (SELECT a.ecg_id, a.g, CASE WHEN a.n > 1 THEN b.ecg_id END AS donor FROM c a JOIN c b ON a.g = b.g AND b.rn = a.rn % a.n + 1)"""
+
+
+def _donors(spark, d):
+    return S.derangement(B.records(spark, d), "ecg_id", F.col("patient") % 50)
+
+
+@query(f", {_CYCLE} SELECT ecg_id, g, donor FROM donors")
+def donor_derangement(spark, d):
+    return _donors(spark, d)
+
+
+@query(f""", {_CYCLE} SELECT x.superclass, count(*) AS n, count(*) FILTER (x.label <> y.label) AS opposite FROM donors JOIN grid x USING (ecg_id) JOIN grid y ON y.ecg_id = donor AND y.superclass = x.superclass GROUP BY x.superclass""")
+def donor_answers(spark, d):
+    g = _grid(spark, d).select("ecg_id", "superclass", "label")
+    own = g.join(_donors(spark, d), "ecg_id")
+    paired = own.join(g.toDF("donor", "superclass", "donor_label"), ["donor", "superclass"])
+    return paired.groupBy("superclass").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("donor_label")).alias("opposite"))
+
+
+@query("""SELECT doc_id, source, turn::INTEGER AS turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 30""")
+def round_robin_report(spark, d):
+    return S.round_robin(B.table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 30)
+
+
+_GROUPS = "g AS (SELECT *, unnest(['overall', superclass, CASE WHEN superclass = 'en' THEN 'first' ELSE 'others' END]) AS grp FROM evals)"
+
+
+def _prf(predicted: str) -> str:
+    return f"""x AS (SELECT grp, count(*) AS n, count(*) FILTER (label) AS n_positive, count(*) FILTER ({predicted}) AS n_predicted, count(*) FILTER (label AND {predicted}) AS tp FROM g WHERE ({predicted}) IS NOT NULL GROUP BY grp),
+    y AS (SELECT *, CASE WHEN n_predicted = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / n_predicted END AS p, CASE WHEN n_positive > 0 THEN tp::DOUBLE / n_positive END AS r FROM x)
+    SELECT grp, n, n_positive, n_predicted, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN n_positive > 0 THEN CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END END, 6) AS f1 FROM y"""
+
+
+@query(f", {_GROUPS}, {_prf('parsed')}")
+def generation_metrics(spark, d):
+    return E.confusion(E.with_groups(B.evaluations(spark, d)), F.col("parsed"), "grp")
+
+
+@query(f", {_GROUPS}, {_prf('p_yes >= 0.5')}")
+def fast_metrics(spark, d):
+    return E.confusion(E.with_groups(B.evaluations(spark, d)), F.col("p_yes") >= 0.5, "grp")
+
+
+@query(f""", {_GROUPS}, r AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY p_yes) + (count(*) OVER (PARTITION BY grp, p_yes) - 1) / 2.0 AS k FROM g),
+    a AS (SELECT grp, count(*) AS n, count(*) FILTER (label) AS P, sum(k) FILTER (label) AS ranks FROM r GROUP BY grp),
+    s AS (SELECT grp, p_yes, count(*) FILTER (label) AS pos, count(*) AS c FROM g GROUP BY grp, p_yes),
+    u AS (SELECT grp, pos, sum(pos) OVER w AS tp, sum(c) OVER w AS taken FROM s WINDOW w AS (PARTITION BY grp ORDER BY p_yes DESC)),
+    v AS (SELECT grp, sum(pos * tp / taken) AS area FROM u GROUP BY grp)
+    SELECT grp, n, round(CASE WHEN P > 0 AND n > P THEN (ranks - P * (P + 1) / 2.0) / P / (n - P) END::DOUBLE, 6) AS auroc, round(CASE WHEN P > 0 THEN area / P END, 6) AS auprc FROM a JOIN v USING (grp)""")
+def ranking_metrics(spark, d):
+    return E.ranking(E.with_groups(B.evaluations(spark, d)), "grp")
+
+
+@query(f""", {_GROUPS}, t AS (SELECT grp, a.p_yes, (SELECT count(*) FILTER (label) FROM g b WHERE b.grp = a.grp AND b.p_yes >= a.p_yes) AS tp, (SELECT count(*) FROM g b WHERE b.grp = a.grp AND b.p_yes >= a.p_yes) AS taken,
+    (SELECT count(*) FILTER (label) FROM g b WHERE b.grp = a.grp) AS P FROM (SELECT DISTINCT grp, p_yes FROM g) a), f AS (SELECT *, round(2 * tp / (taken + P), 9) AS f1, row_number() OVER (PARTITION BY grp ORDER BY round(2 * tp / (taken + P), 9) DESC, p_yes DESC) AS k FROM t WHERE P > 0)
+    SELECT grp, p_yes AS threshold, round(f1, 6) AS f1 FROM f WHERE k = 1""")
+def best_f1_threshold(spark, d):
+    return E.best_f1(E.with_groups(B.evaluations(spark, d)), "grp")
+
+
+@query("""SELECT count(*) AS shared, count(*) FILTER (parsed IS NULL) AS unparsed, count(parsed) AS n, count(*) FILTER ((p_yes >= 0.5) = parsed) AS agree,
+    count(*) FILTER (p_yes >= 0.5 AND parsed) AS both_yes, count(*) FILTER (p_yes < 0.5 AND NOT parsed) AS both_no FROM evals""")
+def readout_agreement(spark, d):
+    return E.agreement(B.evaluations(spark, d))
+
+
+@query(f""", {_GROUPS} SELECT grp, count(*) AS n, round(avg(loss), 6) AS mean_loss, round(sum(loss * n_tokens) / sum(n_tokens), 6) AS token_mean, round(median(loss), 6) AS median_loss, count(*) FILTER (loss < 0.1) AS near_zero FROM g GROUP BY grp""")
+def teacher_forced_summary(spark, d):
+    return E.loss_summary(E.with_groups(B.evaluations(spark, d)), "grp")
+
+
+@query("""SELECT superclass, round(avg(loss) FILTER (ecg_id % 3 = 0), 6) AS real, round(avg(loss) FILTER (ecg_id % 3 = 1), 6) AS shuffled,
+    round(CASE WHEN avg(loss) FILTER (ecg_id % 3 = 0) <> 0 THEN 100 * (avg(loss) FILTER (ecg_id % 3 = 1) - avg(loss) FILTER (ecg_id % 3 = 0)) / avg(loss) FILTER (ecg_id % 3 = 0) END, 6) AS gap_percent FROM evals GROUP BY superclass""")
+def control_gaps(spark, d):
+    real, other = F.avg(F.when(F.col("ecg_id") % 3 == 0, F.col("loss"))), F.avg(F.when(F.col("ecg_id") % 3 == 1, F.col("loss")))
+    c = B.evaluations(spark, d).groupBy("superclass").agg(real.alias("r"), other.alias("s"))
+    return c.select("superclass", F.round("r", 6).alias("real"), F.round("s", 6).alias("shuffled"), E.percent_gap(F.col("r"), F.col("s")).alias("gap_percent"))
+
+
+@query("""SELECT CASE WHEN pos < 10 THEN '0-10' WHEN pos < 25 THEN '10-25' WHEN pos < 50 THEN '25-50' WHEN pos < 100 THEN '50-100' ELSE '100+' END AS bucket, round(avg(value), 6) AS mean_loss, count(value) AS n_positions, count(DISTINCT user_id) AS n_examples
+    FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) GROUP BY bucket""")
+def position_buckets(spark, d):
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return E.position_means(B.table(spark, d, "events").select(F.col("user_id").alias("key"), at.alias("position"), F.col("value").alias("loss")))
+
+
+@query("""SELECT min(n_chars) AS min, max(n_chars) AS max, round(avg(n_chars), 6) AS mean, count(*) FILTER (n_chars > 4096) AS over, round(quantile_cont(n_chars, 0.5)::DOUBLE, 6) AS p50,
+    round(quantile_cont(n_chars, 0.9)::DOUBLE, 6) AS p90, round(quantile_cont(n_chars, 0.95)::DOUBLE, 6) AS p95, round(quantile_cont(n_chars, 0.99)::DOUBLE, 6) AS p99 FROM documents""")
+def token_length_percentiles(spark, d):
+    return E.token_percentiles(B.table(spark, d, "documents").select("n_chars"), "n_chars", 4096)
+
+
+@query("""SELECT superclass AS what, round(avg(loss), 6) AS measured, CASE WHEN superclass = 'en' THEN 2.4 ELSE 2.3 END::DOUBLE AS threshold,
+    CASE WHEN count(*) >= 8 THEN CASE WHEN superclass = 'en' THEN avg(loss) < 2.4 ELSE avg(loss) <= 2.3 END END AS ok FROM evals WHERE ecg_id % 10 = 0 GROUP BY superclass""")
+def gate_verdicts(spark, d):
+    rows = B.evaluations(spark, d).where("ecg_id % 10 = 0").groupBy(F.col("superclass").alias("what")).agg(F.avg("loss").alias("measured"), F.count("*").alias("n_rows"))
+    strict = F.col("what") == "en"
+    return E.verdicts(rows.withColumn("strict", strict).withColumn("threshold", F.when(strict, 2.4).otherwise(2.3)))
+
+
+_REPORTS = "reports AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN '  4.46   unbestÄtigter bericht' WHEN 1 THEN ' (NORM 100, IVCB)' WHEN 2 THEN ' Edit: NORM 80' ELSE '' END AS report FROM documents)"
+
+
+def _reports(spark, d):
+    end = F.when(F.col("doc_id") % 5 == 0, "  4.46   unbestÄtigter bericht").when(F.col("doc_id") % 5 == 1, " (NORM 100, IVCB)").when(F.col("doc_id") % 5 == 2, " Edit: NORM 80").otherwise("")
+    return B.table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), end).alias("report"))
+
+
+@query(rf""", {_REPORTS}, a AS (SELECT doc_id, report, regexp_replace(report, '\s*(?:\d+(?:[.,]\d+)?\s+)?unbest[a-zÄä]*tigter\s+bericht', '', 'gi') AS b FROM reports),
+    b AS (SELECT *, regexp_replace(b, '\s*\([^)]*[A-Z]{{2,}}[^)]*\)', '', 'g') AS c FROM a),
+    c AS (SELECT *, trim(regexp_replace(regexp_replace(c, '(?is)\s*\bEdit:.*$', ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS e FROM b)
+    SELECT doc_id, CASE WHEN length(e) >= 15 THEN e ELSE '' END AS text, length(e) >= 15 AS usable, report <> b AS had_boilerplate, b <> c AS had_labels, regexp_matches(c, '(?i)\bEdit:') AS had_edit FROM c""")
+def cleaned_reports(spark, d):
+    return _reports(spark, d).select("doc_id", *[c.alias(n) for n, c in T.clean_report(F.col("report")).items()])
+
+
+@query(rf""", {_REPORTS}, t AS (SELECT doc_id, report, regexp_split_to_array(translate(lower(report), ',.', '  '), '[ \t\n\x0B\f\r]+') AS w FROM reports)
+    SELECT doc_id, CASE WHEN trim(report) = '' THEN false WHEN list_has_any(w, {T.SWEDISH!r}) THEN true WHEN regexp_matches(report, '{T.UMLAUTS}') THEN false ELSE list_has_any(w, {T.ENGLISH!r}) END AS non_german FROM t""")
+def report_language(spark, d):
+    return _reports(spark, d).select("doc_id", T.likely_non_german(F.col("report")).alias("non_german"))
+
+
+@query("""SELECT c_custkey AS patient, superclass, CASE superclass WHEN 'NORM' THEN 'Is this a normal ECG?' ELSE 'Does this ECG show evidence of ' || name || '?' END || chr(10) || 'Patient: age ' ||
+    CASE WHEN c_acctbal < 0 THEN 'unknown' ELSE CAST(CAST(floor(c_acctbal / 100) AS BIGINT) AS VARCHAR) END || ', sex ' || CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown sex' END || '.' AS prompt
+    FROM customer CROSS JOIN (VALUES ('NORM', ''), ('MI', 'myocardial infarction'), ('STTC', 'ST/T change'), ('CD', 'conduction disturbance'), ('HYP', 'hypertrophy')) v(superclass, name)""")
+def student_prompts(spark, d):
+    c = B.table(spark, d, "customer").select(F.col("c_custkey").alias("patient"), "c_acctbal", F.explode(F.array(*map(F.lit, B.CLASSES))).alias("superclass"))
+    age = F.when(F.col("c_acctbal") < 0, "unknown").otherwise(F.floor(F.col("c_acctbal") / 100).cast("string"))
+    sex = F.when(F.col("patient") % 3 == 0, "male").when(F.col("patient") % 3 == 1, "female").otherwise("unknown sex")
+    return c.select("patient", "superclass", F.concat(T.question(F.col("superclass")), F.lit("\nPatient: age "), age, F.lit(", sex "), sex, F.lit(".")).alias("prompt"))
+
+
+@query("""SELECT ecg_id, superclass, CASE WHEN gone THEN 'missing' WHEN superclass = 'CD' AND ecg_id % 13 = 0 THEN 'unparseable' ELSE 'ok' END AS status,
+    CASE WHEN gone OR (superclass = 'CD' AND ecg_id % 13 = 0) THEN NULL ELSE label END AS conclusion, CASE WHEN gone THEN NULL WHEN superclass = 'HYP' AND ecg_id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS evidence_leaks,
+    CASE WHEN gone THEN NULL ELSE 2 END::BIGINT AS evidence_items, CASE WHEN gone THEN NULL WHEN (ecg_id + k) % 5 = 0 THEN 'Step 1: look at the rate' || chr(10) || 'Step 2: decide'
+    ELSE 'Step 1: look at the rate' || chr(10) || 'Step 2: look at the axis' || chr(10) || 'Step 3: decide' END AS reasoning, CASE WHEN gone THEN NULL WHEN (ecg_id + k) % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS removed_steps
+    FROM (SELECT *, superclass = 'MI' AND ecg_id % 11 = 0 AS gone FROM grid)""")
+def parsed_responses(spark, d):
+    return P.parsed(P.responses(_grid(spark, d)))
+
+
+@query("""SELECT count(*) FILTER (gone) AS missing, count(*) FILTER (NOT gone AND superclass = 'CD' AND ecg_id % 13 = 0) AS unparseable, count(*) FILTER (superclass = 'HYP' AND ecg_id % 7 = 0) AS leak_blocks,
+    count(DISTINCT ecg_id) FILTER (ecg_id % 7 = 0) AS leak_records, count(*) FILTER (NOT gone AND (ecg_id + k) % 5 = 0) AS stripped_steps FROM (SELECT *, superclass = 'MI' AND ecg_id % 11 = 0 AS gone FROM grid)""")
+def response_audit(spark, d):
+    p = P.parsed(P.responses(_grid(spark, d)))
+    leaks = F.col("evidence_leaks") > 0
+    return p.agg(
+        F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "unparseable").alias("unparseable"), F.count_if(leaks).alias("leak_blocks"),
+        F.countDistinct(F.when(leaks, F.col("ecg_id"))).alias("leak_records"), F.sum("removed_steps").alias("stripped_steps"),
+    )
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[.;\n]')) + 1 AS BIGINT) AS n_sentences FROM documents")
+def sentence_counts(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), r"(?<=[.;\n])")).cast("long").alias("n_sentences"))
+
+
+@query("SELECT dim::INTEGER AS dim, label, round(avg(x), 6) AS mean, round(sum(x) / count(*) FILTER (x <> 0), 6) AS nonzero_mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY dim, label")
+def class_mean_vectors(spark, d):
+    return V.mean_vectors(B.table(spark, d, "embeddings"), "label")
+
+
+@query(""", x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), m AS (SELECT dim, avg(x) AS m FROM x WHERE vec_id % 10 < 8 GROUP BY dim)
+    SELECT vec_id, round(sqrt(sum(x * x)), 5) AS norm, round(sqrt(sum((x - m) * (x - m))), 5) AS centred_norm FROM x JOIN m USING (dim) GROUP BY vec_id""")
+def centred_norms(spark, d):
+    return V.centred_norms(B.table(spark, d, "embeddings"))
+
+
+@query(""", x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), s AS (SELECT label, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM x GROUP BY label, dim)
+    SELECT label, max(n) AS n, round(CASE WHEN max(n) > 1 THEN sum(n * q - s * s) / (max(n) * (max(n) - 1) / 2.0) END::DOUBLE, 5) AS mean_square_distance FROM s GROUP BY label""")
+def class_spread(spark, d):
+    return V.spread(B.table(spark, d, "embeddings"), "label")
+
+
+@query("""SELECT vec_id, round(1 / (1 + exp(ln(exp(embedding[3]::DOUBLE) + exp(embedding[4]::DOUBLE)) - ln(exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)))), 6) AS p_yes FROM embeddings""")
+def pooled_probability(spark, d):
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+
+    def lse(a, b):
+        top = F.greatest(a, b)
+        return top + F.log(F.exp(a - top) + F.exp(b - top))
+
+    p = 1 / (1 + F.exp(lse(x(2), x(3)) - lse(x(0), x(1))))
+    return B.table(spark, d, "embeddings").select("vec_id", F.round(p, 6).alias("p_yes"))
+
+
+@query("SELECT event_type, count(*) FILTER (value >= 10) AS accepted, count(*) FILTER (value IS NULL OR value < 10) AS rejected FROM events GROUP BY event_type")
+def streamed_ingest(spark, d):
+    good, bad = I.ingest(spark, f"{d}/events.parquet", "value >= 10", I.shared_folder(spark))
+    both = good.withColumn("ok", F.lit(True)).unionByName(bad.withColumn("ok", F.lit(False)))
+    return both.groupBy("event_type").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
+@query()
+def linear_probe(spark, d):
+    """Coefficients of one-vs-rest logistic regression on the training rows, and the loss it ends with; no SQL form."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    v = B.table(spark, d, "embeddings").where("vec_id % 10 < 8").select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), "label")
+    rows = []
+    for k in (0, 1, 2):
+        m = LogisticRegression(regParam=2e-4, elasticNetParam=0.0, standardization=False, maxIter=50).fit(v.withColumn("label", (F.col("label") == k).cast("double")))
+        rows.append((k, float(m.intercept), float(m.summary.objectiveHistory[-1])))
+    return spark.createDataFrame(rows, "label int, intercept double, loss double")
