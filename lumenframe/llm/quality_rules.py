@@ -7,8 +7,10 @@ that pass the base rules), k of n would be rejected at a cutoff; the cutoff
 is certified if the exact binomial tail P(Bin(n, limit) <= k) is at most
 delta / (number of strata, rules and cutoffs tried), the Bonferroni
 correction.  Then, with probability 1 - delta, no certified cutoff rejects
-more than `limit` of the good documents of its stratum.  The smallest
-certified cutoff of a rule is used; where there is none the rule keeps all.
+more than `limit` of the good documents of its stratum.  Of a rule's certified
+cutoffs, the one is used that rejects most labelled bad documents, the highest
+among equals, if it rejects at least MIN_BAD_PER_GOOD times as many of them as
+of good ones; where there is none the rule keeps all.
 
 Null or empty text: no words, base_failed.  Null strata are one stratum of
 their own.  A document with several labels is good only if all say so; labels
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import own_columns, save
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-LIMIT, DELTA = 0.005, 0.05
+LIMIT, DELTA, MIN_BAD_PER_GOOD = 0.005, 0.05, 9
 #: Shares that a rule rejects if they are above its cutoff, and the cutoffs tried.
 RULES = {"symbols": "n_symbols / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "capitals": "n_capitals / greatest(word_chars, 1)"}
 CUTOFFS = [0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8]
@@ -82,16 +84,18 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 def certified_cutoffs(found: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """(stratum, cutoffs): the certified cutoff of each rule, by name; found: features()."""
-    good = own_columns(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    held = found.where(~base_failed()).join(good, "doc_id", "left_semi")
+    named = own_columns(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    held = found.where(~base_failed()).join(named, "doc_id")
     tried = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(e).alias("share")) for r, e in RULES.items()])
-    each = held.select("stratum", F.explode(tried).alias("x")).select("stratum", "x.*")
-    at = each.select("stratum", "rule", "share", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"))
-    counts = at.groupBy("stratum", "rule", "cutoff").agg(F.count("*").alias("n"), F.count_if(F.col("share") > F.col("cutoff")).alias("k"))
+    each = held.select("stratum", "q", F.explode(tried).alias("x")).select("stratum", "q", "x.*")
+    at = each.select("stratum", "q", "rule", "share", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"))
+    above, good = F.col("share") > F.col("cutoff"), F.col("q") == 1
+    counts = at.groupBy("stratum", "rule", "cutoff").agg(F.count_if(good).alias("n"), F.count_if(good & above).alias("k"), F.count_if(~good & above).alias("bad"))
     strata = found.select("stratum").distinct().agg(F.count("*").alias("strata"))
     tail = binomial_tail(F.col("k"), F.col("n"), limit)
     passed = counts.crossJoin(F.broadcast(strata)).where(tail <= delta / (F.col("strata") * len(RULES) * len(CUTOFFS)))  # strata: one row
-    best = passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    worth = passed.where((F.col("bad") > 0) & (F.col("bad") >= MIN_BAD_PER_GOOD * F.col("k")))
+    best = worth.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("bad", "cutoff")).alias("cutoff"))
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
