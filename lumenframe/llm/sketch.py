@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from lumenframe.llm.common import U, mix
 
 BITS, DEPTH, SHARD_BITS = 28, 2, 21
-_FLUSH = 3_000_000
+_FLUSH = 1_000_000
 _SCHEMA = pa.schema([("shard", pa.int32()), ("cells", pa.binary())])
 
 
