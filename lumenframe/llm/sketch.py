@@ -60,7 +60,8 @@ def _emit(hashes: list[np.ndarray], bits: int, depth: int, cap: int) -> Iterator
         yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], schema=_SCHEMA)
 
 
-_TABLES: dict[str, np.ndarray] = {}  # of this Python worker: the sketches last used
+_HELD_BYTES = 136_000_000  # two sketches of the default size
+_TABLES: dict[str, np.ndarray] = {}  # of this Python worker: the sketches last loaded
 
 
 class Repeated:
@@ -71,9 +72,10 @@ class Repeated:
 
     def table(self) -> np.ndarray:
         if self.key not in _TABLES:
-            while len(_TABLES) > 2:
+            size = self.depth * (1 << self.bits) // 8
+            while _TABLES and sum(t.nbytes for t in _TABLES.values()) + size > _HELD_BYTES:
                 _TABLES.pop(next(iter(_TABLES)))
-            table = np.zeros(self.depth * (1 << self.bits) // 8, np.uint8)
+            table = np.zeros(size, np.uint8)
             for shard, packed in self.broadcast.value.items():
                 part = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
                 table[shard * len(part) : (shard + 1) * len(part)] = part
