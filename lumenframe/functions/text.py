@@ -52,6 +52,27 @@ def likely_non_german(report: Column) -> Column:
     return F.when(F.trim(report) == "", False).when(has(SWEDISH), True).when(report.rlike(UMLAUTS), False).otherwise(has(ENGLISH))
 
 
+#: Anchors of the guess by score.
+GERMAN_SCORED = [
+    "sinusrhythmus", "sinusbradykardie", "sinustachykardie", "ekg", "lagetyp", "linkstyp", "rechtstyp", "steiltyp", "sonst", "und", "mit", "ohne", "kein", "keine", "nicht", "verdacht", "auf", "wahrscheinlich",
+    "niederspannung", "unbestätigter", "unbestaetigter", "bericht", "abnorm", "alter", "unbest", "ueberdrehter", "überdrehter", "amplitudenkriterien", "linkshypertrophie", "extrasystole", "extrasystolen",
+    "vorhofflimmern", "vorhofflattern", "linksschenkelblock", "rechtsschenkelblock", "myokardschaden", "normales", "mässige", "mäßige", "ableitungen", "verschoben", "hebung", "unauffällig",
+]
+ENGLISH_SCORED = [
+    "the", "and", "with", "without", "are", "is", "this", "of", "to", "no", "due", "may", "be", "there", "otherwise", "consistent", "suggests", "possible", "probably", "waves", "wave", "segment", "segments", "seen",
+    "best", "evident", "changes", "definite", "pathology", "ecg", "helpful", "apparently", "failure", "commonly", "disease", "deviation", "elevated", "depressed", "inverted", "slightly", "flat", "low", "strain", "drug",
+]
+SWEDISH_SCORED = ["sinusrytm", "avvikande", "bör", "övervägas", "förlopp", "vänster", "höger", "förändringar", "ospecifika"]
+
+
+def non_german_by_score(report: Column) -> Column:
+    """A Swedish anchor says yes, else an umlaut no, else more distinct English than German anchors; null and blank reports no."""
+    low = F.lower(F.coalesce(report, F.lit("")))
+    tokens = F.split(F.translate(low, ",.", "  "), WS)
+    has = lambda words: F.size(F.array_intersect(tokens, F.array(*map(F.lit, words))))
+    return F.when(squeeze(low) == "", False).when(has(SWEDISH_SCORED) > 0, True).when(low.rlike("[äöüß]"), False).otherwise(has(ENGLISH_SCORED) > has(GERMAN_SCORED))
+
+
 def lead(token: Column) -> Column:
     """Standard name of one lead, or null."""
     t = F.trim(F.lower(F.regexp_replace(F.trim(token), r"^[?!.]+|[?!.]+$", "")))

@@ -102,3 +102,26 @@ def verdicts(measured: DataFrame) -> DataFrame:
     """A gate's rows (what, measured, threshold, strict, n_rows): ok, or null (not judged) below eight rows."""
     ok = F.when(F.col("strict"), F.col("measured") < F.col("threshold")).otherwise(F.col("measured") <= F.col("threshold"))
     return measured.select("what", F.round("measured", 6).alias("measured"), "threshold", F.when((F.col("n_rows") >= 8) & F.col("measured").isNotNull(), ok).alias("ok"))
+
+
+def loss_deciles(evals: DataFrame, group: str, near: float) -> DataFrame:
+    """p10 to p90 in steps of twenty, the greatest loss, and how many are below near; null losses don't count."""
+    at = [0.1, 0.3, 0.5, 0.7, 0.9]
+    d = evals.where(F.col("loss").isNotNull()).groupBy(group).agg(F.percentile("loss", F.array(*map(F.lit, at))).alias("p"), F.max("loss").alias("top"), F.count_if(F.col("loss") < near).alias("near_zero"))
+    return d.select(group, *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{round(100 * q)}") for i, q in enumerate(at)], F.round("top", 6).alias("max"), "near_zero")
+
+
+def mean_by_label(evals: DataFrame, value: str) -> DataFrame:
+    """Mean for all, yes and no rows, always three rows; null where there are none."""
+    kinds = evals.sparkSession.createDataFrame([("all",), ("yes",), ("no",)], "which string")
+    rows = evals.where("label IS NOT NULL").groupBy("label").agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    part = F.when(F.col("which") == "all", True).otherwise(F.col("label") == (F.col("which") == "yes"))
+    joined = kinds.join(F.broadcast(rows), part, "left")  # rows: at most two
+    return joined.groupBy("which").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.round(F.try_divide(F.sum("s"), F.sum("c")), 6).alias("mean"))
+
+
+def logistic_loss(logit: Column, target: Column, positive_weight: Column | float = 1.0) -> Column:
+    """Cross-entropy of a logit against a target from 0 to 1, stable for large logits; the weight scales the target's share."""
+    w = positive_weight if isinstance(positive_weight, Column) else F.lit(float(positive_weight))
+    rest = F.log1p(F.exp(-F.abs(logit)))
+    return target * w * (rest + F.greatest(-logit, F.lit(0.0))) + (1 - target) * (rest + F.greatest(logit, F.lit(0.0)))

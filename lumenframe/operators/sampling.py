@@ -33,3 +33,34 @@ def round_robin(rows: DataFrame, bucket: str, order: str, n: int) -> DataFrame:
     """The first n rows taken in turn from each bucket."""
     turn = F.row_number().over(Window.partitionBy(bucket).orderBy(order))
     return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", bucket).limit(n)
+
+
+def covering_records(grid: DataFrame, n: int, floor: int, classes: list[str], seed: int = 42) -> DataFrame:
+    """turn and ecg_id of n records, each the one that answers most of what is still short of floor yes and floor no a class.
+
+    Records without an answer to every class aren't candidates; ties go by hash
+    order.  Records with the same answers are alike but for that order, so no more
+    than n of each pattern of answers can be chosen: the driver gets at most n
+    rows for each of 2 ** len(classes) patterns.  Raises ValueError if there are
+    too few candidates or the floor isn't met.
+    """
+    bit = F.sum(F.when(F.col("label"), F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, 1 << i)]), F.col("superclass"))).otherwise(0))
+    whole = grid.groupBy("ecg_id").agg(bit.alias("pattern"), F.countDistinct("superclass").alias("k")).where(F.col("k") == len(classes))
+    ranked = whole.withColumn("h", shuffled(F.col("ecg_id"), seed)).withColumn("rank", F.row_number().over(Window.partitionBy("pattern").orderBy("h", "ecg_id")))
+    queues: dict[int, list] = {}
+    for row in ranked.where(F.col("rank") <= n).orderBy("pattern", "rank").collect():
+        queues.setdefault(row.pattern, []).append((row.h, row.ecg_id))
+    if sum(map(len, queues.values())) < n:
+        raise ValueError(f"{n} records asked for, {sum(map(len, queues.values()))} have all {len(classes)} answers")
+    short = {(i, yes): floor for i in range(len(classes)) for yes in (0, 1)}
+    chosen = []
+    while len(chosen) < n:
+        gain = {p: sum(short[i, p >> i & 1] > 0 for i in range(len(classes))) for p, q in queues.items() if q}
+        best = min(gain, key=lambda p: (-gain[p], queues[p][0]))
+        chosen.append((len(chosen), queues[best].pop(0)[1]))
+        for i in range(len(classes)):
+            short[i, best >> i & 1] -= 1
+    missing = [f"{classes[i]} {'yes' if yes else 'no'} has {floor - left}" for (i, yes), left in short.items() if left > 0]
+    if missing:
+        raise ValueError("floor not met: " + ", ".join(missing))
+    return grid.sparkSession.createDataFrame(chosen, "turn int, ecg_id long")

@@ -30,3 +30,24 @@ def spread(vectors: DataFrame, group: str) -> DataFrame:
     pairs = F.max("n") * (F.max("n") - 1) / 2
     total = F.sum(F.col("n") * F.col("q") - F.col("s") * F.col("s"))
     return d.groupBy(group).agg(F.max("n").alias("n"), F.round(F.when(F.max("n") > 1, F.greatest(total / pairs, F.lit(0.0))), 5).alias("mean_square_distance"))
+
+
+def unit(vectors: DataFrame) -> DataFrame:
+    """Embeddings as doubles of length one; a length below 1e-12 counts as 1e-12."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    norm = F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v)), F.lit(1e-12))
+    return vectors.withColumn("_norm", norm).withColumn("embedding", F.transform(x, lambda v: v / F.col("_norm"))).drop("_norm")
+
+
+def cosine_spread(vectors: DataFrame, group: str) -> DataFrame:
+    """Mean cosine distance over the pairs of a group: half the mean squared distance of unit vectors."""
+    half = F.round(F.col("mean_square_distance") / 2, 4).alias("mean_cosine_distance")
+    return spread(unit(vectors), group).select(group, "n", half)
+
+
+def top_dimensions(vectors: DataFrame, key: str, k: int) -> DataFrame:
+    """The k greatest dimensions of each vector by logistic probability, ties in their order."""
+    p = F.transform("embedding", lambda x, i: F.struct((-x).alias("x"), i.alias("dim")))
+    top = F.slice(F.array_sort(p), 1, k)
+    each = vectors.select(key, F.posexplode(top).alias("rank", "d"))
+    return each.select(key, "rank", F.col("d.dim").alias("dim"), F.round(1 / (1 + F.exp(F.col("d.x").cast("double"))), 6).alias("p"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions import prompts as W
 from lumenframe.functions import text as T
+from lumenframe.operators import guards as G
 from lumenframe.operators import labels as L
 from lumenframe.operators import manifest as M
 from lumenframe.operators import metrics as E
@@ -15,6 +17,7 @@ from lumenframe.operators import responses as P
 from lumenframe.operators import resume as R
 from lumenframe.operators import sampling as S
 from lumenframe.operators import vectors as V
+from lumenframe.sources import files as X
 from lumenframe.sources import tables as B
 from lumenframe.streaming import ingest as I
 
@@ -381,3 +384,116 @@ def linear_probe(spark, d):
         m = LogisticRegression(regParam=2e-4, elasticNetParam=0.0, standardization=False, maxIter=50).fit(v.withColumn("label", (F.col("label") == k).cast("double")))
         rows.append((k, float(m.intercept), float(m.summary.objectiveHistory[-1])))
     return spark.createDataFrame(rows, "label int, intercept double, loss double")
+
+
+# --- files, prompts, selection and losses -----------------------------------------------------------------------
+
+@query(f"""SELECT ecg_id, CAST(code AS VARCHAR) AS code, max(likelihood) AS likelihood, diagnostic, form, rhythm, class FROM statements GROUP BY ALL""")
+def csv_statements(spark, d):
+    folder = I.shared_folder(spark)
+    text = lambda c: F.when(F.col(c), "1.0").alias(c)
+    book = B.codebook(spark, d).select(F.col("code").cast("string").alias("code"), "description", text("diagnostic"), text("form"), text("rhythm"), "class")
+    book.write.csv(f"{folder}/codebook", header=True)
+    item = F.concat(F.lit("'"), F.col("code").cast("string"), F.lit("': "), F.col("likelihood").cast("string"))
+    each = B.statements(spark, d).groupBy("ecg_id", "code").agg(F.max("likelihood").alias("likelihood")).withColumn("item", item)
+    facts = each.groupBy("ecg_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("item")), ", "), F.lit("}")).alias("codes"))
+    facts.write.csv(f"{folder}/facts", header=True)
+    read = X.annotations_csv(spark, f"{folder}/facts", "ecg_id long, codes string", "codes")
+    return X.coded(read, "ecg_id", "codes", X.codebook_csv(spark, f"{folder}/codebook")).select("ecg_id", "code", "likelihood", "diagnostic", "form", "rhythm", "class")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE lang END AS lang, text FROM documents WHERE doc_id IS NOT NULL")
+def json_lines_last_wins(spark, d):
+    folder = I.shared_folder(spark)
+    docs = B.table(spark, d, "documents").select("doc_id", "lang", "text")
+    X.write_json_lines(docs, f"{folder}/lines/1", "doc_id")
+    X.write_json_lines(docs.where("doc_id % 7 = 0").withColumn("lang", F.upper("lang")), f"{folder}/lines/2", "doc_id")
+    return X.json_lines(spark, f"{folder}/lines", "doc_id long, lang string, text string", "doc_id")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_name DESC) - 1 AS INTEGER) AS ord, n_nationkey, n_name FROM nation")
+def requested_nations(spark, d):
+    nations, path = B.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"), f"{I.shared_folder(spark)}/ids"
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("n_name", "n_nationkey")), False), lambda s: s["n_nationkey"])
+    nations.agg(F.to_json(F.struct(listed.alias("ecg_ids"))).alias("value")).write.text(path)  # one row a nation
+    return X.requested(nations, X.id_list(spark, path), "n_nationkey").select("ord", F.col("n_nationkey").cast(B.table(spark, d, "nation").schema["n_nationkey"].dataType).alias("n_nationkey"), "n_name")
+
+
+@query("""SELECT o_orderkey AS ecg_id, concat_ws(chr(10), 'Clinical report: ' || CASE WHEN o_orderstatus = 'F' THEN 'priority ' || o_orderpriority ELSE '(no usable free-text report; rely on the annotated findings below)' END,
+    'Annotated findings:', coalesce(s.lines, '  - none'), 'Recording properties:', '  Heart axis: ' || CASE o_orderkey % 3 WHEN 0 THEN 'LAD' WHEN 1 THEN 'MID' ELSE 'not annotated' END,
+    '  Infarction stadium: ' || CASE o_orderkey % 4 WHEN 0 THEN 'Stadium I, Stadium II' WHEN 1 THEN 'Stadium II' ELSE 'not annotated' END,
+    '  Signal quality: ' || CASE WHEN o_orderkey % 5 = 0 THEN 'static noise in leads V1; baseline drift in all leads' ELSE 'none annotated' END,
+    'Patient context: age ' || CASE WHEN o_custkey % 11 = 0 THEN 'not recorded' ELSE CAST(o_custkey % 90 AS VARCHAR) END || ', sex ' || CASE o_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'not recorded' END) AS block
+    FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('  - ' || p_name || ' [class: ' || coalesce(nullif(concat_ws(', ', CASE WHEN diagnostic THEN 'diagnostic' END, CASE WHEN form THEN 'form' END, CASE WHEN rhythm THEN 'rhythm' END), ''), 'unclassified')
+        || '; likelihood: ' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || ']', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS lines
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN codebook ON l_partkey = code GROUP BY l_orderkey) s ON s.l_orderkey = o_orderkey""")
+def input_blocks(spark, d):
+    key, patient = F.col("ecg_id"), F.col("patient")
+    more = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("ecg_id"), F.concat(F.lit("priority "), "o_orderpriority").alias("report"))
+    m = B.manifest(spark, d).join(more, "ecg_id")
+    stages = W.stadium(F.when(key % 4 == 0, " Stadium I").when(key % 4 == 1, "unknown"), F.when(key % 4 <= 1, "Stadium II").otherwise(" "))
+    noisy = lambda field, raw: T.quality_phrase(field, F.when(key % 5 == 0, raw))
+    block = W.input_block(
+        F.col("report"), F.col("validated"), F.col("statements"), F.when(key % 3 == 0, "LAD").when(key % 3 == 1, "MID"), stages, F.array_compact(F.array(noisy("static_noise", " , V1 "), noisy("baseline_drift", "alles"))),
+        F.when(patient % 11 != 0, (patient % 90).cast("double")), F.when(patient % 3 == 0, "male").when(patient % 3 == 1, "female"),
+    )
+    return m.select("ecg_id", block.alias("block"))
+
+
+_BANK = ["Is it there?", "Can it be seen?", "Does the tracing show it?"]
+
+
+@query(f"SELECT ecg_id, superclass, ({_BANK!r})[('0x' || substr(md5(ecg_id::VARCHAR || '_' || superclass), 1, 8))::BIGINT % 3 + 1] AS question FROM grid")
+def paraphrased_questions(spark, d):
+    return _grid(spark, d).select("ecg_id", "superclass", W.paraphrase(F.concat(F.col("ecg_id").cast("string"), F.lit("_"), "superclass"), _BANK).alias("question"))
+
+
+@query(rf""", {_REPORTS}, t AS (SELECT doc_id, lower(report) AS low, list_distinct(regexp_split_to_array(translate(lower(report), ',.', '  '), '[ \t\n\x0B\f\r]+')) AS w FROM reports)
+    SELECT doc_id, CASE WHEN trim(low) = '' THEN false WHEN list_has_any(w, {T.SWEDISH_SCORED!r}) THEN true WHEN regexp_matches(low, '[äöüß]') THEN false
+    ELSE len(list_intersect(w, {T.ENGLISH_SCORED!r})) > len(list_intersect(w, {T.GERMAN_SCORED!r})) END AS non_german FROM t""")
+def report_language_scored(spark, d):
+    return _reports(spark, d).select("doc_id", T.non_german_by_score(F.col("report")).alias("non_german"))
+
+
+@query()
+def covering_records(spark, d):
+    """Ten records that answer every class at least three times each way; greedy, no SQL form."""
+    return S.covering_records(_grid(spark, d), 10, 3, B.CLASSES)
+
+
+@query("""SELECT c AS condition, count(*) AS n, CASE WHEN c = 'b' THEN min(doc_id) FILTER (doc_id % 7 = 3 AND upper(lang) <> lang) END AS first_divergence
+    FROM documents CROSS JOIN (VALUES ('a'), ('b')) v(c) GROUP BY c""")
+def order_across_conditions(spark, d):
+    docs = B.table(spark, d, "documents").select("doc_id", "lang")
+    changed = docs.withColumn("lang", F.when(F.col("doc_id") % 7 == 3, F.upper("lang")).otherwise(F.col("lang")))
+    return G.first_divergence(docs.withColumn("condition", F.lit("a")).unionByName(changed.withColumn("condition", F.lit("b"))), "condition", "doc_id", "lang")
+
+
+@query("""SELECT superclass, round(quantile_cont(loss, 0.1)::DOUBLE, 6) AS p10, round(quantile_cont(loss, 0.3)::DOUBLE, 6) AS p30, round(quantile_cont(loss, 0.5)::DOUBLE, 6) AS p50, round(quantile_cont(loss, 0.7)::DOUBLE, 6) AS p70,
+    round(quantile_cont(loss, 0.9)::DOUBLE, 6) AS p90, round(max(loss), 6) AS max, count(*) FILTER (loss < 0.1) AS near_zero FROM evals GROUP BY superclass""")
+def loss_deciles(spark, d):
+    return E.loss_deciles(B.evaluations(spark, d), "superclass", 0.1)
+
+
+@query("""SELECT which, count(loss) AS n, round(avg(loss), 6) AS mean FROM (VALUES ('all'), ('yes'), ('no')) v(which) LEFT JOIN evals ON which = 'all' OR label = (which = 'yes') GROUP BY which""")
+def mean_by_label(spark, d):
+    return E.mean_by_label(B.evaluations(spark, d), "loss")
+
+
+@query("""SELECT label, round(avg(CASE WHEN label = 1 THEN 2 * ln(1 + exp(-x)) ELSE ln(1 + exp(x)) END), 6) AS weighted_loss FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY label""")
+def weighted_losses(spark, d):
+    loss = E.logistic_loss(F.get("embedding", F.lit(0)).cast("double"), (F.col("label") == 1).cast("double"), 2.0)
+    return B.table(spark, d, "embeddings").groupBy("label").agg(F.round(F.avg(loss), 6).alias("weighted_loss"))
+
+
+@query(""", x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), u AS (SELECT label, dim, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12) AS x FROM x),
+    s AS (SELECT label, dim, count(*) AS n, sum(x) AS s FROM u GROUP BY label, dim)
+    SELECT label, max(n) AS n, round(CASE WHEN max(n) > 1 THEN 1 - (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) END::DOUBLE, 4) AS mean_cosine_distance FROM s GROUP BY label""")
+def class_cosine_spread(spark, d):
+    return V.cosine_spread(B.table(spark, d, "embeddings"), "label")
+
+
+@query("""SELECT vec_id, CAST(k - 1 AS INTEGER) AS rank, CAST(dim - 1 AS INTEGER) AS dim, round(1 / (1 + exp(-x::DOUBLE)), 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, dim) AS k
+    FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)) WHERE k <= 5""")
+def top_dimensions(spark, d):
+    return V.top_dimensions(B.table(spark, d, "embeddings"), "vec_id", 5)
