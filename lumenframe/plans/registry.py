@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import prompts as W
+from lumenframe.functions import rewrite as Q
 from lumenframe.functions import text as T
 from lumenframe.operators import guards as G
 from lumenframe.operators import labels as L
@@ -497,3 +498,36 @@ def class_cosine_spread(spark, d):
     FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)) WHERE k <= 5""")
 def top_dimensions(spark, d):
     return V.top_dimensions(B.table(spark, d, "embeddings"), "vec_id", 5)
+
+
+#: Sentences of the test input, and what they must become; the rule that does it.
+_CITING = [
+    ("The report does not mention ST changes.", "The listed observations do not include ST changes.", "report_active"),
+    ("The report describes the rhythm as regular.", "The rhythm is regular.", "report_positive_as"),
+    ("Voltage criteria are not documented.", "Voltage criteria are not among the listed observations.", "passive_not_x"),
+    ("A block is noted.", "A block is among the listed observations.", "passive_positive"),
+    ("The axis is reported as left.", "The axis is left.", "characterisation_as"),
+    ("Evidence 1 shows sinus rhythm.", "Evidence 1 shows sinus rhythm.", ""),
+]
+
+
+def _quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _cited(spark, d):
+    k = F.array_position(F.array(*map(F.lit, B.CLASSES)), F.col("superclass"))
+    said = lambda i: F.element_at(F.array(*[F.lit(c[0]) for c in _CITING]), ((F.col("ecg_id") * 3 + k + i) % len(_CITING) + 1).cast("int"))
+    return Q.rewritten(_grid(spark, d).select("ecg_id", "superclass", F.concat(F.lit("Step 1: "), said(0), F.lit("\nStep 2: "), said(1)).alias("reasoning")), "reasoning")
+
+
+@query(f"""SELECT ecg_id, superclass, 'Step 1: ' || b[(ecg_id * 3 + k) % 6 + 1] || chr(10) || 'Step 2: ' || b[(ecg_id * 3 + k + 1) % 6 + 1] AS reasoning FROM (SELECT *, {_quoted(c[1] for c in _CITING)} AS b FROM grid)""")
+def reworded_reasoning(spark, d):
+    return _cited(spark, d).drop("rewrites")
+
+
+@query(f"""SELECT rule, count(*) AS rewrites FROM (SELECT unnest([r[(ecg_id * 3 + k) % 6 + 1], r[(ecg_id * 3 + k + 1) % 6 + 1]]) AS rule FROM (SELECT *, {_quoted(c[2] for c in _CITING)} AS r FROM grid)) WHERE rule <> '' GROUP BY rule""")
+def reword_counts(spark, d):
+    rules = [r[0] for r in Q.RULES]
+    totals = _cited(spark, d).agg(*[F.sum(F.col("rewrites")[r].cast("long")).alias(r) for r in rules])
+    return totals.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rewrites")) for r in rules])).alias("x")).select("x.*").where("rewrites > 0")
