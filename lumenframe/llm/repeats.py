@@ -17,6 +17,11 @@ among its own rows: a copy that comes later than another in the same task is
 covered at once, so a very frequent segment leaves a task at most once.  Names
 are 64-bit fingerprints beside a 64-bit seed: 128 bits decide equality.
 Sorted rows are read as a stream, so no group is held in memory.
+
+A place is (doc_id, start), and only a strictly smaller one is earlier.  What is
+found belongs to a text of a doc_id, not to the doc_id: beside it goes the
+text's key, a 64-bit hash.  Rows equal in both have the same places, so none of
+them covers another, and one finding serves them all.
 """
 
 from __future__ import annotations
@@ -26,16 +31,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import U, longs, mix, save, sliding_min, text_slices, windows
 from lumenframe.llm.sketch import BITS, repeated
 
-FOUND = "kind int, seed long, name long, doc long, start int, n int"
-_FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+FOUND = "kind int, seed long, name long, doc long, key long, start int, n int"
+_FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 COVERED, TO_RANK, FIRST = 0, 1, 2
+_RANKED = ("seed", "name", "doc", "key", "start", "n")
+_ORDER = ("seed", "name", "doc", "start", "key")
 _HOLD = 1_000_000
+KEY = "_text_key"
+
+
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
 
 
 @dataclass
@@ -50,17 +63,18 @@ class Sequence:
 
 @dataclass
 class Rows:
-    """Segments or windows: seed, name, document, first window (in the slice, and in the document) and number of windows."""
+    """Segments or windows: seed, name, document, key of its text, first window (in the slice, and in the document) and number of windows."""
 
     seed: np.ndarray
     name: np.ndarray
     doc: np.ndarray
+    key: np.ndarray
     at: np.ndarray
     start: np.ndarray
     n: np.ndarray
 
     def take(self, which: np.ndarray) -> Rows:
-        return Rows(self.seed[which], self.name[which], self.doc[which], self.at[which], self.start[which], self.n[which])
+        return Rows(self.seed[which], self.name[which], self.doc[which], self.key[which], self.at[which], self.start[which], self.n[which])
 
     def place(self) -> np.ndarray:
         """Names of these segments at just these places."""
@@ -72,21 +86,21 @@ def each_window(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def batch_of(kind: int, seed, name, doc, start, n) -> pa.RecordBatch:
-    arrays = [np.full(len(doc), kind, np.int32), seed.view(np.int64), name.view(np.int64), doc.astype(np.int64), start.astype(np.int32), n.astype(np.int32)]
+def batch_of(kind: int, seed, name, doc, key, start, n) -> pa.RecordBatch:
+    arrays = [np.full(len(doc), kind, np.int32), seed.view(np.int64), name.view(np.int64), doc.astype(np.int64), key.astype(np.int64), start.astype(np.int32), n.astype(np.int32)]
     return pa.record_batch([pa.array(a) for a in arrays], schema=_FOUND)
 
 
-def covered_batch(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def covered_batch(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Covered windows, runs that touch made one."""
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order], n[order]
+    order = np.lexsort((start, key, doc))
+    doc, key, start, n = doc[order], key[order], start[order], n[order]
     end = start + n
-    new = np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (start[1:] != end[:-1])])
+    new = np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] != end[:-1])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
     nothing = np.zeros(len(first), np.int64)
-    return batch_of(COVERED, nothing, nothing, doc[first], start[first], (end[last] - start[first]) if len(first) else n)
+    return batch_of(COVERED, nothing, nothing, doc[first], key[first], start[first], (end[last] - start[first]) if len(first) else n)
 
 
 @dataclass
@@ -106,48 +120,63 @@ class Local:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        seed, name, doc, start, n = (np.concatenate([getattr(r, c) for r in self.held]) for c in ("seed", "name", "doc", "start", "n"))
+        t = {c: np.concatenate([getattr(r, c) for r in self.held]) for c in _RANKED}
         self.held, self.size = [], 0
-        order = np.lexsort((start, doc, name, seed))
-        seed, name, doc, start, n = seed[order], name[order], doc[order], start[order], n[order]
-        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (name[1:] != name[:-1])])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        later = ~new if self.same_doc else doc > doc[head]
-        yield covered_batch(doc[later], start[later], n[later])
-        yield batch_of(TO_RANK, seed[~later], name[~later], doc[~later], start[~later], n[~later])
+        order = np.lexsort(tuple(t[c] for c in reversed(_ORDER)))
+        t = {c: v[order] for c, v in t.items()}
+        t, _ = _without_copies(t, None)
+        later = _groups(t, None, self.same_doc)[3]
+        yield covered_batch(*(t[c][later] for c in ("doc", "key", "start", "n")))
+        yield batch_of(TO_RANK, *(t[c][~later] for c in _RANKED))
+
+
+def _without_copies(t: dict[str, np.ndarray], last: tuple | None) -> tuple[dict[str, np.ndarray], tuple | None]:
+    """Sorted rows that go on from `last`, each place in each text once."""
+    if not len(t["seed"]):
+        return t, last
+    new = np.zeros(len(t["seed"]), bool)
+    for k, c in enumerate(_ORDER):
+        new[1:] |= t[c][1:] != t[c][:-1]
+        new[0] |= last is None or t[c][0] != last[k]
+    last = tuple(t[c][-1] for c in _ORDER)
+    return (t if new.all() else {c: v[new] for c, v in t.items()}), last
 
 
 def _groups(t: dict[str, np.ndarray], before: tuple | None, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """For sorted rows that go on from `before` (seed, name, first doc): where seeds and names begin, and what comes later than the first."""
-    seed, name, doc = t["seed"], t["name"], t["doc"]
+    """For sorted rows that go on from `before` (seed, name, first doc, first start): where seeds and names begin, and what comes later than the first."""
+    seed, name, doc, start = t["seed"], t["name"], t["doc"], t["start"]
     old_seed = before is not None and seed[0] == before[0]
     new_seed = np.concatenate([[not old_seed], seed[1:] != seed[:-1]])
     new = new_seed | np.concatenate([[not (old_seed and name[0] == before[1])], name[1:] != name[:-1]])
     head = np.maximum.accumulate(np.where(new, np.arange(len(seed)), -1))
     first_doc = np.where(head >= 0, doc[head], before[2] if before else 0)
-    return new_seed, new, head, (~new if same_doc else doc > first_doc), (seed[-1], name[-1], first_doc[-1])
+    first_start = np.where(head >= 0, start[head], before[3] if before else 0)
+    later = doc > first_doc
+    if same_doc:
+        later |= start > first_start  # equal places, in rows of one doc_id, aren't later
+    return new_seed, new, head, later, (seed[-1], name[-1], first_doc[-1], first_start[-1])
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {c: longs(batch, c) for c in ("kind", "seed", "name", "doc", "start", "n")}
+    return {c: longs(batch, c) for c in ("kind", *_RANKED)}
 
 
 def settle_segments(same_doc: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For segments sorted by (seed, name, doc, start): those covered, and the FIRST of each where a seed has several."""
 
     def run(batches):
-        before, several, held = None, False, []  # held: firsts of a seed that has shown one name so far
+        before, last, several, held = None, None, False, []  # held: firsts of a seed that has shown one name so far
         for batch in batches:
             t = _columns(batch)
             ready = t["kind"] == COVERED
             if ready.any():
-                yield covered_batch(t["doc"][ready], t["start"][ready], t["n"][ready])
-            t = {c: v[~ready] for c, v in t.items()}
+                yield covered_batch(*(t[c][ready] for c in ("doc", "key", "start", "n")))
+            t, last = _without_copies({c: v[~ready] for c, v in t.items()}, last)
             if not len(t["seed"]):
                 continue
             new_seed, new, _, later, before = _groups(t, before, same_doc)
             if later.any():
-                yield covered_batch(t["doc"][later], t["start"][later], t["n"][later])
+                yield covered_batch(*(t[c][later] for c in ("doc", "key", "start", "n")))
             group = np.cumsum(new_seed)  # 0: the seed of the rows before
             many = np.zeros(group[-1] + 1, bool)
             many[group[new & ~new_seed]] = True
@@ -156,8 +185,10 @@ def settle_segments(same_doc: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 yield from held
             if many[0] or group[-1]:
                 held = []
-            now, waits = ~later & many[group], ~later & ~many[group] & (group == group[-1])
-            pick = lambda w: batch_of(FIRST, *(t[c][w] for c in ("seed", "name", "doc", "start", "n")))  # noqa: B023, E731
+            first = ~later
+            first[1:] &= new[1:] | (t["doc"][1:] != t["doc"][:-1]) | (t["start"][1:] != t["start"][:-1])  # a place once, whatever its texts
+            now, waits = first & many[group], first & ~many[group] & (group == group[-1])
+            pick = lambda w: batch_of(FIRST, *(t[c][w] for c in _RANKED))  # noqa: B023, E731
             if now.any():
                 yield pick(now)
             if waits.any():
@@ -171,17 +202,17 @@ def settle_windows(same_doc: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
     """For windows sorted by (seed, name, doc, start): those that also stand earlier."""
 
     def run(batches):
-        before = None
+        before, last = None, None
         for batch in batches:
             t = _columns(batch)
             ready = t["kind"] == COVERED
             if ready.any():
-                yield covered_batch(t["doc"][ready], t["start"][ready], t["n"][ready])
-            t = {c: v[~ready] for c, v in t.items()}
+                yield covered_batch(*(t[c][ready] for c in ("doc", "key", "start", "n")))
+            t, last = _without_copies({c: v[~ready] for c, v in t.items()}, last)
             if len(t["seed"]):
                 _, _, _, later, before = _groups(t, before, same_doc)
                 if later.any():
-                    yield covered_batch(t["doc"][later], t["start"][later], t["n"][later])
+                    yield covered_batch(*(t[c][later] for c in ("doc", "key", "start", "n")))
 
     return run
 
@@ -196,10 +227,10 @@ class Search:
     same_doc: bool
     bits: int = BITS
 
-    def segments(self, seq: Sequence, docs: np.ndarray) -> Rows:
+    def segments(self, seq: Sequence, docs: np.ndarray, keys: np.ndarray) -> Rows:
         starts = windows(seq.size, seq.bounds, self.n)
         if not len(starts):
-            return Rows(np.zeros(0, U), np.zeros(0, U), docs[:0], starts, starts, starts)
+            return Rows(np.zeros(0, U), np.zeros(0, U), docs[:0], keys[:0], starts, starts, starts)
         least = sliding_min(seq.runs(self.k), self.n - self.k + 1)[starts]
         new = np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)])
         first = np.flatnonzero(new)
@@ -207,7 +238,7 @@ class Search:
         if self.same_doc:
             seed, at, count = self.split_inner_repeats(seq, seed, at, count)
         row = np.searchsorted(seq.bounds, at, "right") - 1
-        return Rows(seed, seq.name(at, at + count + self.n - 1), docs[row], at, at - seq.bounds[row], count)
+        return Rows(seed, seq.name(at, at + count + self.n - 1), docs[row], keys[row], at, at - seq.bounds[row], count)
 
     def split_inner_repeats(self, seq: Sequence, seed: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segments that hold one window twice become segments of one window each."""
@@ -226,13 +257,13 @@ class Search:
     def open(self, seq: Sequence, r: Rows) -> Rows:
         at = each_window(r.at, r.n)
         start = each_window(r.start, r.n)
-        return Rows(np.repeat(r.seed, r.n), seq.name(at, at + self.n), np.repeat(r.doc, r.n), at, start, np.ones(len(at), np.int64))
+        return Rows(np.repeat(r.seed, r.n), seq.name(at, at + self.n), np.repeat(r.doc, r.n), np.repeat(r.key, r.n), at, start, np.ones(len(at), np.int64))
 
     def scan(self, batch: pa.RecordBatch) -> Iterator[tuple[Sequence, Rows]]:
-        docs = longs(batch, "doc_id")
+        docs, keys = longs(batch, "doc_id"), longs(batch, KEY)
         for i, j, data, offsets in text_slices(batch):
             seq = self.sequence(data, offsets)
-            rows = self.segments(seq, docs[i:j])
+            rows = self.segments(seq, docs[i:j], keys[i:j])
             if len(rows.doc):
                 yield seq, rows
 
@@ -253,10 +284,11 @@ class Search:
     def ranked(self, found: DataFrame, settle: Callable, *key: str) -> DataFrame:
         # what is covered already goes anywhere: only what is still to be compared meets by its key
         dealt = F.when(F.col("kind") == COVERED, F.xxhash64("doc")).otherwise(F.xxhash64(*key))
-        return found.repartition(dealt).sortWithinPartitions("seed", "name", "doc", "start").mapInArrow(settle(self.same_doc), FOUND)
+        return found.repartition(dealt).sortWithinPartitions(*_ORDER).mapInArrow(settle(self.same_doc), FOUND)
 
     def covered(self, docs: DataFrame) -> DataFrame:
-        """(doc, start, n): windows start .. start+n-1 of doc also start earlier. docs: doc_id (not null) and text."""
+        """(doc, key, start, n): windows start .. start+n-1 of doc's text of this key also start earlier. docs: doc_id (not null) and text."""
+        docs = docs.withColumn(KEY, text_key())
         seeds = repeated(docs, lambda batch: (rows.seed for _, rows in self.scan(batch)), self.bits)
 
         def candidates(seq: Sequence, rows: Rows) -> Rows:
@@ -266,7 +298,7 @@ class Search:
 
         def places(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             t = _columns(batch)
-            place = Rows(t["seed"], t["name"], t["doc"], t["start"], t["start"], t["n"]).place()
+            place = Rows(t["seed"], t["name"], t["doc"], t["key"], t["start"], t["start"], t["n"]).place()
             yield np.concatenate([place, place])  # to be in the sketch is to be seen twice
 
         firsts = repeated(ranks.where(F.col("kind") == FIRST), places, self.bits - 2)
@@ -287,7 +319,7 @@ class Search:
             return w.take(names(w.name ^ mix(w.seed)))
 
         again = self.ranked(self.found(docs, repeated_windows), settle_windows, "seed", "name")
-        return ranks.where(F.col("kind") == COVERED).select("doc", "start", "n").unionAll(again.select("doc", "start", "n"))
+        return ranks.where(F.col("kind") == COVERED).select("doc", "key", "start", "n").unionAll(again.select("doc", "key", "start", "n"))
 
 
 def covered_mask(size: int, n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -303,6 +335,6 @@ RUN_STARTS, RUN_COUNTS = "_covered_starts", "_covered_counts"
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs and, for each, lists of where its covered runs start and how many windows they have."""
-    lists = runs.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n")).alias("_covered"))
-    joined = docs.join(lists, "doc_id", "left")
+    lists = runs.groupBy(F.col("doc").alias("doc_id"), F.col("key").alias(KEY)).agg(F.collect_set(F.struct("start", "n")).alias("_covered"))
+    joined = docs.withColumn(KEY, text_key()).join(lists, ["doc_id", KEY], "left")
     return joined.select(*docs.columns, F.col("_covered.start").alias(RUN_STARTS), F.col("_covered.n").alias(RUN_COUNTS))

@@ -13,8 +13,10 @@ window goes; windows are judged on the input.
 
 Null or empty text: no words.  Texts shorter than a window: kept.  Null
 doc_ids can't be ordered and are an error of the input: such rows are
-returned with nothing removed.  Repeated doc_ids: windows of both rows count
-as one document's.  Extra columns are ignored.
+returned with nothing removed.  Repeated doc_ids: windows of all their rows count
+as one document's, each at its start in its own row; equal starts aren't
+earlier, so a repeated row never loses text to its copy, and what is found in
+one text is removed from that text only.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def word_sequence(data: np.ndarray, offsets: np.ndarray) -> repeats.Sequence:
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, bits: int = BITS) -> DataFrame:
-    """(doc, start, n): runs of windows, by word, that also start earlier."""
+    """(doc, key, start, n): runs of windows, by word, that also start earlier."""
     return repeats.Search(word_sequence, window, min(seed, window), True, bits).covered(docs)
 
 

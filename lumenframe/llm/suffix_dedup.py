@@ -17,7 +17,8 @@ doc_id; matches stay within documents and are judged on the input.
 
 Null or empty text: no bytes.  A removed run may split a character, so what is
 left is returned as bytes.  Extra columns are ignored.  Rows without doc_id
-keep all their bytes.
+keep all their bytes.  Where a doc_id has several texts, what is found in one is
+removed from that one only.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def byte_sequence(data: np.ndarray, offsets: np.ndarray) -> repeats.Sequence:
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST, bits: int = BITS) -> DataFrame:
-    """(doc, start, n): runs of strings, by byte, that also start in a smaller doc."""
+    """(doc, key, start, n): runs of strings, by byte, that also start in a smaller doc."""
     return repeats.Search(byte_sequence, length, min(first, length), False, bits).covered(docs)
 
 

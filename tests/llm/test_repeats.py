@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lumenframe.llm.substring_dedup import dedup_words
+from lumenframe.llm.substring_dedup import dedup_words, remove_repeats
 from lumenframe.llm.suffix_dedup import dedup_bytes
 
 
@@ -66,3 +66,43 @@ def test_empty_and_clashing_columns(spark):
     assert dedup_words(empty).count() == dedup_bytes(empty).count() == 0
     clash = spark.createDataFrame([(1, "a b", 3, 4), (None, None, 1, 1)], "doc_id long, text string, start int, runs int")
     assert dedup_words(clash).count() == dedup_bytes(clash).count() == 2
+
+
+def brute_rows(rows, n, same_doc):
+    """What is left of each row, where rows may share doc_ids; only a strictly smaller (doc_id, start), or doc_id, is earlier."""
+    first = {}
+    place = (lambda d, i: (d, i)) if same_doc else (lambda d, i: d)
+    for d, s in rows:
+        for i in range(len(s) - n + 1):
+            k = tuple(s[i : i + n])
+            first[k] = min(first.get(k, place(d, i)), place(d, i))
+    out = []
+    for d, s in rows:
+        gone = {j for i in range(len(s) - n + 1) if first[tuple(s[i : i + n])] < place(d, i) for j in range(i, i + n)}
+        out.append((d, len(gone), [x for i, x in enumerate(s) if i not in gone]))
+    return out
+
+
+def repeated_rows(seed):
+    r = random.Random(seed)
+    docs = [(d, t) for d, t in corpus(seed) if t]
+    docs += [docs[0]] + [docs[-1]] * 3 + docs[5:15]  # the same rows again
+    docs += [(d, " ".join(r.sample([docs[k][1], docs[k + 1][1], "x y z"], 3))) for k, (d, _) in enumerate(docs[10:30])]  # other texts of the same doc_id
+    return docs + [(200, "only " + " ".join(map(str, range(30))))] * 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("parts", [1, 7])
+def test_rows_that_share_a_doc_id(spark, seed, parts):
+    docs = repeated_rows(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    want = sorted((d, g, hashlib.sha256(b" ".join(x)).hexdigest()) for d, g, x in brute_rows([(d, t.encode().split()) for d, t in docs], 20, True))
+    assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in dedup_words(df, bits=16).collect()) == want
+    want = sorted((d, g, hashlib.sha256(bytes(x)).hexdigest()) for d, g, x in brute_rows([(d, t.encode()) for d, t in docs], 50, False))
+    assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in dedup_bytes(df, bits=16).collect()) == want
+
+
+def test_a_repeated_row_keeps_its_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    left = remove_repeats(spark.createDataFrame([(1, text), (1, text), (2, "a " + text)], "doc_id long, text string"), bits=16).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, text), (1, text), (2, "a")]
