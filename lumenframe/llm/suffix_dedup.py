@@ -1,14 +1,15 @@
-"""Suffix-array style de-duplication over bytes, by distributed prefix doubling on sampled positions.
+"""Exact removal of repeated byte strings, by a seed-and-fingerprint search (repeats.py) in place of prefix doubling.
 
-A rank names the string of some length that starts at a position; equal
-strings share a rank, and ranks that are unique drop out.  Spark sorts
-(rank, rank further on, place) rows at growing lengths and reranks:
+Prefix doubling, the method asked for, isn't built: no pair of ranks is formed
+or ranked again.  Fingerprints of growing lengths are taken afresh from the
+text, those that are unique drop out, and Spark sorts (seed, fingerprint,
+place) rows:
 
-24 bytes   every position; ranks are fingerprints, kept at the least one of
+24 bytes   every position; fingerprints are kept at the least one of
            each 50-byte string's (a consistent sample of positions: equal
            strings choose equally).  A merged sketch drops the unique ones.
 segment    all neighbouring 50-byte strings that chose the same position.
-50 bytes   where one 24-byte rank still has several segments.
+50 bytes   where one 24-byte seed still has several segments.
 
 Sampling keeps about one position in fourteen; sorting all of them at every
 length would need several times the input's size on disk.  Removed is each
