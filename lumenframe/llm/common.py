@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 17  # arrays of eight bytes for each of these fit a core's cache
 U = np.uint64
@@ -20,14 +21,18 @@ _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, the checkpoint folder already set, or, with a local master only, one of our own."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         set_already = sc._jsc.sc().getCheckpointDir()
-        shared = set_already.get() if set_already.isDefined() else "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        if not set_already.isDefined():
+        if set_already.isDefined():
+            shared = set_already.get()
+        elif sc.master.split("[")[0] == "local":
+            shared = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
             sc.setCheckpointDir(shared)
+        else:
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     return shared.rstrip("/") + "/lumenframe"
 
 
@@ -39,6 +44,24 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT, SPREAD = 100_000, 64
+
+
+def join_unique(table: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", hot: int | None = None) -> DataFrame:
+    """table joined with `other`, which has each key at most once; a key may be in a third of table's rows.
+
+    Rows of a hot key are dealt over SPREAD tasks by their other columns, and the one row of `other` is copied to each.
+    There are at most (rows of table) / HOT such keys, so what is broadcast is small beside the table.
+    """
+    hot_keys = table.groupBy(*keys).count().where(F.col("count") > (HOT if hot is None else hot)).select(*keys, F.lit(True).alias("_hot"))
+    others = [c for c in table.columns if c not in keys]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(others or keys)), F.lit(SPREAD))).otherwise(0).cast("int")
+    dealt = table.join(F.broadcast(hot_keys), keys, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    copied = other.join(F.broadcast(hot_keys), keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every scratch table. Call it once the results that read them are written."""
     jvm = spark.sparkContext._jvm

@@ -1,33 +1,49 @@
-"""Connected components of an edge table, by contraction in rounds."""
+"""Connected components of an edge table, by contraction in rounds with pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import save
+from lumenframe.llm.common import join_unique, save
+
+def _follow(table: DataFrame, key: str, pointers: DataFrame, goes: str) -> DataFrame:
+    """table with a column `goes`: where its node in `key` points (pointers: u, to). A hub may be in a third of all rows."""
+    return join_unique(table, pointers.select(F.col("u").alias(key), F.col("to").alias(goes)), [key])
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """(u, to) with every pointer at the root of its tree: a pointer takes over its target's until none changes."""
+    while True:
+        jumped = _follow(pointers, "to", pointers, "further").select("u", F.col("further").alias("to"), (F.col("to") != F.col("further")).alias("moved"))
+        jumped = save(jumped, "pointers")
+        pointers = jumped.select("u", "to")
+        if jumped.where("moved").isEmpty():
+            return pointers
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable by edges (a, b); only nodes with an edge to another have a row.
 
-    In each round every node goes to its least neighbour or itself and edges
-    follow, so at least half of the nodes vanish; nothing but the count of
-    edges reaches the driver, and no neighbourhood is gathered.
+    In each round every node points to the least of its neighbours' least neighbours, itself being one of them.  Pointers
+    go to smaller nodes only, so they form trees; pointer jumping takes them to the roots, halving depths, and edges
+    follow.  All neighbours of a root have it as their least neighbour, so each root has a neighbour that no other root
+    has and that is none itself: at least half of the nodes that still have edges vanish.  That makes O(log n) rounds of
+    O(log depth) jumps, for a path of n nodes too.  Each step is written and read back, so plans stay short and a
+    lost executor costs one step; only whether a table is empty reaches the driver, and no neighbourhood is gathered.
+    Null ends have no edge.  No edges: no rows.
     """
     edges = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    rounds = []
+    label = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
         least = save(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), "least")
-        rounds.append(least)
-        at_a, at_b = least.toDF("a", "to_a"), least.toDF("b", "to_b")
-        moved = edges.join(at_a, "a").join(at_b, "b").where("to_a <> to_b")
+        least = _roots(save(_follow(both, "v", least, "far").groupBy("u").agg(F.min("far").alias("to")), "pointers"))
+        if label is None:
+            label = least.toDF("node", "component")
+        else:  # a component without edges left keeps its label
+            still = least.unionAll(label.select("component").distinct().join(least.select(F.col("u").alias("component")), "component", "left_anti").select("component", F.col("component").alias("to")))
+            label = save(_follow(label, "component", still, "further").select("node", F.col("further").alias("component")), "labels")
+        moved = _follow(_follow(edges, "a", least, "to_a"), "b", least, "to_b").where("to_a <> to_b")
         edges = save(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
-    if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    label = rounds[-1].toDF("node", "component")
-    for least in reversed(rounds[:-1]):
-        step = least.toDF("node", "to").join(label.toDF("to", "further"), "to", "left")
-        label = step.select("node", F.coalesce("further", "to").alias("component"))
-    return label
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if label is None else label

@@ -8,39 +8,48 @@ least percent / 100.
 2. Shingles have one global order: unique first, then repeated, then frequent
    (by a merged sketch, so that any task orders alike), then by fingerprint.
    Linked sets share one of the first |s| - ceil(percent * |s| / 100) + 1
-   shingles of each; unique ones can't be it and aren't sent.  Documents under
-   one such shingle whose sizes allow a link are tied to the least of them.
-3. Components of these ties hold every link, so only they are joined.  Large
-   ones are dealt in blocks of bounded size, and pairs of blocks (those whose
-   sizes allow links) go to tasks.
+   shingles of each; unique ones can't be it and aren't sent.  Sizes fall into
+   bands so wide that linked sets are in one band or in neighbouring ones: sets
+   with a prefix shingle in common are tied to the least of their band, and
+   that one to the least of the next band.
+3. Components of these ties hold every link.  One of at most BLOCK shingles is
+   joined by one task.  In a larger one, first each set meets its leader (the
+   least it is tied to) and other sets of that leader, in blocks: near copies
+   are connected by this already.  Then only prefix shingles whose sets are not
+   all connected remain; the sets of each are joined by blocks and pairs of
+   blocks, those of equal members once.  So work follows candidates, and a
+   large group of near copies costs what it has rows, not its pairs.
 4. A task stores one block's sets in a trie, the commonest shingles first, so
    that sets share paths.  Each set of the other block walks down: the overlap
    with a path is counted once for all sets below it; a subtree ends where the
    overlap, with what is left of the path and of the walking set, can't reach
-   the bound, or where all sets below are already in the walker's component.
+   the bound, or where all sets below are already connected with the walker.
    Only links that join two components are returned, so a group of copies
    gives as many rows as copies, never all pairs.
 
 Null and wordless texts: an empty set, linked with nothing.  Rows without
-doc_id: in no component (null).  Rows that repeat a doc_id are one document in
-the links.  Extra columns are ignored.
+doc_id: in no component (null).  Rows that share a doc_id are one document in
+the links: each row has its own set and n_shingles, and all of them are in the
+one component that their sets' links reach.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import LOWER, SPACE, U, WORDS, longs, mix, own_columns, prefix_sums, save, spans, text_slices, windows, word_bounds, word_hashes
+from lumenframe.llm.common import LOWER, SPACE, U, WORDS, join_unique, longs, mix, own_columns, prefix_sums, save, spans, text_slices, windows, word_bounds, word_hashes
 from lumenframe.llm.components import components
 from lumenframe.llm.repeats import each_window
 from lumenframe.llm.sketch import BITS, counted, members
 
-WORDS_PER_SHINGLE, PERCENT, FREQUENT, BLOCK_SHINGLES = 4, 85, 32, 400_000
+WORDS_PER_SHINGLE, PERCENT, FREQUENT = 4, 85, 32
+BLOCK, PER_SET = 400_000, 100  # shingles in a block, each set counting as so many more
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +92,7 @@ def set_classes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """(token, doc, n): the shingles of each set's prefix that may be in another set."""
+    """(token, doc, one, n): the shingles of each set's prefix that may be in another set; one: the set's fingerprint."""
 
     def every(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in text_slices(batch):
@@ -105,18 +114,24 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
                 prefix = size - -(-percent * size // 100) + 1
                 sent = order[place < prefix[row]]
                 sent = sent[rank[sent] > 0]
-                yield pa.record_batch([pa.array(values[sent].view(np.int64)), pa.array(ids[i:j][row[sent]]), pa.array(size[row[sent]])], names=["token", "doc", "n"])
+                one = _sums(mix(values), bounds).view(np.int64)
+                yield pa.record_batch([pa.array(values[sent].view(np.int64)), pa.array(ids[i:j][row[sent]]), pa.array(one[row[sent]]), pa.array(size[row[sent]])], names=["token", "doc", "one", "n"])
 
-    return docs.mapInArrow(run, "token long, doc long, n long")
+    return docs.mapInArrow(run, "token long, doc long, one long, n long")
+
+
+def band(n: str, percent: int) -> Column:
+    """Sizes of linked sets are in one band or in neighbouring ones (the factor is beyond rounding)."""
+    return F.floor(F.ln(F.col(n)) / (1.0001 * max(math.log(100 / percent), 1e-3)))
 
 
 def ties(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): b shares a token with a, the least document of a run of sizes that may link."""
-    by_size = Window.partitionBy("token").orderBy("n", "doc")
-    gap = F.when(percent * F.col("n") > 100 * F.lag("n").over(by_size), 1).otherwise(0)
-    runs = rows.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.min("doc").over(Window.partitionBy("token", "run"))
-    return runs.withColumn("a", head).where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+    """(a, b): b has a prefix shingle in common with a, the least document of its band or of the band before. rows: token, band, doc, n."""
+    leaders = save(rows.groupBy("token", "band").agg(F.min("doc").alias("a"), F.max("doc").alias("last"), F.min("n").alias("least"), F.max("n").alias("most")), "leaders")
+    members = join_unique(rows.select("token", "band", "doc"), leaders.where("a < last").select("token", "band", "a"), ["token", "band"])
+    before = leaders.select("token", (F.col("band") + 1).alias("band"), F.col("a").alias("lower"), F.col("most").alias("lower_most"))
+    steps = leaders.join(before, ["token", "band"]).where(f"{percent} * least <= 100 * lower_most").select(F.col("lower").alias("a"), F.col("a").alias("b"))
+    return members.select("a", F.col("doc").alias("b")).unionAll(steps).where("a <> b").distinct()
 
 
 # --- the trie -------------------------------------------------------------------------------------------------
@@ -174,10 +189,8 @@ class Trie:
         self.ending = np.argsort(self.node_of, kind="stable")
         self.ending_start = np.searchsorted(self.node_of[self.ending], np.arange(len(t) + 1))
 
-    def linked(self, path: np.ndarray, size: int, other: np.ndarray, percent: int, vocabulary: int) -> np.ndarray:
-        """Sets that link with the given one, of those marked in other (by number of the set)."""
-        mark = np.zeros(vocabulary, bool)
-        mark[path] = True
+    def linked(self, path: np.ndarray, size: int, other: np.ndarray, percent: int, mark: np.ndarray) -> np.ndarray:
+        """Sets that link with the given one, of those marked in other (by number of the set); mark: the shingles of path."""
         open_leaves = np.concatenate([[0], np.cumsum(other[self.order])])
         nodes, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
         while len(nodes):
@@ -200,8 +213,22 @@ class Trie:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def forest(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, walking: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between sets that join all linked of them: stored ones are in the trie, walking ones go through it."""
+class Groups:
+    """Which sets are connected, by numbers that merge."""
+
+    def __init__(self, of: np.ndarray):
+        self.of = of.copy()
+        self.members = {int(g): np.flatnonzero(of == g) for g in np.unique(of)} if len(np.unique(of)) < len(of) else {int(g): np.array([i]) for i, g in enumerate(of)}
+
+    def merge(self, a: int, b: int) -> None:
+        small, large = sorted((a, b), key=lambda g: len(self.members[g]))
+        moved = self.members.pop(small)
+        self.of[moved] = large
+        self.members[large] = np.concatenate([self.members[large], moved])
+
+
+def forest(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, walking: np.ndarray, percent: int, connected: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets that join all linked of them: stored ones are in the trie, walking ones go through it; connected: groups to begin with."""
     values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U), np.zeros(0))
     by_count = np.lexsort((values, -counts))
     rank = np.empty(len(values), np.int64)
@@ -212,44 +239,79 @@ def forest(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], stored:
         at = np.searchsorted(values, s)
         paths.append(np.sort(rank[at[shared[at]]]))
     trie = Trie([paths[i] for i in stored], sizes[stored])
-    component, links = np.arange(len(docs)), []
+    groups, links = Groups(np.unique(docs if connected is None else connected, return_inverse=True)[1]), []
+    mark = np.zeros(max(1, len(values)), bool)
     for w in walking:
-        other = component[stored] != component[w]
+        other = groups.of[stored] != groups.of[w]
         if not other.any():
             continue
-        for y in stored[trie.linked(paths[w], int(sizes[w]), other, percent, max(1, len(values)))]:
-            if component[y] != component[w]:
-                component[component == component[y]] = component[w]
+        mark[paths[w]] = True
+        for y in stored[trie.linked(paths[w], int(sizes[w]), other, percent, mark)]:
+            if groups.of[y] != groups.of[w]:
+                groups.merge(int(groups.of[y]), int(groups.of[w]))
                 links.append((int(docs[w]), int(docs[y])))
+        mark[paths[w]] = False
     return links
 
 
 def block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (component, low, high, side, doc, n, tokens): a task joins the sets of two blocks, or of one (side 0)."""
+    """(a, b) from rows (task, low, high, side, doc, n, connected, tokens): a task joins the sets of two blocks, or of one (side 0)."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, sizes = table["doc"].to_numpy(), table["n"].to_numpy()
+        table = table.sort_by([("doc", "ascending"), ("n", "ascending")])
+        docs, sizes, connected = (table[c].to_numpy() for c in ("doc", "n", "connected"))
         side = table["side"].to_numpy()
         tokens = [np.frombuffer(x, U) for x in table["tokens"].to_pylist()]
         own = np.flatnonzero(side == 0)
         walking = np.flatnonzero(side == 1)
-        links = forest(docs, sizes, tokens, own, walking if len(walking) else own, percent)
+        links = forest(docs, sizes, tokens, own, walking if len(walking) else own, percent, connected)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return sets.groupBy("component", "low", "high").applyInArrow(run, "a long, b long")
+    return sets.groupBy("task", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """(a, b): links between class representatives that join all linked classes; classes: (rep, n)."""
-    tied = components(ties(prefix_rows(docs, n, percent, bits).join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi"), percent))
-    inside = tied.select(F.col("node").alias("doc"), "component").join(classes.toDF("doc", "n"), "doc")
-    running = F.sum("n").over(Window.partitionBy("component").orderBy("n", "doc").rowsBetween(Window.unboundedPreceding, 0))
-    inside = save(inside.withColumn("block", F.floor(running / BLOCK_SHINGLES)), "candidates")
-    blocks = inside.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    low, high = blocks.toDF("component", "low", "low_least", "low_most"), blocks.toDF("component", "high", "high_least", "high_most")
-    pairs = low.join(high, "component").where(f"low <= high AND {percent} * high_least <= 100 * low_most").select("component", "low", "high")
-    stored = pairs.select("component", "low", "high", F.col("low").alias("block"), F.lit(0).alias("side"))
-    walking = pairs.where("low < high").select("component", "low", "high", F.col("high").alias("block"), F.lit(1).alias("side"))
+def _parts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and `parts`: in how many blocks of about BLOCK shingles the sets of each key fit."""
+    return rows.groupBy(*keys).agg(F.ceil(F.sum(F.col("n") + PER_SET) / BLOCK).cast("int").alias("parts"))
+
+
+def _part(rows: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the block of each set, by its hash."""
+    return join_unique(rows, parts, keys).withColumn("part", F.pmod(F.xxhash64("doc", "one"), F.col("parts")).cast("int"))
+
+
+def _leader_blocks(inside: DataFrame, tied: DataFrame) -> DataFrame:
+    """Each set of a large component with its leader and others of that leader: (doc, one, n, connected, task, low, high, side)."""
+    leaders = tied.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("task"))
+    led = join_unique(inside, leaders, ["doc"], "left").withColumn("task", F.coalesce("task", "doc"))
+    parts = save(_parts(led, ["task"]), "parts")
+    own = _part(led, parts, ["task"]).select("doc", "one", "n", "task", F.col("part").alias("low"))
+    heads = inside.join(parts, inside["doc"] == parts["task"]).select("doc", "one", "n", "task", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"))
+    return own.unionAll(heads).distinct().select("doc", "one", "n", F.col("doc").alias("connected"), "task", F.struct(F.lit(0).alias("band"), F.col("low").alias("part")).alias("low"), F.lit(0).alias("side"))
+
+
+def _shingle_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Sets under prefix shingles whose sets aren't all connected, by pairs of blocks. rows: token, band, doc, one, n, connected."""
+    signed = rows.groupBy("token").agg(
+        F.min("connected").alias("c"), F.max("connected").alias("d"), F.count("*").alias("m"), F.sum(F.xxhash64("doc", "one") % (1 << 40)).alias("x"), F.sum(F.xxhash64("one", "doc") % (1 << 40)).alias("y")
+    )
+    open_tokens = signed.where("c < d").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")  # shingles of equal sets do once
+    rows = save(join_unique(rows, open_tokens, ["token"]), "open")
+    parts = save(_parts(rows, ["token", "band"]), "parts")
+    rows = save(_part(rows, parts, ["token", "band"]), "open-parts")
+    blocks = rows.groupBy("token", "band", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    name = F.struct("band", "part")
+    low = blocks.select("token", name.alias("low"), F.col("most").alias("low_most"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    high = blocks.select("token", name.alias("high"), F.col("least").alias("high_least"), "band")
+    pairs = low.join(high, ["token", "band"]).where(f"low <= high AND {percent} * high_least <= 100 * low_most").select("token", "low", "high")
+    stored = pairs.select("token", "low", "high", F.col("low").alias("block"), F.lit(0).alias("side"))
+    walking = pairs.where("low < high").select("token", "low", "high", F.col("high").alias("block"), F.lit(1).alias("side"))
+    each = rows.withColumn("block", name).join(stored.unionAll(walking), ["token", "block"])
+    return each.select("doc", "one", "n", "connected", F.col("token").alias("task"), "low", "high", "side")
+
+
+def candidate_sets(docs: DataFrame, inside: DataFrame, n: int, bits: int) -> DataFrame:
+    """(doc, one, tokens): the sets of (doc, one) in inside, each once."""
     wanted = members(inside, "doc", bits - 2)
 
     def run(batches):
@@ -260,23 +322,52 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int)
                 part = batch.take(pa.array(keep))
                 for i, j, data, offsets in text_slices(part):
                     values, bounds = shingles(data, offsets, n)
-                    yield pa.record_batch([pa.array(ids[keep][i:j]), pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc", "tokens"])
+                    one = _sums(mix(values), bounds).view(np.int64)
+                    sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pa.record_batch([pa.array(ids[keep][i:j]), pa.array(one), pa.array(sets, pa.binary())], names=["doc", "one", "tokens"])
+
+    return docs.mapInArrow(run, "doc long, one long, tokens binary").join(inside.select("doc", "one"), ["doc", "one"], "left_semi").dropDuplicates(["doc", "one"])
 
-    sets = docs.mapInArrow(run, "doc long, tokens binary").join(inside, "doc").dropDuplicates(["doc"])
-    return block_links(sets.join(stored.unionAll(walking), ["component", "block"]), percent)
+
+def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
+    """(a, b): links between class representatives that join all linked classes; classes: (doc, one, n)."""
+    rows = prefix_rows(docs, n, percent, bits).withColumn("band", band("n", percent)).join(classes.select("doc", "one"), ["doc", "one"], "left_semi").distinct()
+    rows = save(rows, "prefixes")
+    tied = save(ties(rows, percent), "ties")
+    of = components(tied)
+    inside = save(join_unique(classes, of.toDF("doc", "component"), ["doc"]), "candidates")
+    sets = save(candidate_sets(docs, inside, n, bits), "sets")
+    size = _parts(inside, ["component"])
+    whole = join_unique(inside, size.where("parts = 1"), ["component"]).select("doc", "one", "n", F.col("doc").alias("connected"), F.col("component").alias("task"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+    found = block_links(whole.join(sets, ["doc", "one"]), percent)
+    large = save(join_unique(inside, size.where("parts > 1"), ["component"]).select("doc", "one", "n"), "large")
+    if large.isEmpty():
+        return found
+    led = _leader_blocks(large, tied)
+    near = save(block_links(led.withColumn("high", F.col("low")).join(sets, ["doc", "one"]), percent), "near-links")
+    groups = components(near).toDF("doc", "connected")
+    members_of = join_unique(large, groups, ["doc"], "left").select("doc", "one", F.coalesce("connected", "doc").alias("connected"))
+    left = join_unique(rows.join(large.select("doc").distinct(), "doc", "left_semi"), members_of, ["doc", "one"])
+    return found.unionAll(near).unionAll(block_links(_shingle_blocks(left, percent).join(sets, ["doc", "one"]), percent))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links, the document itself included."""
     docs = own_columns(docs, "doc_id", "text")
     known = docs.where("doc_id IS NOT NULL")
-    rows = save(set_classes(docs, n), "sets")
+    rows = save(set_classes(docs, n), "set-names")
     key = ["n_shingles", "one", "two"]
-    classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    found = components(links(known, classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), n, percent, bits))
-    of_class = classes.join(found.toDF("rep", "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = rows.join(of_class, key, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    worded = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = worded.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    # sets that nobody else has, wordless ones too, stand under their own doc_id
+    named = join_unique(worded, classes, key).select("doc_id", "n_shingles", "rep").unionAll(rows.where("doc_id IS NOT NULL AND n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
+    named = save(named, "named")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a")
+    same_document = join_unique(named, several, ["doc_id"]).select("a", F.col("rep").alias("b")).distinct()
+    linked = links(known, classes.select(F.col("rep").alias("doc"), "one", F.col("n_shingles").alias("n")), n, percent, bits)
+    found = components(linked.unionAll(same_document)).toDF("rep", "component_id")
+    out = join_unique(named, found, ["rep"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    return out.unionAll(rows.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from lumenframe.llm import ngram_join as J
+from lumenframe.llm import components as C
+from lumenframe.llm.common import join_unique
 from lumenframe.llm.components import components
 
 
@@ -39,13 +41,13 @@ def corpus(seed, size=120):
     return [*docs, (5000, None), (5001, ""), (5002, None), (5003, "A b"), (5004, "a  B"), (5005, "a b c")]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK_SHINGLES", 500 if seed else 10**6)
+@pytest.mark.parametrize("seed, n, percent", [(0, 4, 85), (1, 5, 80)])
+def test_components(spark, seed, n, percent, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 500 if seed else 10**6)
+    monkeypatch.setattr(J, "PER_SET", 10)
     docs = corpus(seed)
-    for n, percent in ((4, 85), (5, 80)):
-        got = J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), n, percent, bits=14).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, n, percent)
+    got = J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), n, percent, bits=14).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, n, percent)
 
 
 def test_trie_finds_every_link():
@@ -68,10 +70,47 @@ def test_trie_finds_every_link():
         assert len(set(zip(comp, want, strict=True))) == len(set(comp)) == len(set(want))
 
 
-def test_contraction(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (50, 50)]
+def test_contraction(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(C, "save", lambda df, name, save=C.save: saved.append(name) or save(df, name))
+    edges = [(i, i + 1) for i in range(3000)] + [(4001, 4000), (4002, 4001), (7, 7), (None, 5000)] + [(5000 + i, 9999) for i in range(200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert got == {**{i: 0 for i in range(3001)}, 4000: 4000, 4001: 4000, 4002: 4000, **{5000 + i: 5000 for i in range(200)}, 9999: 5000}
+    assert saved.count("edges") <= 13 and len(saved) <= 40  # O(log n) rounds, not 3,000
+
+
+def test_a_hot_key_joins_like_any(spark):
+    rows = [(1, i, None if i % 7 else "x") for i in range(300)] + [(2, 1, "y"), (3, 1, "z")]
+    other = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    table = spark.createDataFrame(rows, "k long, i long, s string")
+    got = sorted((r.k, r.i, r.v or "") for r in join_unique(table, other, ["k"], "left", hot=50).collect())
+    assert got == sorted((k, i, {1: "a", 2: "b"}.get(k, "")) for k, i, _ in rows)
+    assert join_unique(table, other, ["k"], hot=50).count() == 301
+
+
+def test_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (3, b + " x"), (4, c), (4, ""), (5, c + " y"), (5, c), (6, "z"), (7, ""), (7, None), (8, a[:200])]
+    got = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sets = [(d, shingle_set(t, 4)) for d, t in docs]
+    comp = {d: d for d, _ in docs}
+    for d, s in sets:
+        for e, t in sets:
+            if s and 100 * len(s & t) >= 85 * len(s | t) and comp[d] != comp[e]:
+                low, high = sorted((comp[d], comp[e]))
+                comp = {k: low if v == high else v for k, v in comp.items()}
+    assert comp[2] == comp[3] == 1
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(got, bits=14).collect()) == sorted((d, len(s), comp[d]) for d, s in sets)
+
+
+def test_a_large_group_of_near_copies_and_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 3000)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(w if r.random() < 0.98 else "new" for w in base)) for i in range(150)]
+    docs += [(1000, " ".join(f"v{i % 9000}" for i in range(20000))), (1001, " ".join(f"v{i % 9000}" for i in range(1, 20000)))]
+    got = J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bits=16).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 4, 85)
 
 
 def test_empty(spark):
