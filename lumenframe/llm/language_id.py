@@ -1,6 +1,6 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-N-grams are hashed runs of one to three bytes of the text, A-Z lower-cased.
+N-grams are hashed runs of one to three characters of the lower-cased text.
 Document frequencies come from every text that may teach (one pass; a vector
 of fixed width is added up by Spark).  Weights are fitted by
 follow-the-regularised-leader with L1 and L2 penalties on at most PER_CLASS
@@ -8,30 +8,37 @@ documents of each language (a documented bound; the first by hash of doc_id),
 and a temperature that minimises the log loss of a fifth of the sample, which
 the first fit hasn't seen, divides the logits.
 
-Texts that are null or have no letter: `und`, with score 0.  Null languages
+Texts that are null or have no letter: `und`, with score 0.  Of equal
+probabilities the first language by name is taken.  Null languages
 don't teach.  Without any language to learn, every text is `und`.  Repeated
 rows are judged each.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import LOWER, own_columns, text_slices
-from lumenframe.llm.training import byte_ngrams, first_by_doc, held_out, labelled_sample, score_texts
+from lumenframe.llm.common import own_columns, text_slices
+from lumenframe.llm.training import char_ngrams, first_by_doc, held_out, labelled_sample, score_texts
 
 ORDERS, BITS, PER_CLASS, FOLDS, HELD = (1, 2, 3), 15, 1500, 4, 2
 WIDTH = len(ORDERS) << BITS
-LETTER = re.compile(r"[^\W\d_]")
 
 
-def tf_idf(data: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.bincount(byte_ngrams(LOWER[data], ORDERS, BITS), minlength=WIDTH)
+def has_letter(text: str) -> bool:
+    """Unicode letters only: superscripts, fractions and enclosed numbers are none."""
+    return any(map(str.isalpha, text))
+
+
+def grams(text: str) -> np.ndarray:
+    return char_ngrams(np.frombuffer(text.lower().encode(), np.uint8), ORDERS, BITS)
+
+
+def tf_idf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.bincount(grams(text), minlength=WIDTH)
     at = np.flatnonzero(counts)
     v = (1 + np.log(counts[at])) * idf[at]
     return at, v / max(float(np.sqrt(v @ v)), 1e-12)
@@ -46,7 +53,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for _, _, data, offsets in text_slices(batch):
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     flags = np.zeros(WIDTH, bool)
-                    flags[byte_ngrams(LOWER[data[a:b]], ORDERS, BITS)] = True
+                    flags[grams(data[a:b].tobytes().decode())] = True
                     total += flags
                     n += 1
         at = np.flatnonzero(total)
@@ -100,7 +107,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(texts: list[str], langs: list[str], idf: np.ndarray) -> tuple[list[str], np.ndarray, float]:
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], int)
-    rows = [tf_idf(np.frombuffer(t.encode(), np.uint8), idf) for t in texts]
+    rows = [tf_idf(t, idf) for t in texts]
     aside = np.arange(len(rows)) % 5 == 4
     t = 1.0
     if aside.any() and len(names) > 1:
@@ -117,7 +124,7 @@ def identify(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     idf = np.log((1 + n) / (1 + frequency)) + 1
     sample, _ = labelled_sample(teaches.select("doc_id", "lang"), "lang", F.lit(True), per_class)
     rows = first_by_doc(teaches.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["text"])
-    rows = [r for r in rows if LETTER.search(r["text"])]
+    rows = [r for r in rows if has_letter(r["text"])]
     model = docs.sparkSession.sparkContext.broadcast((fit([r["text"] for r in rows], [r["label"] for r in rows], idf), idf) if rows else None)
 
     def scorer():
@@ -126,9 +133,10 @@ def identify(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
         (names, w, t), idf = model.value
 
         def judge(data: np.ndarray) -> tuple[str, float]:
-            if not LETTER.search(data.tobytes().decode()):
+            text = data.tobytes().decode()
+            if not has_letter(text):
                 return "und", 0.0
-            x = logits_of(w, *tf_idf(data, idf)) / t
+            x = logits_of(w, *tf_idf(text, idf)) / t
             p = np.exp(x - x.max())
             best = int(p.argmax())
             return names[best], float(p[best] / p.sum())

@@ -3,19 +3,25 @@
 Base rules are fixed (too few words, mostly repeated three-word windows).
 Beyond them, each rule compares one share of a text with a cutoff that is
 learned per stratum: of the labelled good documents of the stratum (those
-that pass the base rules), k of n would be rejected at a cutoff; the cutoff
-is certified if the exact binomial tail P(Bin(n, limit) <= k) is at most
-delta / (number of strata, rules and cutoffs tried), the Bonferroni
-correction.  Then, with probability 1 - delta, no certified cutoff rejects
-more than `limit` of the good documents of its stratum.  Of a rule's certified
-cutoffs, the one is used that rejects most labelled bad documents, the highest
-among equals, if it rejects at least MIN_BAD_PER_GOOD times as many of them as
-of good ones; where there is none the rule keeps all.
+that pass the base rules), k of n would be rejected at a cutoff.  A document
+goes if any rule rejects it, so each rule gets an equal part of the limit: a
+cutoff is certified if the exact binomial tail P(Bin(n, limit / rules) <= k) is
+at most delta / (strata * rules), the Bonferroni correction over strata and
+rules.  A rule's cutoffs are nested, so their tails grow as cutoffs fall: they
+are tested in that fixed order, each only if all looser ones passed, which
+needs no further correction.  Then, with probability 1 - delta, in every
+stratum the verdict rejects at most `limit` of the good documents that pass the
+base rules.  Of a rule's certified cutoffs, the one is used that rejects most
+labelled bad documents, the highest among equals, if it rejects at least
+MIN_BAD_PER_GOOD times as many of them as of good ones; where there is none
+the rule keeps all.
 
 Null or empty text: no words, base_failed.  Null strata are one stratum of
-their own.  A document with several labels is good only if all say so; labels
-without a document, and null labels, are ignored.  Repeated document rows are
-judged each for itself.  Extra columns are ignored.
+their own, apart from the empty string's.  A document with several labels is
+good only if all say so; labels without a document, and null labels, are
+ignored.  Repeated rows of a document count once in n and k (once in each
+stratum they are in), as rejected if any of them is; verdicts are for each row.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import own_columns, save
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-LIMIT, DELTA, MIN_BAD_PER_GOOD = 0.005, 0.05, 9
+LIMIT, DELTA, MIN_BAD_PER_GOOD = 0.01, 0.05, 9
 #: Shares that a rule rejects if they are above its cutoff, and the cutoffs tried.
 RULES = {"symbols": "n_symbols / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "capitals": "n_capitals / greatest(word_chars, 1)"}
 CUTOFFS = [0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8]
@@ -39,7 +45,7 @@ def _lost(text: str, chars: str) -> Column:
 
 def features(docs: DataFrame, stratum: str) -> DataFrame:
     """doc_id, stratum and the counts that rules use, from one pass and no shuffle. Windows are named by 64-bit hashes within a text."""
-    d = docs.select(F.col("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    d = docs.select(F.col("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     d = d.withColumn("w", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), ""))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.select(
@@ -85,15 +91,16 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def certified_cutoffs(found: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """(stratum, cutoffs): the certified cutoff of each rule, by name; found: features()."""
     named = own_columns(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    held = found.where(~base_failed()).join(named, "doc_id")
-    tried = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(e).alias("share")) for r, e in RULES.items()])
+    shares = [F.max(F.expr(e)).alias(r) for r, e in RULES.items()]  # of a document's rows, the one that is rejected first counts
+    held = found.where(~base_failed()).join(named, "doc_id").groupBy("stratum", "doc_id").agg(F.first("q").alias("q"), *shares)
+    tried = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("share")) for r in RULES])
     each = held.select("stratum", "q", F.explode(tried).alias("x")).select("stratum", "q", "x.*")
     at = each.select("stratum", "q", "rule", "share", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"))
     above, good = F.col("share") > F.col("cutoff"), F.col("q") == 1
     counts = at.groupBy("stratum", "rule", "cutoff").agg(F.count_if(good).alias("n"), F.count_if(good & above).alias("k"), F.count_if(~good & above).alias("bad"))
     strata = found.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    tail = binomial_tail(F.col("k"), F.col("n"), limit)
-    passed = counts.crossJoin(F.broadcast(strata)).where(tail <= delta / (F.col("strata") * len(RULES) * len(CUTOFFS)))  # strata: one row
+    tail = binomial_tail(F.col("k"), F.col("n"), limit / len(RULES))
+    passed = counts.crossJoin(F.broadcast(strata)).where(tail <= delta / (F.col("strata") * len(RULES)))  # strata: one row
     worth = passed.where((F.col("bad") > 0) & (F.col("bad") >= MIN_BAD_PER_GOOD * F.col("k")))
     best = worth.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("bad", "cutoff")).alias("cutoff"))
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
@@ -102,7 +109,8 @@ def certified_cutoffs(found: DataFrame, labels: DataFrame, limit: float = LIMIT,
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """The features of each document, base_failed, kept, and the rules that rejected it."""
     found = save(features(own_columns(docs, *dict.fromkeys(["doc_id", "text", stratum])), stratum), "features")
-    judged = found.join(certified_cutoffs(found, labels, limit, delta), "stratum", "left")
+    certified = certified_cutoffs(found, labels, limit, delta).withColumnRenamed("stratum", "of")
+    judged = found.join(certified, F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of")
     failed = F.array_compact(F.array(*[F.when(F.expr(e) > F.col("cutoffs")[r], F.lit(r)) for r, e in RULES.items()]))
     judged = judged.withColumn("base_failed", base_failed()).withColumn("rejected_by", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs")

@@ -50,6 +50,23 @@ def byte_ngrams(data: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndar
     return np.concatenate([(all_runs(sums, n, BYTES) >> U(64 - bits)).astype(np.int64) + (i << bits) for i, n in enumerate(orders)])
 
 
+def char_ngrams(data: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Hashed n-grams of the characters of one UTF-8 text, each order in a range of 2**bits of its own, with repeats."""
+    if not (data & 0x80).any():
+        return byte_ngrams(data, orders, bits)
+    sums = np.zeros(len(data) + 1, U)
+    up, down = BYTES.get(len(data) + 1)
+    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters start
+    out = []
+    for i, n in enumerate(orders):
+        start, end = at[: max(0, len(at) - n)], at[n:]
+        x = (sums[end] - sums[start]) * down[start] * U(0xBF58476D1CE4E5B9)  # as all_runs does, so that equal n-grams agree
+        x ^= x >> U(32)
+        out.append(((x * U(0x94D049BB133111EB)) >> U(64 - bits)).astype(np.int64) + (i << bits))
+    return np.concatenate(out)
+
+
 def score_texts(docs: DataFrame, columns: str, scorer: Callable[[], Callable[[np.ndarray], tuple]], keep_text: bool = False) -> DataFrame:
     """docs, without text unless asked for, and what the scorer says of each text's bytes; columns: their DDL."""
     kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]

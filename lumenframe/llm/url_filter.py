@@ -25,19 +25,33 @@ from lumenframe.llm.common import own_columns
 BITS, ORDERS, THRESHOLD = 16, (3, 4, 5), 0.5
 #: The rules as (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Words of the labelled URL table; hosts are made of pairs of them.
-BAD = ["casino", "bets", "poker", "jackpot", "win", "slots", "pills", "viagra", "pharma", "cheap", "spam", "adult", "xxx", "porn", "sex", "cams", "ads", "track", "popup", "malware", "warez", "crack", "free-bets", "casino-win", "cheap-pills", "adult-x", "ads-track", "spam-farm", "loan-now", "clickbait"]
-GOOD = ["news", "garden", "school", "library", "museum", "city", "travel", "recipes", "weather", "science", "history", "music", "docs", "forum", "sports", "health", "river", "thernd", "theron", "tionsh", "thertion", "ththan", "inghe", "erwhly", "nthor", "edsti", "house", "market", "radio", "university"]
-SITES, TOPS, PATHS = ["", "www.", "blog.", "m."], ["example.com", "example.org", "example.net", "info", "org"], ["/", "/en/12", "/de/7.html", "/fr/page/3", "/es/90/", "/index.html", ""]
-
-
-def training_table() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): one of each word with each kind of site, in turn over tops and paths."""
+#: Generic words of the labelled URL table, chosen by hand without a look at any crawl; no whole host name is in it.
+BAD = (
+    "casino bet bets betting poker jackpot roulette slots bingo lottery gamble wager pills viagra cialis pharma steroids diet replica "
+    "spam adult adults xxx porn sex sexy cams nude escort hentai ads adserver banner popup tracker tracking clickbait malware virus "
+    "warez crack keygen torrent phishing payday loans lender winner prize bonus giveaway cheap hack exploit"
+).split()
+GOOD = (
+    "news garden school library museum city travel recipes weather science history music docs forum sports health river house market "
+    "radio university college church theatre orchestra bakery bicycle mountain forest harbour island village castle bridge railway "
+    "airport hospital clinic dentist lawyer court council parliament ministry army police fire engineer software hardware network data "
+    "cloud server code python kernel compiler maths physics chemistry biology geology astronomy climate energy solar water paper book "
+    "reader writer poetry novel film photo painting gallery design fashion coffee tea kitchen cooking wine farm horse dog cat bird "
+    "fish insect flower tree stone metal glass wood steel cotton shop store bank insurance tax career jobs family children parents "
+    "teacher student exam language dictionary translate map atlas hotel hostel camping hiking sailing football tennis chess swimming "
+    "archive blog magazine journal press report review opinion podcast video channel studio agency office support help contact"
+).split()
+SITES, TOPS = ["", "www.", "blog.", "shop."], ["com", "org", "net", "info", "co.uk", "de", "fr", "es", "eu", "io"]
+PATHS = ["/", "/index.html", "/about", "/article/2041", "/page/2", "/category/all/", "/en/start", "/item.php", ""]
+
+
+def training_table(bad: list[str] | None = None, good: list[str] | None = None) -> list[tuple[str, str, int]]:
+    """(host, path, 1 to block): each word alone and before the next one but two of its kind, in turn over sites, tops and paths."""
     out = []
-    for label, words in ((1, BAD), (0, GOOD)):
+    for label, words in ((1, bad or BAD), (0, good or GOOD)):
         for i, w in enumerate(words):
-            for j, site in enumerate(SITES):
-                out.append((f"{site}{w}.{TOPS[(i + j) % len(TOPS)]}", PATHS[(i + 3 * j) % len(PATHS)], label))
+            for j, name in enumerate((w, f"{w}-{words[(i + 3) % len(words)]}", f"{w}{words[(i + 5) % len(words)]}")):
+                out.append((f"{SITES[(i + j) % len(SITES)]}{name}.{TOPS[(i + 3 * j) % len(TOPS)]}", PATHS[(i + 4 * j) % len(PATHS)], label))
     return [*out, ("", "", 0)]
 
 
@@ -83,21 +97,27 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, table: list[tuple[str, str, int]] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the model's score (1: block)."""
+    """page_id, host, path, rule, verdict, and the model's score (1: block; null where a rule decides)."""
     weights = pages.sparkSession.sparkContext.broadcast(fit(table or training_table()))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         w = weights.value
         for hosts, paths in parts:
-            rows = [np.append(features(h, p), len(w) - 1) for h, p in zip(hosts, paths, strict=True)]
-            yield pd.Series([1 / (1 + np.exp(-w[x].sum() / np.sqrt(len(x)))) for x in rows], dtype=float)
+            out = np.full(len(hosts), np.nan)
+            for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+                if h is not None:
+                    x = np.append(features(h, p), len(w) - 1)
+                    out[i] = 1 / (1 + np.exp(-w[x].sum() / np.sqrt(len(x))))
+            yield pd.Series(out)
 
     urls = own_columns(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_columns(rules)
-    judged = urls.withColumn("rule", rule).withColumn("score", score("host", "path"))
+    judged = urls.withColumn("rule", rule).withColumn("by_rule", verdict)
+    undecided = F.col("rule").isNull()
+    judged = judged.withColumn("score", score(F.when(undecided, F.col("host")), F.when(undecided, F.col("path"))))
     by_model = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce(verdict, by_model).alias("verdict"), "score")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), F.nanvl("score", F.lit(None).cast("double")).alias("score"))
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:

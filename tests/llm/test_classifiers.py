@@ -89,6 +89,49 @@ def test_languages(spark):
     assert none[0].lang_pred == "und"
 
 
+def test_no_letter_is_no_language(spark):
+    docs = [(i, "kra mno blip" if i % 2 else "ола куку мен", "aa" if i % 2 else "bb") for i in range(60)]
+    signs = ["² ½ 3", "①②", "Ⅷ", "_1_", "٣", "—", "a²", "漢", "ª"]
+    got = G.identify(spark.createDataFrame([*docs, *[(100 + i, t, None) for i, t in enumerate(signs)]], "doc_id long, text string, lang string")).collect()
+    got = {x.doc_id: x.lang_pred for x in got}
+    assert [got[100 + i] == "und" for i in range(len(signs))] == [True] * 6 + [False] * 3
+    assert all(got[i] == ("aa" if i % 2 else "bb") for i in range(60))
+
+
+def test_character_ngrams():
+    for text in ("", "a", "ab", "naïve café", "漢字かな", "плюс a", "e\u0301🙂x"):
+        grams = [text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)]
+        got = G.grams(text).tolist()
+        assert len(got) == len(grams)
+        one = {}
+        for g, h in zip(grams, got, strict=True):
+            assert one.setdefault(g, h) == h and h >> G.BITS == len(g) - 1
+        # an n-gram has one number, whatever text it stands in
+        assert set(G.grams("zz " + text).tolist()) >= set(got)
+
+
+def test_ftrl_is_sparse_and_separates():
+    r = np.random.default_rng(3)
+    y = r.integers(0, 3, 300)
+    rows = [(np.unique(np.concatenate([r.integers(0, 50, 3), [100 + c, 200 + c]])), None) for c in y]
+    rows = [(at, np.ones(len(at)) / np.sqrt(len(at))) for at, _ in rows]
+    w = G.ftrl(rows, y, 3)
+    assert np.mean([int(np.argmax(G.logits_of(w, *x))) == c for x, c in zip(rows, y, strict=True)]) > 0.99
+    assert np.count_nonzero(w[:-1].any(1)) <= 60 and np.count_nonzero(G.ftrl(rows, y, 3, l1=5.0)[:-1]) < np.count_nonzero(w[:-1])
+
+
+def test_hinge_fit_meets_the_dual_conditions():
+    from lumenframe.llm.training import hinge_fit
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(80, 3))
+    y = np.where(x @ [1, -2, 0.5] + 0.3 * r.normal(size=80) > 0, 1, -1)
+    w = hinge_fit([(np.arange(4), np.append(v, 1.0)) for v in x], y, 4, rounds=2000)
+    cost = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+    loss = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (np.c_[x, np.ones(80)] @ w))).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-2 for d in r.normal(scale=0.05, size=(400, 4)))
+
+
 def test_temperature_lowers_the_loss():
     r = np.random.default_rng(0)
     y = r.integers(0, 3, 500)

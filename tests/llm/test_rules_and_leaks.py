@@ -51,6 +51,45 @@ def test_cutoffs_are_exact_binomial_bounds(spark):
     assert all(kept[i] for i in range(6000, 6010))  # a stratum without labels has no certified cutoff
 
 
+def test_cutoffs_against_brute_force(spark):
+    """Documents of one or two rows in three strata, a null and an empty one among them; every cutoff tried by hand."""
+    r = random.Random(8)
+    found, labels = [], []
+    for i in range(3000):
+        stratum = r.choice(["en", None, ""])
+        bad = r.random() < 0.1
+        for _ in range(r.choice([1, 1, 1, 2])):
+            symbols = r.choice([0, 0, 0, 30, 200]) if bad else r.choice([0] * 400 + [40])
+            lines = r.choice([0, 5, 9]) if bad else r.choice([0] * 300 + [3])
+            found.append((i, stratum, 100, 500, symbols, 0, 10, lines, 0))
+        labels.append((i, int(not bad)))
+    labels += [(5, 0), (None, 1), (7, None)]
+    columns = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_capitals long, n_lines long, n_dup_lines long, n_repeat_words long"
+    limit, delta = 0.02, 0.1
+    got = {x.stratum: x.cutoffs for x in Q.certified_cutoffs(spark.createDataFrame(found, columns), spark.createDataFrame(labels, "doc_id long, quality int"), limit, delta).collect()}
+    good = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            good[d] = min(good.get(d, 1), q)
+    want = {}
+    for stratum in ("en", None, ""):
+        for rule, share in {"symbols": lambda x: x[4] / x[3], "dup_lines": lambda x: x[7] / x[6], "repeats": lambda x: x[8] / x[2], "capitals": lambda x: x[5] / x[3]}.items():
+            docs = {}
+            for x in found:
+                if x[1] == stratum:
+                    docs[x[0]] = max(docs.get(x[0], 0), share(x))
+            best, passed = None, True
+            for c in sorted(Q.CUTOFFS, reverse=True):  # from the loosest on
+                n, k = sum(good[d] for d in docs), sum(good[d] and s > c for d, s in docs.items())
+                b, p = sum(not good[d] and s > c for d, s in docs.items()), limit / 4
+                passed = passed and sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) <= delta / (3 * 4)
+                if passed and b and b >= 9 * k and (best is None or b > best[0]):
+                    best = (b, c)
+            if best:
+                want.setdefault(stratum, {})[rule] = best[1]
+    assert got == want and any(want.values())
+
+
 def brute(docs, items, n):
     ws = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = {}
