@@ -55,7 +55,7 @@ def test_cutoffs_against_brute_force(spark):
     """Documents of one or two rows in three strata, a null and an empty one among them; every cutoff tried by hand."""
     r = random.Random(8)
     found, labels = [], []
-    for i in range(3000):
+    for i in range(7000):
         stratum = r.choice(["en", None, ""])
         bad = r.random() < 0.1
         for _ in range(r.choice([1, 1, 1, 2])):
