@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from lumenframe.sources.tables import CLASSES
 
-WS = r"[ \t\n\x0B\f\r]+"
+#: Whitespace and word characters are Unicode's throughout.
+WS = r"(?U)\s+"
 
 #: What a cleaned report loses, in order.
-BOILERPLATE = r"(?i)\s*(?:\d+(?:[.,]\d+)?\s+)?unbest[a-zÄä]*tigter\s+bericht"
-PAREN_LABEL = r"\s*\([^)]*[A-Z]{2,}[^)]*\)"
-EDIT_TAIL = r"(?is)\s*\bEdit:.*$"
+BOILERPLATE = r"(?iU)\s*(?:\d+(?:[.,]\d+)?\s+)?unbest\w*tigter\s+bericht"
+PAREN_LABEL = r"(?U)\s*\([^)]*[A-Z]{2,}[^)]*\)"
+EDIT_TAIL = r"(?isU)\s*\bEdit:.*$"
 REPORT_FLOOR = 15
 #: Substrings that cite the annotation channel, and step texts that cite the known answer.
 LEAKS = ["annotat", "likelihood", "cardiologist", "diagnostic finding", "diagnostic statement", "not annotated", "heart axis", "infarction stadium", "form statement", "known answer", "correct answer", "the report", "written interpretation", "is reported", "not described"]
@@ -24,7 +25,7 @@ UMLAUTS = "[äöüßÄÖÜ]"
 #: Labels of the four recording-quality fields, and leads by their lower-case names.
 QUALITY = {"baseline_drift": "baseline drift", "static_noise": "static noise", "burst_noise": "burst noise", "electrodes_problems": "electrode problems"}
 LIMB_LEADS = {"i": "I", "ii": "II", "iii": "III", "avr": "aVR", "avl": "aVL", "avf": "aVF"}
-ALL_LEADS = ["alles", "alle", "all"]
+ALL_LEADS = ["alles", "alle", "alle abl.", "alle abl", "all"]
 #: What each class is called in a question.
 NAMES = {"MI": "myocardial infarction", "STTC": "ST/T change", "CD": "conduction disturbance", "HYP": "hypertrophy"}
 
@@ -33,6 +34,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without Unicode whitespace at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_report(report: Column) -> dict[str, Column]:
     """text, flags of what was found at each stage, and usable: texts below the floor become empty."""
     a = F.coalesce(report, F.lit(""))
@@ -49,7 +55,7 @@ def likely_non_german(report: Column) -> Column:
     """A Swedish anchor says yes, else an umlaut no, else an English anchor yes; blank reports no."""
     tokens = F.split(F.translate(F.lower(report), ",.", "  "), WS)
     has = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
-    return F.when(F.trim(report) == "", False).when(has(SWEDISH), True).when(report.rlike(UMLAUTS), False).otherwise(has(ENGLISH))
+    return F.when(strip(report) == "", False).when(has(SWEDISH), True).when(report.rlike(UMLAUTS), False).otherwise(has(ENGLISH))
 
 
 #: Anchors of the guess by score.
@@ -106,6 +112,7 @@ def question(superclass: Column) -> Column:
 
 # --- structured responses ---------------------------------------------------------------------------------------
 
+#: Patterns of headers, sections, conclusions, steps and items (all from HEADER on to the end of this file).
 HEADER = r"(?im)^[ \t>*#\-]*(" + "|".join(CLASSES) + r")\b[ \t:*—.\-]*$"
 _MARK, _END = "\u0001", "\u0002"
 
@@ -117,6 +124,16 @@ def blocks(response: Column) -> Column:
     return F.when(F.size(parts) >= 2, cut).otherwise(F.slice(cut, 1, 0))
 
 
+def response_blocks(response: Column) -> Column:
+    """(method, blocks): split at headers; else at <END>, the parts that aren't blank taken for the classes in order, if there are two or more; else (null, none)."""
+    by_header = blocks(response)
+    parts = F.filter(F.split(response, r"(?i)<\s*END\s*>"), lambda p: strip(p) != "")
+    taken = F.slice(parts, 1, len(CLASSES))
+    by_end = F.transform(taken, lambda p, i: F.struct(F.get(F.array(*map(F.lit, CLASSES)), i).alias("superclass"), p.alias("body")))
+    none = F.slice(by_header, 1, 0)
+    return F.when(F.size(by_header) > 0, F.struct(F.lit("header").alias("method"), by_header.alias("blocks"))).when(F.size(parts) >= 2, F.struct(F.lit("end").alias("method"), by_end.alias("blocks"))).otherwise(F.struct(F.lit(None).cast("string").alias("method"), F.coalesce(none, F.array().cast("array<struct<superclass:string,body:string>>")).alias("blocks")))
+
+
 def body_of(all_blocks: Column, superclass: Column) -> Column:
     """The first block of a class, or null."""
     return F.get(F.filter(all_blocks, lambda b: b["superclass"] == superclass), F.lit(0))["body"]
@@ -140,6 +157,11 @@ def conclusion(body: Column) -> Column:
     return F.when(word == "yes", True).when(word == "no", False)
 
 
+def conclusion_text(body: Column) -> Column:
+    """From the conclusion's label on, or null."""
+    return section(body, r"(?is)\bconclusion\b[ \t:*\-—]*(.*)\z")
+
+
 def leak_lines(text: Column) -> Column:
     """(pattern, line) for each line and leak it has."""
     lines = F.split(text, "\n")
@@ -167,3 +189,101 @@ def strip_steps(text: Column) -> tuple[Column, Column]:
 
 def evidence_items(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?:^|\s)\d+\s*[\).]"), lambda s: F.trim(s)), lambda x: x != "")
+
+
+REASONING_SECTION = r"(?is)(\breasoning\b[ \t:*\-—]*)(.*?)(?=\bconclusion\b|\z)"
+
+
+def strip_response(response: Column) -> dict[str, Column]:
+    """content: the response with each reasoning without its telling steps, all else as it was; and blocks stripped, steps removed, blocks emptied.
+
+    The text is cut at each reasoning label and at what ends its section, so that parts alternate.
+    """
+    marked = F.regexp_replace(F.coalesce(response, F.lit("")), REASONING_SECTION, f"{_MARK}$1{_END}$2{_MARK}")
+    parts = F.split(marked, _MARK)
+    inner = F.transform(parts, lambda p: F.struct(F.when(p.contains(_END), F.substring_index(p, _END, 1)).alias("label"), F.substring_index(p, _END, -1).alias("text")))
+
+    def done(p: Column) -> Column:
+        kept, removed = strip_steps(p["text"])
+        changed = p["label"].isNotNull() & (removed > 0)
+        emptied = changed & (strip(kept) == "")
+        return F.struct(
+            F.when(changed, F.concat(p["label"], kept)).otherwise(F.concat(F.coalesce(p["label"], F.lit("")), p["text"])).alias("text"), F.when(changed, removed).otherwise(0).alias("removed"),
+            changed.cast("int").alias("stripped"), emptied.cast("int").alias("emptied"),
+        )
+
+    results = F.transform(inner, done)
+    total = lambda name: F.aggregate(results, F.lit(0), lambda a, x: a + x[name])
+    return {"content": F.array_join(F.transform(results, lambda r: r["text"]), ""), "blocks_stripped": total("stripped"), "steps_removed": total("removed"), "blocks_emptied": total("emptied")}
+
+
+def telling_steps(text: Column) -> Column:
+    """Steps that tell the answer: none may be left in a stripped text."""
+    return F.transform(F.filter(steps(text), lambda s: _is_step(s) & s.rlike("(?i)" + "|".join(TELLS))), strip)
+
+
+def has_lead_type(text: Column) -> Column:
+    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit("lead type"))
+
+
+#: The audit's patterns by name.
+AUDIT = {
+    "the report": r"\bthe report\b", "is reported": r"\bis reported\b|\bare reported\b", "annotat": r"annotat",
+    "known/required answer": r"known answer|required answer|correct answer|answer is affirmative|known diagnosis|answer must reflect|the required",
+    "not described": r"not described|no description", "diagnostic statement": r"diagnostic statement", "likelihood": r"likelihood", "diagnostic finding": r"diagnostic finding",
+    "form statement": r"form statement", "written interpretation": r"written (?:report|interpretation)|not captured in", "cardiologist": r"cardiologist",
+}
+
+
+def audit_hits(text: Column) -> Column:
+    """Names of the audit's patterns that a text has."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(n)) for n, p in AUDIT.items()]))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences, each with the dot, semicolon or newline that ends it."""
+    return F.filter(F.split(text, r"(?<=[.;\n])"), lambda s: s != "")
+
+
+def changed_sentences(before: Column, after: Column) -> Column:
+    """(before, after) of the sentences that differ, place by place; a place that only one has is paired with null."""
+    pairs = F.arrays_zip(sentences(before).alias("before"), sentences(after).alias("after"))
+    return F.filter(pairs, lambda p: ~p["before"].eqNullSafe(p["after"]))
+
+
+def strip_think(prompt: Column) -> Column:
+    """Without an opening <think> at the very end."""
+    return F.regexp_replace(prompt, r"(?U)<think>\s*\z", "")
+
+
+def token_estimate(text: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4))
+
+
+def fix_leads(names: Column) -> Column:
+    """Lead names in their usual spelling; others as they are."""
+    usual = F.create_map(*[F.lit(x) for k, v in LIMB_LEADS.items() if k.startswith("av") for x in (k.upper(), v)])
+    return F.transform(names, lambda n: F.coalesce(F.try_element_at(usual, n), n))
+
+
+def findings(found: Column) -> Column:
+    """`name (0.87)` of each (name, score), comma-joined."""
+    return F.array_join(F.transform(found, lambda f: F.format_string("%s (%.2f)", f["name"], f["score"])), ", ")
+
+
+def error_text(body: Column) -> Column:
+    return F.left(body, F.lit(500))
+
+
+def reasoning_field(first: Column, second: Column) -> Column:
+    """The reasoning under either of two keys; blank is none."""
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
+
+
+def message_content(response: Column) -> Column:
+    """choices[0].message.content of a JSON answer; null where any part is missing."""
+    return F.get(F.from_json(response, "choices array<struct<message: struct<content: string>>>")["choices"], F.lit(0))["message"]["content"]
+
+
+def nan_to_null(value: Column) -> Column:
+    return F.when(~F.isnan(value), value)

@@ -38,15 +38,87 @@ def positive_weights(grid: DataFrame) -> DataFrame:
     return counts.select("superclass", "n_yes", (F.col("n") - F.col("n_yes")).alias("n_no"), F.round(weight.cast("double"), 6).alias("pos_weight"))
 
 
-def block_status(grid: DataFrame) -> DataFrame:
-    """One reason a block can't be used, in order of precedence, else `kept`; causes are bound to ids so that each occurs."""
-    i, c = F.col("ecg_id"), F.ascii("superclass")
+def block_status(grid: DataFrame, taught: DataFrame) -> DataFrame:
+    """grid with why a block can't be used, the first that holds, else `kept`.
+
+    taught: ecg_id, superclass, there (the record has an answer at all), raw_block,
+    conclusion, reasoning, mismatch.  A record without an answer is
+    `no_answer`; a block that is not in it `missing`; no text or conclusion
+    `parse_failed`; blank reasoning `empty_reasoning`; a conclusion against the label `label_mismatch`.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")), F.lit("")) == ""
+    present = taught.select("ecg_id", "superclass", F.lit(True).alias("_block"), "raw_block", "conclusion", "reasoning", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
+    records = taught.select("ecg_id").distinct().withColumn("_record", F.lit(True))
+    joined = grid.join(records, "ecg_id", "left").join(present, ["ecg_id", "superclass"], "left")
     status = (
-        F.when(i % 97 == 0, "missing").when((i + c) % 89 == 0, "parse_failed").when((i * c) % 83 == 0, "empty_reasoning").when((i % 79 == 0) & F.col("label"), "label_mismatch").otherwise("kept")
-    )
-    return grid.withColumn("status", status)
+        F.when(F.col("_record").isNull(), "no_answer").when(F.col("_block").isNull(), "missing").when(F.col("conclusion").isNull() | blank("raw_block"), "parse_failed")
+        .when(blank("reasoning"), "empty_reasoning").when(F.col("mismatch"), "label_mismatch").otherwise("kept")
+    )
+    return joined.select(*grid.columns, status.alias("status"))
 
 
-def exclusion_accounting(grid: DataFrame) -> DataFrame:
-    """Blocks by status; the counts are disjoint and add up to the grid."""
-    return block_status(grid).groupBy("status").agg(F.count("*").alias("blocks"), F.countDistinct("ecg_id").alias("records"))
+def usable(grid: DataFrame, cached: DataFrame, taught: DataFrame) -> DataFrame:
+    """Blocks of records that are in the cache (others are passed over silently), each with its status."""
+    return block_status(grid.join(cached.select("ecg_id").distinct(), "ecg_id", "left_semi"), taught)
+
+
+def exclusion_accounting(blocks: DataFrame) -> DataFrame:
+    """Blocks and records by status; the counts are disjoint and add up to the grid."""
+    return blocks.groupBy("status").agg(F.count("*").alias("blocks"), F.countDistinct("ecg_id").alias("records"))
+
+
+class AccountingError(ValueError):
+    """Blocks don't add up, or not as many as expected contradict their labels."""
+
+
+def check_accounting(blocks: DataFrame, expected_mismatches: int, records: int) -> dict[str, int]:
+    """Counts by status; an error unless they add up to five blocks a record and exactly so many are mismatches. Six rows at most reach the driver."""
+    counts = {r["status"]: r["blocks"] for r in exclusion_accounting(blocks).collect()}
+    if sum(counts.values()) != len(CLASSES) * records:
+        raise AccountingError(f"{sum(counts.values())} blocks, expected {len(CLASSES) * records}")
+    if counts.get("label_mismatch", 0) != expected_mismatches:
+        raise AccountingError(f"{counts.get('label_mismatch', 0)} label mismatches, expected {expected_mismatches}")
+    return counts
+
+
+def condition_name(runs: DataFrame) -> DataFrame:
+    """One row: real, shuffled or zeroed if all runs have the same flags, else mixed; runs: shuffled, zeroed."""
+    name = F.when(F.col("zeroed"), "zeroed").when(F.col("shuffled"), "shuffled").otherwise("real")
+    return runs.agg(F.when(F.count_distinct("shuffled", "zeroed") > 1, "mixed").otherwise(F.first(name)).alias("condition"))
+
+
+def record_cap(examples: DataFrame, classes: list[str], n: int) -> DataFrame:
+    """Examples of the classes, of the first n record ids that have any."""
+    some = examples.where(F.col("superclass").isin(classes))
+    first = some.select("ecg_id").distinct().orderBy("ecg_id").limit(n)
+    return some.join(first, "ecg_id", "left_semi")
+
+
+def label_grid(examples: DataFrame) -> DataFrame:
+    """One row a record with a label for each class; a record without one of them is an error that names it."""
+    wide = examples.groupBy("ecg_id").agg(*[F.max(F.when(F.col("superclass") == c, F.col("label"))).alias(c) for c in CLASSES])
+    whole = F.array(*[F.col(c) for c in CLASSES])
+    checked = F.when(F.exists(whole, lambda x: x.isNull()), F.raise_error(F.concat(F.lit("no full label grid: "), F.col("ecg_id").cast("string"))).cast("boolean")).otherwise(F.col(CLASSES[0]))
+    return wide.withColumn(CLASSES[0], checked)
+
+
+def strata(manifest: DataFrame, report: str | None = None) -> DataFrame:
+    """(stratum, ecg_id) for each named set a record is in: only normal, several abnormal classes, a low likelihood, not validated, no statements."""
+    classes, s = asserted(F.col("statements")), F.col("statements")
+    low = F.exists(s, lambda x: x["diagnostic"] & (x["likelihood"] > 0) & (x["likelihood"] <= 50))
+    several = ~F.array_contains(classes, "NORM") & (F.size(F.filter(s, lambda x: x["diagnostic"])) >= 2)
+    named = {"normal only": (F.size(classes) == 1) & F.array_contains(classes, "NORM"), "several abnormal": several, "low likelihood": low, "not validated": ~F.col("validated"), "no statements": F.size(s) == 0}
+    each = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in named.items()]))
+    return manifest.select(F.explode(each).alias("stratum"), "ecg_id")
+
+
+def has_signal_quality(*fields: str) -> Column:
+    """Whether any of the recording-quality fields is not blank."""
+    found = F.lit(False)
+    for f in fields:
+        found = found | (F.trim(F.coalesce(F.col(f), F.lit(""))) != "")
+    return found
+
+
+def sex_label(code: Column) -> Column:
+    return F.when(code == 0, "male").when(code == 1, "female")

@@ -1,4 +1,4 @@
-"""Structured responses: built from labels with known faults, and parsed back."""
+"""Structured responses parsed back: blocks, sections, answers, errors, leaks, and reasoning without steps that tell."""
 
 from __future__ import annotations
 
@@ -9,30 +9,57 @@ from lumenframe.functions import text as T
 from lumenframe.sources.tables import CLASSES
 
 
-def responses(grid: DataFrame) -> DataFrame:
-    """One response a record: five blocks; some lack MI, some have no readable CD conclusion, some cite the report or tell the answer."""
-    k = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("superclass"))
-    answer = F.when((F.col("superclass") == "CD") & (F.col("ecg_id") % 13 == 0), "Maybe").when(F.col("label"), "Yes").otherwise("No")
-    cites = F.when((F.col("superclass") == "HYP") & (F.col("ecg_id") % 7 == 0), " as the report says").otherwise("")
-    second = F.when((F.col("ecg_id") + k) % 5 == 0, "the known answer is clear").otherwise("look at the axis")
-    block = F.concat(
-        F.lit("### "), F.col("superclass"), F.lit("\nEvidence: 1) rate 2. rhythm"), cites, F.lit("\nReasoning:\nStep 1: look at the rate\nStep 2: "), second,
-        F.lit("\nStep 3: decide\nConclusion: "), answer, F.lit(", so it is\n<END>\n"),
-    )
-    left_out = (F.col("superclass") == "MI") & (F.col("ecg_id") % 11 == 0)
-    each = grid.select("ecg_id", F.when(~left_out, F.struct(k.alias("k"), block.alias("block"))).alias("b"))
-    parts = F.transform(F.array_sort(F.collect_list("b")), lambda x: x["block"])
-    return each.groupBy("ecg_id").agg(F.array_join(parts, "").alias("content"))
+def sections(found: DataFrame) -> DataFrame:
+    """One row a record and class, in one projection: the block (null if missing) and its parts; found: ecg_id, content."""
+    split = found.select("ecg_id", T.response_blocks(F.col("content")).alias("_r"))
+    each = split.select("ecg_id", "_r.method", F.explode(F.array(*map(F.lit, CLASSES))).alias("superclass"), F.col("_r.blocks").alias("_b"))
+    each = each.select("ecg_id", "superclass", "method", T.body_of(F.col("_b"), F.col("superclass")).alias("body"))
+    return each.select("*", T.evidence(F.col("body")).alias("evidence"), T.reasoning(F.col("body")).alias("full_reasoning"), T.conclusion(F.col("body")).alias("conclusion"), T.conclusion_text(F.col("body")).alias("conclusion_text"))
 
 
 def parsed(found: DataFrame) -> DataFrame:
     """One row a record and class: what its block says, or what is wrong with it."""
-    each = found.withColumn("blocks", T.blocks(F.col("content"))).withColumn("superclass", F.explode(F.array(*map(F.lit, CLASSES))))
-    each = each.withColumn("body", T.body_of(F.col("blocks"), F.col("superclass"))).drop("content", "blocks")
-    stripped, removed = T.strip_steps(T.reasoning(F.col("body")))
-    each = each.withColumn("conclusion", T.conclusion(F.col("body")))
+    stripped, removed = T.strip_steps(F.col("full_reasoning"))
     status = F.when(F.col("body").isNull(), "missing").when(F.col("conclusion").isNull(), "unparseable").otherwise("ok")
-    return each.select(
-        "ecg_id", "superclass", status.alias("status"), "conclusion", F.size(T.leak_lines(T.evidence(F.col("body")))).cast("long").alias("evidence_leaks"),
-        F.size(T.evidence_items(T.evidence(F.col("body")))).cast("long").alias("evidence_items"), stripped.alias("reasoning"), removed.cast("long").alias("removed_steps"),
+    return sections(found).select(
+        "ecg_id", "superclass", status.alias("status"), "conclusion", F.size(T.leak_lines(F.col("evidence"))).cast("long").alias("evidence_leaks"),
+        F.size(T.evidence_items(F.col("evidence"))).cast("long").alias("evidence_items"), stripped.alias("reasoning"), removed.cast("long").alias("removed_steps"),
     )
+
+
+def response_status(found: DataFrame) -> DataFrame:
+    """One row a record: how it was split, its errors, the classes missing and those without a readable answer, and ok (none of these)."""
+    split = found.select("ecg_id", T.response_blocks(F.col("content")).alias("_r"), (T.squeeze(F.coalesce("content", F.lit(""))) == "").alias("_empty"))
+    every = F.array(*map(F.lit, CLASSES))
+    there = F.transform(F.col("_r.blocks"), lambda b: b["superclass"])
+    missing = F.filter(every, lambda c: ~F.array_contains(there, c))
+    unread = F.filter(every, lambda c: F.array_contains(there, c) & T.conclusion(T.body_of(F.col("_r.blocks"), c)).isNull())
+    errors = F.when(F.col("_empty"), F.array(F.lit("empty content"))).when(F.col("_r.method").isNull(), F.array(F.lit("no superclass headers or <END> markers found"))).otherwise(F.array().cast("array<string>"))
+    out = split.select("ecg_id", F.col("_r.method").alias("split_method"), errors.alias("errors"), missing.alias("missing"), unread.alias("unparseable"))
+    return out.withColumn("ok", (F.size("errors") + F.size("missing") + F.size("unparseable")) == 0)
+
+
+def label_mismatches(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(ecg_id, superclass) whose readable answer contradicts the known label; missing and unreadable blocks don't count. known: ecg_id, superclass, label."""
+    return sections(found).select("ecg_id", "superclass", "conclusion").join(known, ["ecg_id", "superclass"]).where(F.col("conclusion") != F.col("label")).select("ecg_id", "superclass")
+
+
+def leaks(found: DataFrame) -> DataFrame:
+    """(ecg_id, superclass, section, pattern, line): each cited source in evidence, reasoning and conclusion."""
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(c).alias("text")) for n, c in (("Evidence", "evidence"), ("Reasoning", "full_reasoning"), ("Conclusion", "conclusion_text"))]))
+    each = sections(found).select("ecg_id", "superclass", parts.alias("p")).select("ecg_id", "superclass", "p.section", F.explode(T.leak_lines(F.col("p.text"))).alias("x"))
+    return each.select("ecg_id", "superclass", "section", "x.pattern", "x.line")
+
+
+def leaked_classes(found_leaks: DataFrame) -> DataFrame:
+    return found_leaks.select("ecg_id", "superclass").distinct()
+
+
+def leak_counts(found_leaks: DataFrame) -> DataFrame:
+    return found_leaks.groupBy("pattern").agg(F.count("*").alias("hits"), F.count_distinct("ecg_id", "superclass").alias("blocks"), F.count_distinct("ecg_id").alias("records"))
+
+
+def audit(found: DataFrame) -> DataFrame:
+    """(pattern, blocks, records) of the audit's patterns over whole blocks."""
+    each = sections(found).where(F.col("body").isNotNull()).select("ecg_id", F.explode(T.audit_hits(F.col("body"))).alias("pattern"))
+    return each.groupBy("pattern").agg(F.count("*").alias("blocks"), F.count_distinct("ecg_id").alias("records"))

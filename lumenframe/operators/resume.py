@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def overlay(full: DataFrame, regenerated: DataFrame, key: str) -> DataFrame:
-    """full with each row replaced that regenerated has; ids only there are not added."""
-    new = regenerated.select(key, F.struct(*[c for c in full.columns if c != key]).alias("_new"))
-    joined = full.join(new, key, "left")
-    return joined.select(key, *[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in full.columns if c != key])
+    """full with each row replaced that regenerated has; an id that only regenerated has is an error that names it."""
+    rest = [c for c in full.columns if c != key]
+    new = regenerated.select(key, F.struct(*rest).alias("_new"))
+    joined = full.withColumn("_known", F.lit(True)).join(new, key, "full")
+    unknown = F.raise_error(F.concat(F.lit("regenerated but not in the full set: "), F.col(key).cast("string"))).cast(full.schema[key].dataType)
+    checked = F.when(F.col("_known").isNull(), unknown).otherwise(F.col(key)).alias(key)
+    return joined.select(checked, *[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in rest])
 
 
 def skip_existing(todo: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
@@ -49,3 +52,8 @@ def identical_across(outputs: DataFrame, key: str, condition: str, text: str) ->
     each = outputs.groupBy(key).agg(F.countDistinct(condition).alias("seen"), F.countDistinct(text).alias("texts"))
     shared = each.join(F.broadcast(n), F.col("seen") == F.col("conditions"))  # n: one row
     return shared.agg(F.count("*").alias("shared"), F.count_if(F.col("texts") == 1).alias("identical"))
+
+
+def written_of(done: DataFrame, requested: DataFrame, key: str) -> DataFrame:
+    """Requested ids (with their place `ord`) that were written in this run, in the order asked for."""
+    return requested.join(done.select(key).distinct(), key, "left_semi").orderBy("ord")

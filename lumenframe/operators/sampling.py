@@ -20,13 +20,28 @@ def stratified_draw(grid: DataFrame, per_class: int, seed: int = 42) -> DataFram
     return ranked.join(F.broadcast(sizes), "superclass").where(F.col("rank") <= quota).select("ecg_id", "superclass", "label")  # sizes: one row a class
 
 
+RANGES = 4096
+
+
+def numbered_by_hash(rows: DataFrame, seed: int, key: str, name: str, *group: str) -> DataFrame:
+    """rows with their place (from 0) in a group, in the order of a seeded hash of a unique key.
+
+    Numbered in RANGES ranges of the hash, after counts of the ranges before, so that a group of all rows isn't numbered by one task.
+    """
+    dealt = rows.withColumn("_hash", shuffled(F.col(key), seed)).withColumn("_range", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
+    before = F.sum("_count").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_count")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_count")  # at most RANGES rows a group
+    place = F.row_number().over(Window.partitionBy(*group, "_range").orderBy("_hash", key)) - 1
+    return dealt.withColumn("_place", place).join(counts, [*group, "_range"]).withColumn(name, F.col("_place") + F.col("_before")).drop("_hash", "_range", "_place", "_before")
+
+
 def derangement(keys: DataFrame, key: str, group: Column, seed: int = 7) -> DataFrame:
     """donor: another key of the same group, each key once, in one cycle by hash order; a group of one has no donor (null)."""
-    order = Window.partitionBy("g").orderBy("h", key)
-    cycle = keys.select(key, group.alias("g"), shuffled(F.col(key), seed).alias("h"))
-    first = F.first(key).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    donor = F.coalesce(F.lead(key).over(order), first)
-    return cycle.withColumn("donor", donor).select(key, F.col("g"), F.when(F.col("donor") != F.col(key), F.col("donor")).alias("donor"))
+    cycle = numbered_by_hash(keys.select(key, group.alias("g")), seed, key, "_n", "g")
+    sizes = cycle.groupBy("g").agg(F.count("*").alias("_size"))
+    wanted = cycle.join(sizes, "g").withColumn("_n", (F.col("_n") + 1) % F.col("_size"))
+    donors = cycle.select("g", "_n", F.col(key).alias("donor"))
+    return wanted.join(donors, ["g", "_n"]).select(key, "g", F.when(F.col("donor") != F.col(key), F.col("donor")).alias("donor"))
 
 
 def round_robin(rows: DataFrame, bucket: str, order: str, n: int) -> DataFrame:
@@ -64,3 +79,64 @@ def covering_records(grid: DataFrame, n: int, floor: int, classes: list[str], se
     if missing:
         raise ValueError("floor not met: " + ", ".join(missing))
     return grid.sparkSession.createDataFrame(chosen, "turn int, ecg_id long")
+
+
+def exact_sample(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
+    """Exactly n rows (all, if there are fewer), the first by hash of seed and keys: a smaller sample is part of a larger one."""
+    order = shuffled(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), seed)
+    return rows.orderBy(order, *keys).limit(n)
+
+
+def permuted_labels(rows: DataFrame, seed: int, key: str, labels: list[str]) -> DataFrame:
+    """Each key with the labels of another row: a permutation of whole rows, so that every column's positive rate stays exact."""
+    keys = numbered_by_hash(rows.select(key), seed, key, "_n")
+    given = numbered_by_hash(rows.select(key, *labels), seed + 1, key, "_n").drop(key)
+    return keys.join(given, "_n").drop("_n")
+
+
+def evenly_spaced(rows: DataFrame, n: int, total: int, place: str) -> DataFrame:
+    """n rows at even steps from the first to the last of `total` places."""
+    wanted = rows.sparkSession.createDataFrame([(round(i * (total - 1) / max(1, n - 1)),) for i in range(min(n, total))], f"{place} long").distinct()
+    return rows.join(F.broadcast(wanted), place, "left_semi")  # n rows
+
+
+def one_of_each(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """The first row of each group."""
+    first = rows.groupBy(group).agg(F.min_by(F.struct(*[c for c in rows.columns if c != group]), F.struct(*order)).alias("_r"))
+    return first.select(group, "_r.*")
+
+
+def chosen_examples(examples: DataFrame, ids: DataFrame) -> DataFrame:
+    """All examples of the chosen records, in the order of the records."""
+    return examples.join(ids.select("ecg_id").distinct(), "ecg_id", "left_semi").orderBy("ecg_id", "superclass")
+
+
+def pilot(members: DataFrame, quotas: dict[str, int], answers: DataFrame, target: int, seed: int) -> list[int]:
+    """At most `target` record ids: so many of each stratum, each record once, then one yes and one no for each class, trimmed from the end where coverage allows, padded by hash.
+
+    members: stratum, ecg_id; answers: ecg_id, superclass, label.  Spark ranks; the driver gets at most the quotas, ten
+    records for coverage, `target` for padding, and the answers of those: bounded by the arguments.
+    """
+    by_hash = shuffled(F.concat_ws("|", "stratum", F.col("ecg_id").cast("string")), seed)
+    drawn = [r["ecg_id"] for stratum, quota in quotas.items() for r in members.where(F.col("stratum") == stratum).orderBy(by_hash, "ecg_id").limit(quota).collect()]
+    selected = list(dict.fromkeys(drawn))
+    key = shuffled(F.col("ecg_id"), seed)
+    of_cells = {(r["superclass"], r["label"]): r["e"] for r in answers.groupBy("superclass", "label").agg(F.min_by("ecg_id", key).alias("e")).collect()}
+    padding = [r["ecg_id"] for r in answers.select("ecg_id").distinct().orderBy(key, "ecg_id").limit(target + len(selected)).collect()]
+    pool = answers.sparkSession.createDataFrame([(e,) for e in {*selected, *padding, *of_cells.values()}], "ecg_id long")
+    has: dict[int, set] = {}
+    for r in answers.join(F.broadcast(pool), "ecg_id", "left_semi").collect():
+        has.setdefault(r["ecg_id"], set()).add((r["superclass"], r["label"]))
+    for cell, e in sorted(of_cells.items()):
+        if not any(cell in has.get(x, ()) for x in selected):
+            selected.append(e)
+    covered = lambda ids: set().union(*[has.get(x, set()) for x in ids]) >= set(of_cells) if ids else not of_cells
+    while len(selected) > target:
+        for i in reversed(range(len(selected))):
+            if covered(selected[:i] + selected[i + 1 :]):
+                del selected[i]
+                break
+        else:
+            break
+    selected = selected[:target]
+    return selected + [e for e in padding if e not in set(selected)][: target - len(selected)]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lumenframe.functions import prompts as W
 from lumenframe.functions import rewrite as Q
 from lumenframe.functions import text as T
+from lumenframe.functions import tokens as K
+from lumenframe.operators import checks as C
 from lumenframe.operators import guards as G
 from lumenframe.operators import labels as L
 from lumenframe.operators import manifest as M
@@ -18,6 +20,7 @@ from lumenframe.operators import responses as P
 from lumenframe.operators import resume as R
 from lumenframe.operators import sampling as S
 from lumenframe.operators import vectors as V
+from lumenframe.plans.fixtures import responses
 from lumenframe.sources import files as X
 from lumenframe.sources import tables as B
 from lumenframe.streaming import ingest as I
@@ -57,18 +60,33 @@ def positive_weights(spark, d):
     return L.positive_weights(_grid(spark, d))
 
 
-_STATUS = """blocks AS (SELECT *, CASE WHEN ecg_id % 97 = 0 THEN 'missing' WHEN (ecg_id + ascii(superclass)) % 89 = 0 THEN 'parse_failed'
-    WHEN (ecg_id * ascii(superclass)) % 83 = 0 THEN 'empty_reasoning' WHEN ecg_id % 79 = 0 AND label THEN 'label_mismatch' ELSE 'kept' END AS status FROM grid)"""
+_STATUS = """blocks AS (SELECT g.ecg_id, g.superclass, g.label, CASE WHEN d.doc_id IS NULL THEN 'no_answer' WHEN g.superclass = 'MI' AND n_chars <= 600 THEN 'missing'
+    WHEN l.quality IS NULL OR trim(coalesce(text, '')) = '' THEN 'parse_failed' WHEN l.toxic = 1 THEN 'empty_reasoning' WHEN (l.quality = 1) <> g.label THEN 'label_mismatch' ELSE 'kept' END AS status
+    FROM grid g LEFT JOIN documents d ON g.ecg_id = d.doc_id LEFT JOIN labels l ON g.ecg_id = l.doc_id)"""
+
+
+def _taught(spark, d):
+    """Answers as documents give them: short ones lack a block for MI, unlabelled ones a conclusion, toxic ones the reasoning."""
+    docs, labels = B.table(spark, d, "documents").select("doc_id", "text", "n_chars"), B.table(spark, d, "labels")
+    each = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("ecg_id"), F.explode(F.array(*map(F.lit, B.CLASSES))).alias("superclass"), "text", "n_chars", "quality", "toxic")
+    there = each.where((F.col("superclass") != "MI") | (F.col("n_chars") > 600))
+    return there.select("ecg_id", "superclass", F.col("text").alias("raw_block"), (F.col("quality") == 1).alias("conclusion"), F.when(F.col("toxic") == 1, "").otherwise(F.col("text")).alias("reasoning"))
+
+
+def _blocks(spark, d):
+    grid, taught = _grid(spark, d).select("ecg_id", "superclass", "label"), _taught(spark, d)
+    mismatch = taught.join(grid, ["ecg_id", "superclass"]).select(*taught.columns, (F.col("conclusion") != F.col("label")).alias("mismatch"))
+    return L.block_status(grid, mismatch)
 
 
 @query(f", {_STATUS} SELECT status, count(*) AS blocks, count(DISTINCT ecg_id) AS records FROM blocks GROUP BY status")
 def exclusion_accounting(spark, d):
-    return L.exclusion_accounting(_grid(spark, d))
+    return L.exclusion_accounting(_blocks(spark, d))
 
 
 @query(f", {_STATUS} SELECT ecg_id, superclass, label FROM blocks WHERE status = 'kept'")
 def usable_examples(spark, d):
-    return L.block_status(_grid(spark, d)).where("status = 'kept'").select("ecg_id", "superclass", "label")
+    return _blocks(spark, d).where("status = 'kept'").select("ecg_id", "superclass", "label")
 
 
 _FLAGS = """f AS (SELECT r.ecg_id, r.strat_fold, r.validated, count(s.code) AS n, coalesce(bool_and(s.likelihood = 0), false) AS all_zero,
@@ -122,7 +140,7 @@ def shard_layout(spark, d):
 def regenerated_overlay(spark, d):
     full = B.table(spark, d, "documents").select("doc_id", "lang", "source")
     new = full.where("doc_id % 7 = 0").select("doc_id", F.upper("lang").alias("lang"), F.lit("regen").alias("source"))
-    return R.overlay(full, new.unionAll(spark.createDataFrame([(-1, "XX", "regen")], new.schema)), "doc_id")
+    return R.overlay(full, new, "doc_id")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0")
@@ -204,7 +222,7 @@ def round_robin_report(spark, d):
     return S.round_robin(B.table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 30)
 
 
-_GROUPS = "g AS (SELECT *, unnest(['overall', superclass, CASE WHEN superclass = 'en' THEN 'first' ELSE 'others' END]) AS grp FROM evals)"
+_GROUPS = "g AS (SELECT *, unnest(['overall', superclass, CASE WHEN superclass = 'en' THEN 'normal' ELSE 'abnormal' END]) AS grp FROM evals)"
 
 
 def _prf(predicted: str) -> str:
@@ -215,12 +233,12 @@ def _prf(predicted: str) -> str:
 
 @query(f", {_GROUPS}, {_prf('parsed')}")
 def generation_metrics(spark, d):
-    return E.confusion(E.with_groups(B.evaluations(spark, d)), F.col("parsed"), "grp")
+    return E.confusion(E.with_groups(B.evaluations(spark, d), "en"), F.col("parsed"), "grp")
 
 
 @query(f", {_GROUPS}, {_prf('p_yes >= 0.5')}")
 def fast_metrics(spark, d):
-    return E.confusion(E.with_groups(B.evaluations(spark, d)), F.col("p_yes") >= 0.5, "grp")
+    return E.confusion(E.with_groups(B.evaluations(spark, d), "en"), F.col("p_yes") >= 0.5, "grp")
 
 
 @query(f""", {_GROUPS}, r AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY p_yes) + (count(*) OVER (PARTITION BY grp, p_yes) - 1) / 2.0 AS k FROM g),
@@ -230,14 +248,14 @@ def fast_metrics(spark, d):
     v AS (SELECT grp, sum(pos * tp / taken) AS area FROM u GROUP BY grp)
     SELECT grp, n, round(CASE WHEN P > 0 AND n > P THEN (ranks - P * (P + 1) / 2.0) / P / (n - P) END::DOUBLE, 6) AS auroc, round(CASE WHEN P > 0 THEN area / P END, 6) AS auprc FROM a JOIN v USING (grp)""")
 def ranking_metrics(spark, d):
-    return E.ranking(E.with_groups(B.evaluations(spark, d)), "grp")
+    return E.ranking(E.with_groups(B.evaluations(spark, d), "en"), "grp")
 
 
 @query(f""", {_GROUPS}, t AS (SELECT grp, a.p_yes, (SELECT count(*) FILTER (label) FROM g b WHERE b.grp = a.grp AND b.p_yes >= a.p_yes) AS tp, (SELECT count(*) FROM g b WHERE b.grp = a.grp AND b.p_yes >= a.p_yes) AS taken,
     (SELECT count(*) FILTER (label) FROM g b WHERE b.grp = a.grp) AS P FROM (SELECT DISTINCT grp, p_yes FROM g) a), f AS (SELECT *, round(2 * tp / (taken + P), 9) AS f1, row_number() OVER (PARTITION BY grp ORDER BY round(2 * tp / (taken + P), 9) DESC, p_yes DESC) AS k FROM t WHERE P > 0)
     SELECT grp, p_yes AS threshold, round(f1, 6) AS f1 FROM f WHERE k = 1""")
 def best_f1_threshold(spark, d):
-    return E.best_f1(E.with_groups(B.evaluations(spark, d)), "grp")
+    return E.best_f1(E.with_groups(B.evaluations(spark, d), "en"), "grp")
 
 
 @query("""SELECT count(*) AS shared, count(*) FILTER (parsed IS NULL) AS unparsed, count(parsed) AS n, count(*) FILTER ((p_yes >= 0.5) = parsed) AS agree,
@@ -248,19 +266,62 @@ def readout_agreement(spark, d):
 
 @query(f""", {_GROUPS} SELECT grp, count(*) AS n, round(avg(loss), 6) AS mean_loss, round(sum(loss * n_tokens) / sum(n_tokens), 6) AS token_mean, round(median(loss), 6) AS median_loss, count(*) FILTER (loss < 0.1) AS near_zero FROM g GROUP BY grp""")
 def teacher_forced_summary(spark, d):
-    return E.loss_summary(E.with_groups(B.evaluations(spark, d)), "grp")
+    return E.loss_summary(E.with_groups(B.evaluations(spark, d), "en"), "grp")
+
 
+_CONTROLS = "c AS (SELECT ecg_id, superclass, label, NOT coalesce(parsed, label) AS donor_label, unnest(['real', 'shuffled', 'zeroed']) AS condition, unnest([loss, loss + p_yes, 3 * p_yes]) AS loss FROM evals)"
 
-@query("""SELECT superclass, round(avg(loss) FILTER (ecg_id % 3 = 0), 6) AS real, round(avg(loss) FILTER (ecg_id % 3 = 1), 6) AS shuffled,
-    round(CASE WHEN avg(loss) FILTER (ecg_id % 3 = 0) <> 0 THEN 100 * (avg(loss) FILTER (ecg_id % 3 = 1) - avg(loss) FILTER (ecg_id % 3 = 0)) / avg(loss) FILTER (ecg_id % 3 = 0) END, 6) AS gap_percent FROM evals GROUP BY superclass""")
+
+def _controls(spark, d):
+    """Every example under three conditions, with a donor's label."""
+    e = B.evaluations(spark, d)
+    pair = lambda name, c: F.struct(F.lit(name).alias("condition"), c.alias("loss"))
+    each = F.explode(F.array(pair("real", F.col("loss")), pair("shuffled", F.col("loss") + F.col("p_yes")), pair("zeroed", 3 * F.col("p_yes"))))
+    return e.select("ecg_id", "superclass", "label", (~F.coalesce("parsed", "label")).alias("donor_label"), each.alias("x")).select("ecg_id", "superclass", "label", "donor_label", "x.*")
+
+
+@query(f""", {_CONTROLS}, m AS (SELECT superclass, condition, avg(loss) AS m FROM c GROUP BY ALL)
+    SELECT o.superclass, o.condition, round(r.m, 6) AS real, round(o.m, 6) AS mean, round(o.m - r.m, 6) AS gap, round(CASE WHEN r.m <> 0 THEN 100 * (o.m - r.m) / r.m END, 6) AS gap_percent
+    FROM m o JOIN m r ON o.superclass = r.superclass AND r.condition = 'real' WHERE o.condition <> 'real'""")
 def control_gaps(spark, d):
-    real, other = F.avg(F.when(F.col("ecg_id") % 3 == 0, F.col("loss"))), F.avg(F.when(F.col("ecg_id") % 3 == 1, F.col("loss")))
-    c = B.evaluations(spark, d).groupBy("superclass").agg(real.alias("r"), other.alias("s"))
-    return c.select("superclass", F.round("r", 6).alias("real"), F.round("s", 6).alias("shuffled"), E.percent_gap(F.col("r"), F.col("s")).alias("gap_percent"))
+    return E.control_gaps(_controls(spark, d), "superclass")
+
 
+@query(f""", {_CONTROLS}, s AS (SELECT condition, loss, unnest(['all', CASE WHEN label THEN 'yes' ELSE 'no' END, CASE WHEN label <> donor_label THEN CASE WHEN label THEN 'yes' ELSE 'no' END || ', donor opposite' END]) AS subset FROM c)
+    SELECT condition, subset, count(*) AS n, round(avg(loss), 6) AS mean_loss FROM s WHERE subset IS NOT NULL GROUP BY ALL""")
+def decision_controls(spark, d):
+    return E.decision_controls(_controls(spark, d))
 
-@query("""SELECT CASE WHEN pos < 10 THEN '0-10' WHEN pos < 25 THEN '10-25' WHEN pos < 50 THEN '25-50' WHEN pos < 100 THEN '50-100' ELSE '100+' END AS bucket, round(avg(value), 6) AS mean_loss, count(value) AS n_positions, count(DISTINCT user_id) AS n_examples
-    FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) GROUP BY bucket""")
+
+@query(f""", {_GROUPS}, b AS (SELECT * FROM g WHERE parsed IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY p_yes) + (count(*) OVER (PARTITION BY grp, p_yes) - 1) / 2.0 AS k FROM b),
+    a AS (SELECT grp, count(*) AS n, count(*) FILTER (label) AS P, sum(k) FILTER (label) AS ranks FROM r GROUP BY grp), s AS (SELECT grp, p_yes, count(*) FILTER (label) AS pos, count(*) AS c FROM b GROUP BY grp, p_yes),
+    u AS (SELECT grp, pos, sum(pos) OVER w AS tp, sum(c) OVER w AS taken FROM s WINDOW w AS (PARTITION BY grp ORDER BY p_yes DESC)), v AS (SELECT grp, sum(pos * tp / taken) AS area FROM u GROUP BY grp),
+    f AS (SELECT grp, count(*) AS n, count(parsed) AS n_parsed, count(*) FILTER (parsed AND label) AS tp, count(*) FILTER (parsed) AS pp, count(*) FILTER (parsed IS NOT NULL AND label) AS pos FROM g GROUP BY grp),
+    q AS (SELECT *, CASE WHEN pp = 0 THEN 0.0 ELSE tp / pp END AS pr, CASE WHEN pos > 0 THEN tp / pos END AS re FROM f)
+    SELECT grp, q.n, n_parsed, n_parsed AS n_scored, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pos > 0 THEN CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END END, 6) AS f1,
+    round(CASE WHEN P > 0 AND a.n > P THEN (ranks - P * (P + 1) / 2.0) / P / (a.n - P) END::DOUBLE, 6) AS auroc, round(CASE WHEN P > 0 THEN area / P END, 6) AS auprc,
+    round(CASE WHEN P > 0 THEN round(area / P, 6) / (P / a.n) END, 6) AS lift FROM q LEFT JOIN a USING (grp) LEFT JOIN v USING (grp)""")
+def metric_blocks(spark, d):
+    return E.metric_block(E.with_groups(B.evaluations(spark, d), "en"), "grp")
+
+
+@query("""SELECT superclass, count(*) AS n, round(avg(n_tokens), 6) AS mean_tokens, round(quantile_cont(n_tokens, 0.5)::DOUBLE, 6) AS p50_tokens, round(quantile_cont(n_tokens, 0.95)::DOUBLE, 6) AS p95_tokens, max(n_tokens) AS max_tokens,
+    round(100 * avg((n_tokens < 2000)::INT), 6) AS closed_percent, round(100 * avg((parsed IS NULL)::INT), 6) AS unparsed_percent, count(*) FILTER (p_yes > 0.9) AS impure FROM evals GROUP BY superclass""")
+def run_summaries(spark, d):
+    runs = B.evaluations(spark, d).select("superclass", "n_tokens", (F.col("n_tokens") < 2000).alias("closed"), "parsed", F.when(F.col("p_yes") > 0.9, "impure").otherwise("clean").alias("status"))
+    return E.run_summary(runs, "superclass")
+
+
+@query("""SELECT c.condition, count(e.ecg_id) AS n, count(e.ecg_id) - count(parsed) AS unparsed, round(CASE WHEN count(parsed) > 0 THEN count(*) FILTER (parsed) / count(parsed) END, 6) AS yes_rate, round(coalesce(avg(n_tokens), 0.0), 6) AS mean_tokens
+    FROM (SELECT DISTINCT superclass AS condition FROM evals WHERE superclass IS NOT NULL UNION SELECT 'zeroed') c LEFT JOIN evals e ON superclass = condition GROUP BY c.condition""")
+def condition_summaries(spark, d):
+    runs = B.evaluations(spark, d).withColumnRenamed("superclass", "condition")
+    named = runs.where("condition IS NOT NULL").select("condition").unionAll(spark.createDataFrame([("zeroed",)], "condition string"))
+    return E.condition_summary(runs, named)
+
+
+@query("""SELECT b.bucket, round(avg(value), 6) AS mean_loss, count(value) AS n_positions, count(DISTINCT user_id) AS n_examples FROM (VALUES ('0-9', 0, 10), ('10-24', 10, 25), ('25-49', 25, 50), ('50-99', 50, 100), ('100+', 100, 1000000000)) b(bucket, low, high)
+    LEFT JOIN (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) ON pos >= low AND pos < high GROUP BY b.bucket""")
 def position_buckets(spark, d):
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return E.position_means(B.table(spark, d, "events").select(F.col("user_id").alias("key"), at.alias("position"), F.col("value").alias("loss")))
@@ -272,12 +333,15 @@ def token_length_percentiles(spark, d):
     return E.token_percentiles(B.table(spark, d, "documents").select("n_chars"), "n_chars", 4096)
 
 
-@query("""SELECT superclass AS what, round(avg(loss), 6) AS measured, CASE WHEN superclass = 'en' THEN 2.4 ELSE 2.3 END::DOUBLE AS threshold,
-    CASE WHEN count(*) >= 8 THEN CASE WHEN superclass = 'en' THEN avg(loss) < 2.4 ELSE avg(loss) <= 2.3 END END AS ok FROM evals WHERE ecg_id % 10 = 0 GROUP BY superclass""")
+@query("""SELECT * FROM (SELECT count(*) AS n, avg(loss) AS l, avg((n_tokens < 2000)::INT) AS c, abs(avg(n_tokens) - avg(1000.0 * loss + 10)) / avg(1000.0 * loss + 10) AS off, avg(coalesce(parsed = label, false)::INT) AS m,
+    count(*) FILTER (label) AS ny, count(*) FILTER (NOT label) AS nn, avg(p_yes / 5) FILTER (label) AS dy, avg(p_yes / 5) FILTER (NOT label) AS dn, avg(p_yes / 10) FILTER (label) AS ry, avg(p_yes / 10) FILTER (NOT label) AS rn,
+    count(*) FILTER (label AND NOT parsed) AS oy, count(*) FILTER (NOT label AND parsed) AS xn, avg(loss) FILTER (label AND NOT parsed) - avg(p_yes / 10) FILTER (label AND NOT parsed) AS gy, avg(loss) FILTER (NOT label AND parsed) - avg(p_yes / 10) FILTER (NOT label AND parsed) AS gn FROM evals) a,
+    LATERAL (VALUES (1, 'mean loss', n, round(l, 6), l < 1.5), (2, 'closed', n, round(c, 6), c >= 0.9), (2, 'length', n, round(off, 6), off <= 0.25), (2, 'matches label', n, round(m, 6), m >= 0.9), (3, 'decision loss, yes', ny, round(dy, 6), dy < 0.1), (3, 'decision loss, no', nn, round(dn, 6), dn < 0.1),
+    (4, 'real loss, yes', ny, round(ry, 6), ry < 0.1), (4, 'real loss, no', nn, round(rn, 6), rn < 0.1), (4, 'shuffled gap, yes', oy, round(gy, 6), CASE WHEN oy >= 8 THEN gy >= 0.5 END), (4, 'shuffled gap, no', xn, round(gn, 6), CASE WHEN xn >= 8 THEN gn >= 0.5 END)) v(condition, what, rows, measured, ok)""".replace("SELECT * FROM", "SELECT condition, what, v.rows AS n, measured, coalesce(ok, what LIKE 'shuffled%' AND NULL) AS ok FROM", 1))
 def gate_verdicts(spark, d):
-    rows = B.evaluations(spark, d).where("ecg_id % 10 = 0").groupBy(F.col("superclass").alias("what")).agg(F.avg("loss").alias("measured"), F.count("*").alias("n_rows"))
-    strict = F.col("what") == "en"
-    return E.verdicts(rows.withColumn("strict", strict).withColumn("threshold", F.when(strict, 2.4).otherwise(2.3)))
+    e = B.evaluations(spark, d)
+    x = e.select("label", "loss", (F.col("n_tokens") < 2000).alias("closed"), F.col("n_tokens").alias("n_generated"), (1000.0 * F.col("loss") + 10).alias("n_target"), "parsed", (F.col("p_yes") / 5).alias("decision_loss"), (F.col("p_yes") / 10).alias("real_loss"), F.col("loss").alias("shuffled_loss"), F.col("parsed").alias("donor_label"))
+    return E.gate(x, 1.5)
 
 
 _REPORTS = "reports AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN '  4.46   unbestÄtigter bericht' WHEN 1 THEN ' (NORM 100, IVCB)' WHEN 2 THEN ' Edit: NORM 80' ELSE '' END AS report FROM documents)"
@@ -288,7 +352,7 @@ def _reports(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), end).alias("report"))
 
 
-@query(rf""", {_REPORTS}, a AS (SELECT doc_id, report, regexp_replace(report, '\s*(?:\d+(?:[.,]\d+)?\s+)?unbest[a-zÄä]*tigter\s+bericht', '', 'gi') AS b FROM reports),
+@query(rf""", {_REPORTS}, a AS (SELECT doc_id, report, regexp_replace(report, '\s*(?:\d+(?:[.,]\d+)?\s+)?unbest[\p{{L}}\p{{M}}\p{{N}}_]*tigter\s+bericht', '', 'gi') AS b FROM reports),
     b AS (SELECT *, regexp_replace(b, '\s*\([^)]*[A-Z]{{2,}}[^)]*\)', '', 'g') AS c FROM a),
     c AS (SELECT *, trim(regexp_replace(regexp_replace(c, '(?is)\s*\bEdit:.*$', ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS e FROM b)
     SELECT doc_id, CASE WHEN length(e) >= 15 THEN e ELSE '' END AS text, length(e) >= 15 AS usable, report <> b AS had_boilerplate, b <> c AS had_labels, regexp_matches(c, '(?i)\bEdit:') AS had_edit FROM c""")
@@ -318,13 +382,13 @@ def student_prompts(spark, d):
     ELSE 'Step 1: look at the rate' || chr(10) || 'Step 2: look at the axis' || chr(10) || 'Step 3: decide' END AS reasoning, CASE WHEN gone THEN NULL WHEN (ecg_id + k) % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS removed_steps
     FROM (SELECT *, superclass = 'MI' AND ecg_id % 11 = 0 AS gone FROM grid)""")
 def parsed_responses(spark, d):
-    return P.parsed(P.responses(_grid(spark, d)))
+    return P.parsed(responses(_grid(spark, d)))
 
 
 @query("""SELECT count(*) FILTER (gone) AS missing, count(*) FILTER (NOT gone AND superclass = 'CD' AND ecg_id % 13 = 0) AS unparseable, count(*) FILTER (superclass = 'HYP' AND ecg_id % 7 = 0) AS leak_blocks,
     count(DISTINCT ecg_id) FILTER (ecg_id % 7 = 0) AS leak_records, count(*) FILTER (NOT gone AND (ecg_id + k) % 5 = 0) AS stripped_steps FROM (SELECT *, superclass = 'MI' AND ecg_id % 11 = 0 AS gone FROM grid)""")
 def response_audit(spark, d):
-    p = P.parsed(P.responses(_grid(spark, d)))
+    p = P.parsed(responses(_grid(spark, d)))
     leaks = F.col("evidence_leaks") > 0
     return p.agg(
         F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "unparseable").alias("unparseable"), F.count_if(leaks).alias("leak_blocks"),
@@ -345,7 +409,7 @@ def class_mean_vectors(spark, d):
 @query(""", x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), m AS (SELECT dim, avg(x) AS m FROM x WHERE vec_id % 10 < 8 GROUP BY dim)
     SELECT vec_id, round(sqrt(sum(x * x)), 5) AS norm, round(sqrt(sum((x - m) * (x - m))), 5) AS centred_norm FROM x JOIN m USING (dim) GROUP BY vec_id""")
 def centred_norms(spark, d):
-    return V.centred_norms(B.table(spark, d, "embeddings"))
+    return V.centred_norms(B.table(spark, d, "embeddings"), F.col("vec_id") % 10 < 8)
 
 
 @query(""", x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), s AS (SELECT label, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM x GROUP BY label, dim)
@@ -531,3 +595,65 @@ def reword_counts(spark, d):
     rules = [r[0] for r in Q.RULES]
     totals = _cited(spark, d).agg(*[F.sum(F.col("rewrites")[r].cast("long")).alias(r) for r in rules])
     return totals.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rewrites")) for r in rules])).alias("x")).select("x.*").where("rewrites > 0")
+
+
+@query("""SELECT doc_id, CASE WHEN position(chr(10) IN coalesce(text, '')) > 0 THEN position(chr(10) IN text) - 1 ELSE length(coalesce(text, '')) END::BIGINT AS kept, greatest(1, length(text) // 4)::BIGINT AS estimate FROM documents WHERE text IS NOT NULL""")
+def trimmed_tokens(spark, d):
+    """Characters as tokens, newline as the end."""
+    docs = B.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    ids = F.transform(F.array_compact(F.split("text", "")), lambda c: F.ascii(c).cast("bigint"))
+    return docs.select("doc_id", F.size(K.trim_generated(F.when(F.col("text") == "", F.array().cast("array<bigint>")).otherwise(ids), [10])).cast("long").alias("kept"), T.token_estimate(F.col("text")).cast("long").alias("estimate"))
+
+
+@query("""SELECT conv_id, CAST(sum(n) AS BIGINT) AS padded, CAST(sum(m - n) AS BIGINT) AS filler FROM (SELECT conv_id, len(string_split(text, ' ')) AS n, max(len(string_split(text, ' '))) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY conv_id""")
+def padded_turns(spark, d):
+    """Turns of a conversation as a batch, padded to its longest."""
+    c = B.table(spark, d, "conversations").select("conv_id", F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("ids"))
+    width = c.groupBy("conv_id").agg(F.max(F.size("ids")).alias("width"))
+    mask = K.attention(F.col("ids"), F.col("width"))
+    ones = F.aggregate(mask, F.lit(0).cast("bigint"), lambda t, x: t + x)
+    return c.join(width, "conv_id").select("conv_id", ones.alias("n"), (F.size(mask) - ones).alias("f")).groupBy("conv_id").agg(F.sum("n").alias("padded"), F.sum("f").alias("filler"))
+
+
+@query("SELECT doc_id, coalesce(text, '') LIKE '%lead type%' OR lower(coalesce(text, '')) LIKE '%lead type%' AS lead_type, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[^.;\n]*[.;\n]|[^.;\n]+'), lambda x: x <> '')) AS BIGINT) AS sentences FROM documents")
+def sentence_marks(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return B.table(spark, d, "documents").select("doc_id", T.has_lead_type(F.col("text")).alias("lead_type"), F.size(T.sentences(t)).cast("long").alias("sentences"))
+
+
+@query("SELECT pattern, count(*) AS hits, count(*) AS blocks, count(DISTINCT ecg_id) AS records FROM (SELECT ecg_id, unnest(CASE WHEN superclass = 'HYP' AND ecg_id % 7 = 0 THEN ['the report'] WHEN (ecg_id + k) % 5 = 0 THEN ['known answer'] ELSE [] END || CASE WHEN superclass = 'HYP' AND ecg_id % 7 = 0 AND (ecg_id + k) % 5 = 0 THEN ['known answer'] ELSE [] END) AS pattern FROM grid WHERE NOT (superclass = 'MI' AND ecg_id % 11 = 0)) GROUP BY pattern")
+def leak_patterns(spark, d):
+    return P.leak_counts(P.leaks(responses(_grid(spark, d))))
+
+
+@query("""SELECT ecg_id, 'header' AS split_method, CASE WHEN ecg_id % 11 = 0 THEN 'MI' ELSE '' END AS missing, CASE WHEN ecg_id % 13 = 0 THEN 'CD' ELSE '' END AS unparseable, ecg_id % 11 <> 0 AND ecg_id % 13 <> 0 AS ok FROM records""")
+def response_statuses(spark, d):
+    s = P.response_status(responses(_grid(spark, d)))
+    return s.select("ecg_id", "split_method", F.array_join("missing", ",").alias("missing"), F.array_join("unparseable", ",").alias("unparseable"), "ok")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, round(greatest(0.0, 1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))), 4) AS to_reversed FROM embeddings")
+def vector_distances(spark, d):
+    v = B.table(spark, d, "embeddings")
+    return v.select("vec_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"), F.round(V.cosine_distance(F.col("embedding"), F.reverse("embedding")), 4).alias("to_reversed"))
+
+
+@query("""SELECT problem, n FROM (SELECT 'repeated ids' AS problem, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL
+    SELECT 'rows not contiguous', (SELECT count(*) FROM (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(DISTINCT l_linenumber)))
+    UNION ALL SELECT 'repeated slots', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_suppkey, l_linenumber HAVING count(*) > 1)) UNION ALL SELECT 'missing ids', (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem))
+    UNION ALL SELECT 'shards too large', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_linenumber) > 6))) WHERE n > 0""")
+def cache_check(spark, d):
+    index = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("shard"), (F.col("l_linenumber") - 1).alias("row"))
+    return C.cache_problems(index, B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 6)
+
+
+@query(f"""SELECT d.superclass, d.label, count(*) AS n FROM grid d WHERE ecg_id IN (SELECT DISTINCT ecg_id FROM grid ORDER BY ecg_id LIMIT 100) AND superclass IN ('MI', 'CD') GROUP BY ALL""")
+def capped_records(spark, d):
+    return L.record_cap(_grid(spark, d), ["MI", "CD"], 100).groupBy("superclass", "label").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT stratum, count(*) AS n FROM (SELECT r.ecg_id, unnest(list_filter([CASE WHEN classes = ['NORM'] THEN 'normal only' END, CASE WHEN NOT list_contains(coalesce(classes, []), 'NORM') AND nd >= 2 THEN 'several abnormal' END, CASE WHEN low THEN 'low likelihood' END,
+    CASE WHEN NOT validated THEN 'not validated' END, CASE WHEN coalesce(n, 0) = 0 THEN 'no statements' END], lambda x: x IS NOT NULL)) AS stratum FROM records r LEFT JOIN (SELECT ecg_id, list(DISTINCT class) FILTER (diagnostic) AS classes, count(*) FILTER (diagnostic) AS nd, count(*) AS n,
+    coalesce(bool_or(diagnostic AND likelihood > 0 AND likelihood <= 50), false) AS low FROM statements GROUP BY ecg_id) s USING (ecg_id)) GROUP BY stratum""")
+def strata_sizes(spark, d):
+    return L.strata(B.manifest(spark, d)).groupBy("stratum").agg(F.count("*").alias("n"))

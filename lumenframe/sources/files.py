@@ -66,3 +66,102 @@ def write_json_lines(rows: DataFrame, path: str, key: str, overwrite: bool = Fal
     """Lines in order of the key over all files of the folder, by range and not through one task; refuses a folder that exists unless told to overwrite."""
     ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
     ordered.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", "false").json(path)
+
+
+# --- waveform files, label names, metrics -------------------------------------------------------------------------
+
+#: The two ways in which a record's files are named under the root, and what a record needs.
+LAYOUTS, PARTS = ["{root}/{file}", "{root}/{name}"], [".dat", ".hea"]
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Paths (below root, without their last suffix) and suffixes of all files; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + root.rstrip("/").replace(".", r"\\.") + "/", "")
+    return files.select(F.regexp_replace(below, r"\.[^./]*$", "").alias("stem"), F.regexp_extract(below, r"(\.[^./]*)$", 1).alias("suffix"))
+
+
+def located(records: DataFrame, files: DataFrame) -> DataFrame:
+    """records (ecg_id, filename, ..) with `stem`: as named, else its base name, whichever has all PARTS first; null if neither has."""
+    whole = files.where(F.col("suffix").isin(PARTS)).groupBy("stem").agg(F.count_distinct("suffix").alias("_n")).where(F.col("_n") == len(PARTS)).select("stem")
+    first, second = whole.select(F.col("stem").alias("_named")), whole.select(F.col("stem").alias("_flat"))
+    joined = records.join(first, F.col("filename") == F.col("_named"), "left").join(second, F.substring_index("filename", "/", -1) == F.col("_flat"), "left")
+    return joined.withColumn("stem", F.coalesce("_named", "_flat")).drop("_named", "_flat")
+
+
+def missing_files(found: DataFrame, order: str) -> DataFrame:
+    """Every record without its files, in input order."""
+    return found.where(F.col("stem").isNull()).drop("stem").orderBy(order)
+
+
+def with_files_and_labels(found: DataFrame, labels: str) -> DataFrame:
+    return found.where(F.col("stem").isNotNull() & (F.size(labels) > 0))
+
+
+def record_path(found: DataFrame, ecg_id: int) -> str:
+    """The stem of one record; KeyError if there is no such record, FileNotFoundError if it has no files."""
+    row = found.where(F.col("ecg_id") == ecg_id).select("stem").head()
+    if row is None:
+        raise KeyError(ecg_id)
+    if row["stem"] is None:
+        raise FileNotFoundError(f"record {ecg_id} has no files")
+    return row["stem"]
+
+
+def label_names(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(ord, name): names of a small CSV in file order, numbered from 0. One file, read in one task."""
+    lines = spark.read.csv(path, header=True).select(F.col(column).alias("name"), F.monotonically_increasing_id().alias("_at"))
+    return lines.coalesce(1).select(F.monotonically_increasing_id().cast("int").alias("ord"), "name")
+
+
+def without(rows: DataFrame, ids: list[int], key: str) -> DataFrame:
+    """rows without the listed ids (a short list, a literal of the plan); rows without a key stay."""
+    return rows.where(F.coalesce(~F.col(key).isin(ids), F.lit(True)))
+
+
+def embedding_of(cache: DataFrame, index: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, embedding) of the ids that have a slot; cache: shard, row, embedding; only shards that are named are read."""
+    slots = index.join(ids.select("id").distinct(), "id", "left_semi")
+    return cache.join(slots, ["shard", "row"]).select("id", "embedding")
+
+
+def inner_codes(facts: DataFrame, key: str, field: str, codes: DataFrame) -> DataFrame:
+    """One row a record and code of its map that the codebook has; other codes are left out."""
+    return facts.select(key, F.explode(field).alias("code", "likelihood")).join(codes, "code")
+
+
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """A summary as JSON lines, nulls kept; the folder must be new."""
+    rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+
+
+def write_by_condition(rows: DataFrame, path: str, *conditions: str) -> None:
+    """A folder for each combination of conditions, so that no two share a file; a null condition is an error."""
+    filled = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null")).cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in conditions]
+    others = [c for c in rows.columns if c not in conditions]
+    rows.select(*others, *filled).write.mode("errorifexists").partitionBy(*conditions).parquet(path)
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions (those with _SUCCESS) under root, ascending."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
+
+
+def write_version(rows: DataFrame, root: str, keep: int = 2, best: int | None = None) -> int:
+    """Writes the next version and prunes all but the newest `keep` and the best; returns its number. A version counts only when it is whole."""
+    spark = rows.sparkSession
+    have = versions(spark, root)
+    new = (have[-1] if have else 0) + 1
+    rows.write.mode("overwrite").parquet(f"{root}/v{new}")
+    jvm = spark.sparkContext._jvm
+    for v in [*have, new][:-keep]:
+        if v != best:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/v{v}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return new

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: below spark.checkpoint.dir, or a local one where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder where all executors can write: below spark.checkpoint.dir or the checkpoint folder set, or, with a local master only, a temporary one."""
+    sc = spark.sparkContext
+    set_already = sc._jsc.sc().getCheckpointDir()
+    top = sc.getConf().get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
+    if not top:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.gettempdir()
     return f"{top.rstrip('/')}/ingest-{uuid.uuid4().hex}"
 
 

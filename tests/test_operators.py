@@ -67,7 +67,9 @@ def test_draws_and_cycles(spark):
 
 def test_overlay_and_sets(spark):
     full, new = spark.createDataFrame([(1, "a"), (2, None)], "id long, t string"), spark.createDataFrame([(2, "B"), (3, "C"), (1, None)], "id long, t string")
-    assert sorted(map(tuple, R.overlay(full, new, "id").collect())) == [(1, None), (2, "B")]
+    assert sorted(map(tuple, R.overlay(full, new.where("id < 3"), "id").collect())) == [(1, None), (2, "B")]
+    with pytest.raises(Exception, match="not in the full set: 3"):
+        R.overlay(full, new, "id").collect()
     assert sorted(map(tuple, R.set_difference(full, new, "id").collect())) == [(3, "right")]
     assert not R.multiset_equality(full, new).collect()[0].equal and R.multiset_equality(full, full).collect()[0].equal
 
