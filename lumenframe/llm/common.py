@@ -47,13 +47,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
 HOT, SPREAD = 100_000, 64
 
 
-def join_unique(table: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", hot: int | None = None) -> DataFrame:
+def is_crowded(counts: DataFrame, column: str) -> bool:
+    """Whether some key has more than HOT rows; counts: rows by key."""
+    return not counts.where(F.col(column) > HOT).isEmpty()
+
+
+def join_unique(table: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", crowded: bool = True) -> DataFrame:
     """table joined with `other`, which has each key at most once; a key may be in a third of table's rows.
 
-    Rows of a hot key are dealt over SPREAD tasks by their other columns, and the one row of `other` is copied to each.
-    There are at most (rows of table) / HOT such keys, so what is broadcast is small beside the table.
+    Where no key is crowded (is_crowded of table's counts) this is a plain join.  Else rows of a hot key are dealt over
+    SPREAD tasks by their other columns, and the one row of `other` is copied to each.  There are at most
+    (rows of table) / HOT such keys, so what is broadcast is small beside the table.
     """
-    hot_keys = table.groupBy(*keys).count().where(F.col("count") > (HOT if hot is None else hot)).select(*keys, F.lit(True).alias("_hot"))
+    if not crowded:
+        return table.join(other, keys, how)
+    hot_keys = table.groupBy(*keys).count().where(F.col("count") > HOT).select(*keys, F.lit(True).alias("_hot"))
     others = [c for c in table.columns if c not in keys]
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(others or keys)), F.lit(SPREAD))).otherwise(0).cast("int")
     dealt = table.join(F.broadcast(hot_keys), keys, "left").withColumn("_salt", salt).drop("_hot")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import LOWER, SPACE, U, WORDS, join_unique, longs, mix, own_columns, prefix_sums, save, spans, text_slices, windows, word_bounds, word_hashes
+from lumenframe.llm.common import LOWER, SPACE, U, WORDS, is_crowded, join_unique, longs, mix, own_columns, prefix_sums, save, spans, text_slices, windows, word_bounds, word_hashes
 from lumenframe.llm.components import components
 from lumenframe.llm.repeats import each_window
 from lumenframe.llm.sketch import BITS, counted, members
@@ -127,8 +127,8 @@ def band(n: str, percent: int) -> Column:
 
 def ties(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): b has a prefix shingle in common with a, the least document of its band or of the band before. rows: token, band, doc, n."""
-    leaders = save(rows.groupBy("token", "band").agg(F.min("doc").alias("a"), F.max("doc").alias("last"), F.min("n").alias("least"), F.max("n").alias("most")), "leaders")
-    members = join_unique(rows.select("token", "band", "doc"), leaders.where("a < last").select("token", "band", "a"), ["token", "band"])
+    leaders = save(rows.groupBy("token", "band").agg(F.min("doc").alias("a"), F.max("doc").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets")), "leaders")
+    members = join_unique(rows.select("token", "band", "doc"), leaders.where("a < last").select("token", "band", "a"), ["token", "band"], crowded=is_crowded(leaders, "sets"))
     before = leaders.select("token", (F.col("band") + 1).alias("band"), F.col("a").alias("lower"), F.col("most").alias("lower_most"))
     steps = leaders.join(before, ["token", "band"]).where(f"{percent} * least <= 100 * lower_most").select(F.col("lower").alias("a"), F.col("a").alias("b"))
     return members.select("a", F.col("doc").alias("b")).unionAll(steps).where("a <> b").distinct()
@@ -271,19 +271,19 @@ def block_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _parts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and `parts`: in how many blocks of about BLOCK shingles the sets of each key fit."""
-    return rows.groupBy(*keys).agg(F.ceil(F.sum(F.col("n") + PER_SET) / BLOCK).cast("int").alias("parts"))
+    """keys, `sets` and `parts`: in how many blocks of about BLOCK shingles the sets of each key fit."""
+    return rows.groupBy(*keys).agg(F.ceil(F.sum(F.col("n") + PER_SET) / BLOCK).cast("int").alias("parts"), F.count("*").alias("sets"))
 
 
 def _part(rows: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
     """rows with the block of each set, by its hash."""
-    return join_unique(rows, parts, keys).withColumn("part", F.pmod(F.xxhash64("doc", "one"), F.col("parts")).cast("int"))
+    return join_unique(rows, parts.drop("sets"), keys, crowded=is_crowded(parts, "sets")).withColumn("part", F.pmod(F.xxhash64("doc", "one"), F.col("parts")).cast("int"))
 
 
 def _leader_blocks(inside: DataFrame, tied: DataFrame) -> DataFrame:
     """Each set of a large component with its leader and others of that leader: (doc, one, n, connected, task, low, high, side)."""
     leaders = tied.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("task"))
-    led = join_unique(inside, leaders, ["doc"], "left").withColumn("task", F.coalesce("task", "doc"))
+    led = inside.join(leaders, "doc", "left").withColumn("task", F.coalesce("task", "doc"))
     parts = save(_parts(led, ["task"]), "parts")
     own = _part(led, parts, ["task"]).select("doc", "one", "n", "task", F.col("part").alias("low"))
     heads = inside.join(parts, inside["doc"] == parts["task"]).select("doc", "one", "n", "task", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"))
@@ -296,7 +296,7 @@ def _shingle_blocks(rows: DataFrame, percent: int) -> DataFrame:
         F.min("connected").alias("c"), F.max("connected").alias("d"), F.count("*").alias("m"), F.sum(F.xxhash64("doc", "one") % (1 << 40)).alias("x"), F.sum(F.xxhash64("one", "doc") % (1 << 40)).alias("y")
     )
     open_tokens = signed.where("c < d").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")  # shingles of equal sets do once
-    rows = save(join_unique(rows, open_tokens, ["token"]), "open")
+    rows = save(join_unique(rows, open_tokens, ["token"], crowded=is_crowded(signed, "m")), "open")
     parts = save(_parts(rows, ["token", "band"]), "parts")
     rows = save(_part(rows, parts, ["token", "band"]), "open-parts")
     blocks = rows.groupBy("token", "band", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -335,19 +335,20 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int)
     rows = save(rows, "prefixes")
     tied = save(ties(rows, percent), "ties")
     of = components(tied)
-    inside = save(join_unique(classes, of.toDF("doc", "component"), ["doc"]), "candidates")
+    inside = save(classes.join(of.toDF("doc", "component"), "doc"), "candidates")
     sets = save(candidate_sets(docs, inside, n, bits), "sets")
-    size = _parts(inside, ["component"])
-    whole = join_unique(inside, size.where("parts = 1"), ["component"]).select("doc", "one", "n", F.col("doc").alias("connected"), F.col("component").alias("task"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+    size = save(_parts(inside, ["component"]), "sizes")
+    crowded = is_crowded(size, "sets")
+    whole = join_unique(inside, size.where("parts = 1").drop("sets"), ["component"], crowded=crowded).select("doc", "one", "n", F.col("doc").alias("connected"), F.col("component").alias("task"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
     found = block_links(whole.join(sets, ["doc", "one"]), percent)
-    large = save(join_unique(inside, size.where("parts > 1"), ["component"]).select("doc", "one", "n"), "large")
-    if large.isEmpty():
+    if size.where("parts > 1").isEmpty():
         return found
+    large = save(join_unique(inside, size.where("parts > 1").drop("sets"), ["component"], crowded=crowded).select("doc", "one", "n"), "large")
     led = _leader_blocks(large, tied)
     near = save(block_links(led.withColumn("high", F.col("low")).join(sets, ["doc", "one"]), percent), "near-links")
     groups = components(near).toDF("doc", "connected")
-    members_of = join_unique(large, groups, ["doc"], "left").select("doc", "one", F.coalesce("connected", "doc").alias("connected"))
-    left = join_unique(rows.join(large.select("doc").distinct(), "doc", "left_semi"), members_of, ["doc", "one"])
+    members_of = large.join(groups, "doc", "left").select("doc", "one", F.coalesce("connected", "doc").alias("connected"))
+    left = rows.drop("n").join(large, ["doc", "one"]).join(members_of, ["doc", "one"])
     return found.unionAll(near).unionAll(block_links(_shingle_blocks(left, percent).join(sets, ["doc", "one"]), percent))
 
 
@@ -358,15 +359,17 @@ def near_duplicates(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int =
     rows = save(set_classes(docs, n), "set-names")
     key = ["n_shingles", "one", "two"]
     worded = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = worded.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = save(worded.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    crowded = is_crowded(classes, "rows")
     # sets that nobody else has, wordless ones too, stand under their own doc_id
-    named = join_unique(worded, classes, key).select("doc_id", "n_shingles", "rep").unionAll(rows.where("doc_id IS NOT NULL AND n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
-    named = save(named, "named")
-    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a")
-    same_document = join_unique(named, several, ["doc_id"]).select("a", F.col("rep").alias("b")).distinct()
-    linked = links(known, classes.select(F.col("rep").alias("doc"), "one", F.col("n_shingles").alias("n")), n, percent, bits)
-    found = components(linked.unionAll(same_document)).toDF("rep", "component_id")
-    out = join_unique(named, found, ["rep"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    named = join_unique(worded, classes.drop("rows"), key, crowded=crowded).select("doc_id", "n_shingles", "rep")
+    named = save(named.unionAll(rows.where("doc_id IS NOT NULL AND n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "named")
+    several = save(named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a"), "several")
+    edges = links(known, classes.select(F.col("rep").alias("doc"), "one", F.col("n_shingles").alias("n")), n, percent, bits)
+    if not several.isEmpty():  # all sets of a document are in one component
+        edges = edges.unionAll(join_unique(named, several, ["doc_id"]).select("a", F.col("rep").alias("b")).distinct())
+    found = components(edges).toDF("rep", "component_id")
+    out = join_unique(named, found, ["rep"], "left", crowded).select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     return out.unionAll(rows.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from lumenframe.llm import ngram_join as J
 from lumenframe.llm import components as C
+from lumenframe.llm import common
 from lumenframe.llm.common import join_unique
 from lumenframe.llm.components import components
 
@@ -79,13 +80,14 @@ def test_contraction(spark, monkeypatch):
     assert saved.count("edges") <= 13 and len(saved) <= 40  # O(log n) rounds, not 3,000
 
 
-def test_a_hot_key_joins_like_any(spark):
+def test_a_hot_key_joins_like_any(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 50)
     rows = [(1, i, None if i % 7 else "x") for i in range(300)] + [(2, 1, "y"), (3, 1, "z")]
     other = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     table = spark.createDataFrame(rows, "k long, i long, s string")
-    got = sorted((r.k, r.i, r.v or "") for r in join_unique(table, other, ["k"], "left", hot=50).collect())
+    got = sorted((r.k, r.i, r.v or "") for r in join_unique(table, other, ["k"], "left").collect())
     assert got == sorted((k, i, {1: "a", 2: "b"}.get(k, "")) for k, i, _ in rows)
-    assert join_unique(table, other, ["k"], hot=50).count() == 301
+    assert join_unique(table, other, ["k"]).count() == 301
 
 
 def test_rows_that_share_a_doc_id(spark):
@@ -105,6 +107,7 @@ def test_rows_that_share_a_doc_id(spark):
 
 def test_a_large_group_of_near_copies_and_a_very_long_text(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 3000)
+    monkeypatch.setattr(common, "HOT", 20)
     r = random.Random(5)
     base = [f"w{i}" for i in range(80)]
     docs = [(i, " ".join(w if r.random() < 0.98 else "new" for w in base)) for i in range(150)]
