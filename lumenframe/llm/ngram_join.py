@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import LOWER, SPACE, U, WORDS, is_crowded, join_unique, longs, mix, own_columns, prefix_sums, save, spans, text_slices, windows, word_bounds, word_hashes
 from lumenframe.llm.components import components
 from lumenframe.llm.repeats import each_window
-from lumenframe.llm.sketch import BITS, counted, members
+from lumenframe.llm.sketch import BITS, counted, members, releasing
 
 WORDS_PER_SHINGLE, PERCENT, FREQUENT = 4, 85, 32
 BLOCK, PER_SET = 120_000, 100  # shingles in a block, each set counting as so many more
@@ -117,7 +117,7 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
                 one = _sums(mix(values), bounds).view(np.int64)
                 yield pa.record_batch([pa.array(values[sent].view(np.int64)), pa.array(ids[i:j][row[sent]]), pa.array(one[row[sent]]), pa.array(size[row[sent]])], names=["token", "doc", "one", "n"])
 
-    return docs.mapInArrow(run, "token long, doc long, one long, n long")
+    return docs.mapInArrow(releasing(run), "token long, doc long, one long, n long")
 
 
 def band(n: str, percent: int) -> Column:
@@ -326,7 +326,7 @@ def candidate_sets(docs: DataFrame, inside: DataFrame, n: int, bits: int) -> Dat
                     sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     yield pa.record_batch([pa.array(ids[keep][i:j]), pa.array(one), pa.array(sets, pa.binary())], names=["doc", "one", "tokens"])
 
-    return docs.mapInArrow(run, "doc long, one long, tokens binary").join(inside.select("doc", "one"), ["doc", "one"], "left_semi").dropDuplicates(["doc", "one"])
+    return docs.mapInArrow(releasing(run), "doc long, one long, tokens binary").join(inside.select("doc", "one"), ["doc", "one"], "left_semi").dropDuplicates(["doc", "one"])
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int) -> DataFrame:

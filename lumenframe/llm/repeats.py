@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import U, longs, mix, save, sliding_min, text_slices, windows
-from lumenframe.llm.sketch import BITS, repeated
+from lumenframe.llm.sketch import BITS, repeated, releasing
 
 FOUND = "kind int, seed long, name long, doc long, key long, start int, n int"
 _FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
@@ -279,7 +279,7 @@ class Search:
                         yield from local.add(picked)
             yield from local.flush()
 
-        return docs.mapInArrow(run, FOUND)
+        return docs.mapInArrow(releasing(run), FOUND)
 
     def ranked(self, found: DataFrame, settle: Callable, *key: str) -> DataFrame:
         # what is covered already goes anywhere: only what is still to be compared meets by its key
