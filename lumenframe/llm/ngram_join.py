@@ -8,17 +8,20 @@ least percent / 100.
 2. Shingles have one global order: unique first, then repeated, then frequent
    (by a merged sketch, so that any task orders alike), then by fingerprint.
    Linked sets share one of the first |s| - ceil(percent * |s| / 100) + 1
-   shingles of each; unique ones can't be it and aren't sent.  Sizes fall into
-   bands so wide that linked sets are in one band or in neighbouring ones: sets
-   with a prefix shingle in common are tied to the least of their band, and
-   that one to the least of the next band.
+   shingles of each, and in the smaller set it is even one of the first |s| -
+   ceil(2 * percent * |s| / (100 + percent)) + 1, the early ones; unique
+   shingles can't be it and aren't sent.  Sizes fall into bands so wide that
+   linked sets are in one band or in neighbouring ones: for each prefix shingle
+   a set is tied to the least set that has it early, in its own band and in the
+   band below, if such a set can be small enough and not too small for a link.
 3. Components of these ties hold every link.  One of at most BLOCK shingles is
    joined by one task.  In a larger one, first each set meets its leader (the
    least it is tied to) and other sets of that leader, in blocks: near copies
    are connected by this already.  Then only prefix shingles whose sets are not
    all connected remain; the sets of each are joined by blocks and pairs of
-   blocks, those of equal members once.  So work follows candidates, and a
-   large group of near copies costs what it has rows, not its pairs.
+   blocks, those of equal members once, and only sets that have the shingle
+   early are stored.  So work follows candidates, and a large group of near
+   copies costs what it has rows, not its pairs.
 4. A task stores one block's sets in a trie, the commonest shingles first, so
    that sets share paths.  Each set of the other block walks down: the overlap
    with a path is counted once for all sets below it; a subtree ends where the
@@ -92,7 +95,7 @@ def set_classes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """(token, doc, one, n): the shingles of each set's prefix that may be in another set; one: the set's fingerprint."""
+    """(token, doc, one, n, early): the shingles of each set's prefix that may be in another set; one: the set's fingerprint."""
 
     def every(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in text_slices(batch):
@@ -112,12 +115,13 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
                 order = np.lexsort((values, rank, row))
                 place = np.arange(len(values)) - bounds[row]
                 prefix = size - -(-percent * size // 100) + 1
-                sent = order[place < prefix[row]]
-                sent = sent[rank[sent] > 0]
+                first = size - -(-2 * percent * size // (100 + percent)) + 1
+                chosen = np.flatnonzero((place < prefix[row]) & (rank[order] > 0))
+                sent, early = order[chosen], place[chosen] < first[row[chosen]]
                 one = _sums(mix(values), bounds).view(np.int64)
-                yield pa.record_batch([pa.array(values[sent].view(np.int64)), pa.array(ids[i:j][row[sent]]), pa.array(one[row[sent]]), pa.array(size[row[sent]])], names=["token", "doc", "one", "n"])
+                yield pa.record_batch([pa.array(values[sent].view(np.int64)), pa.array(ids[i:j][row[sent]]), pa.array(one[row[sent]]), pa.array(size[row[sent]]), pa.array(early)], names=["token", "doc", "one", "n", "early"])
 
-    return docs.mapInArrow(releasing(run), "token long, doc long, one long, n long")
+    return docs.mapInArrow(releasing(run), "token long, doc long, one long, n long, early boolean")
 
 
 def band(n: str, percent: int) -> Column:
@@ -126,12 +130,16 @@ def band(n: str, percent: int) -> Column:
 
 
 def ties(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): b has a prefix shingle in common with a, the least document of its band or of the band before. rows: token, band, doc, n."""
-    leaders = save(rows.groupBy("token", "band").agg(F.min("doc").alias("a"), F.max("doc").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets")), "leaders")
-    members = join_unique(rows.select("token", "band", "doc"), leaders.where("a < last").select("token", "band", "a"), ["token", "band"], crowded=is_crowded(leaders, "sets"))
-    before = leaders.select("token", (F.col("band") + 1).alias("band"), F.col("a").alias("lower"), F.col("most").alias("lower_most"))
-    steps = leaders.join(before, ["token", "band"]).where(f"{percent} * least <= 100 * lower_most").select(F.col("lower").alias("a"), F.col("a").alias("b"))
-    return members.select("a", F.col("doc").alias("b")).unionAll(steps).where("a <> b").distinct()
+    """(a, b): b has a prefix shingle in common with a, the least document that has it early, of b's band or of the band below. rows: token, band, doc, n, early."""
+    early = lambda c: F.when(F.col("early"), F.col(c))
+    zones = save(rows.groupBy("token", "band").agg(F.min(early("doc")).alias("lead"), F.min(early("n")).alias("least"), F.max(early("n")).alias("most"), F.count("*").alias("sets")), "zones")
+    found, none = zones.where("lead IS NOT NULL"), F.lit(None).cast("long")
+    own = found.select("token", "band", F.col("lead").alias("own"), "least", none.alias("lower"), none.alias("most"))
+    below = found.select("token", (F.col("band") + 1).alias("band"), none.alias("own"), none.alias("least"), F.col("lead").alias("lower"), "most")
+    leads = own.unionAll(below).groupBy("token", "band").agg(*[F.max(c).alias(c) for c in ("own", "least", "lower", "most")])
+    met = join_unique(rows.select("token", "band", "doc", "n"), leads, ["token", "band"], crowded=is_crowded(zones, "sets"))
+    lead = F.explode(F.array(F.expr("CASE WHEN least <= n THEN own END"), F.expr(f"CASE WHEN {percent} * n <= 100 * most THEN lower END")))
+    return met.select(lead.alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
 
 
 # --- the trie -------------------------------------------------------------------------------------------------
@@ -255,16 +263,16 @@ def forest(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], stored:
 
 
 def block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (task, low, high, side, doc, n, connected, tokens): a task joins the sets of two blocks, or of one (side 0)."""
+    """(a, b) from rows (task, low, high, side, stored, doc, n, connected, tokens): sets of side 1, or else of side 0, walk through the stored ones of their task."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc", "ascending"), ("n", "ascending")])
         docs, sizes, connected = (table[c].to_numpy() for c in ("doc", "n", "connected"))
         side = table["side"].to_numpy()
         tokens = [np.frombuffer(x, U) for x in table["tokens"].to_pylist()]
-        own = np.flatnonzero(side == 0)
-        walking = np.flatnonzero(side == 1)
-        links = forest(docs, sizes, tokens, own, walking if len(walking) else own, percent, connected)
+        stored = np.flatnonzero(table["stored"].to_numpy())
+        walking = np.flatnonzero(side == side.max())
+        links = forest(docs, sizes, tokens, stored, walking, percent, connected)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return sets.groupBy("task", "low", "high").applyInArrow(run, "a long, b long")
@@ -287,31 +295,39 @@ def _leader_blocks(inside: DataFrame, tied: DataFrame) -> DataFrame:
     parts = save(_parts(led, ["task"]), "parts")
     own = _part(led, parts, ["task"]).select("doc", "one", "n", "task", F.col("part").alias("low"))
     heads = inside.join(parts, inside["doc"] == parts["task"]).select("doc", "one", "n", "task", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"))
-    return own.unionAll(heads).distinct().select("doc", "one", "n", F.col("doc").alias("connected"), "task", F.struct(F.lit(0).alias("band"), F.col("low").alias("part")).alias("low"), F.lit(0).alias("side"))
+    return own.unionAll(heads).distinct().select("doc", "one", "n", F.col("doc").alias("connected"), "task", "low", F.col("low").alias("high"), F.lit(0).alias("side"), F.lit(True).alias("stored"))
 
 
 def _shingle_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Sets under prefix shingles whose sets aren't all connected, by pairs of blocks. rows: token, band, doc, one, n, connected."""
+    """Sets under prefix shingles whose sets aren't all connected, by pairs of blocks. rows: token, band, doc, one, n, early, connected."""
+    early_n = F.when(F.col("early"), F.col("n"))
+    zones = save(rows.groupBy("token").agg(F.min(early_n).alias("least"), F.max(early_n).alias("most"), F.count("*").alias("sets")), "zones")
+    crowded = is_crowded(zones, "sets")
+    near = join_unique(rows, zones.where("least IS NOT NULL").drop("sets"), ["token"], crowded=crowded)
+    rows = save(near.where(f"early OR (least <= n AND {percent} * n <= 100 * most)").drop("least", "most"), "near")
     signed = rows.groupBy("token").agg(
-        F.min("connected").alias("c"), F.max("connected").alias("d"), F.count("*").alias("m"), F.sum(F.xxhash64("doc", "one") % (1 << 40)).alias("x"), F.sum(F.xxhash64("one", "doc") % (1 << 40)).alias("y")
+        F.min("connected").alias("c"), F.max("connected").alias("d"), F.count("*").alias("m"), F.sum(F.xxhash64("doc", "one", "early") % (1 << 40)).alias("x"), F.sum(F.xxhash64("one", "early", "doc") % (1 << 40)).alias("y")
     )
     open_tokens = signed.where("c < d").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")  # shingles of equal sets do once
-    rows = save(join_unique(rows, open_tokens, ["token"], crowded=is_crowded(signed, "m")), "open")
+    rows = save(join_unique(rows, open_tokens, ["token"], crowded=crowded), "open")
     parts = save(_parts(rows, ["token", "band"]), "parts")
     rows = save(_part(rows, parts, ["token", "band"]), "open-parts")
-    blocks = rows.groupBy("token", "band", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    blocks = rows.groupBy("token", "band", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(early_n).alias("early"))
     name = F.struct("band", "part")
-    low = blocks.select("token", name.alias("low"), F.col("most").alias("low_most"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    high = blocks.select("token", name.alias("high"), F.col("least").alias("high_least"), "band")
-    pairs = low.join(high, ["token", "band"]).where(f"low <= high AND {percent} * high_least <= 100 * low_most").select("token", "low", "high")
+    low = blocks.select("token", name.alias("low"), F.col("most").alias("low_most"), F.col("early").alias("low_early"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    high = blocks.select("token", name.alias("high"), F.col("least").alias("high_least"), F.col("early").alias("high_early"), "band")
+    # between bands the smaller set, of the lower one, has the shingle early; within a band either may be the smaller
+    fits = f"low.band < high.band AND {percent} * high_least <= 100 * low_early OR low.band = high.band AND coalesce(low_early, high_early) IS NOT NULL"
+    pairs = low.join(high, ["token", "band"]).where(f"low <= high AND {percent} * high_least <= 100 * low_most AND ({fits})").select("token", "low", "high")
     stored = pairs.select("token", "low", "high", F.col("low").alias("block"), F.lit(0).alias("side"))
     walking = pairs.where("low < high").select("token", "low", "high", F.col("high").alias("block"), F.lit(1).alias("side"))
-    each = rows.withColumn("block", name).join(stored.unionAll(walking), ["token", "block"])
-    return each.select("doc", "one", "n", "connected", F.col("token").alias("task"), "low", "high", "side")
+    each = rows.withColumn("block", name).join(stored.unionAll(walking), ["token", "block"]).where("side = 1 OR early OR low.band = high.band")
+    trie = F.expr("side = 0 AND (early OR low <> high)")
+    return each.select("doc", "one", "n", "connected", F.col("token").alias("task"), "low", "high", "side", trie.alias("stored"))
 
 
 def candidate_sets(docs: DataFrame, inside: DataFrame, n: int, bits: int) -> DataFrame:
-    """(doc, one, tokens): the sets of (doc, one) in inside, each once."""
+    """The rows of inside with their sets (tokens), each (doc, one) once."""
     wanted = members(inside, "doc", bits - 2)
 
     def run(batches):
@@ -326,7 +342,7 @@ def candidate_sets(docs: DataFrame, inside: DataFrame, n: int, bits: int) -> Dat
                     sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     yield pa.record_batch([pa.array(ids[keep][i:j]), pa.array(one), pa.array(sets, pa.binary())], names=["doc", "one", "tokens"])
 
-    return docs.mapInArrow(releasing(run), "doc long, one long, tokens binary").join(inside.select("doc", "one"), ["doc", "one"], "left_semi").dropDuplicates(["doc", "one"])
+    return docs.mapInArrow(releasing(run), "doc long, one long, tokens binary").join(inside, ["doc", "one"]).dropDuplicates(["doc", "one"])
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
@@ -335,21 +351,22 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, bits: int)
     rows = save(rows, "prefixes")
     tied = save(ties(rows, percent), "ties")
     of = components(tied)
-    inside = save(classes.join(of.toDF("doc", "component"), "doc"), "candidates")
-    sets = save(candidate_sets(docs, inside, n, bits), "sets")
+    inside = save(classes.join(of.toDF("doc", "component"), "doc"), "components")
     size = save(_parts(inside, ["component"]), "sizes")
-    crowded = is_crowded(size, "sets")
-    whole = join_unique(inside, size.where("parts = 1").drop("sets"), ["component"], crowded=crowded).select("doc", "one", "n", F.col("doc").alias("connected"), F.col("component").alias("task"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
-    found = block_links(whole.join(sets, ["doc", "one"]), percent)
-    if size.where("parts > 1").isEmpty():
+    large = size.select("component", (F.col("parts") > 1).alias("large"))
+    inside = save(join_unique(inside, large, ["component"], crowded=is_crowded(size, "sets")), "candidates")
+    sets = save(candidate_sets(docs, inside, n, bits), "sets")
+    zero = F.lit(0)
+    found = block_links(sets.where("NOT large").select("doc", "n", F.col("doc").alias("connected"), F.col("component").alias("task"), zero.alias("low"), zero.alias("high"), zero.alias("side"), F.lit(True).alias("stored"), "tokens"), percent)
+    large = inside.where("large").select("doc", "one", "n")
+    if large.isEmpty():
         return found
-    large = save(join_unique(inside, size.where("parts > 1").drop("sets"), ["component"], crowded=crowded).select("doc", "one", "n"), "large")
-    led = _leader_blocks(large, tied)
-    near = save(block_links(led.withColumn("high", F.col("low")).join(sets, ["doc", "one"]), percent), "near-links")
+    sets = sets.where("large").select("doc", "one", "tokens")
+    near = save(block_links(_leader_blocks(large, tied).join(sets, ["doc", "one"]).drop("one"), percent), "near-links")
     groups = components(near).toDF("doc", "connected")
-    members_of = large.join(groups, "doc", "left").select("doc", "one", F.coalesce("connected", "doc").alias("connected"))
-    left = rows.drop("n").join(large, ["doc", "one"]).join(members_of, ["doc", "one"])
-    return found.unionAll(near).unionAll(block_links(_shingle_blocks(left, percent).join(sets, ["doc", "one"]), percent))
+    connected = large.join(groups, "doc", "left").select("doc", "one", "n", F.coalesce("connected", "doc").alias("connected"))
+    left = rows.drop("n").join(connected, ["doc", "one"])
+    return found.unionAll(near).unionAll(block_links(_shingle_blocks(left, percent).join(sets, ["doc", "one"]).drop("one"), percent))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
