@@ -32,10 +32,7 @@ def level_widths(ids: np.ndarray) -> list[int]:
     """Bits of each level, lowest first, for the fewest bits in all."""
     top = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     need = np.zeros(top + 1, np.int64)
-    bits = np.zeros(len(ids), np.int64)
-    for b in range(top):
-        bits += (ids >> np.uint32(b)) > 0
-    need[:] = np.bincount(bits, minlength=top + 1)[: top + 1]
+    need[:] = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=top + 1)[: top + 1]
     more = len(ids) - np.cumsum(need)  # ids with more than b bits
     at_level = lambda b: len(ids) if b == 0 else int(more[b])
     best: list[tuple[float, list[int]]] = [(0.0, [])] * (top + 1)
@@ -49,14 +46,36 @@ def level_widths(ids: np.ndarray) -> list[int]:
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    """Each value's lowest `width` bits, one after the other, lowest bit first."""
+    """Each value's lowest `width` bits, one after the other, lowest bit first: eight values fill `width` bytes."""
     out = []
     for i in range(0, len(values), BLOCK):
-        part = values[i : i + BLOCK, None] >> np.arange(width, dtype=np.uint32)
-        out.append(np.packbits((part & np.uint32(1)).astype(np.uint8).ravel(), bitorder="little").tobytes())
+        part = values[i : i + BLOCK]
+        eights = np.pad(part, (0, -len(part) % 8)).reshape(-1, 8).T & np.uint32((1 << width) - 1)
+        made = np.zeros((width, eights.shape[1]), np.uint8)
+        for k in range(8):
+            byte, bit = k * width >> 3, k * width & 7
+            made[byte] |= (eights[k] << np.uint32(bit)).astype(np.uint8)
+            for more in range(1, (bit + width + 7) // 8):
+                made[byte + more] |= (eights[k] >> np.uint32(8 * more - bit)).astype(np.uint8)
+        out.append(made.T.tobytes()[: (len(part) * width + 7) // 8])
     return b"".join(out)
 
 
+def unpack_bits(data: np.ndarray, width: int, start: int, end: int) -> np.ndarray:
+    """Values [start, end) of packed bits, read from the eight that the first is in."""
+    low, high = start >> 3, (end + 7) >> 3
+    part = data[low * width : high * width]
+    eights = np.ascontiguousarray(np.pad(part, (0, (high - low) * width - len(part))).reshape(-1, width).T)
+    out = np.empty((high - low, 8), np.uint32)
+    for k in range(8):
+        byte, bit = k * width >> 3, k * width & 7
+        value = eights[byte].astype(np.uint32) >> np.uint32(bit)
+        for more in range(1, (bit + width + 7) // 8):
+            value |= eights[byte + more].astype(np.uint32) << np.uint32(8 * more - bit)
+        out[:, k] = value & np.uint32((1 << width) - 1)
+    return out.ravel()[start - 8 * low : end - 8 * low]
+
+
 def _padded(part: bytes, spare: int = 0) -> bytes:
     return part + b"\0" * (-(len(part) + spare) % 8 + spare)
 
@@ -148,10 +167,7 @@ class Reader:
         for width, chunks, marks, directory in self.levels:
             if end <= start:
                 break
-            low = start * width >> 3
-            part = np.unpackbits(chunks[low : (end * width + 7) // 8], bitorder="little")[start * width - 8 * low :][: (end - start) * width].reshape(-1, width)
-            values = np.packbits(np.pad(part, ((0, 0), (0, -width % 8))), axis=1, bitorder="little")
-            values = sum(values[:, k].astype(np.uint32) << np.uint32(8 * k) for k in range(values.shape[1]))
+            values = unpack_bits(chunks, width, start, end)
             if rows is None:
                 out |= values
             else:
@@ -166,7 +182,7 @@ class Reader:
 
     def documents(self):
         """(doc_id, ids before it in this file, its ids) of each document."""
-        start = 0
+        ids, start = self.range(0, self.n_ids), 0
         for doc, end in zip(self.doc_ids, self.ends.tolist(), strict=True):
-            yield doc, start, self.range(start, end)
+            yield doc, start, ids[start:end]
             start = end

@@ -104,23 +104,23 @@ class ByteLevel:
         regular[regular] &= (data[at[:-1][regular]] == 32) & _solid_before(data, at[1:][regular])
         if self.special:
             regular &= ~pc.match_substring(chunks, SPECIAL).to_numpy(zero_copy_only=False)
-        parts: list[np.ndarray | None] = [None] * len(chunks)
-        where = np.flatnonzero(regular)
-        room = np.cumsum(sizes[where]) // JOINED_BYTES
-        for group in np.split(where, np.flatnonzero(np.diff(room)) + 1):
-            if not len(group):
-                continue
-            ids = self.fast.encode_to_numpy("".join(chunks.take(pa.array(group)).to_pylist()), disallowed_special=())
+        where, alone = np.flatnonzero(regular), np.flatnonzero(~regular)
+        parts, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group in np.split(where, np.flatnonzero(np.diff(np.cumsum(sizes[where]) // JOINED_BYTES)) + 1):
+            text = "".join(chunks.take(pa.array(group)).to_pylist())
+            ids = self.fast.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
             cuts, wanted = np.cumsum(self.lengths[ids]), np.cumsum(sizes[group])
             ends = np.searchsorted(cuts, wanted)
-            if (cuts[ends] != wanted).any():
+            if len(group) and (cuts[ends] != wanted).any():
                 raise ValueError("a token crosses the border of two chunks")
-            for chunk, part in zip(group.tolist(), np.split(ids, ends[:-1] + 1), strict=True):
-                parts[chunk] = part
-        for chunk in np.flatnonzero(~regular).tolist():
-            parts[chunk] = self.one(chunks[chunk].as_py())
-        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32), ends
+            parts.append(ids)
+            counts.append(np.diff(ends + 1, prepend=0))
+        singles = [self.one(chunks[i].as_py()) for i in alone.tolist()]
+        counts.append(np.fromiter(map(len, singles), np.int64, len(singles)))
+        made = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(counts))])
+        place = np.empty(len(chunks), np.int64)
+        place[np.concatenate([where, alone])] = np.arange(len(chunks))
+        return gather(np.concatenate([*parts, *singles]).astype(np.uint32), made, place)
 
 
 class Pieces:
