@@ -24,14 +24,15 @@ class SuffixAutomaton:
         symbols = np.asarray(symbols, np.int64)
         self.symbols = symbols
         base = int(symbols.max(initial=0)) + 2
-        back = [symbols]
+        back = [symbols.astype(np.int32)]
         for _ in range(depth - 1):
-            back.append(np.where(back[-1] >= 0, self._before(symbols, len(back)), -1))
+            back.append(np.where(back[-1] >= 0, self._before(back[0], len(back)), np.int32(-1)))
         keys = []  # two symbols in each sort key
         for d in range(0, depth, 2):
-            pair = (back[d] + 1) * base
+            pair = (back[d] + np.int64(1)) * base
             keys.append(pair + (back[d + 1] + 1 if d + 1 < depth else 0))
         order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+        del keys
         order = order[symbols[order] >= 0]
         new = np.zeros(len(order), bool)
         new[:1] = True
@@ -48,7 +49,7 @@ class SuffixAutomaton:
 
     @staticmethod
     def _before(symbols: np.ndarray, d: int) -> np.ndarray:
-        out = np.full(len(symbols), -1, np.int64)
+        out = np.full(len(symbols), -1, symbols.dtype)
         out[d:] = symbols[: max(0, len(symbols) - d)]
         return out
 

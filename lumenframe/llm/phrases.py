@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from lumenframe.llm.automaton import SuffixAutomaton
 from lumenframe.llm.common import LOWER, U, byte_set, mix, own_columns, save, text_slices, word_bounds, word_hashes
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
-SHARD_BYTES, BROADCAST, NAME_BITS, SALTS = 24 << 20, 1_000_000, 40, 64
+SHARD_BYTES, BROADCAST, NAME_BITS, SALTS = 12 << 20, 1_000_000, 40, 64
 _GAP = byte_set(b" \t.,;:!?\n\x0b\x0c\r")
 _PIECE_END = byte_set(b".,;:!?\n\x0b\x0c\r")
 _SHARD = "shard long, lang string, words array<string>, times array<long>, places binary"
@@ -84,7 +85,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         for batch in batches:
             langs = batch.column(batch.schema.get_field_index("lang"))
             for lang in langs.unique().to_pylist():
-                for words, begins in words_of(batch.filter(pa.compute.equal(langs, lang))):
+                for words, begins in words_of(batch.filter(pc.equal(langs, lang))):
                     if len(words):
                         held.setdefault(lang, []).append((words, begins))
                         size += len(words) * 7
@@ -151,14 +152,23 @@ def _phrases(shard: pa.Table, known: pa.Table) -> pa.Table:
     sequence = np.full(int(used.sum() + breaks.sum()), -1, np.int64)
     sequence[np.arange(int(used.sum())) + np.cumsum(breaks[used])] = places[used]
     length, end, count = SuffixAutomaton(sequence, LONGEST).substrings(2)
-    words, out = s.words.to_numpy(zero_copy_only=False), np.empty(len(end), object)
+    out = []
     for n in range(2, LONGEST + 1):
         rows = np.flatnonzero(length == n)
-        phrase = words[sequence[end[rows] - n + 1]]
-        for back in range(n - 2, -1, -1):
-            phrase = phrase + " " + words[sequence[end[rows] - back]]
-        out[rows] = phrase
-    return pa.table({"lang": pa.array([s.lang] * len(end), pa.string()), "phrase": pa.array(out, pa.string()), "size": length.astype(np.int32), "times": count})
+        columns = [s.words.take(pa.array(sequence[end[rows] - back])) for back in range(n - 1, -1, -1)]
+        phrase = pc.binary_join_element_wise(*columns, " ")
+        out.append(pa.table({"lang": pa.DictionaryArray.from_arrays(np.zeros(len(rows), np.int32), [s.lang]).cast(pa.string()), "phrase": phrase, "size": np.full(len(rows), n, np.int32), "times": count[rows]}))
+    return pa.concat_tables(out)
+
+
+def _freed(work):
+    """The work on one shard, after which the worker gives Arrow's unused memory back."""
+
+    def run(shard: pa.Table, known: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        return work(shard, known)
+
+    return run
 
 
 def counted(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -169,10 +179,10 @@ def counted(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES)
     words = save(each.groupBy("lang", "phrase").agg(F.sum("times").alias("a")).where(F.col("a") >= least), "phrase-words")
     known = held.select("shard", "lang", F.posexplode("words").alias("k", "phrase")).join(_small(words.select("lang", "phrase")), ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), "k")
     by_shard = held.groupBy("shard")
-    pairs = save(by_shard.cogroup(known.groupBy("of")).applyInArrow(lambda s, k: _word_pairs(s, k), "shard long, pair long, times long"), "phrase-pairs")
+    pairs = save(by_shard.cogroup(known.groupBy("of")).applyInArrow(_freed(_word_pairs), "shard long, pair long, times long"), "phrase-pairs")
     frequent = save(pairs.groupBy("pair").agg(F.sum("times").alias("a")).where(F.col("a") >= least).select("pair"), "phrase-frequent-pairs")
     linked = pairs.join(_small(frequent), "pair", "left_semi").select(F.col("shard").alias("of"), "pair")
-    found = by_shard.cogroup(linked.groupBy("of")).applyInArrow(lambda s, k: _phrases(s, k), "lang string, phrase string, size int, times long")
+    found = by_shard.cogroup(linked.groupBy("of")).applyInArrow(_freed(_phrases), "lang string, phrase string, size int, times long")
     longer = found.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("a")).where(F.col("a") >= least)
     return save(words.select("lang", "phrase", F.lit(1).alias("size"), "a").unionByName(longer), "phrases"), totals
 
