@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 SPECIAL = "<|endoftext|>"
 JOINED_BYTES = 1 << 20  # regular chunks encoded in one call
+GATHERED = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
 
@@ -64,9 +65,14 @@ def flatten(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def gather(values: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[ends[k]:ends[k + 1]] of each key k, one after the other, and the number of values before each key (and after the last)."""
-    sizes = ends[keys + 1] - ends[keys]
+    first, sizes = ends[keys], ends[keys + 1] - ends[keys]
     after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-    return values[np.repeat(ends[keys] - after[:-1], sizes) + np.arange(after[-1])], after
+    out, first = np.empty(int(after[-1]), values.dtype), first - after[:-1]
+    edges = np.searchsorted(after, np.arange(0, len(out), GATHERED)).tolist() + [len(keys)]
+    for i, j in zip(edges[:-1], edges[1:], strict=True):  # in blocks, as the places take far more room than the values
+        low, high = int(after[i]), int(after[j])
+        out[low:high] = values[np.repeat(first[i:j], sizes[i:j]) + np.arange(low, high)]
+    return out, after
 
 
 class ByteLevel:
@@ -135,8 +141,9 @@ class Pieces:
         if any("▁" in x.lstrip("▁") for x in names):
             raise ValueError("a piece holds a space mark behind another character: chunks can't be encoded alone")
         self.bytes_of = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.lengths = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.mark = [self.model.piece_to_id("▁")]
 
     def many(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, each beginning with a space, in order, and the number of ids before each (and after the last)."""
-        return flatten(self.model.encode([x[1:] for x in chunks.to_pylist()], num_threads=1))
+        found = self.model.encode([x[1:] for x in chunks.to_pylist()], num_threads=1)
+        return flatten([x or self.mark for x in found])  # no mark is put before nothing, but a lone space is one

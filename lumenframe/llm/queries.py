@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import decontaminate, language_id, ngram_join, packing, phrases, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
+from lumenframe.llm import alignment, decontaminate, language_id, ngram_join, packing, phrases, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     "op12_phrase_collocations": phrases.op12_phrase_collocations,
     "op13_token_files": token_files.op13_token_files,
 }
