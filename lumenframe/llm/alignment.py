@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.chunks import ByteLevel, Pieces, buffers, gather, split
-from lumenframe.llm.common import own_columns, save
+from lumenframe.llm.common import give_back, own_columns, save
 
-SHARD_BYTES, SLICE_BYTES, DOC_BLOCK = 6 << 20, 3 << 20, 1000
+SHARD_BYTES, SLICE_BYTES, DOC_BLOCK = 4 << 20, 2 << 20, 1000
 _PER_DOC = ["n_a", "n_b", "n_groups", "n_links"]
 _SHARD = (
     "shard long, docs array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string>>, "
@@ -178,6 +178,7 @@ def align_shard(aligner: Aligner, shard: int, doc_ids: list, held: list) -> pa.R
         part = aligner.db.execute(PARTIAL_SQL).fetchnumpy()
         in_docs[part["pair"]] += part["in_docs"]
     linked = aligner.db.execute("SELECT chunk, pair, n FROM chunk_pairs ORDER BY chunk, pair").fetchnumpy()
+    aligner.db.execute("DROP TABLE a_groups; DROP TABLE b_groups; DROP TABLE spans; DROP TABLE pairs; DROP TABLE chunk_pairs")
     docs = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), *[pa.array(sums[n]) for n in _PER_DOC], pa.array(digests, pa.string())], ["doc_id", *_PER_DOC, "groups_sha256"])
     row = {
         "shard": pa.array([shard], pa.int64()), "docs": pa.ListArray.from_arrays([0, len(docs)], docs),
@@ -208,9 +209,12 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 if size >= shard_bytes:
                     yield align_shard(aligner, TaskContext.get().partitionId() << 32 | number, doc_ids, held)
                     doc_ids, held, size, number = [], [], 0, number + 1
+                    give_back()
                 i = j
         if doc_ids:
             yield align_shard(aligner, TaskContext.get().partitionId() << 32 | number, doc_ids, held)
+        aligner.db.close()
+        give_back()
 
     return own_columns(docs, "doc_id", "text").mapInArrow(run, _SHARD)
 

@@ -6,6 +6,8 @@ buffer, in slices that fit a core's cache, so memory doesn't grow with the batch
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +79,13 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers live on, and an executor's are counted with it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra ones, whatever their names, never meet the operator's own."""
     return df.select(*[df[n] for n in names])
@@ -209,7 +218,3 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
-
-
-def binary_column(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())

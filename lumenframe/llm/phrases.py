@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.automaton import SuffixAutomaton
-from lumenframe.llm.common import LOWER, U, byte_set, mix, own_columns, save, text_slices, word_bounds, word_hashes
+from lumenframe.llm.common import LOWER, U, byte_set, give_back, mix, own_columns, save, text_slices, word_bounds, word_hashes
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
-SHARD_BYTES, BROADCAST, NAME_BITS, SALTS = 12 << 20, 1_000_000, 40, 64
+SHARD_BYTES, BROADCAST, NAME_BITS, SALTS = 6 << 20, 1_000_000, 40, 64
 _GAP = byte_set(b" \t.,;:!?\n\x0b\x0c\r")
 _PIECE_END = byte_set(b".,;:!?\n\x0b\x0c\r")
 _SHARD = "shard long, lang string, words array<string>, times array<long>, places binary"
@@ -91,6 +91,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                         size += len(words) * 7
                     if size >= shard_bytes:
                         yield flush()
+                        give_back()
                         size = 0
         if held:
             yield flush()
@@ -162,10 +163,10 @@ def _phrases(shard: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def _freed(work):
-    """The work on one shard, after which the worker gives Arrow's unused memory back."""
+    """The work on one shard, before which the worker gives back what the last one left."""
 
     def run(shard: pa.Table, known: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        give_back()
         return work(shard, known)
 
     return run
