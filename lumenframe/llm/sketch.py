@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from lumenframe.llm.common import U, mix
+from lumenframe.llm.common import U, give_back, mix
 
 BITS, DEPTH, SHARD_BITS = 28, 2, 21
 _FLUSH = 1_000_000
@@ -67,7 +67,7 @@ _TABLES: dict[str, np.ndarray] = {}  # of this Python worker: the sketches last
 def release() -> None:
     """Forget this worker's sketches: 64 MB each that would stay beside the stages that come after."""
     _TABLES.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

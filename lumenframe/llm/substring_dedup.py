@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import repeats
 from lumenframe.llm.common import SPACE, WORDS, all_runs, own_columns, prefix_sums, spans, word_bounds, word_hashes
-from lumenframe.llm.sketch import BITS
+from lumenframe.llm.sketch import BITS, releasing
 
-WINDOW, SEED = 20, 8
+WINDOW, SEED, STRIPPED = 20, 8, 1000
 
 
 def word_sequence(data: np.ndarray, offsets: np.ndarray) -> repeats.Sequence:
@@ -59,14 +59,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bits: int = BITS) -> D
     names = docs.columns
 
     def strip(batches):
-        for batch in batches:
+        for batch in (b.slice(i, STRIPPED) for b in batches for i in range(0, b.num_rows, STRIPPED)):
             at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
             texts = []
             for text, s, c in zip(at["text"].to_pylist(), at[repeats.RUN_STARTS].to_pylist(), at[repeats.RUN_COUNTS].to_pylist(), strict=True):
                 texts.append(b" ".join(words_left(text.encode().split(), s, c, window)).decode() if s and text else text)
             yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else at[n] for n in names], names=names)
 
-    return joined.mapInArrow(strip, docs.schema)
+    return joined.mapInArrow(releasing(strip), docs.schema)
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, bits: int = BITS) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import BYTES, U, all_runs, own_columns, text_slices
+from lumenframe.llm.common import BYTES, U, all_runs, give_back, own_columns, text_slices
 
 
 def held_out(modulus: int, remainder: int) -> Column:
@@ -81,6 +81,7 @@ def score_texts(docs: DataFrame, columns: str, scorer: Callable[[], Callable[[np
             found = [pa.array(x) for x in zip(*out, strict=True)]
             if found:
                 yield pa.record_batch([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], *found], names=names)
+        give_back()
 
     return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [columns]))
 
