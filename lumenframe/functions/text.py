@@ -51,11 +51,19 @@ def clean_report(report: Column) -> dict[str, Column]:
     }
 
 
+def _has_token(report: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(F.split(F.translate(F.lower(report), ",.", "  "), WS), F.array(*map(F.lit, words)))
+
+
+def has_swedish(report: Column) -> Column:
+    """Whether a Swedish anchor is among the words; null and blank reports have none."""
+    return F.coalesce(_has_token(report, SWEDISH), F.lit(False))
+
+
 def likely_non_german(report: Column) -> Column:
-    """A Swedish anchor says yes, else an umlaut no, else an English anchor yes; blank reports no."""
-    tokens = F.split(F.translate(F.lower(report), ",.", "  "), WS)
-    has = lambda words: F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
-    return F.when(strip(report) == "", False).when(has(SWEDISH), True).when(report.rlike(UMLAUTS), False).otherwise(has(ENGLISH))
+    """A Swedish anchor says yes, else an umlaut no, else an English anchor yes; null and blank reports no."""
+    blank = strip(F.coalesce(report, F.lit(""))) == ""
+    return F.when(blank, False).when(has_swedish(report), True).when(report.rlike(UMLAUTS), False).otherwise(_has_token(report, ENGLISH))
 
 
 #: Anchors of the guess by score.
@@ -148,7 +156,7 @@ def evidence(body: Column) -> Column:
 
 
 def reasoning(body: Column) -> Column:
-    return section(body, r"(?is)\breasoning\b[ \t:*\-—]*(.*?)(?=\bconclusion\b|\z)")
+    return section(body, r"(?is)\breasoning\b[ \t:*\-—]*(.*?)(?=\bconclusion\b|<\s*END\s*>|\z)")
 
 
 def conclusion(body: Column) -> Column:
@@ -191,7 +199,7 @@ def evidence_items(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?:^|\s)\d+\s*[\).]"), lambda s: F.trim(s)), lambda x: x != "")
 
 
-REASONING_SECTION = r"(?is)(\breasoning\b[ \t:*\-—]*)(.*?)(?=\bconclusion\b|\z)"
+REASONING_SECTION = r"(?is)(\breasoning\b[ \t:*\-—]*)(.*?)(?=\bconclusion\b|<\s*END\s*>|\z)"
 
 
 def strip_response(response: Column) -> dict[str, Column]:

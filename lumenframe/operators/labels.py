@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.text import has_swedish, likely_non_german
 from lumenframe.sources.tables import CLASSES
 
 
@@ -102,16 +103,41 @@ def label_grid(examples: DataFrame) -> DataFrame:
     return wide.withColumn(CLASSES[0], checked)
 
 
-def strata(manifest: DataFrame, report: str | None = None) -> DataFrame:
-    """(stratum, ecg_id) for each named set a record is in: only normal, several abnormal classes, a low likelihood, not validated, no statements."""
-    classes, s = asserted(F.col("statements")), F.col("statements")
-    low = F.exists(s, lambda x: x["diagnostic"] & (x["likelihood"] > 0) & (x["likelihood"] <= 50))
-    several = ~F.array_contains(classes, "NORM") & (F.size(F.filter(s, lambda x: x["diagnostic"])) >= 2)
-    named = {"normal only": (F.size(classes) == 1) & F.array_contains(classes, "NORM"), "several abnormal": several, "low likelihood": low, "not validated": ~F.col("validated"), "no statements": F.size(s) == 0}
-    each = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in named.items()]))
+#: The two codes of a normal recording.
+NORMAL_CODES = ["NORM", "SR"]
+
+
+def _codes(s: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(s, lambda x: x["code"])))
+
+
+def _named(manifest: DataFrame, sets: dict[str, Column]) -> DataFrame:
+    each = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in sets.items()]))
     return manifest.select(F.explode(each).alias("stratum"), "ecg_id")
 
 
+def pilot_strata(manifest: DataFrame, quality_fields: list[str]) -> DataFrame:
+    """(stratum, ecg_id) for each of the seven sets that a pilot is drawn from; manifest: statements with string codes, validated, report, quality fields."""
+    s, report = F.col("statements"), F.col("report")
+    low = F.exists(s, lambda x: x["diagnostic"] & (x["likelihood"] > 0) & (x["likelihood"] <= 50))
+    several = ~F.array_contains(asserted(s), "NORM") & (F.size(F.filter(s, lambda x: x["diagnostic"])) >= 2)
+    return _named(manifest, {
+        "NORM+SR only": _codes(s) == F.array(*map(F.lit, NORMAL_CODES)), "multi-label abnormal": several, "low-likelihood diagnostic": low,
+        "signal-quality annotated": has_signal_quality(*quality_fields), "unvalidated": ~F.coalesce("validated", F.lit(False)),
+        "swedish report": has_swedish(report), "non-German (English/Swedish)": likely_non_german(report),
+    })
+
+
+def report_strata(manifest: DataFrame, quality_fields: list[str]) -> DataFrame:
+    """(stratum, ecg_id) for each of the five sets under which reports are shown."""
+    s, validated = F.col("statements"), F.coalesce("validated", F.lit(False))
+    several = ~F.array_contains(_codes(s), "NORM") & (F.size(F.filter(s, lambda x: x["diagnostic"])) >= 2)
+    return _named(manifest, {
+        "NORM+SR only": _codes(s) == F.array(*map(F.lit, NORMAL_CODES)), "multi-label abnormal": several, "validated_by_human=True": validated,
+        "validated_by_human=False": ~validated, "signal-quality annotated": has_signal_quality(*quality_fields),
+    })
+
+
 def has_signal_quality(*fields: str) -> Column:
     """Whether any of the recording-quality fields is not blank."""
     found = F.lit(False)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators.labels import asserted
+from lumenframe.operators.series import numbered
 
 
 def flags(manifest: DataFrame) -> DataFrame:
@@ -50,11 +51,6 @@ def accompanying_sets(manifest: DataFrame, k: int = 10) -> DataFrame:
 
 
 def shard_layout(records: DataFrame, size: int = 2000) -> DataFrame:
-    """Rows of consecutive shards: counts below each range of ids are summed first, so that no task sees every row."""
-    part = records.select("ecg_id", F.floor(F.col("ecg_id") / size).alias("range"))
-    from pyspark.sql import Window
-
-    below = part.groupBy("range").agg(F.count("*").alias("n"))
-    below = below.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("ecg_id")) - 1 + F.col("before")
-    return part.join(below, "range").select("ecg_id", F.floor(rank / size).alias("shard"), (rank % size).cast("long").alias("row"))
+    """Shard and row of each record in order of ecg_id, `size` records a shard."""
+    n = numbered(records.select("ecg_id"), "_n", "ecg_id")
+    return n.select("ecg_id", F.floor(F.col("_n") / size).alias("shard"), (F.col("_n") % size).alias("row"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.series import exact_quantiles
+
 
 def with_groups(evals: DataFrame, normal: str = "NORM") -> DataFrame:
     """Each row once for every group it is in: overall, its class, and normal or abnormal. The normal class is in both of its own."""
@@ -125,13 +127,13 @@ def fast_block(evals: DataFrame, *keys: str) -> DataFrame:
 
 def run_summary(runs: DataFrame, *keys: str) -> DataFrame:
     """Generated tokens (mean, p50, p95, max), and shares of runs that closed, weren't parsed, or decided in a merged token; runs: n_tokens, closed, parsed, status."""
-    p = F.percentile("n_tokens", F.array(F.lit(0.5), F.lit(0.95)))
     share = lambda c: F.round(100 * F.avg(c.cast("int")), 6)
     s = runs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"), p.alias("_p"), F.max("n_tokens").alias("max_tokens"),
+        F.count("*").alias("n"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"), F.max("n_tokens").alias("max_tokens"),
         share(F.col("closed")).alias("closed_percent"), share(F.col("parsed").isNull()).alias("unparsed_percent"), F.count_if(F.col("status") == "impure").alias("impure"),
     )
-    return s.select(*keys, "n", "mean_tokens", F.round(F.get("_p", F.lit(0)), 6).alias("p50_tokens"), F.round(F.get("_p", F.lit(1)), 6).alias("p95_tokens"), "max_tokens", "closed_percent", "unparsed_percent", "impure")
+    s = _beside(s, exact_quantiles(runs, "n_tokens", [0.5, 0.95], *keys), keys)
+    return s.select(*keys, "n", "mean_tokens", F.round("p50", 6).alias("p50_tokens"), F.round("p95", 6).alias("p95_tokens"), "max_tokens", "closed_percent", "unparsed_percent", "impure")
 
 
 def condition_summary(runs: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -250,7 +252,18 @@ def prompt_cost(samples: DataFrame, total: Column | int) -> DataFrame:
 
 def loss_summary(evals: DataFrame, *keys: str) -> DataFrame:
     weighted = F.sum(F.col("loss") * F.col("n_tokens")) / F.sum("n_tokens")
-    return evals.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.round(weighted, 6).alias("token_mean"), F.round(F.median("loss"), 6).alias("median_loss"), F.count_if(F.col("loss") < 0.1).alias("near_zero"))
+    sums = evals.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.round(weighted, 6).alias("token_mean"), F.count_if(F.col("loss") < 0.1).alias("near_zero"))
+    found = _beside(sums, exact_quantiles(evals, "loss", [0.5], *keys), keys)
+    return found.select(*keys, "n", "mean_loss", "token_mean", F.round("p50", 6).alias("median_loss"), "near_zero")
+
+
+def _beside(sums: DataFrame, quantiles: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Sums of each group with its quantiles, null where it has no values."""
+    right = quantiles.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)  # without keys both are one row
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return sums.join(right, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def percent_gap(real: Column, other: Column) -> Column:
@@ -260,21 +273,17 @@ def percent_gap(real: Column, other: Column) -> Column:
 
 def token_percentiles(values: DataFrame, column: str, limit: int) -> DataFrame:
     at = [0.5, 0.9, 0.95, 0.99]
-    p = values.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 6).alias("mean"), F.count_if(F.col(column) > limit).alias("over"), F.percentile(column, F.array(*map(F.lit, at))).alias("p"))
-    return p.select("min", "max", "mean", "over", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{round(100 * q)}") for i, q in enumerate(at)])
-
-
-def verdicts(measured: DataFrame) -> DataFrame:
-    """A gate's rows (what, measured, threshold, strict, n_rows): ok, or null (not judged) below eight rows."""
-    ok = F.when(F.col("strict"), F.col("measured") < F.col("threshold")).otherwise(F.col("measured") <= F.col("threshold"))
-    return measured.select("what", F.round("measured", 6).alias("measured"), "threshold", F.when((F.col("n_rows") >= 8) & F.col("measured").isNotNull(), ok).alias("ok"))
+    sums = values.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 6).alias("mean"), F.count_if(F.col(column) > limit).alias("over"))
+    return _beside(sums, exact_quantiles(values, column, at), ()).select("min", "max", "mean", "over", *[F.round(f"p{round(100 * q)}", 6).alias(f"p{round(100 * q)}") for q in at])
 
 
 def loss_deciles(evals: DataFrame, group: str, near: float) -> DataFrame:
     """p10 to p90 in steps of twenty, the greatest loss, and how many are below near; null losses don't count."""
     at = [0.1, 0.3, 0.5, 0.7, 0.9]
-    d = evals.where(F.col("loss").isNotNull()).groupBy(group).agg(F.percentile("loss", F.array(*map(F.lit, at))).alias("p"), F.max("loss").alias("top"), F.count_if(F.col("loss") < near).alias("near_zero"))
-    return d.select(group, *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{round(100 * q)}") for i, q in enumerate(at)], F.round("top", 6).alias("max"), "near_zero")
+    there = evals.where(F.col("loss").isNotNull())
+    sums = there.groupBy(group).agg(F.max("loss").alias("top"), F.count_if(F.col("loss") < near).alias("near_zero"))
+    found = _beside(sums, exact_quantiles(there, "loss", at, group), (group,))
+    return found.select(group, *[F.round(f"p{round(100 * q)}", 6).alias(f"p{round(100 * q)}") for q in at], F.round("top", 6).alias("max"), "near_zero")
 
 
 def mean_by_label(evals: DataFrame, value: str) -> DataFrame:
@@ -291,3 +300,16 @@ def logistic_loss(logit: Column, target: Column, positive_weight: Column | float
     w = positive_weight if isinstance(positive_weight, Column) else F.lit(float(positive_weight))
     rest = F.log1p(F.exp(-F.abs(logit)))
     return target * w * (rest + F.greatest(-logit, F.lit(0.0))) + (1 - target) * (rest + F.greatest(logit, F.lit(0.0)))
+
+
+def report_coverage(reports: DataFrame, report: str, non_german: Column) -> DataFrame:
+    """One row: records, blank reports and their percentage, median length of all and of non-blank reports, least and greatest non-blank length, and reports that seem not to be German; null is blank, of length 0."""
+    text = F.coalesce(report, F.lit(""))
+    r = reports.select(F.length(text).alias("length"), (F.regexp_replace(text, r"(?U)\s+", "") == "").alias("blank"), F.coalesce(non_german, F.lit(False)).alias("other"))
+    r = r.withColumn("filled", F.when(F.col("length") > 0, F.col("length")))
+    sums = r.agg(F.count("*").alias("n"), F.count_if("blank").alias("n_blank"), F.min("filled").alias("least"), F.max("filled").alias("greatest"), F.count_if("other").alias("n_non_german"))
+    every = exact_quantiles(r, "length", [0.5]).withColumnRenamed("p50", "median_length")
+    filled = exact_quantiles(r, "filled", [0.5]).withColumnRenamed("p50", "median_filled")
+    percent = lambda c: F.round(F.try_divide(100 * F.col(c), F.col("n")), 2)
+    found = _beside(_beside(sums, every, ()), filled, ())
+    return found.select("n", "n_blank", percent("n_blank").alias("blank_percent"), "median_length", "median_filled", "least", "greatest", "n_non_german", percent("n_non_german").alias("non_german_percent"))

@@ -46,7 +46,7 @@ def label_mismatches(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def leaks(found: DataFrame) -> DataFrame:
     """(ecg_id, superclass, section, pattern, line): each cited source in evidence, reasoning and conclusion."""
-    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(c).alias("text")) for n, c in (("Evidence", "evidence"), ("Reasoning", "full_reasoning"), ("Conclusion", "conclusion_text"))]))
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(c).alias("text")) for n, c in (("evidence", "evidence"), ("reasoning", "full_reasoning"), ("conclusion", "conclusion_text"))]))
     each = sections(found).select("ecg_id", "superclass", parts.alias("p")).select("ecg_id", "superclass", "p.section", F.explode(T.leak_lines(F.col("p.text"))).alias("x"))
     return each.select("ecg_id", "superclass", "section", "x.pattern", "x.line")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,58 @@ def stratified_draw(grid: DataFrame, per_class: int, seed: int = 42) -> DataFram
     return ranked.join(F.broadcast(sizes), "superclass").where(F.col("rank") <= quota).select("ecg_id", "superclass", "label")  # sizes: one row a class
 
 
+MODES = ("none", "superclass", "superclass-label")
+
+
+def quotas(n: int, cells: int) -> list[int]:
+    """n over the cells as evenly as whole numbers allow, the first ones taking what is left over."""
+    return [n // cells + (i < n % cells) for i in range(cells)]
+
+
+def wanted_counts(n: int, mode: str, classes: list[str], there: dict[tuple[str, bool], int]) -> tuple[dict[tuple, int], list[tuple[str, int, int]]]:
+    """How many to draw of each cell, and (cell, there, wanted) of those that run short: a label takes what its sibling lacks."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; have {MODES}")
+    if mode == "none":
+        return {(): n}, []
+    take, short = {}, []
+    for name, quota in zip(classes, quotas(n, len(classes)), strict=True):
+        have = {label: there.get((name, label), 0) for label in (True, False)}
+        if mode == "superclass":
+            take[name,] = quota
+        else:
+            even = dict(zip((True, False), quotas(quota, 2), strict=True))
+            lack = {label: max(0, even[label] - have[label]) for label in even}
+            short += [(f"{name} label={label}", have[label], even[label]) for label in even if lack[label]]
+            take |= {(name, label): even[label] - lack[label] + lack[not label] for label in even}
+        if sum(have.values()) < quota:
+            short.append((name, sum(have.values()), quota))
+    return take, short
+
+
+def sample(grid: DataFrame, n: int | None, mode: str, classes: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """n examples (ecg_id, superclass, label) in all, by mode: of all rows, evenly over the classes, or also half yes and half no of each; and the shortfalls (cell, there, wanted).
+
+    Cells are in a fixed order by hash, so a smaller draw is within a larger one where no cell runs short.  n null, or no less than there is, takes every row.
+    """
+    spark, rows = grid.sparkSession, grid.select("ecg_id", "superclass", "label")
+    there = {(r["superclass"], r["label"]): r["n"] for r in rows.groupBy("superclass", "label").agg(F.count("*").alias("n")).collect()}
+    kind = "cell string, there long, wanted long"
+    if n is None or n >= sum(there.values()):
+        return rows, spark.createDataFrame([], kind)
+    take, short = wanted_counts(n, mode, classes, there)
+    cell = ["superclass", "label"][: len(next(iter(take)))]
+    keyed = rows.withColumn("_key", F.concat_ws("|", F.col("ecg_id").cast("string"), "superclass"))
+    placed = numbered_by_hash(keyed, seed, "_key", "_n", *cell)
+    wanted = F.lit(n) if not cell else F.lit(0)
+    for values, k in take.items() if cell else ():
+        same = F.lit(True)
+        for c, v in zip(cell, values, strict=True):
+            same = same & (F.col(c) == v)
+        wanted = F.when(same, F.lit(k)).otherwise(wanted)
+    return placed.where(F.col("_n") < wanted).select("ecg_id", "superclass", "label"), spark.createDataFrame(short, kind)
+
+
 RANGES = 4096
 
 
@@ -130,13 +184,12 @@ def pilot(members: DataFrame, quotas: dict[str, int], answers: DataFrame, target
     for cell, e in sorted(of_cells.items()):
         if not any(cell in has.get(x, ()) for x in selected):
             selected.append(e)
-    covered = lambda ids: set().union(*[has.get(x, set()) for x in ids]) >= set(of_cells) if ids else not of_cells
-    while len(selected) > target:
-        for i in reversed(range(len(selected))):
-            if covered(selected[:i] + selected[i + 1 :]):
-                del selected[i]
-                break
-        else:
-            break
+    times = Counter(cell for e in selected for cell in has.get(e, ()))
+    spare = len(selected) - target
+    for e in selected[::-1]:
+        if spare > 0 and all(times[cell] > 1 for cell in has.get(e, ())):
+            times.subtract(has.get(e, ()))
+            selected.remove(e)
+            spare -= 1
     selected = selected[:target]
     return selected + [e for e in padding if e not in set(selected)][: target - len(selected)]

@@ -582,7 +582,8 @@ def _quoted(values) -> str:
 def _cited(spark, d):
     k = F.array_position(F.array(*map(F.lit, B.CLASSES)), F.col("superclass"))
     said = lambda i: F.element_at(F.array(*[F.lit(c[0]) for c in _CITING]), ((F.col("ecg_id") * 3 + k + i) % len(_CITING) + 1).cast("int"))
-    return Q.rewritten(_grid(spark, d).select("ecg_id", "superclass", F.concat(F.lit("Step 1: "), said(0), F.lit("\nStep 2: "), said(1)).alias("reasoning")), "reasoning")
+    texts = _grid(spark, d).select("ecg_id", "superclass", F.concat(F.lit("Step 1: "), said(0), F.lit("\nStep 2: "), said(1)).alias("reasoning"))
+    return Q.rewritten(texts.repartition("ecg_id"), "reasoning")  # a boundary: else each rule computes its text anew from the grid
 
 
 @query(f"""SELECT ecg_id, superclass, 'Step 1: ' || b[(ecg_id * 3 + k) % 6 + 1] || chr(10) || 'Step 2: ' || b[(ecg_id * 3 + k + 1) % 6 + 1] AS reasoning FROM (SELECT *, {_quoted(c[1] for c in _CITING)} AS b FROM grid)""")
@@ -650,10 +651,3 @@ def cache_check(spark, d):
 @query(f"""SELECT d.superclass, d.label, count(*) AS n FROM grid d WHERE ecg_id IN (SELECT DISTINCT ecg_id FROM grid ORDER BY ecg_id LIMIT 100) AND superclass IN ('MI', 'CD') GROUP BY ALL""")
 def capped_records(spark, d):
     return L.record_cap(_grid(spark, d), ["MI", "CD"], 100).groupBy("superclass", "label").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT stratum, count(*) AS n FROM (SELECT r.ecg_id, unnest(list_filter([CASE WHEN classes = ['NORM'] THEN 'normal only' END, CASE WHEN NOT list_contains(coalesce(classes, []), 'NORM') AND nd >= 2 THEN 'several abnormal' END, CASE WHEN low THEN 'low likelihood' END,
-    CASE WHEN NOT validated THEN 'not validated' END, CASE WHEN coalesce(n, 0) = 0 THEN 'no statements' END], lambda x: x IS NOT NULL)) AS stratum FROM records r LEFT JOIN (SELECT ecg_id, list(DISTINCT class) FILTER (diagnostic) AS classes, count(*) FILTER (diagnostic) AS nd, count(*) AS n,
-    coalesce(bool_or(diagnostic AND likelihood > 0 AND likelihood <= 50), false) AS low FROM statements GROUP BY ecg_id) s USING (ecg_id)) GROUP BY stratum""")
-def strata_sizes(spark, d):
-    return L.strata(B.manifest(spark, d)).groupBy("stratum").agg(F.count("*").alias("n"))

@@ -70,8 +70,8 @@ def write_json_lines(rows: DataFrame, path: str, key: str, overwrite: bool = Fal
 
 # --- waveform files, label names, metrics -------------------------------------------------------------------------
 
-#: The two ways in which a record's files are named under the root, and what a record needs.
-LAYOUTS, PARTS = ["{root}/{file}", "{root}/{name}"], [".dat", ".hea"]
+#: The folder that the second layout leaves out (500 and 100 samples a second), and what a record needs.
+FOLDERS, PARTS = {"hr": "records500/", "lr": "records100/"}, [".dat", ".hea"]
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -81,17 +81,27 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_replace(below, r"\.[^./]*$", "").alias("stem"), F.regexp_extract(below, r"(\.[^./]*)$", 1).alias("suffix"))
 
 
-def located(records: DataFrame, files: DataFrame) -> DataFrame:
-    """records (ecg_id, filename, ..) with `stem`: as named, else its base name, whichever has all PARTS first; null if neither has."""
-    whole = files.where(F.col("suffix").isin(PARTS)).groupBy("stem").agg(F.count_distinct("suffix").alias("_n")).where(F.col("_n") == len(PARTS)).select("stem")
-    first, second = whole.select(F.col("stem").alias("_named")), whole.select(F.col("stem").alias("_flat"))
-    joined = records.join(first, F.col("filename") == F.col("_named"), "left").join(second, F.substring_index("filename", "/", -1) == F.col("_flat"), "left")
-    return joined.withColumn("stem", F.coalesce("_named", "_flat")).drop("_named", "_flat")
+def candidate_stems(filename: Column, rate: str = "hr") -> Column:
+    """Both places of a record under the root: as named without its last suffix, and the same without the rate's folder."""
+    stem = F.regexp_replace(filename, r"(?<=[^/])\.[^./]*$", "")
+    return F.array(stem, F.replace(stem, F.lit(FOLDERS[rate])))
+
+
+def located(records: DataFrame, files: DataFrame, rate: str = "hr") -> DataFrame:
+    """records (ecg_id, filename, ..) with `stem`, the first of its two places that has a .dat (null: neither), and `complete`: one of them has both PARTS."""
+    there = files.where(F.col("suffix").isin(PARTS)).groupBy("stem").agg(F.bool_or(F.col("suffix") == PARTS[0]).alias("_dat"), (F.count_distinct("suffix") == len(PARTS)).alias("_both"))
+    out = records.withColumn("_at", candidate_stems(F.col("filename"), rate))
+    for i in (0, 1):
+        side = there.select(F.col("stem").alias(f"_stem{i}"), F.col("_dat").alias(f"_dat{i}"), F.col("_both").alias(f"_both{i}"))
+        out = out.join(side, F.get("_at", F.lit(i)) == F.col(f"_stem{i}"), "left")
+    stem = F.coalesce(F.when(F.col("_dat0"), F.col("_stem0")), F.when(F.col("_dat1"), F.col("_stem1")))
+    complete = F.coalesce("_both0", F.lit(False)) | F.coalesce("_both1", F.lit(False))
+    return out.select(*records.columns, stem.alias("stem"), complete.alias("complete"))
 
 
 def missing_files(found: DataFrame, order: str) -> DataFrame:
-    """Every record without its files, in input order."""
-    return found.where(F.col("stem").isNull()).drop("stem").orderBy(order)
+    """Every record without both of its files in one place, in input order."""
+    return found.where(~F.col("complete")).drop("stem", "complete").orderBy(order)
 
 
 def with_files_and_labels(found: DataFrame, labels: str) -> DataFrame:
@@ -119,9 +129,24 @@ def without(rows: DataFrame, ids: list[int], key: str) -> DataFrame:
     return rows.where(F.coalesce(~F.col(key).isin(ids), F.lit(True)))
 
 
-def embedding_of(cache: DataFrame, index: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, embedding) of the ids that have a slot; cache: shard, row, embedding; only shards that are named are read."""
+def write_shards(cache: DataFrame, path: str) -> None:
+    """The cache (shard, row, embedding) as one folder a shard, so that a reader of some shards opens no other's files."""
+    cache.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+LISTED_SHARDS = 1000
+
+
+def embedding_of(spark: SparkSession, path: str, index: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, embedding) of the ids that have a slot in a cache of write_shards; only the shards that they name are read.
+
+    Up to LISTED_SHARDS shards are a literal partition filter; more are left to dynamic pruning by the join.
+    """
     slots = index.join(ids.select("id").distinct(), "id", "left_semi")
+    named = [r["shard"] for r in slots.select("shard").distinct().limit(LISTED_SHARDS + 1).collect()]
+    cache = spark.read.parquet(path)
+    if len(named) <= LISTED_SHARDS:
+        cache = cache.where(F.col("shard").isin(named))
     return cache.join(slots, ["shard", "row"]).select("id", "embedding")
 
 

@@ -45,7 +45,7 @@ def test_responses(spark):
     known = spark.createDataFrame([(1, "NORM", True), (1, "MI", True), (1, "CD", True)], "ecg_id long, superclass string, label boolean")
     assert [tuple(r) for r in P.label_mismatches(found, known).collect()] == [(1, "NORM")]
     leaks = P.leaks(found)
-    assert sorted((r.superclass, r.section, r.pattern) for r in leaks.collect()) == [("MI", "Evidence", "annotat"), ("NORM", "Reasoning", "known answer")]
+    assert sorted((r.superclass, r.section, r.pattern) for r in leaks.collect()) == [("MI", "evidence", "annotat"), ("NORM", "reasoning", "known answer")]
     assert P.leaked_classes(leaks).count() == 2 and {r.pattern: r.hits for r in P.leak_counts(leaks).collect()} == {"annotat": 1, "known answer": 1}
     assert {r.pattern for r in P.audit(found).collect()} == {"annotat", "known/required answer"}
 
@@ -180,20 +180,21 @@ def test_vectors(spark):
 
 
 def test_files_of_records(spark, tmp_path):
-    for name in ("a/1.dat", "a/1.hea", "2.dat", "2.hea", "a/3.dat"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    for name in ("records500/00/1_hr.dat", "records500/00/1_hr.hea", "00/2_hr.dat", "00/2_hr.hea", "00/4_hr.dat", "3_hr.dat", "3_hr.hea"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_bytes(b"x")
-    records = spark.createDataFrame([(1, "a/1", ["MI"]), (2, "b/2", []), (3, "a/3", ["CD"])], "ecg_id long, filename string, superclass array<string>")
+    named = [(1, "records500/00/1_hr", ["MI"]), (2, "records500/00/2_hr", []), (3, "records500/00/3_hr", ["CD"]), (4, "records500/00/4_hr", [])]
+    records = spark.createDataFrame(named, "ecg_id long, filename string, superclass array<string>")
     found = X.located(records, X.listing(spark, str(tmp_path)))
-    assert {r.ecg_id: r.stem for r in found.collect()} == {1: "a/1", 2: "2", 3: None}
-    assert [r.ecg_id for r in X.missing_files(found, "ecg_id").collect()] == [3] and [r.ecg_id for r in X.with_files_and_labels(found, "superclass").collect()] == [1]
+    assert {r.ecg_id: r.stem for r in found.collect()} == {1: "records500/00/1_hr", 2: "00/2_hr", 3: None, 4: "00/4_hr"}  # a .dat is enough for a place, not for a whole record
+    assert [r.ecg_id for r in X.missing_files(found, "ecg_id").collect()] == [3, 4] and [r.ecg_id for r in X.with_files_and_labels(found, "superclass").collect()] == [1]
     with pytest.raises(KeyError):
         X.record_path(found, 9)
     with pytest.raises(FileNotFoundError):
         X.record_path(found, 3)
-    assert {r.ecg_id for r in X.without(records, [2], "ecg_id").collect()} == {1, 3}
+    assert {r.ecg_id for r in X.without(records, [2], "ecg_id").collect()} == {1, 3, 4}
     X.write_by_condition(records, str(tmp_path / "c"), "ecg_id")
-    assert sorted(p.name for p in (tmp_path / "c").iterdir() if p.is_dir()) == ["ecg_id=1", "ecg_id=2", "ecg_id=3"]
+    assert sorted(p.name for p in (tmp_path / "c").iterdir() if p.is_dir()) == ["ecg_id=1", "ecg_id=2", "ecg_id=3", "ecg_id=4"]
     for k in (1, 2, 3, 4):
         assert X.write_version(records, str(tmp_path / "v"), keep=2, best=1) == k
     assert X.versions(spark, str(tmp_path / "v")) == [1, 3, 4]
