@@ -52,7 +52,7 @@ from lumenframe.llm.repeats import each_window
 from lumenframe.llm.sketch import BITS, counted, members, releasing
 
 WORDS_PER_SHINGLE, PERCENT, FREQUENT = 4, 85, 32
-BLOCK, PER_SET = 120_000, 100  # shingles in a block, each set counting as so many more
+BLOCK, PER_SET = 240_000, 100  # shingles in a block, each set counting as so many more
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
