@@ -41,17 +41,32 @@ GOOD = (
     "teacher student exam language dictionary translate map atlas hotel hostel camping hiking sailing football tennis chess swimming "
     "archive blog magazine journal press report review opinion podcast video channel studio agency office support help contact"
 ).split()
+#: Ordinary names and words that hold the letters of a bad one.
+LOOKALIKES = (
+    "sussex essex middlesex wessex sextant sextet alphabet alphabets betty better between tibet diabetes bethany roadside broads heads "
+    "leads threads beads loads reloads downloads uploads salads nomads spamalot dieter dietrich hackney hackathon cheapside winners "
+    "dinners pillsbury pillars caterpillar scampi camshaft camera campus cameron analysis nudges escorted bonuses prizes replicas "
+    "betacarotene slotted exploits crackers banners trackers sluggish adserve adultery spamming hackers steroidal popups landlords"
+).split()
 SITES, TOPS = ["", "www.", "blog.", "shop."], ["com", "org", "net", "info", "co.uk", "de", "fr", "es", "eu", "io"]
 PATHS = ["/", "/index.html", "/about", "/article/2041", "/page/2", "/category/all/", "/en/start", "/item.php", ""]
+LEADS, ENDS = ["/", "/en/", "/p/", "/2019/04/", "/c/", "/tag/"], ["", "/", ".html", "/1", "-online", "/index.php"]
 
 
 def training_table(bad: list[str] | None = None, good: list[str] | None = None) -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): each word alone and before the next one but two of its kind, in turn over sites, tops and paths."""
+    """(host, path, 1 to block): each word as a host, alone and joined to another of its kind, and each as the path of an ordinary host.
+
+    Hosts and paths are dealt in turn over sites, tops, neutral paths and the leads and ends of paths, the same for both kinds, so that only words tell them apart.
+    """
+    bad, good = bad or BAD, good or [*GOOD, *LOOKALIKES]
+    host = lambda name, i: f"{SITES[i % len(SITES)]}{name}.{TOPS[(i * 3 + i // 4) % len(TOPS)]}"
     out = []
-    for label, words in ((1, bad or BAD), (0, good or GOOD)):
+    for label, words in ((1, bad), (0, good)):
         for i, w in enumerate(words):
             for j, name in enumerate((w, f"{w}-{words[(i + 3) % len(words)]}", f"{w}{words[(i + 5) % len(words)]}")):
-                out.append((f"{SITES[(i + j) % len(SITES)]}{name}.{TOPS[(i + 3 * j) % len(TOPS)]}", PATHS[(i + 4 * j) % len(PATHS)], label))
+                out.append((host(name, i + j), PATHS[(i + 4 * j) % len(PATHS)], label))
+            for j, name in enumerate((w, f"{w}/{words[(i + 7) % len(words)]}", f"{w}-{words[(i + 2) % len(words)]}")):
+                out.append((host(good[(5 * i + j) % len(good)], i + j), f"{LEADS[(i + j) % len(LEADS)]}{name}{ENDS[(i + 2 * j) % len(ENDS)]}", label))
     return [*out, ("", "", 0)]
 
 

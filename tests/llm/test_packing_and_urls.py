@@ -92,6 +92,29 @@ def test_url_model_on_hosts_it_has_not_seen():
     assert np.mean(right[1]) > 0.95 and np.mean(right[0]) > 0.98
 
 
+def score(weights, host, path):
+    x = np.append(L.features(host, path), len(weights) - 1)
+    return 1 / (1 + np.exp(-weights[x].sum() / np.sqrt(len(x))))
+
+
+def test_paths_and_lookalikes_count():
+    weights = L.fit(L.training_table())
+    for host, path in (("example.org", "/casino/bonus/poker"), ("school-news.xyz", "/x/payday-loans"), ("casino-win.info", "/")):
+        assert score(weights, host, path) > 0.5
+    for host, path in (("sussex.org", "/"), ("essex.ac.uk", "/about"), ("alphabet.com", "/"), ("example.org", "/history/museum"), ("example.org", "/sussex/betty.html")):
+        assert score(weights, host, path) < 0.5
+
+
+def test_words_that_no_list_has_are_mostly_allowed():
+    """Folds of the word lists: what the model does with good words that it wasn't fitted on; of bad ones it knows few."""
+    good = [*L.GOOD, *L.LOOKALIKES]
+    wrong = []
+    for fold in range(5):
+        weights = L.fit(L.training_table([w for i, w in enumerate(L.BAD) if i % 5 != fold], [w for i, w in enumerate(good) if i % 5 != fold]))
+        wrong += [score(weights, f"{w}.com", "/") >= 0.5 for i, w in enumerate(L.GOOD) if i % 5 == fold]
+    assert np.mean(wrong) < 0.05
+
+
 def test_the_url_table_has_no_host_of_the_test_tables():
     import pyarrow.parquet as pq
 
