@@ -12,6 +12,7 @@ from lumenframe.operators import checks as C
 from lumenframe.operators import labels as L
 from lumenframe.operators import metrics as E
 from lumenframe.operators import pairs as D
+from lumenframe.operators import probes as P
 from lumenframe.operators import sampling as S
 from lumenframe.operators import series as R
 from lumenframe.operators import vectors as V
@@ -293,3 +294,11 @@ def _told(spark, d) -> DataFrame:
 def stripped_responses(spark, d):
     s = T.strip_response(F.col("response"))
     return _told(spark, d).select("doc_id", s["content"].alias("content"), s["steps_removed"].alias("steps_removed"))
+
+
+@query()
+def probe_variants(spark, d):
+    """One-vs-rest probes of all ten classes over three forms of the vectors, taught by folds 0 to 7, measured on the others; no SQL form."""
+    v = B.table(spark, d, "embeddings").select("embedding", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.col("label") == k).alias("truth"), (F.col("vec_id") % 10 < 8).alias("teaches"))
+    out = P.probe_report(v.where("teaches"), v.where("NOT teaches"), 10)
+    return out.select("form", "class", "n_train", "n_test", _r("fit_loss"), _r("gradient_norm", 3), "converged", "auprc", "auroc", _r("positive_rate"), _r("lift"))
