@@ -18,7 +18,7 @@ def flags(manifest: DataFrame) -> DataFrame:
         "ecg_id", "strat_fold", "validated", F.size(s).alias("n_statements"), ((F.size(s) > 0) & F.forall(s, lambda x: x["likelihood"] == 0)).alias("all_zero"),
         norm_only(F.array_distinct(F.transform(s, lambda x: x["class"]))).alias("only_norm"), norm_only(asserted(s)).alias("diagnostic_norm"),
         norm_only(diagnostic(lambda x: x["diagnostic"] & (x["likelihood"] > 0))).alias("likely_norm"),
-        F.exists(s, lambda x: x["rhythm"] & x["form"]).alias("rhythm_and_form"), F.exists(s, lambda x: x["diagnostic"] & (x["likelihood"] > 0) & (x["likelihood"] <= 50)).alias("low_likelihood"),
+        (F.exists(s, lambda x: x["rhythm"]) & F.exists(s, lambda x: x["form"])).alias("rhythm_and_form"), F.exists(s, lambda x: x["diagnostic"] & (x["likelihood"] > 0) & (x["likelihood"] <= 50)).alias("low_likelihood"),
     )
 
 
@@ -38,13 +38,42 @@ def validation_crosstab(records: DataFrame) -> DataFrame:
     return folds.join(counts, "strat_fold", "left").na.fill(0, ["validated", "unvalidated"])
 
 
+def records_per_fold(records: DataFrame) -> DataFrame:
+    """Records of each fold that has any, in order."""
+    return records.groupBy("strat_fold").agg(F.count("*").alias("n")).orderBy("strat_fold")
+
+
+def normality_shares(manifest: DataFrame, total: int) -> DataFrame:
+    """(definition, n, percent) of the three definitions of normality; percent is of a stated total, not of the records at hand."""
+    names = ["only_norm", "diagnostic_norm", "likely_norm"]
+    one = flags(manifest).agg(*[F.count_if(n).alias(n) for n in names])
+    each = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("definition"), F.col(n).alias("n")) for n in names])).alias("d")).select("d.*")
+    return each.withColumn("percent", F.round(F.try_divide(100 * F.col("n"), F.lit(total)), 2))
+
+
+def validated_by_fold(records: DataFrame) -> DataFrame:
+    """Folds 1 to 10: records, validated ones and their percentage, null in a fold without records."""
+    c = validation_crosstab(records).withColumn("records", F.col("validated") + F.col("unvalidated"))
+    return c.select("strat_fold", "records", "validated", F.round(F.try_divide(100 * F.col("validated"), F.col("records")), 2).alias("percent"))
+
+
+def validation_table(records: DataFrame, validated: str, generated: str) -> DataFrame:
+    """Two by two: (validated, generated, n), all four cells, zeros too; a null flag counts as false."""
+    v, g = F.coalesce(validated, F.lit(False)), F.coalesce(generated, F.lit(False))
+    cells = [(a, b) for a in (True, False) for b in (True, False)]
+    one = records.agg(*[F.count_if((v == a) & (g == b)).alias(f"_{i}") for i, (a, b) in enumerate(cells)])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("validated"), F.lit(b).alias("generated"), F.col(f"_{i}").alias("n")) for i, (a, b) in enumerate(cells)]))
+    return one.select(each.alias("c")).select("c.*")
+
+
 def top_codes(statements: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent codes; ties go to the smaller code."""
     return statements.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(k)
 
 
 def accompanying_sets(manifest: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent sets of rhythm or form codes."""
+    """The k most frequent sets of rhythm or form codes beside a normal recording (one whose diagnostic classes are NORM alone)."""
+    manifest = manifest.where((F.size(asserted(F.col("statements"))) == 1) & F.array_contains(asserted(F.col("statements")), "NORM"))
     codes = F.array_sort(F.transform(F.filter("statements", lambda s: s["rhythm"] | s["form"]), lambda s: s["code"]))
     keyed = manifest.select(F.array_join(F.transform(codes, lambda c: c.cast("string")), "+").alias("codes"))
     return keyed.groupBy("codes").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "codes").limit(k)

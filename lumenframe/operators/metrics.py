@@ -107,6 +107,13 @@ def against_reference(measured: DataFrame, reference: DataFrame, label: str) ->
     return measured.join(known, label, "left").withColumn("unknown_label", F.col("_known").isNull()).drop("_known")
 
 
+def metric_gaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rankings of one set of scores beside those of another, and left's AUPRC less right's (null where either has none); a key that only one side has is left out. left, right: key, auprc, auroc."""
+    side = lambda m, name: m.select(key, F.col("auprc").alias(f"{name}_auprc"), F.col("auroc").alias(f"{name}_auroc"))
+    both = side(left, "left").join(side(right, "right"), key)
+    return both.withColumn("auprc_gap", F.round(F.col("left_auprc") - F.col("right_auprc"), 6))
+
+
 def metric_block(evals: DataFrame, *keys: str) -> DataFrame:
     """Counts; precision, recall and F1 over parsed rows; AUPRC and AUROC over rows both parsed and scored, and lift: AUPRC over that subset's positive rate."""
     both = evals.where(F.col("parsed").isNotNull() & F.col("p_yes").isNotNull())

@@ -63,3 +63,38 @@ def audit(found: DataFrame) -> DataFrame:
     """(pattern, blocks, records) of the audit's patterns over whole blocks."""
     each = sections(found).where(F.col("body").isNotNull()).select("ecg_id", F.explode(T.audit_hits(F.col("body"))).alias("pattern"))
     return each.groupBy("pattern").agg(F.count("*").alias("blocks"), F.count_distinct("ecg_id").alias("records"))
+
+
+def audit_blocks(found: DataFrame) -> DataFrame:
+    """One row a record and class that has a block: its answer, whether its reasoning is blank, which audit patterns it has, and whether it names a lead's type."""
+    there = sections(found).where(F.col("body").isNotNull())
+    blank = T.strip(F.coalesce("full_reasoning", F.lit(""))) == ""
+    return there.select("ecg_id", "superclass", "conclusion", blank.alias("empty"), F.size(T.audit_hits(F.col("body"))).alias("hits"), T.has_lead_type(F.col("body")).alias("lead_type"))
+
+
+def audit_totals(found: DataFrame, known: DataFrame) -> DataFrame:
+    """One row over all records of found (ecg_id, content, n_tokens; each id once): records, blocks and how many there should be, records with a mismatch and records that aren't ok, blank
+    reasonings, mean tokens, blocks and records with any audit pattern with their percentages, and blocks that name a lead's type. known: ecg_id, superclass, label.
+
+    Blocks are summed to one row a record first, so a record with hits in several blocks counts once.
+    """
+    wrong = F.col("conclusion") != F.col("label")
+    each = audit_blocks(found).join(known, ["ecg_id", "superclass"], "left")
+    record = each.groupBy("ecg_id").agg(
+        F.count("*").alias("b"), F.count_if("empty").alias("e"), F.count_if(F.col("hits") > 0).alias("h"), F.count_if("lead_type").alias("t"),
+        F.coalesce(F.bool_or(wrong), F.lit(False)).alias("w"), F.count("conclusion").alias("c"),
+    )
+    whole = found.select("ecg_id", "n_tokens").join(record, "ecg_id", "left")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = whole.agg(
+        F.count("*").alias("records"), n("b").alias("blocks"), (F.count("*") * len(CLASSES)).alias("expected_blocks"), F.count_if("w").alias("mismatched_records"),
+        F.count_if(F.coalesce("c", F.lit(0)) < len(CLASSES)).alias("failed_records"), n("e").alias("empty_reasonings"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"),
+        n("h").alias("hit_blocks"), F.count_if(F.col("h") > 0).alias("hit_records"), n("t").alias("lead_type_blocks"),
+    )
+    share = lambda a, b: F.round(F.try_divide(100 * F.col(a), F.col(b)), 1)
+    return sums.withColumns({"hit_block_percent": share("hit_blocks", "blocks"), "hit_record_percent": share("hit_records", "records")})
+
+
+def yes_counts(found: DataFrame) -> DataFrame:
+    """(superclass, n): blocks of each class that say yes; a class without any isn't listed."""
+    return audit_blocks(found).where("conclusion").groupBy("superclass").agg(F.count("*").alias("n"))

@@ -165,6 +165,16 @@ def chosen_examples(examples: DataFrame, ids: DataFrame) -> DataFrame:
     return examples.join(ids.select("ecg_id").distinct(), "ecg_id", "left_semi").orderBy("ecg_id", "superclass")
 
 
+def first_examples(examples: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n examples in order, or all if there are fewer."""
+    return examples.orderBy(*order).limit(n)
+
+
+def selection_record(selected: DataFrame) -> DataFrame:
+    """(superclass, yes, no, records): what a run notes about its draw."""
+    return selected.groupBy("superclass").agg(F.count_if("label").alias("yes"), F.count_if(~F.col("label")).alias("no"), F.count_distinct("ecg_id").alias("records"))
+
+
 def pilot(members: DataFrame, quotas: dict[str, int], answers: DataFrame, target: int, seed: int) -> list[int]:
     """At most `target` record ids: so many of each stratum, each record once, then one yes and one no for each class, trimmed from the end where coverage allows, padded by hash.
 

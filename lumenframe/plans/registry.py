@@ -93,7 +93,7 @@ _FLAGS = """f AS (SELECT r.ecg_id, r.strat_fold, r.validated, count(s.code) AS n
     coalesce(count(DISTINCT s.class) = 1 AND bool_and(s.class = 'NORM'), false) AS only_norm,
     coalesce(count(DISTINCT s.class) FILTER (s.diagnostic) = 1 AND bool_and(s.class = 'NORM') FILTER (s.diagnostic), false) AS diagnostic_norm,
     coalesce(count(DISTINCT s.class) FILTER (s.diagnostic AND s.likelihood > 0) = 1 AND bool_and(s.class = 'NORM') FILTER (s.diagnostic AND s.likelihood > 0), false) AS likely_norm,
-    coalesce(bool_or(s.rhythm AND s.form), false) AS rhythm_and_form, coalesce(bool_or(s.diagnostic AND s.likelihood > 0 AND s.likelihood <= 50), false) AS low_likelihood
+    coalesce(bool_or(s.rhythm) AND bool_or(s.form), false) AS rhythm_and_form, coalesce(bool_or(s.diagnostic AND s.likelihood > 0 AND s.likelihood <= 50), false) AS low_likelihood
     FROM records r LEFT JOIN statements s USING (ecg_id) GROUP BY ALL)"""
 
 
@@ -126,7 +126,7 @@ def top_codes(spark, d):
 
 
 @query("""SELECT codes, count(*) AS n FROM (SELECT r.ecg_id, coalesce(string_agg(s.code::VARCHAR, '+' ORDER BY s.code) FILTER (s.rhythm OR s.form), '') AS codes
-    FROM records r LEFT JOIN statements s USING (ecg_id) GROUP BY r.ecg_id) GROUP BY codes ORDER BY n DESC, codes LIMIT 10""")
+    FROM records r JOIN statements s USING (ecg_id) GROUP BY r.ecg_id HAVING count(DISTINCT s.class) FILTER (s.diagnostic) = 1 AND bool_and(s.class = 'NORM') FILTER (s.diagnostic)) GROUP BY codes ORDER BY n DESC, codes LIMIT 10""")
 def accompanying_code_sets(spark, d):
     return M.accompanying_sets(B.manifest(spark, d))
 

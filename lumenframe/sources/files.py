@@ -155,6 +155,16 @@ def inner_codes(facts: DataFrame, key: str, field: str, codes: DataFrame) -> Dat
     return facts.select(key, F.explode(field).alias("code", "likelihood")).join(codes, "code")
 
 
+def record_classes(facts: DataFrame, key: str, field: str, codes: DataFrame) -> DataFrame:
+    """Each record with `superclass`, the sorted distinct classes of its diagnostic codes; codes that the codebook hasn't, and those without a class, are left out, and a record without any has an empty list.
+
+    facts: key and a map from code to likelihood, null or empty for none; codes: code, diagnostic, class.
+    """
+    known = codes.where(F.col("diagnostic") & F.col("class").isNotNull()).select("code", "class")
+    found = inner_codes(facts, key, field, known).groupBy(key).agg(F.array_sort(F.collect_set("class")).alias("superclass"))
+    return facts.join(found, key, "left").withColumn("superclass", F.coalesce("superclass", F.array().cast("array<string>")))
+
+
 def write_metrics(rows: DataFrame, path: str) -> None:
     """A summary as JSON lines, nulls kept; the folder must be new."""
     rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)

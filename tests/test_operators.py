@@ -7,7 +7,7 @@ from lumenframe.functions import text as T
 from lumenframe.operators import metrics as E
 from lumenframe.operators import resume as R
 from lumenframe.operators import sampling as S
-from lumenframe.plans import records, registry  # noqa: F401  records adds its queries
+from lumenframe.plans import records, registry, runs  # noqa: F401  records and runs add their queries
 
 
 def one(spark, value, f, kind="string"):
