@@ -71,14 +71,19 @@ def top_codes(statements: DataFrame, k: int = 10) -> DataFrame:
     return statements.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(k)
 
 
-def accompanying_sets(manifest: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent sets of rhythm or form codes beside a normal recording (one whose diagnostic classes are NORM alone)."""
-    manifest = manifest.where((F.size(asserted(F.col("statements"))) == 1) & F.array_contains(asserted(F.col("statements")), "NORM"))
+def code_sets(manifest: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent sets of rhythm or form codes over all records; a record without any has the empty set."""
     codes = F.array_sort(F.transform(F.filter("statements", lambda s: s["rhythm"] | s["form"]), lambda s: s["code"]))
     keyed = manifest.select(F.array_join(F.transform(codes, lambda c: c.cast("string")), "+").alias("codes"))
     return keyed.groupBy("codes").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "codes").limit(k)
 
 
+def accompanying_sets(manifest: DataFrame, k: int = 10) -> DataFrame:
+    """Those sets beside a normal recording (one whose diagnostic classes are NORM alone)."""
+    classes = asserted(F.col("statements"))
+    return code_sets(manifest.where((F.size(classes) == 1) & F.array_contains(classes, "NORM")), k)
+
+
 def shard_layout(records: DataFrame, size: int = 2000) -> DataFrame:
     """Shard and row of each record in order of ecg_id, `size` records a shard."""
     n = numbered(records.select("ecg_id"), "_n", "ecg_id")

@@ -126,8 +126,14 @@ def top_codes(spark, d):
 
 
 @query("""SELECT codes, count(*) AS n FROM (SELECT r.ecg_id, coalesce(string_agg(s.code::VARCHAR, '+' ORDER BY s.code) FILTER (s.rhythm OR s.form), '') AS codes
-    FROM records r JOIN statements s USING (ecg_id) GROUP BY r.ecg_id HAVING count(DISTINCT s.class) FILTER (s.diagnostic) = 1 AND bool_and(s.class = 'NORM') FILTER (s.diagnostic)) GROUP BY codes ORDER BY n DESC, codes LIMIT 10""")
+    FROM records r LEFT JOIN statements s USING (ecg_id) GROUP BY r.ecg_id) GROUP BY codes ORDER BY n DESC, codes LIMIT 10""")
 def accompanying_code_sets(spark, d):
+    return M.code_sets(B.manifest(spark, d))
+
+
+@query("""SELECT codes, count(*) AS n FROM (SELECT r.ecg_id, coalesce(string_agg(s.code::VARCHAR, '+' ORDER BY s.code) FILTER (s.rhythm OR s.form), '') AS codes
+    FROM records r JOIN statements s USING (ecg_id) GROUP BY r.ecg_id HAVING count(DISTINCT s.class) FILTER (s.diagnostic) = 1 AND bool_and(s.class = 'NORM') FILTER (s.diagnostic)) GROUP BY codes ORDER BY n DESC, codes LIMIT 10""")
+def normal_code_sets(spark, d):
     return M.accompanying_sets(B.manifest(spark, d))
 
 

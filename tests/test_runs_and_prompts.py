@@ -10,6 +10,7 @@ from lumenframe.operators import metrics as E
 from lumenframe.operators import responses as P
 from lumenframe.operators import sampling as S
 from lumenframe.operators.guards import RunMismatch
+from lumenframe.plans import registry
 from lumenframe.sources import files as X
 from lumenframe.sources import runs as U
 
@@ -118,6 +119,18 @@ def test_rhythm_and_form_may_be_two_statements(spark):
     assert shares["diagnostic_norm"] == (1, 12.5) and shares["likely_norm"] == (0, 0.0)
 
 
+def test_code_sets_count_every_record(spark):
+    norm, rhythm = ("NORM", None, True, False, False, "NORM", 0.0), ("SR", None, False, False, True, None, 0.0)
+    m = _manifest(spark, [(1, 1, True, [norm, rhythm]), (2, 1, True, [rhythm]), (3, 2, False, [("I", None, True, False, False, "MI", 9.0), rhythm]), (4, 2, False, [])])
+    assert [(r.codes, r.n) for r in M.code_sets(m).collect()] == [("SR", 3), ("", 1)]
+    assert [(r.codes, r.n) for r in M.accompanying_sets(m).collect()] == [("SR", 1)]
+
+
+def test_code_sets_query_has_the_records_without_a_normal_class(spark):
+    found = registry.QUERIES["accompanying_code_sets"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.codes: r.n for r in found}[""] > sum(r.n for r in registry.QUERIES["normal_code_sets"](spark, "/root/testdata/sf0.001").where("codes = ''").collect())
+
+
 def test_validation_by_fold_and_table(spark):
     r = spark.createDataFrame([(1, 1, True, True), (2, 1, False, None), (3, 3, True, False)], "ecg_id long, strat_fold int, validated boolean, generated boolean")
     by = {x.strat_fold: (x.records, x.validated, x.percent) for x in M.validated_by_fold(r).collect()}
