@@ -175,7 +175,7 @@ def _draw_sql(mode: str, n: int) -> str:
 
 
 def _grid(spark, d) -> DataFrame:
-    return L.superclass_grid(B.manifest(spark, d))
+    return L.label_rows(L.class_labels(B.records(spark, d), B.statements(spark, d)))
 
 
 @query(_draw_sql("superclass-label", 1013))

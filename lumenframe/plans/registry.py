@@ -39,6 +39,10 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.class_labels(B.records(spark, sf_dir), B.statements(spark, sf_dir))
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.superclass_grid(B.manifest(spark, sf_dir))
 
@@ -588,20 +592,17 @@ def _quoted(values) -> str:
 def _cited(spark, d):
     k = F.array_position(F.array(*map(F.lit, B.CLASSES)), F.col("superclass"))
     said = lambda i: F.element_at(F.array(*[F.lit(c[0]) for c in _CITING]), ((F.col("ecg_id") * 3 + k + i) % len(_CITING) + 1).cast("int"))
-    texts = _grid(spark, d).select("ecg_id", "superclass", F.concat(F.lit("Step 1: "), said(0), F.lit("\nStep 2: "), said(1)).alias("reasoning"))
-    return Q.rewritten(texts.repartition("ecg_id"), "reasoning")  # a boundary: else each rule computes its text anew from the grid
+    return _grid(spark, d).select("ecg_id", "superclass", F.concat(F.lit("Step 1: "), said(0), F.lit("\nStep 2: "), said(1)).alias("reasoning"))
 
 
 @query(f"""SELECT ecg_id, superclass, 'Step 1: ' || b[(ecg_id * 3 + k) % 6 + 1] || chr(10) || 'Step 2: ' || b[(ecg_id * 3 + k + 1) % 6 + 1] AS reasoning FROM (SELECT *, {_quoted(c[1] for c in _CITING)} AS b FROM grid)""")
 def reworded_reasoning(spark, d):
-    return _cited(spark, d).drop("rewrites")
+    return Q.rewritten(_cited(spark, d), "reasoning").drop("rewrites")
 
 
 @query(f"""SELECT rule, count(*) AS rewrites FROM (SELECT unnest([r[(ecg_id * 3 + k) % 6 + 1], r[(ecg_id * 3 + k + 1) % 6 + 1]]) AS rule FROM (SELECT *, {_quoted(c[2] for c in _CITING)} AS r FROM grid)) WHERE rule <> '' GROUP BY rule""")
 def reword_counts(spark, d):
-    rules = [r[0] for r in Q.RULES]
-    totals = _cited(spark, d).agg(*[F.sum(F.col("rewrites")[r].cast("long")).alias(r) for r in rules])
-    return totals.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rewrites")) for r in rules])).alias("x")).select("x.*").where("rewrites > 0")
+    return Q.rewrite_totals(_cited(spark, d), "reasoning").where("rewrites > 0")
 
 
 @query("""SELECT doc_id, CASE WHEN position(chr(10) IN coalesce(text, '')) > 0 THEN position(chr(10) IN text) - 1 ELSE length(coalesce(text, '')) END::BIGINT AS kept, greatest(1, length(text) // 4)::BIGINT AS estimate FROM documents WHERE text IS NOT NULL""")

@@ -243,7 +243,7 @@ def metric_gaps(spark, d):
 
 @query("""SELECT superclass, count(*) FILTER (label) AS yes, count(*) FILTER (NOT label) AS no, count(DISTINCT ecg_id) AS records FROM (SELECT * FROM grid ORDER BY ecg_id, superclass LIMIT 1003) GROUP BY superclass""")
 def first_selection(spark, d):
-    g = L.superclass_grid(B.manifest(spark, d))
+    g = L.label_rows(L.class_labels(B.records(spark, d), B.statements(spark, d)))
     return S.selection_record(S.first_examples(g, 1003, "ecg_id", "superclass"))
 
 
