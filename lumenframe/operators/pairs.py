@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.vectors import norm
 
-BLOCK = 1024
+#: Rows of a block, each of which is sent to every block of its group, and of a tile, whose pairs are in memory together.
+BLOCK, TILE = 16384, 512
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -20,19 +21,29 @@ def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], flat.reshape(len(keys), -1)[order] if len(keys) else np.zeros((0, 0))
 
 
+def _tile(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, above: bool) -> tuple[float, float]:
+    """Sums of both distances over all pairs of a and b, or those above the diagonal. Differences that products would round away are taken anew."""
+    dot, size = a @ b.T, la[:, None] ** 2 + lb[None, :] ** 2
+    square = size - 2 * dot
+    dot /= np.maximum(la[:, None] * lb[None, :], 1e-8)
+    cosine = np.maximum(1 - dot, 0, out=dot)
+    near = square < 1e-3 * size
+    np.sqrt(np.maximum(square, 0, out=square), out=square)
+    i, j = np.nonzero(np.triu(near, 1) if above else near)
+    for k in range(0, len(i), TILE):
+        square[i[k : k + TILE], j[k : k + TILE]] = np.linalg.norm(a[i[k : k + TILE]] - b[j[k : k + TILE]], axis=1)
+    return (float(np.triu(cosine, 1).sum()), float(np.triu(square, 1).sum())) if above else (float(cosine.sum()), float(square.sum()))
+
+
 def _block_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    (own, a), (other, b) = _rows(left), _rows(right)
-    same, pairs, cosine, l2 = left["_i"][0].as_py() == left["_j"][0].as_py(), 0, 0.0, 0.0
-    length = np.maximum(np.linalg.norm(b, axis=1), 1e-300) if len(b) else np.zeros(0)
-    for k in range(len(own)):
-        low = k + 1 if same else 0
-        if low >= len(other):
-            continue
-        rest = b[low:]
-        mine = np.linalg.norm(a[k])
-        pairs += len(rest)
-        cosine += float(np.maximum(1 - rest @ a[k] / np.maximum(length[low:] * mine, 1e-8), 0).sum())
-        l2 += float(np.linalg.norm(rest - a[k], axis=1).sum())
+    (_, a), (_, b) = _rows(left), _rows(right)
+    same, cosine, l2 = left["_i"][0].as_py() == left["_j"][0].as_py(), 0.0, 0.0
+    la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    for i in range(0, len(a), TILE):
+        for j in range(i if same else 0, len(b), TILE):
+            x, y = _tile(a[i : i + TILE], b[j : j + TILE], la[i : i + TILE], lb[j : j + TILE], same and i == j)
+            cosine, l2 = cosine + x, l2 + y
+    pairs = len(a) * (len(a) - 1) // 2 if same else len(a) * len(b)
     return pa.table({"_g": left["_g"].slice(0, 1), "pairs": [pairs], "cosine": [cosine], "l2": [l2]})
 
 
@@ -40,9 +51,9 @@ def pair_sums(vectors: DataFrame, group: str, row: str, block: int = BLOCK) -> D
     """group, pairs, and sums of cosine distance (not below 0) and of Euclidean length of the difference over each group's pairs of rows.
 
     row: a long that names a row within its group; rows without vector or name don't count.
-    Rows are dealt over blocks of about `block`; each pair of blocks meets in one task.
+    Rows are dealt over blocks of about `block`; each pair of blocks meets in one task.  Vectors move in their own type and are doubles in the task.
     """
-    v = vectors.where(F.col("embedding").isNotNull() & F.col(row).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(row).alias("_row"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.where(F.col("embedding").isNotNull() & F.col(row).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(row).alias("_row"), "embedding")
     blocks = v.groupBy(F.col("_g").alias("_of")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
     dealt = v.join(blocks, F.col("_g").eqNullSafe(F.col("_of"))).select("_g", "_row", "embedding", "_n", F.pmod(F.xxhash64("_row"), F.col("_n")).cast("int").alias("_b"))
     left = dealt.select("_g", F.col("_row").alias("_row"), F.col("embedding").alias("embedding"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_j"))

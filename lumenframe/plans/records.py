@@ -82,7 +82,7 @@ def _pairs_sql(rows: str, group: str, key: str) -> str:
 @query(f""", {_VECTORS} SELECT label::VARCHAR AS label, pairs, round(cosine / pairs, 5) AS cosine, round(l2 / pairs / (SELECT avg(sqrt(list_dot_product(x, x))) FROM v), 5) AS l2 FROM ({_pairs_sql('v', 'label', 'vec_id')})""")
 def pair_distances(spark, d):
     e = B.table(spark, d, "embeddings")
-    sums = D.pair_sums(e, "label", "vec_id", block=64).join(D.mean_norm(e))  # one row
+    sums = D.pair_sums(e, "label", "vec_id").join(D.mean_norm(e))  # one row
     return sums.select("label", "pairs", F.round(F.col("cosine") / F.col("pairs"), 5).alias("cosine"), F.round(F.col("l2") / F.col("pairs") / F.col("norm"), 5).alias("l2"))
 
 
@@ -96,10 +96,10 @@ _SPREADS = """i AS (SELECT 'all' AS g, vec_id AS k, x FROM v), o AS (SELECT vec_
     round(CASE WHEN t.over = 'held' THEN t.cosine / i.cosine END, 4) AS cosine_of_input, round(CASE WHEN t.over = 'held' THEN t.l2 / i.l2 END, 4) AS l2_of_input FROM t, t w, t i WHERE w.over = 'within' AND i.over = 'input'""")
 def four_way_spread(spark, d):
     """Vectors as inputs; as outputs of ten questions to each record; and, for the held prompt, moved by twice the record's first vector."""
-    e = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    e = B.table(spark, d, "embeddings").select("vec_id", "embedding")
     outputs = e.select(F.floor(F.col("vec_id") / 10).alias("record"), (F.col("vec_id") % 10).alias("question"), "embedding")
     first = outputs.where("question = 0").select("record", F.col("embedding").alias("_first"))
-    held = outputs.join(first, "record").withColumn("embedding", F.zip_with("embedding", "_first", lambda x, y: x + 2 * y)).drop("_first")
+    held = outputs.join(first, "record").withColumn("embedding", F.zip_with("embedding", "_first", lambda x, y: x.cast("double") + 2 * y.cast("double"))).drop("_first")
     out = D.four_way_spread(e.withColumnRenamed("vec_id", "record"), outputs, held)
     return out.select("over", "pairs", *[F.round(c, 5).alias(c) for c in ("cosine", "l2", "norm")], *[F.round(c, 4).alias(c) for c in ("cosine_of_within", "l2_of_within", "cosine_of_input", "l2_of_input")])
 

@@ -39,3 +39,20 @@ def test_labels_by_bits_are_those_of_nested_statements(spark):
 def test_grid_moves_no_description(spark):
     plan = L.label_rows(L.class_labels(B.records(spark, SF), B.statements(spark, SF)))._jdf.queryExecution().optimizedPlan().toString()
     assert "p_name" not in plan and "l_linenumber" not in plan
+
+
+@pytest.mark.parametrize("block", [300, D.BLOCK])
+def test_pairs_over_several_tiles_match_brute_force(spark, block):
+    r = np.random.default_rng(5)
+    m = r.normal(size=(1100, 4)).astype(np.float32)
+    m[700:720], m[900] = m[:20], m[3] + np.float32(1e-4)  # copies, and one that products alone would round away
+    rows = [("g", i, v.tolist()) for i, v in enumerate(m)]
+    got = D.pair_sums(spark.createDataFrame(rows, "g string, i long, embedding array<float>"), "g", "i", block=block).head()
+    x = m.astype(float)
+    i, j = np.triu_indices(len(x), 1)
+    cosine = np.maximum(1 - (x[i] * x[j]).sum(1) / (np.linalg.norm(x[i], axis=1) * np.linalg.norm(x[j], axis=1)), 0).sum()
+    assert got.pairs == len(i) and got.cosine == pytest.approx(cosine, rel=1e-9) and got.l2 == pytest.approx(np.linalg.norm(x[i] - x[j], axis=1).sum(), rel=1e-9)
+
+
+def test_a_block_holds_many_rows():
+    assert D.BLOCK >= 16384  # each vector is sent once for every block of its group
