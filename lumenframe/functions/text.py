@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ REPORT_FLOOR = 15
 #: Substrings that cite the annotation channel, and step texts that cite the known answer.
 LEAKS = ["annotat", "likelihood", "cardiologist", "diagnostic finding", "diagnostic statement", "not annotated", "heart axis", "infarction stadium", "form statement", "known answer", "correct answer", "the report", "written interpretation", "is reported", "not described"]
 TELLS = ["required answer", "known answer", "correct answer", "answer is affirmative", "answer is negative", "requires? an? (?:positive|negative|affirmative)", "must be (?:yes|no|affirmative|negative)", "the label", "as (?:given|specified|stated) (?:in the )?(?:label|answer)", "known diagnosis", "answer must reflect"]
+#: Every match of TELLS holds one of these.
+TELL_WORDS = ["answer", "require", "must be", "label", "diagnosis"]
 #: Anchors of the language guess.
 ENGLISH = ["the", "and", "with", "without", "sinus", "rhythm", "normal", "wave", "waves", "changes", "consistent", "possible"]
 SWEDISH = ["sinusrytm", "avvikande", "förändringar", "vänster", "höger", "ospecifika", "förlopp"]
@@ -30,6 +34,19 @@ ALL_LEADS = ["alles", "alle", "alle abl.", "alle abl", "all"]
 NAMES = {"MI": "myocardial infarction", "STTC": "ST/T change", "CD": "conduction disturbance", "HYP": "hypertrophy"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    """Whether any of the words (small letters) is in the text, whatever its case."""
+    low, found = F.lower(text), F.lit(False)
+    for w in words:
+        found = found | F.contains(low, F.lit(w))
+    return found
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS, " "))
 
@@ -129,17 +146,19 @@ def blocks(response: Column) -> Column:
     """Array of (superclass, body) at class headers, in order; fewer than two headers: none."""
     parts = F.filter(F.split(F.regexp_replace(response, HEADER, f"{_MARK}$1{_END}"), _MARK), lambda p: p.contains(_END))
     cut = F.transform(parts, lambda p: F.struct(F.upper(F.substring_index(p, _END, 1)).alias("superclass"), F.substring_index(p, _END, -1).alias("body")))
-    return F.when(F.size(parts) >= 2, cut).otherwise(F.slice(cut, 1, 0))
+    return let(cut, lambda c: F.when(F.size(c) >= 2, c).otherwise(F.slice(c, 1, 0)))
 
 
 def response_blocks(response: Column) -> Column:
     """(method, blocks): split at headers; else at <END>, the parts that aren't blank taken for the classes in order, if there are two or more; else (null, none)."""
-    by_header = blocks(response)
-    parts = F.filter(F.split(response, r"(?i)<\s*END\s*>"), lambda p: strip(p) != "")
-    taken = F.slice(parts, 1, len(CLASSES))
-    by_end = F.transform(taken, lambda p, i: F.struct(F.get(F.array(*map(F.lit, CLASSES)), i).alias("superclass"), p.alias("body")))
-    none = F.slice(by_header, 1, 0)
-    return F.when(F.size(by_header) > 0, F.struct(F.lit("header").alias("method"), by_header.alias("blocks"))).when(F.size(parts) >= 2, F.struct(F.lit("end").alias("method"), by_end.alias("blocks"))).otherwise(F.struct(F.lit(None).cast("string").alias("method"), F.coalesce(none, F.array().cast("array<struct<superclass:string,body:string>>")).alias("blocks")))
+    def chosen(by_header: Column) -> Column:
+        parts = F.filter(F.split(response, r"(?i)<\s*END\s*>"), lambda p: strip(p) != "")
+        taken = F.slice(parts, 1, len(CLASSES))
+        by_end = F.transform(taken, lambda p, i: F.struct(F.get(F.array(*map(F.lit, CLASSES)), i).alias("superclass"), p.alias("body")))
+        none = F.slice(by_header, 1, 0)
+        return F.when(F.size(by_header) > 0, F.struct(F.lit("header").alias("method"), by_header.alias("blocks"))).when(F.size(parts) >= 2, F.struct(F.lit("end").alias("method"), by_end.alias("blocks"))).otherwise(F.struct(F.lit(None).cast("string").alias("method"), F.coalesce(none, F.array().cast("array<struct<superclass:string,body:string>>")).alias("blocks")))
+
+    return let(blocks(response), chosen)
 
 
 def body_of(all_blocks: Column, superclass: Column) -> Column:
@@ -148,7 +167,8 @@ def body_of(all_blocks: Column, superclass: Column) -> Column:
 
 
 def section(body: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_extract(body, pattern, 1), r"(?i)<\s*END\s*>", ""), r"^\s+|\s+$", ""), F.lit(""))
+    unmarked = lambda x: F.when(F.contains(x, F.lit("<")), F.regexp_replace(x, r"(?i)<\s*END\s*>", "")).otherwise(x)
+    return F.nullif(F.regexp_replace(let(F.regexp_extract(body, pattern, 1), unmarked), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def evidence(body: Column) -> Column:
@@ -172,8 +192,9 @@ def conclusion_text(body: Column) -> Column:
 
 def leak_lines(text: Column) -> Column:
     """(pattern, line) for each line and leak it has."""
-    lines = F.split(text, "\n")
-    return F.flatten(F.transform(lines, lambda x: F.transform(F.filter(F.array(*map(F.lit, LEAKS)), lambda p: F.contains(F.lower(x), p)), lambda p: F.struct(p.alias("pattern"), F.trim(x).alias("line")))))
+    of = lambda x: F.transform(F.filter(F.array(*map(F.lit, LEAKS)), lambda p: F.contains(F.lower(x), p)), lambda p: F.struct(p.alias("pattern"), F.trim(x).alias("line")))
+    found = F.flatten(F.transform(F.split(text, "\n"), of))
+    return F.when(_any_of(text, LEAKS), found).when(text.isNotNull(), F.array().cast("array<struct<pattern:string,line:string>>"))  # most texts have none
 
 
 def steps(text: Column) -> Column:
@@ -185,9 +206,8 @@ def _is_step(s: Column) -> Column:
     return s.rlike(r"(?i)^[ \t>*#\-]*step\s*\d+")
 
 
-def strip_steps(text: Column) -> tuple[Column, Column]:
-    """The reasoning without steps that tell the answer, renumbered, and how many were removed."""
-    found = steps(text)
+def stripped_steps(text: Column) -> Column:
+    """(text, removed): the reasoning without steps that tell the answer, renumbered, and how many were removed."""
     tells = "(?i)" + "|".join(TELLS)
     kept = F.filter(found, lambda s: _is_step(s) & ~s.rlike(tells))
     numbered = F.transform(kept, lambda s, i: F.regexp_replace(s, F.lit(r"(?i)^([ \t>*#\-]*step\s*)\d+"), F.concat(F.lit("$1"), (i + 1).cast("string"))))

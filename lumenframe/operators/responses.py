@@ -19,11 +19,10 @@ def sections(found: DataFrame) -> DataFrame:
 
 def parsed(found: DataFrame) -> DataFrame:
     """One row a record and class: what its block says, or what is wrong with it."""
-    stripped, removed = T.strip_steps(F.col("full_reasoning"))
     status = F.when(F.col("body").isNull(), "missing").when(F.col("conclusion").isNull(), "unparseable").otherwise("ok")
-    return sections(found).select(
+    return sections(found).withColumn("_s", T.stripped_steps(F.col("full_reasoning"))).select(
         "ecg_id", "superclass", status.alias("status"), "conclusion", F.size(T.leak_lines(F.col("evidence"))).cast("long").alias("evidence_leaks"),
-        F.size(T.evidence_items(F.col("evidence"))).cast("long").alias("evidence_items"), stripped.alias("reasoning"), removed.cast("long").alias("removed_steps"),
+        F.size(T.evidence_items(F.col("evidence"))).cast("long").alias("evidence_items"), F.col("_s.text").alias("reasoning"), F.col("_s.removed").cast("long").alias("removed_steps"),
     )
 
 

@@ -392,13 +392,13 @@ def student_prompts(spark, d):
     ELSE 'Step 1: look at the rate' || chr(10) || 'Step 2: look at the axis' || chr(10) || 'Step 3: decide' END AS reasoning, CASE WHEN gone THEN NULL WHEN (ecg_id + k) % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS removed_steps
     FROM (SELECT *, superclass = 'MI' AND ecg_id % 11 = 0 AS gone FROM grid)""")
 def parsed_responses(spark, d):
-    return P.parsed(responses(_grid(spark, d)))
+    return P.parsed(responses(_labels(spark, d)))
 
 
 @query("""SELECT count(*) FILTER (gone) AS missing, count(*) FILTER (NOT gone AND superclass = 'CD' AND ecg_id % 13 = 0) AS unparseable, count(*) FILTER (superclass = 'HYP' AND ecg_id % 7 = 0) AS leak_blocks,
     count(DISTINCT ecg_id) FILTER (ecg_id % 7 = 0) AS leak_records, count(*) FILTER (NOT gone AND (ecg_id + k) % 5 = 0) AS stripped_steps FROM (SELECT *, superclass = 'MI' AND ecg_id % 11 = 0 AS gone FROM grid)""")
 def response_audit(spark, d):
-    p = P.parsed(responses(_grid(spark, d)))
+    p = P.parsed(responses(_labels(spark, d)))
     leaks = F.col("evidence_leaks") > 0
     return p.agg(
         F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "unparseable").alias("unparseable"), F.count_if(leaks).alias("leak_blocks"),
@@ -631,12 +631,12 @@ def sentence_marks(spark, d):
 
 @query("SELECT pattern, count(*) AS hits, count(*) AS blocks, count(DISTINCT ecg_id) AS records FROM (SELECT ecg_id, unnest(CASE WHEN superclass = 'HYP' AND ecg_id % 7 = 0 THEN ['the report'] WHEN (ecg_id + k) % 5 = 0 THEN ['known answer'] ELSE [] END || CASE WHEN superclass = 'HYP' AND ecg_id % 7 = 0 AND (ecg_id + k) % 5 = 0 THEN ['known answer'] ELSE [] END) AS pattern FROM grid WHERE NOT (superclass = 'MI' AND ecg_id % 11 = 0)) GROUP BY pattern")
 def leak_patterns(spark, d):
-    return P.leak_counts(P.leaks(responses(_grid(spark, d))))
+    return P.leak_counts(P.leaks(responses(_labels(spark, d))))
 
 
 @query("""SELECT ecg_id, 'header' AS split_method, CASE WHEN ecg_id % 11 = 0 THEN 'MI' ELSE '' END AS missing, CASE WHEN ecg_id % 13 = 0 THEN 'CD' ELSE '' END AS unparseable, ecg_id % 11 <> 0 AND ecg_id % 13 <> 0 AS ok FROM records""")
 def response_statuses(spark, d):
-    s = P.response_status(responses(_grid(spark, d)))
+    s = P.response_status(responses(_labels(spark, d)))
     return s.select("ecg_id", "split_method", F.array_join("missing", ",").alias("missing"), F.array_join("unparseable", ",").alias("unparseable"), "ok")
 
 

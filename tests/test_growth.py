@@ -56,3 +56,11 @@ def test_pairs_over_several_tiles_match_brute_force(spark, block):
 
 def test_a_block_holds_many_rows():
     assert D.BLOCK >= 16384  # each vector is sent once for every block of its group
+
+
+def test_stripped_steps_and_leaks(spark):
+    texts = ["Step 2: a\nStep 9: the LABEL says so\nstep 4: b", "before\nStep 1: fine", "", None, "Step 1: requires a yes", "Step 1: The known Diagnosis"]
+    got = [x.s for x in spark.createDataFrame([(t,) for t in texts], "t string").select(T.stripped_steps(F.col("t")).alias("s")).collect()]
+    assert [tuple(s) for s in got] == [("Step 1: a\nstep 2: b", 1), ("beforeStep 1: fine".replace("beforeS", "before\nS"), 0), ("", 0), (None, None), ("Step 1: requires a yes", 0), ("", 1)]
+    leaks = [x.l for x in spark.createDataFrame([("clean",), (None,), ("x\n The Report y",)], "t string").select(T.leak_lines(F.col("t")).alias("l")).collect()]
+    assert leaks[0] == [] and leaks[1] is None and [tuple(x) for x in leaks[2]] == [("the report", "The Report y")]
