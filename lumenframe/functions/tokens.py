@@ -10,10 +10,10 @@ MODES = ("prompt", "prompt-and-target", "question", "none")
 MARKER = "Conclusion:"
 
 
-def trim_generated(ids: Column, ends: list[int]) -> Column:
-    """Up to the first end or padding id, which is not kept; whole without one."""
+def trim_generated(ids: Column, ends: list[int] | list[str]) -> Column:
+    """Up to the first end or padding id, which is not kept; whole without one. Tokens may be ids or strings."""
     at = F.array_min(F.array_compact(F.array(*[F.nullif(F.array_position(ids, e), F.lit(0)) for e in ends])))
-    return F.when(at.isNull(), ids).otherwise(F.slice(ids, F.lit(1), (at - 1).cast("int")))
+    return F.slice(ids, F.lit(1), F.coalesce((at - 1).cast("int"), F.size(ids)))
 
 
 def pad(ids: Column, width: Column | int, filler: int, left: bool = False) -> Column:

@@ -609,8 +609,8 @@ def reword_counts(spark, d):
 def trimmed_tokens(spark, d):
     """Characters as tokens, newline as the end."""
     docs = B.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    ids = F.transform(F.array_compact(F.split("text", "")), lambda c: F.ascii(c).cast("bigint"))
-    return docs.select("doc_id", F.size(K.trim_generated(F.when(F.col("text") == "", F.array().cast("array<bigint>")).otherwise(ids), [10])).cast("long").alias("kept"), T.token_estimate(F.col("text")).cast("long").alias("estimate"))
+    ids = docs.select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("estimate"), F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "")).alias("ids"))
+    return ids.select("doc_id", F.size(K.trim_generated(F.col("ids"), ["\n"])).cast("long").alias("kept"), "estimate")
 
 
 @query("""SELECT conv_id, CAST(sum(n) AS BIGINT) AS padded, CAST(sum(m - n) AS BIGINT) AS filler FROM (SELECT conv_id, len(string_split(text, ' ')) AS n, max(len(string_split(text, ' '))) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY conv_id""")

@@ -64,3 +64,8 @@ def test_stripped_steps_and_leaks(spark):
     assert [tuple(s) for s in got] == [("Step 1: a\nstep 2: b", 1), ("beforeStep 1: fine".replace("beforeS", "before\nS"), 0), ("", 0), (None, None), ("Step 1: requires a yes", 0), ("", 1)]
     leaks = [x.l for x in spark.createDataFrame([("clean",), (None,), ("x\n The Report y",)], "t string").select(T.leak_lines(F.col("t")).alias("l")).collect()]
     assert leaks[0] == [] and leaks[1] is None and [tuple(x) for x in leaks[2]] == [("the report", "The Report y")]
+
+
+def test_tokens_may_be_strings(spark):
+    rows = spark.createDataFrame([(["a", "\n", "b"],), (["a"],), ([],), (["\n"],), (None,)], "t array<string>")
+    assert [x.t for x in rows.select(K.trim_generated(F.col("t"), ["\n"]).alias("t")).collect()] == [["a"], ["a"], [], [], None]
