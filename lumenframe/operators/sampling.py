@@ -64,14 +64,13 @@ def sample(grid: DataFrame, n: int | None, mode: str, classes: list[str], seed:
     take, short = wanted_counts(n, mode, classes, there)
     cell = ["superclass", "label"][: len(next(iter(take)))]
     keyed = rows.withColumn("_key", F.concat_ws("|", F.col("ecg_id").cast("string"), "superclass"))
-    placed = numbered_by_hash(keyed, seed, "_key", "_n", *cell)
     wanted = F.lit(n) if not cell else F.lit(0)
     for values, k in take.items() if cell else ():
         same = F.lit(True)
         for c, v in zip(cell, values, strict=True):
             same = same & (F.col(c) == v)
         wanted = F.when(same, F.lit(k)).otherwise(wanted)
-    return placed.where(F.col("_n") < wanted).select("ecg_id", "superclass", "label"), spark.createDataFrame(short, kind)
+    return first_by_hash(keyed, seed, "_key", wanted, *cell).select("ecg_id", "superclass", "label"), spark.createDataFrame(short, kind)
 
 
 RANGES = 4096
@@ -89,6 +88,24 @@ def numbered_by_hash(rows: DataFrame, seed: int, key: str, name: str, *group: st
     return dealt.withColumn("_place", place).join(counts, [*group, "_range"]).withColumn(name, F.col("_place") + F.col("_before")).drop("_hash", "_range", "_place", "_before")
 
 
+def first_by_hash(rows: DataFrame, seed: int, key: str, wanted: Column, *group: str) -> DataFrame:
+    """The rows of each group whose place by numbered_by_hash is below `wanted` (of the group's columns).
+
+    Counts of the ranges name the one range a group in which its draw ends.  Rows of the ranges before it are all taken and those after it
+    left where they are; only the one range's rows are moved and numbered.
+    """
+    of_all, each = F.lit(0).alias("_of"), [*group]
+    dealt = rows.withColumn("_hash", shuffled(F.col(key), seed)).withColumn("_range", F.substring("_hash", 1, 3)).select("*", of_all)
+    counts = dealt.groupBy("_of", *each, "_range").agg(F.count("*").alias("_count"))  # at most RANGES rows a group
+    before = F.coalesce(F.sum("_count").over(Window.partitionBy("_of", *each).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.withColumn("_before", before).where(F.col("_before") < wanted)
+    ends = reached.groupBy("_of", *each).agg(F.max("_range").alias("_last"), F.max("_before").alias("_before"))  # one row a group
+    near = dealt.join(F.broadcast(ends), ["_of", *each]).where(F.col("_range") <= F.col("_last"))
+    place = F.row_number().over(Window.partitionBy("_of", *each).orderBy("_hash", key)) - 1 + F.col("_before")
+    last = near.where(F.col("_range") == F.col("_last")).withColumn("_place", place).where(F.col("_place") < wanted)
+    return near.where(F.col("_range") < F.col("_last")).select(*rows.columns).unionByName(last.select(*rows.columns))
+
+
 def derangement(keys: DataFrame, key: str, group: Column, seed: int = 7) -> DataFrame:
     """donor: another key of the same group, each key once, in one cycle by hash order; a group of one has no donor (null)."""
     cycle = numbered_by_hash(keys.select(key, group.alias("g")), seed, key, "_n", "g")

@@ -69,3 +69,12 @@ def test_stripped_steps_and_leaks(spark):
 def test_tokens_may_be_strings(spark):
     rows = spark.createDataFrame([(["a", "\n", "b"],), (["a"],), ([],), (["\n"],), (None,)], "t array<string>")
     assert [x.t for x in rows.select(K.trim_generated(F.col("t"), ["\n"]).alias("t")).collect()] == [["a"], ["a"], [], [], None]
+
+
+def test_first_by_hash_is_the_head_of_numbered_by_hash(spark):
+    rows = spark.createDataFrame([(str(i), "ab"[i % 3 == 0]) for i in range(9000)], "k string, g string").repartition(3)
+    wanted = F.when(F.col("g") == "a", 2500).otherwise(7)
+    placed = {(x.g, x.k) for x in S.numbered_by_hash(rows, 4, "k", "n", "g").where(F.col("n") < wanted).collect()}
+    taken = [(x.g, x.k) for x in S.first_by_hash(rows, 4, "k", wanted, "g").collect()]
+    assert len(taken) == 2507 and set(taken) == placed
+    assert S.first_by_hash(rows, 4, "k", F.lit(0), "g").count() == 0 and S.first_by_hash(rows, 4, "k", F.lit(9999)).count() == 9000
