@@ -44,7 +44,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.superclass_grid(B.manifest(spark, sf_dir))
+    return L.label_rows(_labels(spark, sf_dir))
 
 
 @query("SELECT superclass, count(*) AS n, count(*) FILTER (label) AS n_yes, round(avg(CASE WHEN label THEN 1.0 ELSE 0.0 END), 6) AS rate FROM grid GROUP BY superclass")
@@ -78,9 +78,7 @@ def _taught(spark, d):
 
 
 def _blocks(spark, d):
-    grid, taught = _grid(spark, d).select("ecg_id", "superclass", "label"), _taught(spark, d)
-    mismatch = taught.join(grid, ["ecg_id", "superclass"]).select(*taught.columns, (F.col("conclusion") != F.col("label")).alias("mismatch"))
-    return L.block_status(grid, mismatch)
+    return L.block_status(_grid(spark, d).select("ecg_id", "superclass", "label"), _taught(spark, d))
 
 
 @query(f", {_STATUS} SELECT status, count(*) AS blocks, count(DISTINCT ecg_id) AS records FROM blocks GROUP BY status")

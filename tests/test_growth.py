@@ -78,3 +78,11 @@ def test_first_by_hash_is_the_head_of_numbered_by_hash(spark):
     taken = [(x.g, x.k) for x in S.first_by_hash(rows, 4, "k", wanted, "g").collect()]
     assert len(taken) == 2507 and set(taken) == placed
     assert S.first_by_hash(rows, 4, "k", F.lit(0), "g").count() == 0 and S.first_by_hash(rows, 4, "k", F.lit(9999)).count() == 9000
+
+
+def test_block_status_finds_mismatches_itself_and_moves_no_text(spark):
+    grid = spark.createDataFrame([(i, c, c == "MI") for i in (1, 2) for c in ("NORM", "MI", "CD")], "ecg_id long, superclass string, label boolean")
+    taught = spark.createDataFrame([(1, "NORM", "x", True, "r"), (1, "MI", "x", True, "r"), (1, "CD", "\u2003\n", False, "r")], "ecg_id long, superclass string, raw_block string, conclusion boolean, reasoning string")
+    blocks = L.block_status(grid, taught)
+    assert {(x.ecg_id, x.superclass): x.status for x in blocks.collect()} == {(1, "NORM"): "label_mismatch", (1, "MI"): "kept", (1, "CD"): "parse_failed", (2, "NORM"): "no_answer", (2, "MI"): "no_answer", (2, "CD"): "no_answer"}
+    assert {x.status: (x.blocks, x.records) for x in L.exclusion_accounting(blocks).collect()}["no_answer"] == (3, 1)
