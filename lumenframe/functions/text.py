@@ -209,10 +209,17 @@ def _is_step(s: Column) -> Column:
 def stripped_steps(text: Column) -> Column:
     """(text, removed): the reasoning without steps that tell the answer, renumbered, and how many were removed."""
     tells = "(?i)" + "|".join(TELLS)
-    kept = F.filter(found, lambda s: _is_step(s) & ~s.rlike(tells))
-    numbered = F.transform(kept, lambda s, i: F.regexp_replace(s, F.lit(r"(?i)^([ \t>*#\-]*step\s*)\d+"), F.concat(F.lit("$1"), (i + 1).cast("string"))))
-    preamble = F.array_join(F.filter(found, lambda s: ~_is_step(s)), "")
-    return F.concat(preamble, F.array_join(numbered, "")), F.size(F.filter(found, lambda s: _is_step(s) & s.rlike(tells)))
+    told = lambda s: _any_of(s, TELL_WORDS) & s.rlike(tells)
+    found = F.transform(steps(text), lambda s: F.struct(s.alias("s"), F.when(~_is_step(s), 0).when(told(s), 2).otherwise(1).alias("kind")))
+    of = lambda f, kind: F.transform(F.filter(f, lambda x: x["kind"] == kind), lambda x: x["s"])
+    number = lambda s, i: F.regexp_replace(s, F.lit(r"(?i)^([ \t>*#\-]*step\s*)\d+"), F.concat(F.lit("$1"), (i + 1).cast("string")))
+    return let(found, lambda f: F.struct(F.concat(F.array_join(of(f, 0), ""), F.array_join(F.transform(of(f, 1), number), "")).alias("text"), F.size(of(f, 2)).alias("removed")))
+
+
+def strip_steps(text: Column) -> tuple[Column, Column]:
+    """Both parts of stripped_steps; who needs both in one projection takes the struct, which is computed once."""
+    both = stripped_steps(text)
+    return both["text"], both["removed"]
 
 
 def evidence_items(text: Column) -> Column:
@@ -222,27 +229,38 @@ def evidence_items(text: Column) -> Column:
 REASONING_SECTION = r"(?is)(\breasoning\b[ \t:*\-—]*)(.*?)(?=\bconclusion\b|<\s*END\s*>|\z)"
 
 
+STRIP_FIELDS = ("content", "blocks_stripped", "steps_removed", "blocks_emptied")
+
+
 def strip_response(response: Column) -> dict[str, Column]:
+    """The fields of stripped_response; who needs several in one projection takes the struct, which is computed once."""
+    whole = stripped_response(response)
+    return {name: whole[name] for name in STRIP_FIELDS}
+
+
+def stripped_response(response: Column) -> Column:
     """content: the response with each reasoning without its telling steps, all else as it was; and blocks stripped, steps removed, blocks emptied.
 
-    The text is cut at each reasoning label and at what ends its section, so that parts alternate.
+    The text is cut at each reasoning label and at what ends its section, so that parts alternate. A response without a telling word isn't cut at all.
     """
-    marked = F.regexp_replace(F.coalesce(response, F.lit("")), REASONING_SECTION, f"{_MARK}$1{_END}$2{_MARK}")
+    text = F.coalesce(response, F.lit(""))
+    marked = F.regexp_replace(text, REASONING_SECTION, f"{_MARK}$1{_END}$2{_MARK}")
     parts = F.split(marked, _MARK)
     inner = F.transform(parts, lambda p: F.struct(F.when(p.contains(_END), F.substring_index(p, _END, 1)).alias("label"), F.substring_index(p, _END, -1).alias("text")))
 
-    def done(p: Column) -> Column:
-        kept, removed = strip_steps(p["text"])
-        changed = p["label"].isNotNull() & (removed > 0)
-        emptied = changed & (strip(kept) == "")
+    def done(p: Column, s: Column) -> Column:
+        changed = F.coalesce(s["removed"] > 0, F.lit(False))
+        emptied = changed & (strip(s["text"]) == "")
         return F.struct(
-            F.when(changed, F.concat(p["label"], kept)).otherwise(F.concat(F.coalesce(p["label"], F.lit("")), p["text"])).alias("text"), F.when(changed, removed).otherwise(0).alias("removed"),
+            F.when(changed, F.concat(p["label"], s["text"])).otherwise(F.concat(F.coalesce(p["label"], F.lit("")), p["text"])).alias("text"), F.when(changed, s["removed"]).otherwise(0).alias("removed"),
             changed.cast("int").alias("stripped"), emptied.cast("int").alias("emptied"),
         )
 
-    results = F.transform(inner, done)
-    total = lambda name: F.aggregate(results, F.lit(0), lambda a, x: a + x[name])
-    return {"content": F.array_join(F.transform(results, lambda r: r["text"]), ""), "blocks_stripped": total("stripped"), "steps_removed": total("removed"), "blocks_emptied": total("emptied")}
+    results = F.transform(inner, lambda p: let(F.when(p["label"].isNotNull() & _any_of(p["text"], TELL_WORDS), stripped_steps(p["text"])), lambda s: done(p, s)))
+    total = lambda r, name: F.aggregate(r, F.lit(0), lambda a, x: a + x[name])
+    cut = let(results, lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["text"]), "").alias("content"), total(r, "stripped").alias("blocks_stripped"), total(r, "removed").alias("steps_removed"), total(r, "emptied").alias("blocks_emptied")))
+    whole = F.struct(text.alias("content"), *[F.lit(0).alias(name) for name in STRIP_FIELDS[1:]])
+    return F.when(_any_of(text, [*TELL_WORDS, _MARK, _END]), cut).otherwise(whole)
 
 
 def telling_steps(text: Column) -> Column:

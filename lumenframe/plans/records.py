@@ -292,8 +292,7 @@ def _told(spark, d) -> DataFrame:
 @query(f"""SELECT doc_id, regexp_replace(r, '(?m)^Step [0-9]+: [^\n]*required answer[^\n]*\n', '') AS content, regexp_matches(r, 'required answer')::INTEGER AS steps_removed FROM (SELECT doc_id, '### NORM' || chr(10) || 'Evidence: 1) as said.' || chr(10) || 'Reasoning:' || chr(10) || 'Step 1: ' || translate(text, chr(10), ' ')
     || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '{_TOLD}' ELSE '' END || chr(10) || '<END>' || chr(10) || '### MI' || chr(10) || 'Evidence: ' || translate(text, chr(10), ' ') || chr(10) || 'Reasoning:' || chr(10) || 'Step 1: plain.' || chr(10) || 'Conclusion: No.' || chr(10) || '<END>' AS r FROM documents WHERE text IS NOT NULL)""")
 def stripped_responses(spark, d):
-    s = T.strip_response(F.col("response"))
-    return _told(spark, d).select("doc_id", s["content"].alias("content"), s["steps_removed"].alias("steps_removed"))
+    return _told(spark, d).select("doc_id", T.stripped_response(F.col("response")).alias("s")).select("doc_id", "s.content", "s.steps_removed")
 
 
 @query()

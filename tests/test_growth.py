@@ -86,3 +86,10 @@ def test_block_status_finds_mismatches_itself_and_moves_no_text(spark):
     blocks = L.block_status(grid, taught)
     assert {(x.ecg_id, x.superclass): x.status for x in blocks.collect()} == {(1, "NORM"): "label_mismatch", (1, "MI"): "kept", (1, "CD"): "parse_failed", (2, "NORM"): "no_answer", (2, "MI"): "no_answer", (2, "CD"): "no_answer"}
     assert {x.status: (x.blocks, x.records) for x in L.exclusion_accounting(blocks).collect()}["no_answer"] == (3, 1)
+
+
+def test_stripped_response_leaves_what_tells_nothing(spark):
+    rows = spark.createDataFrame([("Reasoning: Step 1: a\nStep 2: the answer is affirmative\nConclusion: Yes",), ("Evidence: the label\nReasoning: Step 4: a",), ("plain\u0002",), ("plain",), (None,)], "r string")
+    got = [tuple(x.s) for x in rows.select(T.stripped_response(F.col("r")).alias("s")).collect()]
+    assert got[0] == ("Reasoning: Step 1: a\nConclusion: Yes", 1, 1, 0)
+    assert got[1:] == [("Evidence: the label\nReasoning: Step 4: a", 0, 0, 0), ("", 0, 0, 0), ("plain", 0, 0, 0), ("", 0, 0, 0)]
