@@ -37,7 +37,7 @@ def test_labels_by_bits_are_those_of_nested_statements(spark):
 
 
 def test_grid_moves_no_description(spark):
-    plan = L.label_rows(L.class_labels(B.records(spark, SF), B.statements(spark, SF)))._jdf.queryExecution().optimizedPlan().toString()
+    plan = L.label_rows(L.class_labels(B.records(spark, SF), B.statements(spark, SF)))._jdf.queryExecution().executedPlan().toString()
     assert "p_name" not in plan and "l_linenumber" not in plan
 
 
@@ -92,4 +92,4 @@ def test_stripped_response_leaves_what_tells_nothing(spark):
     rows = spark.createDataFrame([("Reasoning: Step 1: a\nStep 2: the answer is affirmative\nConclusion: Yes",), ("Evidence: the label\nReasoning: Step 4: a",), ("plain\u0002",), ("plain",), (None,)], "r string")
     got = [tuple(x.s) for x in rows.select(T.stripped_response(F.col("r")).alias("s")).collect()]
     assert got[0] == ("Reasoning: Step 1: a\nConclusion: Yes", 1, 1, 0)
-    assert got[1:] == [("Evidence: the label\nReasoning: Step 4: a", 0, 0, 0), ("", 0, 0, 0), ("plain", 0, 0, 0), ("", 0, 0, 0)]
+    assert got[1:] == [("Evidence: the label\nReasoning: Step 4: a", 0, 0, 0), ("plain", 0, 0, 0), ("plain", 0, 0, 0), ("", 0, 0, 0)]
