@@ -4,12 +4,15 @@ A shard is some text of one language: its distinct words and its words' places.
 Counts that matter are found in three rounds, each pruned by the one before,
 so that what is shuffled is never all substrings of the corpus:
 
-1. words are counted in each shard and summed;
+1. words are counted in each shard and summed; those that reach the least
+   count are numbered, so that a pair of words is one exact long;
 2. a depth-2 automaton of each shard, cut at words below the least count, gives
-   its word pairs with endpos counts under hashed names; their sums can't be
-   below the true ones, so no frequent pair is lost;
+   its word pairs with endpos counts; a window over each pair sums them beside
+   the shards' rows, and rows of rarer pairs end there;
 3. a depth-4 automaton, cut also between pairs below the least count,
-   enumerates the phrases themselves, which are summed exactly.
+   enumerates the phrases of four words, and those of three where no fourth
+   follows; they are summed exactly, a phrase of three from all that begin with
+   it.  Words are put for numbers in what is left.
 
 A phrase's suffix link leads to the phrase without its first word; the same
 link in reverse to the one without its last.  What a longer phrase takes from
@@ -17,8 +20,8 @@ the phrases inside it goes along these links one word at a time, as a phrase
 two words longer can't be more frequent than the one between.
 
 Every shard gets only its own words and pairs back, grouped by shard.  The
-global list of frequent words or pairs is broadcast only if it has at most
-BROADCAST rows, and joined by a shuffle beyond.
+global list of frequent words is broadcast only if it has at most BROADCAST
+rows, and joined by a shuffle beyond; there is no list of frequent pairs.
 
 Null texts hold nothing; null languages are `und`.  Repeated rows count each.
 A text of any length is cut nowhere.  No texts give no rows.  Extra columns
@@ -35,10 +38,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.automaton import SuffixAutomaton
-from lumenframe.llm.common import LOWER, U, byte_set, give_back, mix, own_columns, save, text_slices, word_bounds, word_hashes
+from lumenframe.llm.common import LOWER, byte_set, give_back, own_columns, save, text_slices, word_bounds
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
-SHARD_BYTES, BROADCAST, NAME_BITS, SALTS = 6 << 20, 1_000_000, 40, 64
+SHARD_BYTES, BROADCAST, SALTS = 6 << 20, 1_000_000, 64
+HALF = 31  # bits of a word's number; 0 is no word
 _GAP = byte_set(b" \t.,;:!?\n\x0b\x0c\r")
 _PIECE_END = byte_set(b".,;:!?\n\x0b\x0c\r")
 _SHARD = "shard long, lang string, words array<string>, times array<long>, places binary"
@@ -105,61 +109,58 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
-class _Shard:
-    """A shard's words and places in a task."""
+def _numbered(words: DataFrame) -> DataFrame:
+    """The rows with an id each, from 1 without gaps: saved first, as an id may not change when a task runs again."""
+    held = save(words.withColumn("at", F.monotonically_increasing_id()), "phrase-word-counts")
+    held = held.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.expr(f"at & {(1 << 33) - 1}L"))
+    sizes = held.groupBy("part").agg(F.count("*").alias("size"))  # a row for each task
+    starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
+    return save(held.join(F.broadcast(starts), "part").select("lang", "phrase", "a", (F.col("start") + F.col("at") + 1).alias("id")), "phrase-words")
 
-    def __init__(self, table: pa.Table):
-        self.lang = table["lang"][0].as_py()
-        self.words = table["words"].combine_chunks().flatten()
-        packed = table["places"][0].as_py()
-        self.places = np.frombuffer(pa.Codec("zstd").decompress(packed, asbytes=True, decompressed_size=self.size(packed)), np.int32).astype(np.int64)
 
-    @staticmethod
-    def size(packed: bytes) -> int:
-        import zstandard
+def _places(shard: pa.Table, known: pa.Table) -> np.ndarray:
+    """The number of the word at each place, -1 for other words and ends of pieces."""
+    import zstandard
 
-        return zstandard.frame_content_size(packed)
-
-    def names(self) -> np.ndarray:
-        """Hashes of the words, those of one language only comparable with each other."""
-        words = self.words.cast(pa.large_string())
-        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        data = np.frombuffer(words.buffers()[2], np.uint8)
-        seed = np.frombuffer(self.lang.encode(), np.uint8)
-        return word_hashes(data, at[:-1], at[1:]) ^ mix(word_hashes(seed, np.zeros(1, np.int64), np.array([len(seed)])))
-
-    def pairs(self, names: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return (mix(mix(names[first]) * U(3) + names[second]) >> U(64 - NAME_BITS)).astype(np.int64)
+    packed = shard["places"][0].as_py()
+    places = np.frombuffer(pa.Codec("zstd").decompress(packed, asbytes=True, decompressed_size=zstandard.frame_content_size(packed)), np.int32)
+    ids = np.full(len(shard["words"].combine_chunks().flatten()) + 1, -1, np.int64)  # the last one stands for -1
+    ids[known["k"].to_numpy()] = known["value"].to_numpy()
+    return ids[places]
 
 
 def _word_pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
-    s = _Shard(shard)
-    keep = np.zeros(len(s.words) + 1, bool)  # the last one stands for -1
-    keep[known["k"].to_numpy()] = True
-    sequence = np.where(keep[s.places], s.places, -1)
-    length, end, count = SuffixAutomaton(sequence, 2).substrings(2)
-    names = s.pairs(s.names(), sequence[end - 1], sequence[end])
-    return pa.table({"shard": np.full(len(end), shard["shard"][0].as_py()), "pair": names, "times": count})
+    sequence = _places(shard, known)
+    _, end, count = SuffixAutomaton(sequence, 2).substrings(2)
+    return pa.table({"shard": np.full(len(end), shard["shard"][0].as_py()), "pair": sequence[end - 1] << HALF | sequence[end], "times": count})
 
 
 def _phrases(shard: pa.Table, known: pa.Table) -> pa.Table:
-    s = _Shard(shard)
-    names, places = s.names(), s.places
+    """Phrases of four words with their counts in the shard, those of three that no fourth word follows, and pairs counted already that fall to it."""
+    of_word = pc.greater_equal(known["k"], 0)
+    places, pairs = _places(shard, known.filter(of_word)), known.filter(pc.invert(of_word))
     there = np.flatnonzero((places[1:] >= 0) & (places[:-1] >= 0)) if len(places) else np.zeros(0, np.int64)
     linked = np.zeros(len(places) + 1, bool)  # between this place and the one before
-    linked[there + 1] = np.isin(s.pairs(names, places[there], places[there + 1]), known["pair"].to_numpy())
+    linked[there + 1] = np.isin(places[there] << HALF | places[there + 1], pairs["value"].to_numpy())
     used = linked[:-1] | linked[1:]  # a word with a frequent pair on either side
     breaks = used & ~linked[:-1]
     sequence = np.full(int(used.sum() + breaks.sum()), -1, np.int64)
     sequence[np.arange(int(used.sum())) + np.cumsum(breaks[used])] = places[used]
-    length, end, count = SuffixAutomaton(sequence, LONGEST).substrings(2)
-    out = []
-    for n in range(2, LONGEST + 1):
-        rows = np.flatnonzero(length == n)
-        columns = [s.words.take(pa.array(sequence[end[rows] - back])) for back in range(n - 1, -1, -1)]
-        phrase = pc.binary_join_element_wise(*columns, " ")
-        out.append(pa.table({"lang": pa.DictionaryArray.from_arrays(np.zeros(len(rows), np.int32), [s.lang]).cast(pa.string()), "phrase": phrase, "size": np.full(len(rows), n, np.int32), "times": count[rows]}))
-    return pa.concat_tables(out)
+    length, end, count = SuffixAutomaton(sequence, LONGEST).substrings(3)
+    start, four = end - length + 1, length == LONGEST
+    head, third = sequence[start] << HALF | sequence[start + 1], sequence[start + 2]
+    three = pa.table({"head": head, "third": third, "times": np.where(four, -count, count)}).group_by(["head", "third"]).aggregate([("times", "sum")])
+    three = three.filter(pc.greater(three["times_sum"], 0))
+    mine = pairs.filter(pc.greater(pairs["a"], 0))
+    none = np.zeros(len(mine) + len(three), np.int64)
+    return pa.table(
+        {
+            "head": np.concatenate([mine["value"].to_numpy(), three["head"].to_numpy(), head[four]]),
+            "third": np.concatenate([none[: len(mine)], three["third"].to_numpy(), third[four]]),
+            "fourth": np.concatenate([none, sequence[end[four]]]),
+            "times": np.concatenate([mine["a"].to_numpy(), three["times_sum"].to_numpy(), count[four]]),
+        }
+    )
 
 
 def _freed(work):
@@ -177,14 +178,24 @@ def counted(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES)
     held = save(shards(docs, shard_bytes), "phrase-shards")
     totals = held.groupBy("lang").agg(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
     each = held.select("shard", "lang", F.explode(F.arrays_zip("words", "times")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.times").alias("times"))
-    words = save(each.groupBy("lang", "phrase").agg(F.sum("times").alias("a")).where(F.col("a") >= least), "phrase-words")
-    known = held.select("shard", "lang", F.posexplode("words").alias("k", "phrase")).join(_small(words.select("lang", "phrase")), ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), "k")
-    by_shard = held.groupBy("shard")
-    pairs = save(by_shard.cogroup(known.groupBy("of")).applyInArrow(_freed(_word_pairs), "shard long, pair long, times long"), "phrase-pairs")
-    frequent = save(pairs.groupBy("pair").agg(F.sum("times").alias("a")).where(F.col("a") >= least).select("pair"), "phrase-frequent-pairs")
-    linked = pairs.join(_small(frequent), "pair", "left_semi").select(F.col("shard").alias("of"), "pair")
-    found = by_shard.cogroup(linked.groupBy("of")).applyInArrow(_freed(_phrases), "lang string, phrase string, size int, times long")
-    longer = found.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("a")).where(F.col("a") >= least)
+    words = _numbered(each.groupBy("lang", "phrase").agg(F.sum("times").alias("a")).where(F.col("a") >= least))
+    listed = _small(words.select("lang", "phrase", "id"))
+    known = held.select("shard", "lang", F.posexplode("words").alias("k", "phrase")).join(listed, ["lang", "phrase"]).select(F.col("shard").alias("of"), "k", F.col("id").alias("value"))
+    by_shard, same = held.groupBy("shard"), Window.partitionBy("pair")  # a pair has a row a shard at most
+    pairs = by_shard.cogroup(known.groupBy("of")).applyInArrow(_freed(_word_pairs), "shard long, pair long, times long")
+    summed = pairs.select("shard", "pair", F.sum("times").over(same).alias("a"), F.min("shard").over(same).alias("first")).where(F.col("a") >= least)
+    linked = summed.select(F.col("shard").alias("of"), F.lit(-1).alias("k"), F.col("pair").alias("value"), F.when(F.col("shard") == F.col("first"), F.col("a")).otherwise(0).alias("a"))
+    both = known.withColumn("a", F.lit(0).cast("long")).unionByName(linked.sortWithinPartitions("of", "value"))  # a shard's pairs together are smaller in a shuffle
+    found = by_shard.cogroup(both.groupBy("of")).applyInArrow(_freed(_phrases), "head long, third long, fourth long, times long")
+    fours = found.repartition("head", "third").groupBy("head", "third", "fourth").agg(F.sum("times").alias("a"))
+    fours = fours.withColumn("three", F.sum("a").over(Window.partitionBy("head", "third"))).where(F.col("three") >= least)
+    threes = F.struct(F.lit(0).cast("long").alias("fourth"), F.col("three").alias("a"))
+    longer = fours.select("head", "third", F.explode(F.array(threes, F.struct("fourth", "a"))).alias("x")).select("head", "third", "x.fourth", "x.a")
+    longer = longer.where("fourth = 0 OR a >= " + str(least)).groupBy("head", "third", "fourth").agg(F.max("a").alias("a"))  # a three's own sum is its largest
+    for i, number in enumerate((f"head >> {HALF}", f"head & {(1 << HALF) - 1}L", "third", "fourth")):
+        of = listed.select("id", F.col("phrase").alias(f"w{i}"), *["lang"][i:])
+        longer = longer.withColumn("id", F.expr(number)).join(of, "id", "left").drop("id")
+    longer = longer.select("lang", F.concat_ws(" ", "w0", "w1", "w2", "w3").alias("phrase"), F.expr("2 + int(w2 IS NOT NULL) + int(w3 IS NOT NULL)").alias("size"), "a")
     return save(words.select("lang", "phrase", F.lit(1).alias("size"), "a").unionByName(longer), "phrases"), totals
 
 

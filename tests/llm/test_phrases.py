@@ -101,3 +101,29 @@ def test_products_beyond_64_bits(spark):
     a = 10**14
     got = spark.sql(f"SELECT CAST((CAST({a}L AS DECIMAL(19, 0)) * 2000000) DIV (CAST({a}L AS DECIMAL(19, 0)) + CAST({a + 7}L AS DECIMAL(19, 0))) AS LONG) AS s").first().s
     assert got == 2000000 * a // (2 * a + 7)
+
+
+def joined_rows(spark, work):
+    """Rows that the joins of the work's queries made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    total, listed = 0, store.executionsList()
+    for i in range(before, listed.size()):
+        execution = listed.apply(i).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for metric in map(node.metrics().apply, range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_no_join_makes_a_row_a_shard_for_each_frequent_pair(spark):
+    r = random.Random(7)
+    docs = spark.createDataFrame([("en", " ".join(f"w{r.randrange(40)}" for _ in range(60))) for _ in range(400)], "lang string, text string").repartition(30)
+    found = []
+    made = joined_rows(spark, lambda: found.extend(P.counted(docs, least=10, shard_bytes=2000)[0].where("size > 1").collect()))
+    shards = P.shards(docs, shard_bytes=2000).count()
+    assert shards > 20 and len(found) > 1000  # nearly all pairs occur 10 times or more
+    assert 0 < made <= (2 * shards + 1) * 40 + 4 * len(found)  # words of shards and their numbers, words of phrases
