@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import LOWER, SPACE, U, WORDS, is_crowded, join_unique, longs, mix, own_columns, prefix_sums, save, spans, text_slices, windows, word_bounds, word_hashes
 from lumenframe.llm.components import components
+from lumenframe.llm.copies import once
 from lumenframe.llm.repeats import each_window
 from lumenframe.llm.sketch import BITS, counted, members, releasing
 
@@ -95,16 +96,17 @@ def set_classes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """(token, doc, one, n, early): the shingles of each set's prefix that may be in another set; one: the set's fingerprint."""
+    """(token, doc, one, n, early): the shingles of each set's prefix that may be in another set; one: the set's fingerprint. Copies of a text have none."""
+    docs, _, kept = once(docs, bits)
 
     def every(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_slices(batch):
+        for _, _, data, offsets in text_slices(kept(batch)):
             yield shingles(data, offsets, n)[0]
 
-    twice, often = counted(docs.select("text"), every, (2, FREQUENT), bits)
+    twice, often = counted(docs, every, ((2, bits), (FREQUENT, bits - 4)))
 
     def run(batches):
-        for batch in batches:
+        for batch in map(kept, batches):
             ids = longs(batch, "doc_id")
             for i, j, data, offsets in text_slices(batch):
                 values, bounds = shingles(data, offsets, n)
