@@ -11,7 +11,8 @@ rank 2  whole segments, sorted by (seed, segment, place): one that also stands
 rank 3  windows, sorted by (seed, window, place): only of the first of each
         segment, and only where its seed has several different segments.
 
-A sketch (sketch.py) of each rank drops what is unique before it is sorted; it
+A text that a smaller doc_id has too is covered whole and takes no part
+(copies.py).  A sketch (sketch.py) of each rank drops what is unique before it is sorted; it
 may keep too much, never too little.  Each task first settles what it can
 among its own rows: a copy that comes later than another in the same task is
 covered at once, so a very frequent segment leaves a task at most once.  Names
@@ -27,15 +28,16 @@ them covers another, and one finding serves them all.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import U, longs, mix, save, sliding_min, text_slices, windows
-from lumenframe.llm.sketch import BITS, repeated, releasing
+from lumenframe.llm.copies import KEY, once, text_key
+from lumenframe.llm.sketch import BITS, present, repeated, releasing
 
 FOUND = "kind int, seed long, name long, doc long, key long, start int, n int"
 _FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
@@ -43,12 +45,7 @@ COVERED, TO_RANK, FIRST = 0, 1, 2
 _RANKED = ("seed", "name", "doc", "key", "start", "n")
 _ORDER = ("seed", "name", "doc", "start", "key")
 _HOLD = 1_000_000
-KEY = "_text_key"
-
-
-def text_key() -> Column:
-    """Tells the texts of one doc_id apart."""
-    return F.xxhash64("text")
+WHOLE = (1 << 31) - 1  # windows of a run that goes to the end of its text
 
 
 @dataclass
@@ -226,6 +223,7 @@ class Search:
     k: int
     same_doc: bool
     bits: int = BITS
+    kept: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch  # the rows of a batch to look at
 
     def segments(self, seq: Sequence, docs: np.ndarray, keys: np.ndarray) -> Rows:
         starts = windows(seq.size, seq.bounds, self.n)
@@ -260,6 +258,7 @@ class Search:
         return Rows(np.repeat(r.seed, r.n), seq.name(at, at + self.n), np.repeat(r.doc, r.n), np.repeat(r.key, r.n), at, start, np.ones(len(at), np.int64))
 
     def scan(self, batch: pa.RecordBatch) -> Iterator[tuple[Sequence, Rows]]:
+        batch = self.kept(batch)
         docs, keys = longs(batch, "doc_id"), longs(batch, KEY)
         for i, j, data, offsets in text_slices(batch):
             seq = self.sequence(data, offsets)
@@ -287,8 +286,15 @@ class Search:
         return found.repartition(dealt).sortWithinPartitions(*_ORDER).mapInArrow(settle(self.same_doc), FOUND)
 
     def covered(self, docs: DataFrame) -> DataFrame:
-        """(doc, key, start, n): windows start .. start+n-1 of doc's text of this key also start earlier. docs: doc_id (not null) and text."""
-        docs = docs.withColumn(KEY, text_key())
+        """(doc, key, start, n): windows start .. start+n-1 of doc's text of this key also start earlier; n may go beyond the last. docs: doc_id (not null) and text."""
+        docs, copies, kept = once(docs, self.bits)
+        found = replace(self, kept=kept).settled(docs)
+        if copies is None:
+            return found
+        return found.unionAll(copies.select(F.col("doc_id").alias("doc"), F.col(KEY).alias("key"), F.lit(0).alias("start"), F.lit(WHOLE).alias("n")))
+
+    def settled(self, docs: DataFrame) -> DataFrame:
+        """covered, of the rows to look at."""
         seeds = repeated(docs, lambda batch: (rows.seed for _, rows in self.scan(batch)), self.bits)
 
         def candidates(seq: Sequence, rows: Rows) -> Rows:
@@ -298,10 +304,9 @@ class Search:
 
         def places(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             t = _columns(batch)
-            place = Rows(t["seed"], t["name"], t["doc"], t["key"], t["start"], t["start"], t["n"]).place()
-            yield np.concatenate([place, place])  # to be in the sketch is to be seen twice
+            yield Rows(t["seed"], t["name"], t["doc"], t["key"], t["start"], t["start"], t["n"]).place()
 
-        firsts = repeated(ranks.where(F.col("kind") == FIRST), places, self.bits - 2)
+        firsts = present(ranks.where(F.col("kind") == FIRST), places, self.bits - 1)
 
         def opened(seq: Sequence, rows: Rows) -> Rows:
             rows = rows.take(seeds(rows.seed))
@@ -318,12 +323,14 @@ class Search:
             w = opened(seq, rows)
             return w.take(names(w.name ^ mix(w.seed)))
 
-        again = self.ranked(self.found(docs, repeated_windows), settle_windows, "seed", "name")
-        return ranks.where(F.col("kind") == COVERED).select("doc", "key", "start", "n").unionAll(again.select("doc", "key", "start", "n"))
+        again = self.ranked(self.found(docs, repeated_windows), settle_windows, "seed", "name").select("doc", "key", "start", "n")
+        return ranks.where(F.col("kind") == COVERED).select("doc", "key", "start", "n").unionAll(save(again, "windows"))
 
 
 def covered_mask(size: int, n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Which of a document's symbols the windows cover."""
+    if size < n:
+        return np.zeros(size, bool)
     step = np.zeros(size + 1, np.int32)
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + counts + n - 1, size), -1)

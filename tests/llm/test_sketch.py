@@ -6,8 +6,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenframe.llm import ngram_join as J
+from lumenframe.llm import suffix_dedup as X
 from lumenframe.llm.common import save
 from lumenframe.llm.copies import KEY, once
+from lumenframe.llm.repeats import WHOLE
 from lumenframe.llm.sketch import counted, present
 
 
@@ -54,6 +56,8 @@ def test_copies_of_a_text_take_no_part(spark):
     left = seen.mapInArrow(lambda batches: (kept(b).select(["doc_id", "text"]) for b in batches), "doc_id long, text string").collect()
     assert sorted((r.doc_id, r.text or "") for r in left if r.text) == sorted([(3, text), (3, text), (7, "short"), (9, "other " + text[:90])])
     assert J.prefix_rows(spark.createDataFrame([(i, text) for i in range(50)], "doc_id long, text string"), 4, 85, 14).count() == 0
+    runs = X.find_repeats(spark.createDataFrame([(i, text) for i in range(50)], "doc_id long, text string"), bits=14).collect()
+    assert sorted((r.doc, r.start, r.n) for r in runs) == [(i, 0, WHOLE) for i in range(1, 50)]
 
 
 def test_rows_that_the_table_of_copies_drops_by_chance_come_back(spark):
