@@ -66,3 +66,11 @@ def test_rows_that_the_table_of_copies_drops_by_chance_come_back(spark):
     assert copies.count() == 3000 and KEY in seen.columns
     left = seen.mapInArrow(lambda batches: (pa.record_batch([kept(b).column(0)], names=["doc_id"]) for b in batches), "doc_id long").collect()
     assert sorted(r.doc_id for r in left) == sorted([i for i in range(0, 6000, 2)] + [10_000 + i for i in range(6000)])
+
+
+def test_unique_shingles_are_not_sent_however_many(spark):
+    """20,000 shingles of one document each and a table of 8,192 bits: only prefixes of the near copies are rows."""
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(103))) for i in range(200)]
+    docs += [(1000 + i, " ".join(f"n{j}" for j in range(60)) + f" end{i}") for i in range(3)]
+    rows = J.prefix_rows(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 4, 85, 12)
+    assert {r.doc for r in rows.select("doc").collect()} == {1000, 1001, 1002}
