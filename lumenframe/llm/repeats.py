@@ -44,7 +44,7 @@ _FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("name", pa.int6
 COVERED, TO_RANK, FIRST = 0, 1, 2
 _RANKED = ("seed", "name", "doc", "key", "start", "n")
 _ORDER = ("seed", "name", "doc", "start", "key")
-_HOLD = 1_000_000
+_HOLD = 500_000
 WHOLE = (1 << 31) - 1  # windows of a run that goes to the end of its text
 
 
